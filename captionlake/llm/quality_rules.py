@@ -16,7 +16,7 @@ SPACE = r"[\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 #: Rule -> (numerator, scale, least margin beyond the quartile). Values are scale * numerator / n_words.
-RULES = {"word_length": ("word_chars", 100, 150), "symbols": ("n_symbols", 1000, 100), "dup_lines": ("n_dup_lines", 1000, 20), "repeats": ("n_repeat_words", 1000, 150)}
+RULES = {"word_length": ("word_chars", 100, 150), "symbols": ("n_symbols", 1000, 100), "dup_lines": ("n_dup_lines", 1000, 50), "repeats": ("n_repeat_words", 1000, 300)}
 #: Fence: q75 + SPREAD * (q75 - q25) + margin. Groups of fewer than LEAST documents take the sketch merged over their language.
 SPREAD, LEAST = 3, 100
 SALTS = 16

@@ -76,7 +76,7 @@ c AS (
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c),
 v AS (
   SELECT doc_id, lang, source, base_failed, rule, coalesce(CASE WHEN n_words > 0 THEN scale * x // n_words END, 0) AS v, margin FROM f,
-  LATERAL (VALUES ('word_length', word_chars, 100, 150), ('symbols', n_symbols, 1000, 100), ('dup_lines', n_dup_lines, 1000, 20), ('repeats', n_repeat_words, 1000, 150)) AS p(rule, x, scale, margin)),
+  LATERAL (VALUES ('word_length', word_chars, 100, 150), ('symbols', n_symbols, 1000, 100), ('dup_lines', n_dup_lines, 1000, 50), ('repeats', n_repeat_words, 1000, 300)) AS p(rule, x, scale, margin)),
 b AS (SELECT *, 32 * greatest(length(bin(v)) - 6, 0) + (v >> greatest(length(bin(v)) - 6, 0)::BIGINT) AS b FROM v),
 low AS (SELECT *, (b - 32 * greatest(b // 32 - 1, 0)) << greatest(b // 32 - 1, 0)::BIGINT AS f FROM b),
 q AS (
@@ -85,8 +85,8 @@ q AS (
 fence AS (
   SELECT k.lang, k.source, k.rule, CASE WHEN k.n >= 100 THEN k.q75 + 3 * (k.q75 - k.q25) WHEN l.n >= 100 THEN l.q75 + 3 * (l.q75 - l.q25) ELSE e.q75 + 3 * (e.q75 - e.q25) END + k.margin AS fence
   FROM q k JOIN q l ON k.gs = 0 AND l.gs = 1 AND l.gl = 0 AND k.lang IS NOT DISTINCT FROM l.lang AND k.rule = l.rule JOIN q e ON e.gl = 1 AND k.rule = e.rule),
-bad AS (SELECT low.doc_id, list(rule ORDER BY CASE rule WHEN 'word_length' THEN 1 WHEN 'symbols' THEN 2 WHEN 'dup_lines' THEN 3 ELSE 4 END) AS rules
-  FROM low JOIN fence ON low.lang IS NOT DISTINCT FROM fence.lang AND low.source IS NOT DISTINCT FROM fence.source AND low.rule = fence.rule WHERE NOT base_failed AND v > fence GROUP BY low.doc_id)
+bad AS (SELECT low.doc_id, list(low.rule ORDER BY CASE low.rule WHEN 'word_length' THEN 1 WHEN 'symbols' THEN 2 WHEN 'dup_lines' THEN 3 ELSE 4 END) AS rules
+  FROM low JOIN fence ON low.lang IS NOT DISTINCT FROM fence.lang AND low.source IS NOT DISTINCT FROM fence.source AND low.rule = fence.rule WHERE NOT base_failed AND v > fence.fence GROUP BY low.doc_id)
 SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, coalesce(bad.rules, []::VARCHAR[]) AS failed_rules, NOT base_failed AND bad.rules IS NULL AS kept
 FROM f LEFT JOIN bad USING (doc_id)
 """
