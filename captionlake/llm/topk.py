@@ -72,7 +72,7 @@ def _pair(left: pd.DataFrame, right: pd.DataFrame) -> tuple[np.ndarray, np.ndarr
     """Candidate ids, query ids and scores [candidate, query] of one block and one group; a query's own id scores -FAR."""
     dim = int(left["dim"][0])
     ids, q = np.frombuffer(left["ids"][0], "<i8"), right["query_id"].to_numpy("int64")
-    s = _scores(_matrix(left["data"][0], dim), _matrix(b"".join(right["data"]), dim))
+    s = _scores(_matrix(left["data"][0], dim), _matrix(b"".join(right["q"]), dim))
     s[ids[:, None] == q[None, :]] = -FAR
     return ids, q, s
 
@@ -104,14 +104,14 @@ def exact_top_k(vectors: DataFrame, is_query, k: int = 5, key: str = "vec_id", v
     n_groups = max(1, -(-queries.count() // group))
     reach = F.least(F.ceil(F.col("own") * F.col("norm")) + 1, F.lit(FAR // 2)).cast("long")
     state = queries.join(bounds, "dim").select(
-        "query_id", "dim", "data", F.pmod(F.xxhash64("query_id"), F.lit(n_groups)).alias("grp"), (-reach).alias("lo"), F.ceil((2 * reach + 1) / bins).cast("long").alias("width"), F.lit(k).cast("long").alias("need")
+        "query_id", "dim", "data", F.pmod(F.xxhash64("query_id"), F.lit(n_groups)).alias("grp"), (-reach).alias("lo"), (reach + 1).alias("hi"), F.ceil((2 * reach + 1) / bins).cast("long").alias("width"), F.lit(k).cast("long").alias("need")
     )
     state = written(state)
-    sides = blocks.select("block", "dim")
+    sides = blocks.select(F.col("block").alias("at"), F.col("dim"))
 
     def scored(fn, schema: str) -> DataFrame:
         left = blocks.withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1)))).withColumn("grp", F.col("grp").cast("long"))
-        right = state.join(sides, "dim")
+        right = state.join(sides, "dim").select("query_id", F.col("data").alias("q"), "lo", "hi", "width", "need", F.col("at").alias("block"), "grp")
         return left.groupBy("block", "grp").cogroup(right.groupBy("block", "grp")).applyInPandas(fn, schema)
 
     def histogram(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -119,8 +119,8 @@ def exact_top_k(vectors: DataFrame, is_query, k: int = 5, key: str = "vec_id", v
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": [], "bin": [], "n": []}, dtype="int64")
         _, q, s = _pair(left, right)
-        lo, width = right["lo"].to_numpy("int64"), right["width"].to_numpy("int64")
-        s = np.where((s >= lo) & (s < lo + width * bins) if (width < FAR // bins).all() else s >= lo, s, -FAR)
+        lo, hi, width = (right[c].to_numpy("int64") for c in ("lo", "hi", "width"))
+        s = np.where((s >= lo) & (s < hi), s, -FAR)
         best = np.partition(s, len(s) - k, axis=0)[-k:] if len(s) > k else s
         b = np.where(best > -FAR, (best - lo) // np.maximum(width, 1), -1)
         rows = pd.DataFrame({"query_id": np.broadcast_to(q, b.shape).ravel(), "bin": b.ravel()})
@@ -137,10 +137,10 @@ def exact_top_k(vectors: DataFrame, is_query, k: int = 5, key: str = "vec_id", v
         state = written(seen.select(
             "query_id", "dim", "data", "grp",
             F.when(F.col("bin").isNull(), F.lit(-FAR + 1)).otherwise(F.col("lo") + F.col("bin") * F.col("width")).cast("long").alias("lo"),
+            F.when(F.col("bin").isNull(), F.col("hi")).otherwise(F.col("lo") + (F.col("bin") + 1) * F.col("width")).alias("hi"),
             F.when(F.col("bin").isNull() | done, F.lit(0)).otherwise(F.ceil(F.col("width") / bins)).cast("long").alias("width"),
             (F.col("need") - F.coalesce(F.col("above"), F.lit(0))).alias("need"),
         ))
-        # all queries start with intervals of one size class, so those that are done wait for none
 
     def select(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         """What is above each query's k-th best score, and of the ties at it as many of the smallest ids as are needed."""

@@ -21,7 +21,7 @@ MARK = "▁"  # stands for a space
 NORMAL, BYTE = 1, 6
 UNKNOWN_PENALTY = 10.0
 #: Words whose segmentation a task remembers, and characters of the longest of them; a full memory is emptied.
-CACHE_WORDS, CACHE_CHARS = 300_000, 64
+CACHE_WORDS, CACHE_CHARS = 500_000, 64
 #: Characters of text that are turned into rows of output at a time.
 CHUNK_CHARS = 2_000_000
 
@@ -120,6 +120,7 @@ class Unigram:
         line = "" if any("\n" in p for p, _, t in pieces if t == NORMAL) else "\\n"
         self.units = re.compile(f" +[^ {line}]*|[^ {line}]+" + ("|\\n+" if line else ""))
         self.cache: dict[str, list[int]] = {}
+        self.arrays: list[np.ndarray] | None = None
 
     def viterbi(self, unit: str) -> list[int]:
         """The best segmentation of a string; of equal ones that whose last piece is longest, and so on. A literal mark has no piece and falls back to bytes."""
@@ -157,27 +158,83 @@ class Unigram:
             n = i
         return ids[::-1]
 
+    def viterbi_many(self, units: list[str]) -> list[list[int]]:
+        """viterbi() of many short strings at once: all of them take each step of the trie and each step back together."""
+        data = [u.replace(MARK, "\0").replace(" ", MARK).encode() for u in units]
+        lens = np.array([len(d) for d in data])
+        n, top = len(data), int(lens.max(initial=0))
+        text = np.frombuffer(b"".join(d.ljust(top, b"\0") for d in data), "uint8").reshape(n, top).astype("int32")
+        if self.arrays is None:
+            self.arrays = [np.array(a, "int32") for a in (self.trie.base, self.trie.check, self.trie.value)] + [np.array(self.scores)]
+        base, check, value, scores = self.arrays
+        best = np.full((n, top + 5), -np.inf)
+        best[:, 0] = 0
+        start, piece = np.zeros((n, top + 5), "int32"), np.full((n, top + 5), -1, "int32")
+        for i in range(top):
+            rows = np.flatnonzero((lens > i) & (best[:, i] > -np.inf))
+            if not len(rows):
+                continue
+            first = text[rows, i]
+            width = np.where(first < 128, 1, np.where(first < 224, 2, np.where(first < 240, 3, 4)))
+            alone = np.zeros(len(rows), bool)
+            at, s = np.arange(len(rows)), np.zeros(len(rows), "int32")
+            for j in range(i, top):
+                t = base[s] + text[rows[at], j]
+                ok = (check[t] == s) & (lens[rows[at]] > j)
+                at, s = at[ok], t[ok]
+                if not len(at):
+                    break
+                v = value[s]
+                hit = v >= 0
+                k, v = at[hit], v[hit]
+                alone[k[width[k] == j + 1 - i]] = True
+                r = rows[k]
+                c = best[r, i] + scores[v]
+                up = c > best[r, j + 1]
+                r = r[up]
+                best[r, j + 1], start[r, j + 1], piece[r, j + 1] = c[up], i, v[up]
+            r, w = rows[~alone], i + width[~alone]
+            c = best[r, i] + self.unknown
+            up = c > best[r, w]
+            best[r[up], w[up]], start[r[up], w[up]], piece[r[up], w[up]] = c[up], i, -1
+        at, odd, steps = lens.copy(), np.zeros(n, bool), []
+        while (going := at > 0).any():
+            v = np.where(going, piece[np.arange(n), at], -2)
+            odd |= v == -1
+            steps.append(v)
+            at = np.where(going, start[np.arange(n), at], 0)
+        found = np.array(steps[::-1], "int32").T.tolist() if steps else [[] for _ in units]
+        return [self.viterbi(u) if o else [x for x in f if x >= 0] for u, o, f in zip(units, odd.tolist(), found, strict=True)]
+
     def encode(self, text: str | None) -> list[int]:
-        """Ids of a text; a space is put before it. Null and empty texts have none."""
-        if not text:
-            return []
-        if "\0" in text and MARK in text:  # the stand-in of a literal mark is taken: segment around the marks
-            out = []
-            for k, part in enumerate((" " + text).split(MARK)):
-                out += [self.byte_id[b] for b in MARK.encode()] * (k > 0) + (self.viterbi(part) if part else [])
-            return out
-        if not self.words_alone:
-            return self.viterbi(" " + text)
-        out, cache = [], self.cache
-        for unit in self.units.findall(" " + text):
-            ids = cache.get(unit)
-            if ids is None:
-                ids = self.viterbi(unit)
-                if len(unit) <= CACHE_CHARS:
-                    if len(cache) >= CACHE_WORDS:
-                        cache.clear()
-                    cache[unit] = ids
-            out += ids
+        return self.encode_many([text])[0]
+
+    def encode_many(self, texts: list[str | None]) -> list[list[int]]:
+        """Ids of texts; a space is put before each. Null and empty texts have none."""
+        cache = self.cache
+        if len(cache) >= CACHE_WORDS:
+            cache.clear()
+        units: list[list[str]] = []
+        for text in texts:
+            if not text:
+                units.append([])
+            elif "\0" in text and MARK in text:  # the stand-in of a literal mark is taken: marks are units of their own
+                units.append([u for part in re.split(f"({MARK})", " " + text) if part for u in ([part] if part == MARK else self.units.findall(part) if self.words_alone else [part])])
+            else:
+                units.append(self.units.findall(" " + text) if self.words_alone else [" " + text])
+        new = list({u for us in units for u in us} - cache.keys())
+        long = {u: self.viterbi(u) for u in new if len(u) > CACHE_CHARS}
+        short = sorted((u for u in new if len(u) <= CACHE_CHARS), key=len)
+        for i in range(0, len(short), 8192):
+            part = short[i : i + 8192]
+            cache.update(zip(part, self.viterbi_many(part), strict=True))
+        known = cache | long if long else cache
+        out = []
+        for us in units:
+            ids: list[int] = []
+            for u in us:
+                ids += known[u]
+            out.append(ids)
         return out
 
     def decode(self, ids) -> str:
@@ -212,16 +269,21 @@ def encode_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", v
         m = model(vocabulary)
         is_byte = np.array([t == BYTE for _, _, t in m.pieces])
         for batch in batches:
-            rows, chars = [], 0
+            part, chars = [], 0
             for k, t in zip(batch["k"], batch["t"], strict=True):
-                ids = np.array(m.encode(t), "<u4")
-                back = m.decode(ids.tolist())
-                rows.append((k, ids.astype("int32"), len(ids), int(is_byte[ids].sum()), zlib.crc32(ids), zlib.crc32(back.encode()), back == (t or "")))
+                part.append((k, t))
                 chars += len(t or "") + 100
                 if chars > CHUNK_CHARS:
-                    yield frame(rows, batch)
-                    rows, chars = [], 0
-            yield frame(rows, batch)
+                    yield frame(coded(m, is_byte, part), batch)
+                    part, chars = [], 0
+            yield frame(coded(m, is_byte, part), batch)
+
+    def coded(m: Unigram, is_byte: np.ndarray, part: list) -> list:
+        rows = []
+        for (k, t), out in zip(part, m.encode_many([t for _, t in part]), strict=True):
+            ids, back = np.array(out, "<u4"), m.decode(out)
+            rows.append((k, ids.astype("int32"), len(ids), int(is_byte[ids].sum()), zlib.crc32(ids), zlib.crc32(back.encode()), back == (t or "")))
+        return rows
 
     def frame(rows: list, batch: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(rows, columns=["k", "ids", "n_tokens", "n_byte_tokens", "ids_crc32", "decoded_crc32", "round_trip"]).astype({"k": batch["k"].dtype})
