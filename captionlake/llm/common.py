@@ -18,15 +18,21 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, batch: int | None = None) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     This cuts the lineage: what was computed survives the loss of any executor, is computed once
     (checkpoint() computes its plan twice) and has the same rows in the same files for every later reader.
+    ``batch``: rows that Python tasks get at a time meanwhile, for rows that can be large.
     """
-    spark = df.sparkSession
+    spark, name = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
     path = f"{shared_dir(spark)}/captionlake-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, str(batch or before))
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(name, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

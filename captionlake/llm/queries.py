@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .chat import format_chat, read_back, text_part
 from .common import table
 from .fm import fit_on_labels, is_held_out, score_documents
+from .hyperminhash import near_duplicates
 from .packing import pack_documents
 from .quality_rules import quality_rules
 from .sharding import shard_records
@@ -125,3 +126,22 @@ bad AS (SELECT low.doc_id, list(low.rule ORDER BY CASE low.rule WHEN 'word_lengt
 SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, coalesce(bad.rules, []::VARCHAR[]) AS failed_rules, NOT base_failed AND bad.rules IS NULL AS kept
 FROM f LEFT JOIN bad USING (doc_id)
 """
+
+
+@query
+def op5_hyperminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), width=3, threshold=85)
+
+
+ORACLES["op5_hyperminhash_near_dedup"] = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM w),
+n AS MATERIALIZED (SELECT doc_id, CAST(len(s) AS BIGINT) AS n FROM s),
+e AS MATERIALIZED (SELECT doc_id, unnest(s) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON p.a = x.doc_id JOIN n y ON p.b = y.doc_id WHERE 100 * i >= 85 * (x.n + y.n - i)),
+u AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS origin, doc_id AS reached FROM n UNION SELECT r.origin, u.b FROM r JOIN u ON r.reached = u.a),
+c AS (SELECT origin AS doc_id, min(reached) AS component_id FROM r GROUP BY 1)
+SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN c USING (doc_id)
+"""
