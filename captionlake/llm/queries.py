@@ -11,6 +11,7 @@ from .fm import fit_on_labels, is_held_out, score_documents
 from .hyperminhash import near_duplicates
 from .packing import pack_documents
 from .quality_rules import quality_rules
+from .repeats import remove_repeats
 from .sharding import shard_records
 from .topk import exact_top_k
 from .unigram import encode_documents
@@ -145,3 +146,9 @@ r AS (SELECT doc_id AS origin, doc_id AS reached FROM n UNION SELECT r.origin, u
 c AS (SELECT origin AS doc_id, min(reached) AS component_id FROM r GROUP BY 1)
 SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN c USING (doc_id)
 """
+
+
+@query
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
