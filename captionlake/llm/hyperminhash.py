@@ -87,11 +87,12 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(column), "<u2").reshape(len(column), REGISTERS)
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, threshold: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, threshold: int = 80, text_hash: bool = False) -> DataFrame:
     """Link documents whose shingle sets have 100 * |A and B| >= threshold * |A or B|; group them by what links reach.
 
     Returns a row for each input row: key, n_shingles, component_id (the smallest key that its links reach,
-    itself included) and kept (whether it is that one). Sets are compared by 64-bit hashes of their shingles.
+    itself included) and kept (whether it is that one); with ``text_hash``, also xxhash64 of the text. Sets are
+    compared by 64-bit hashes of their shingles.
 
     Null, empty and blank texts have no shingles and are linked with nothing. Rows with equal sets are one node
     with the smallest of their keys, so repeated rows and groups of copies of any size cost an aggregate. Rows
@@ -100,17 +101,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     """
     kind = docs.schema[key].dataType.simpleString()
     least = threshold / 100 - SLACK * (threshold / 100 * (1 - threshold / 100) / REGISTERS) ** 0.5
-    slim = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    slim = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.xxhash64(text).alias("th"))
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for k, t in zip(b["k"], b["t"], strict=True):
+            for k, t, th in zip(b["k"], b["t"], b["th"], strict=True):
                 s = shingle_set(t, width)
-                rows.append((k, len(s), xxhash.xxh3_128_digest(s.tobytes()), registers(s).tobytes()) if len(s) else (k, 0, None, None))
-            yield pd.DataFrame(rows, columns=["k", "n", "fp", "regs"]).astype({"k": b["k"].dtype})
+                rows.append((k, th, len(s), xxhash.xxh3_128_digest(s.tobytes()), registers(s).tobytes()) if len(s) else (k, th, 0, None, None))
+            yield pd.DataFrame(rows, columns=["k", "th", "n", "fp", "regs"]).astype({"k": b["k"].dtype})
 
-    signed = written(slim.mapInPandas(sign, f"k {kind}, n long, fp binary, regs binary"), ROWS_AT_ONCE)
+    signed = written(slim.mapInPandas(sign, f"k {kind}, th long, n long, fp binary, regs binary"), ROWS_AT_ONCE)
     reps = written(signed.filter("n > 0 AND k IS NOT NULL").groupBy("fp").agg(F.min("k").alias("rep"), F.max("n").alias("n"), F.min("regs").alias("regs")))
 
     # bands: the least of a band's members by a hash (of four orders) is what the others are compared with first
@@ -217,6 +218,22 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
         found = connected_components(links)
 
     node = reps.select("fp", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("comp"))
-    out = signed.select("k", "n", "fp").join(node, "fp", "left")
+    out = signed.select("k", "th", "n", "fp").join(node, "fp", "left")
     component = F.when(F.col("k").isNotNull(), F.coalesce("comp", "k"))
-    return out.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("k") == component, F.lit(True)).alias("kept"))
+    return out.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("k") == component, F.lit(True)).alias("kept"), *[F.col("th").alias("text_hash")] * text_hash)
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, threshold: int = 80) -> DataFrame:
+    """``docs`` with one document of each group of near_duplicates(), the one of the smallest key, all columns as they are.
+
+    Of rows that repeat key and text one stays, except those without shingles or key, which all stay.
+    """
+    judged = written(near_duplicates(docs, key, text, width, threshold, text_hash=True).select(F.col(key).alias("_cl_k"), F.col("text_hash").alias("_cl_th"), "n_shingles", "kept"))
+    own = docs.withColumn("_cl_h", F.xxhash64(text))
+    same = (F.col(key) == F.col("_cl_k")) & (F.col("_cl_h") == F.col("_cl_th"))
+    left = own.join(judged.filter("NOT kept").select("_cl_k", "_cl_th").distinct(), same, "left_anti")
+    again = written(judged.filter("kept AND n_shingles > 0 AND _cl_k IS NOT NULL").groupBy("_cl_k", "_cl_th").agg(F.count("*").alias("n")).filter("n > 1").drop("n"))
+    if not again.isEmpty():
+        once = left.join(again, same, "left_semi").groupBy(key, "_cl_h").agg(*[F.first(c).alias(c) for c in docs.columns if c != key])
+        left = left.join(again, same, "left_anti").unionByName(once.select(*left.columns))
+    return left.drop("_cl_h")

@@ -10,6 +10,7 @@ from .common import table
 from .fm import fit_on_labels, is_held_out, score_documents
 from .hyperminhash import near_duplicates
 from .packing import pack_documents
+from .pii import replace_entities
 from .quality_rules import quality_rules
 from .repeats import remove_repeats
 from .sharding import shard_records
@@ -38,6 +39,15 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+#: The secret under which surrogates are drawn; a deployment passes its own.
+PII_KEY = "captionlake-example-key"
+
+
+@query
+def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+
+
 @query
 def op3_unigram_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"))
