@@ -1,6 +1,27 @@
-"""Registered queries: name -> callable, and name -> DuckDB SQL."""
+"""Registered queries: name -> callable, DuckDB SQL where SQL can express it, and the operator ids they cover."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+QUERIES: dict[str, Callable] = {}
+ORACLES: dict[str, str] = {}
+#: Operator id -> names of the queries that cover it.
+COVERS: dict[str, list[str]] = {}
+
+
+def query(ids: str, sql: str | None = None) -> Callable:
+    """Register a function of (spark, sf_dir). ``ids``: operator ids, blank separated."""
+
+    def add(fn: Callable) -> Callable:
+        QUERIES[fn.__name__] = fn
+        if sql:
+            ORACLES[fn.__name__] = sql
+        for i in ids.split():
+            COVERS.setdefault(i, []).append(fn.__name__)
+        return fn
+
+    return add
+
+
+from . import plans  # noqa: E402, F401  (the plans register themselves)
