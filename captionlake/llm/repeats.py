@@ -205,7 +205,8 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", lar
             found = repeated_windows(b["data"].tolist(), b["off"].to_numpy("int64"))
             some = found.any(1) & ~b["whole"].to_numpy()
             b, found = b[some], found[some]
-            yield pd.DataFrame({"m": b["m"], "content": b["content"], "spans": [spans_of(f, o) for f, o in zip(found, b["off"], strict=True)]})
+            if len(b):  # Arrow has no type for an empty column of lists
+                yield pd.DataFrame({"m": b["m"], "content": b["content"], "spans": [spans_of(f, o) for f, o in zip(found, b["off"], strict=True)]})
 
     sorted_in = pieces.filter(F.col("kinds") <= largest).select("m", "content", "whole", "off", "data").repartition("m").sortWithinPartitions("m")
     marks = sorted_in.mapInPandas(sort, spans_type)
