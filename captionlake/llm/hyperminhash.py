@@ -2,7 +2,8 @@
 
 A document's set of word shingles is hashed once; each register keeps the least hash of its bucket as a count
 of leading zeros and some mantissa bits. Bands of registers find candidates, the share of equal registers,
-corrected for chance collisions, estimates their Jaccard similarity, and full sets confirm the links.
+corrected for chance collisions, estimates their Jaccard similarity, and full sets confirm the links. Before
+that, bitmaps of the sets give an upper bound of the similarity, which never rules out a link.
 
 Links are looked for until every two documents that share a band are either in one component or known not to
 be linked, but not all pairs are formed: a band's members are first compared with one of them, and then only
@@ -83,8 +84,35 @@ def estimate(equal: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return (equal / REGISTERS - c) / (1 - c)
 
 
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """A bit for each hash of a set among 8 to 16 times as many (4096 bytes at most), as uint8 of a power of two in length."""
+    bits = min(max(64, 1 << int(8 * len(s)).bit_length()), 1 << 15)
+    out = np.zeros(bits, bool)
+    out[(s >> np.uint64(24)).astype("int64") & (bits - 1)] = True
+    return np.packbits(out, bitorder="little")
+
+
+def may_link(maps: list[np.ndarray], n: np.ndarray, x: int, others: np.ndarray, threshold: int) -> np.ndarray:
+    """Those of ``others`` that the bitmaps allow to be linked with x: a bit of one set only is a member of that set only, so it bounds the intersection. Longer bitmaps are folded."""
+    sizes = np.array([len(maps[o]) for o in others])
+    out = np.zeros(len(others), bool)
+    for size in np.unique(sizes):
+        width, pick = min(size, len(maps[x])), np.flatnonzero(sizes == size)
+        fold = lambda m: np.bitwise_or.reduce(m.reshape(*m.shape[:-1], -1, width), axis=-2).view("uint64")  # noqa: E731, B023
+        a, b = fold(maps[x]), fold(np.stack([maps[o] for o in others[pick]]))
+        only_a, only_b = np.bitwise_count(a & ~b).sum(1).astype("int64"), np.bitwise_count(b & ~a).sum(1).astype("int64")
+        na, nb = n[x], n[others[pick]]
+        both = np.minimum(na - only_a, nb - only_b)
+        out[pick] = 100 * both >= threshold * (na + nb - both)
+    return others[out]
+
+
 def _matrix(column: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(column), "<u2").reshape(len(column), REGISTERS)
+    return np.frombuffer(b"".join(x[: 2 * REGISTERS] for x in column), "<u2").reshape(len(column), REGISTERS)
+
+
+def _bitmaps(column: pd.Series) -> list[np.ndarray]:
+    return [np.frombuffer(x, "uint8", offset=2 * REGISTERS) for x in column]
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, threshold: int = 80, text_hash: bool = False) -> DataFrame:
@@ -108,7 +136,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
             rows = []
             for k, t, th in zip(b["k"], b["t"], b["th"], strict=True):
                 s = shingle_set(t, width)
-                rows.append((k, th, len(s), xxhash.xxh3_128_digest(s.tobytes()), registers(s).tobytes()) if len(s) else (k, th, 0, None, None))
+                rows.append((k, th, len(s), xxhash.xxh3_128_digest(s.tobytes()), registers(s).tobytes() + bitmap(s).tobytes()) if len(s) else (k, th, 0, None, None))
             yield pd.DataFrame(rows, columns=["k", "th", "n", "fp", "regs"]).astype({"k": b["k"].dtype})
 
     signed = written(slim.mapInPandas(sign, f"k {kind}, th long, n long, fp binary, regs binary"), ROWS_AT_ONCE)
@@ -116,9 +144,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 
     # bands: the least of a band's members by a hash (of four orders) is what the others are compared with first
     band = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("i")
-    bands = reps.select("rep", "regs", band).select("rep", F.xxhash64("i", F.expr(f"substring(regs, i * {2 * ROWS} + 1, {2 * ROWS})")).alias("band"), F.xxhash64("rep", F.col("i") % 4).alias("order"))
+    bands = reps.select("rep", "regs", band).select("rep", "i", F.xxhash64("i", F.expr(f"substring(regs, i * {2 * ROWS} + 1, {2 * ROWS})")).alias("band"), F.xxhash64("rep", F.col("i") % 4).alias("order"))
     shared = written(bands.groupBy("band").agg(F.count("*").alias("size"), F.min(F.struct("order", "rep"))["rep"].alias("pivot")).filter("size > 1"))
-    members = written(bands.select("rep", "band").join(shared.select("band", "pivot"), "band"))
+    members = written(bands.select("rep", "i", "band").join(shared.select("band", "pivot"), "band"))
 
     def with_registers(pairs: DataFrame) -> DataFrame:
         for x in ("a", "b"):
@@ -130,7 +158,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
             if len(p):
                 j = estimate((_matrix(p["regs_a"]) == _matrix(p["regs_b"])).sum(1), p["n_a"].to_numpy(), p["n_b"].to_numpy())
                 ok = (j >= least) & (100 * np.minimum(p["n_a"], p["n_b"]) >= threshold * np.maximum(p["n_a"], p["n_b"]))
-                yield p.loc[ok, ["a", "b"]].assign(j=j[ok])
+                at, n = np.flatnonzero(ok), np.concatenate([p["n_a"], p["n_b"]])
+                maps = _bitmaps(p["regs_a"]) + _bitmaps(p["regs_b"])
+                at = [i for i in at if len(may_link(maps, n, i, np.array([i + len(p)]), threshold))]
+                yield p.iloc[at][["a", "b"]].assign(j=j[at])
 
     star = members.filter("rep <> pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
     star = written(with_registers(star).mapInPandas(likely, f"a {kind}, b {kind}, j double"), 4096)
@@ -165,12 +196,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     found = connected_components(links)
 
     # bands whose members are in several components: those outside of the largest are compared with all others
-    placed = members.select("band", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("comp"))
+    placed = members.select("band", "i", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("band", "i", "rep", F.coalesce("component", "rep").alias("comp"))
     placed = written(placed)
     per = placed.groupBy("band", "comp").agg(F.count("*").alias("n"))
     open_bands = per.groupBy("band").agg(F.count("*").alias("comps"), F.sum("n").alias("all"), F.max("n").alias("most"), F.max_by("comp", F.struct("n", "comp")).alias("main")).filter("comps > 1")
     rest = placed.join(open_bands, "band").join(reps.select("rep", "n", "regs"), "rep").select(
-        "band", "rep", "comp", "n", "regs", (F.col("comp") != F.col("main")).alias("outside"), F.ceil(F.col("all") / BLOCK).alias("nb"), F.ceil((F.col("all") - F.col("most")) / BLOCK).alias("nl")
+        "band", "i", "rep", "comp", "n", "regs", (F.col("comp") != F.col("main")).alias("outside"), F.ceil(F.col("all") / BLOCK).alias("nb"), F.ceil((F.col("all") - F.col("most")) / BLOCK).alias("nl")
     )
 
     def side(left: bool) -> DataFrame:
@@ -178,7 +209,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
         own, n_own, n_other = ("l", "nl", "nb") if left else ("b", "nb", "nl")
         other = "b" if left else "l"
         x = (rest.filter("outside") if left else rest).withColumn(own, F.pmod(F.xxhash64("rep", F.lit(own)), F.col(n_own))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col(n_other) - 1)))
-        return x.select(F.xxhash64("band", "l", "b").alias("g"), F.lit(left).alias("left"), "rep", "comp", "n", "regs")
+        return x.select(F.xxhash64("band", "l", "b").alias("g"), F.lit(left).alias("left"), "i", "rep", "comp", "n", "regs")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows come sorted by g; a pair of blocks has some hundred rows."""
@@ -196,14 +227,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     def compared(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
         if not len(b):
             return
-        g, left, rep, comp, n, regs = b["g"].to_numpy(), b["left"].to_numpy(), b["rep"].to_numpy(), b["comp"].to_numpy(), b["n"].to_numpy(), _matrix(b["regs"])
+        g, left, band, rep, comp, n, regs, maps = b["g"].to_numpy(), b["left"].to_numpy(), b["i"].to_numpy(), b["rep"].to_numpy(), b["comp"].to_numpy(), b["n"].to_numpy(), _matrix(b["regs"]), _bitmaps(b["regs"])
         cuts = [0, *(np.flatnonzero(g[1:] != g[:-1]) + 1), len(g)]
         xs, ys = [], []
         for lo, hi in zip(cuts, cuts[1:], strict=False):
             x, y = lo + np.flatnonzero(left[lo:hi]), lo + np.flatnonzero(~left[lo:hi])
             for i in x:
                 o = y[(comp[y] != comp[i]) & (100 * np.minimum(n[y], n[i]) >= threshold * np.maximum(n[y], n[i]))]
-                o = o[estimate((regs[o] == regs[i]).sum(1), n[o], n[i]) >= least] if len(o) else o
+                same = regs[o] == regs[i]
+                # a pair is judged in the first band that it shares, which is open as the pair is in two components
+                first = same[:, : BANDS * ROWS].reshape(len(o), BANDS, ROWS).all(2).argmax(1) == band[i]
+                o = o[first & (estimate(same.sum(1), n[o], n[i]) >= least)]
+                o = may_link(maps, n, i, o, threshold) if len(o) else o
                 xs.append(np.full(len(o), i))
                 ys.append(o)
         if xs:
