@@ -7,9 +7,10 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
-@pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def match_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """2 * matches / length of both, by longest matching blocks; null where a side is null."""
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")

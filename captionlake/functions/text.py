@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 #: Bounds of the quality cascade.
 MAX_CHARS, LEAST_RATIO, MOST_RATIO = 4000, 0.5, 2.0
@@ -14,13 +15,13 @@ MAX_CHARS, LEAST_RATIO, MOST_RATIO = 4000, 0.5, 2.0
 HAN, KANA = "\\u3400-\\u4dbf\\u4e00-\\u9fff\\uf900-\\ufaff", "\\u3040-\\u30ff"
 
 
-@pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc_fold(texts: pd.Series) -> pd.Series:
     """NFKC, trimmed, case folded."""
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).strip().casefold())
 
 
-@pandas_udf("string")
+@F.pandas_udf(StringType())
 def memory_key(texts: pd.Series) -> pd.Series:
     """The form under which a translation memory compares texts: NFKC, case folded, without punctuation, symbols and spaces."""
 
@@ -30,7 +31,7 @@ def memory_key(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else form(t))
 
 
-@pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def display_width(texts: pd.Series) -> pd.Series:
     """Wide and full-width characters count 1, others one half."""
     return texts.map(lambda t: None if t is None else sum(1.0 if unicodedata.east_asian_width(c) in "WF" else 0.5 for c in t))
