@@ -1,0 +1,140 @@
+"""Search, translation memory, dictionary and vectors."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions.text import loose_key
+from ..operators import search as S
+from ..registry import query
+from ..sources.tables import table
+
+W_SQL = "SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents"
+
+
+@query("X05 X06", f"""WITH w AS ({W_SQL}), l AS (SELECT doc_id, len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS len FROM documents), s AS (SELECT count(*) AS n, sum(len) AS total FROM l),
+h AS (SELECT doc_id, term, count(*) AS tf FROM w WHERE term IN ('with', 'from', 'nicht') GROUP BY 1, 2), d AS (SELECT term, count(*) AS df FROM h GROUP BY 1)
+SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / (total / n)))), 6) AS score FROM h JOIN d USING (term) JOIN l USING (doc_id), s GROUP BY 1 ORDER BY score DESC, doc_id LIMIT 20""")
+def bm25_topk(spark, sf_dir) -> DataFrame:
+    return S.bm25(table(spark, sf_dir, "documents"), "doc_id", "text", ["with", "from", "nicht"], 20)
+
+
+@query("X01 X02", "SELECT doc_id FROM documents WHERE contains(lower(text), 'tion the')")
+def trigram_search(spark, sf_dir) -> DataFrame:
+    """A phrase of three characters or more; shorter ones go to word postings."""
+    return S.phrase_search(table(spark, sf_dir, "documents"), "doc_id", "text", "tion the")
+
+
+@query("X02", "SELECT page_id FROM pages WHERE contains(lower(url), 'page1')")
+def gram_index_search(spark, sf_dir) -> DataFrame:
+    p = table(spark, sf_dir, "pages").select("page_id", "url")
+    index = p.select("page_id", F.explode(S.grams(F.lower("url"))).alias("gram"))
+    return S.gram_search(index, p, "page_id", "url", "page1")
+
+
+@query("X03", f"SELECT term, count(*) AS n, count(DISTINCT doc_id) AS docs FROM ({W_SQL}) WHERE term LIKE 'wit%' GROUP BY 1")
+def prefix_search(spark, sf_dir) -> DataFrame:
+    p = S.postings(table(spark, sf_dir, "documents"), "doc_id", "text").filter(F.col("term").startswith("wit"))
+    return p.groupBy("term").agg(F.sum("tf").alias("n"), F.count("*").alias("docs"))
+
+
+@query("X06", """WITH m AS (SELECT DISTINCT ON (k) md5(regexp_replace(lower(text), '[^a-z0-9\\x{c0}-\\x{24f}]', '', 'g')) AS k, doc_id FROM documents ORDER BY k, doc_id)
+SELECT d.doc_id, m.doc_id AS match_id FROM documents d JOIN m ON md5(regexp_replace(lower(d.text), '[^a-z0-9\\x{c0}-\\x{24f}]', '', 'g')) = m.k WHERE m.doc_id < d.doc_id""")
+def tm_exact(spark, sf_dir) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", F.md5(loose_key(F.col("text")).cast("binary")).alias("k"))
+    m = d.groupBy("k").agg(F.min("doc_id").alias("match_id"))
+    return d.join(m, "k").filter("match_id < doc_id").select("doc_id", "match_id")
+
+
+@query("X07 F12")
+def tm_fuzzy(spark, sf_dir) -> DataFrame:
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    return S.fuzzy_matches(p.select(F.col("p_partkey").alias("q_id"), "p_name"), p.select(F.col("p_partkey").alias("m_id"), "p_name"), "q_id", "m_id", "p_name")
+
+
+@query("X04")
+def stemmed_search(spark, sf_dir) -> DataFrame:
+    """Words by stem: English endings are cut by rules, so that forms of a word meet."""
+    p = S.postings(table(spark, sf_dir, "documents").filter("lang = 'en'"), "doc_id", "text")
+    stem = F.regexp_replace(F.regexp_replace("term", "(?<=[a-z]{3})(ing|edly|ed|ly|es|s)$", ""), "(.)\\1$", "$1")
+    return p.groupBy(stem.alias("stem")).agg(F.sum("tf").alias("n"), F.count_distinct("doc_id").alias("docs")).filter("docs > 1")
+
+
+GRAMS_SQL = "SELECT item_id, unnest(list_transform(range(1, length(w) - {n} + 2), lambda i: w[i:i + {n} - 1])) AS g FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z]{{4,}}')) AS w FROM benchmark)"
+GRAMS = " UNION ALL ".join(GRAMS_SQL.format(n=n) for n in (4, 5, 6))
+
+
+def mined(spark, sf_dir) -> DataFrame:
+    """gram, n, items, first: 4- to 6-grams within words, overlapping ones too."""
+    w = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0)))
+    cut = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("w") - n + 1, F.lit(1))), lambda i: F.substr("w", i, F.lit(n)))
+    whole = lambda n: F.filter(cut(n), lambda g: F.length(g) == n)
+    all_cuts = F.flatten(F.array(*[whole(n) for n in (4, 5, 6)]))
+    g = table(spark, sf_dir, "benchmark").select("item_id", w.alias("w")).select("item_id", F.explode(all_cuts).alias("gram"))
+    return g.groupBy("gram").agg(F.count("*").alias("n"), F.count_distinct("item_id").alias("items"), F.min("item_id").alias("first"))
+
+
+@query("A11", f"SELECT g AS gram, count(*) AS n, count(DISTINCT item_id) AS items, min(item_id) AS first FROM ({GRAMS}) GROUP BY 1 HAVING count(*) >= 3")
+def ngram_gap_candidates(spark, sf_dir) -> DataFrame:
+    return mined(spark, sf_dir).filter("n >= 3")
+
+
+@query("A12", f"WITH m AS (SELECT g AS gram, count(*) AS n FROM ({GRAMS}) GROUP BY 1 HAVING count(*) >= 3) SELECT gram, n FROM m WHERE NOT EXISTS (SELECT 1 FROM m b WHERE b.n = m.n AND length(b.gram) > length(m.gram) AND contains(b.gram, m.gram))")
+def subgram_suppression(spark, sf_dir) -> DataFrame:
+    """A gram goes if a longer one with the same count holds it: the longer ones' parts are exploded and joined by equality."""
+    m = mined(spark, sf_dir).filter("n >= 3").select("gram", "n")
+    part = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("gram") - n + 1, F.lit(1))), lambda i: F.substr("gram", i, F.lit(n)))
+    parts = m.filter(F.length("gram") > 4).select("n", "gram", F.explode(F.flatten(F.array(part(4), part(5)))).alias("sub")).filter(F.length("sub") < F.length("gram"))
+    return m.join(parts.select("n", F.col("sub").alias("gram")), ["gram", "n"], "left_anti")
+
+
+@query("F32 F33 X09", """WITH k AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))[:64]) AS key FROM benchmark),
+q AS (SELECT conv_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))) AS key FROM conversations WHERE turn = 0),
+h AS (SELECT conv_id, item_id, count(*) AS n FROM (SELECT DISTINCT conv_id, key FROM q WHERE length(key) >= 6) JOIN (SELECT DISTINCT item_id, key FROM k) USING (key) GROUP BY 1, 2)
+SELECT conv_id, item_id, n FROM h QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY n DESC, item_id) <= 12""".replace("list_distinct(regexp_extract_all(lower(text), '[a-z]+'))[:64]", "regexp_extract_all(lower(text), '[a-z]+')"))
+def dictionary_references(spark, sf_dir) -> DataFrame:
+    keys = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z]+"), F.lit(0)))
+    k = table(spark, sf_dir, "benchmark").select("item_id", F.explode(keys("text")).alias("key"))
+    q = table(spark, sf_dir, "conversations").filter("turn = 0").select("conv_id", F.explode(keys("text")).alias("key")).filter(F.length("key") >= 6).distinct()
+    n = q.join(k, "key").groupBy("conv_id", "item_id").agg(F.count("*").alias("n"))
+    return n.withColumn("r", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("n"), "item_id"))).filter("r <= 12").drop("r")
+
+
+@query("F20", """SELECT item_id, CAST(i AS BIGINT) AS line, trim(split_part(l, ' ', 1)) AS term, trim(l[length(split_part(l, ' ', 1)) + 1:]) AS target FROM (SELECT item_id, unnest(string_split(text, '. ')) AS l, unnest(range(1, len(string_split(text, '. ')) + 1)) AS i FROM benchmark) WHERE trim(l) <> '' AND i <= 40""")
+def glossary_parse(spark, sf_dir) -> DataFrame:
+    lines = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.split("text", r"\. ")).alias("i", "l")).filter((F.trim("l") != "") & (F.col("i") < 40))
+    term = F.split_part("l", F.lit(" "), F.lit(1))
+    return lines.select("item_id", (F.col("i") + 1).cast("long").alias("line"), F.trim(term).alias("term"), F.trim(F.substr("l", F.length(term) + 1)).alias("target"))
+
+
+@query("F39", "SELECT p_brand AS word, arg_max(p_type, p_partkey) AS target FROM part WHERE length(p_brand) <= 16 AND p_size > 5 GROUP BY 1")
+def hotword_map(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "part").filter((F.length("p_brand") <= 16) & (F.col("p_size") > 5)).groupBy(F.col("p_brand").alias("word")).agg(F.max_by("p_type", "p_partkey").alias("target"))
+
+
+@query("F40", "SELECT CAST(len(embedding) AS INTEGER) AS dim, count(*) AS n, count(*) FILTER (len(list_filter(embedding, lambda x: NOT isfinite(x))) > 0) AS bad FROM embeddings GROUP BY 1")
+def vector_dim_check(spark, sf_dir) -> DataFrame:
+    bad = F.exists("embedding", lambda x: F.isnan(x) | (F.abs(x) == float("inf")))
+    return table(spark, sf_dir, "embeddings").groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n"), F.count_if(bad).alias("bad"))
+
+
+@query("X11", """WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id < 5), s AS (SELECT query_id, v.vec_id, list_cosine_similarity(CAST(e AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS c FROM q JOIN embeddings v ON v.vec_id <> query_id)
+SELECT query_id, vec_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(c, 9) DESC, vec_id) AS INTEGER) AS rank FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(c, 9) DESC, vec_id) <= 8""")
+def cosine_topk(spark, sf_dir) -> DataFrame:
+    """Five fixed queries (so a bounded broadcast) against all vectors; a vector of norm 0 scores 0."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
+    q = v.filter("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("e").alias("q"))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    norm = F.sqrt(dot("e", "e")) * F.sqrt(dot("q", "q"))
+    scored = v.join(F.broadcast(q), F.col("vec_id") != F.col("query_id")).withColumn("c", F.round(F.when(norm > 0, dot("e", "q") / norm).otherwise(0.0), 9))
+    w = Window.partitionBy("query_id").orderBy(F.desc("c"), "vec_id")
+    return scored.withColumn("rank", F.row_number().over(w)).filter("rank <= 8").select("query_id", "vec_id", "rank")
+
+
+@query("X12", """SELECT d.doc_id, c.item_id FROM documents d JOIN (SELECT item_id, sha256(trim(split_part(text, ' ', 1))) AS h FROM benchmark) c ON sha256(trim(split_part(d.text, ' ', 1))) = c.h QUALIFY row_number() OVER (PARTITION BY d.doc_id ORDER BY c.item_id) <= 3""")
+def cached_context(spark, sf_dir) -> DataFrame:
+    topic = F.sha2(F.trim(F.split_part("text", F.lit(" "), F.lit(1))), 256)
+    cache = table(spark, sf_dir, "benchmark").groupBy(topic.alias("h")).agg(F.slice(F.array_sort(F.collect_list("item_id")), 1, 3).alias("items"))
+    d = table(spark, sf_dir, "documents").select("doc_id", topic.alias("h"))
+    return d.join(cache, "h").select("doc_id", F.explode("items").alias("item_id"))
