@@ -97,7 +97,7 @@ def fit(x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS) -> Model:
                 m[k] = 0.9 * m[k] + 0.1 * g
                 u[k] = 0.999 * u[k] + 0.001 * g * g
                 p[k] -= RATE * (m[k] / (1 - 0.9**t)) / (np.sqrt(u[k] / (1 - 0.999**t)) + 1e-8)
-    return Model(float(p[0][0]), p[1], p[2])
+    return Model(float(p[0][0]), p[1], p[2] if len(x) else 0 * p[2])
 
 
 def is_held_out(key: str = "doc_id") -> Column:
