@@ -7,6 +7,8 @@ so distinct entities stay distinct and mentions of one entity keep one surrogate
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,19 +25,20 @@ _TITLES = {
 PATTERNS = {
     "EMAIL": rf"(?<![\p{{L}}\p{{N}}._%+\-])[\p{{L}}\p{{N}}._%+\-]{{1,64}}@[A-Za-z0-9\-]{{1,63}}(?:\.[A-Za-z0-9\-]{{1,63}}){{0,8}}\.[A-Za-z]{{2,24}}(?!{_WORD})",
     "KEY": rf"(?<!{_WORD})AKIA[0-9A-Z]{{16}}(?!{_WORD})",
-    "SECRET": r"""(?<=(?:password|passwd|secret|token|api_key|apikey|access_key)\s{0,2}[=:]\s{0,2}["']?)[A-Za-z0-9+/_\-]{8,200}""",
+    "SECRET": r"""(?=[A-Za-z0-9+/_\-]{8})(?<![A-Za-z0-9+/_\-])(?<=(?:password|passwd|secret|token|api_key|apikey|access_key)\s{0,2}[=:]\s{0,2}["']?)[A-Za-z0-9+/_\-]{8,200}""",
     "IBAN": rf"(?<!{_WORD})[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{3,7}}(?: ?[A-Z0-9]{{1,3}})?(?!{_WORD})",
     "IP": r"(?<![\w.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?!\.?\w)",
     "SSN": r"(?<![\w\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w\-])",
     "CARD": r"(?<!\w)(?:[0-9]{13,19}|[0-9]{4}(?:[ \-][0-9]{4}){3}|[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{5})(?!\w)",
     "PHONE": r"(?<!\w)(?:\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)|[0-9]{2,4})(?:[ .\-]?[0-9]{2,4}){2,4}|\(?[0-9]{3}\)?[ .\-][0-9]{3}[ .\-][0-9]{4})(?!\w)",
-    **{f"GIVEN_{g}": rf"(?<=(?<!\p{{L}}){t}\.? ){_NAME}(?= \p{{Lu}}\p{{Ll}})" for g, t in _TITLES.items()},
-    "SURNAME": rf"(?<=(?<!\p{{L}})(?:{'|'.join(_TITLES.values())})\.? (?:\p{{Lu}}[\p{{L}}'’\-]{{1,30}} )?){_NAME}",
+    **{f"GIVEN_{g}": rf"(?=\p{{Lu}})(?<=(?<!\p{{L}}){t}\.? ){_NAME}(?= \p{{Lu}}\p{{Ll}})" for g, t in _TITLES.items()},
+    "SURNAME": rf"(?=\p{{Lu}})(?<=(?<!\p{{L}})(?:{'|'.join(_TITLES.values())})\.? (?:\p{{Lu}}[\p{{L}}'’\-]{{1,30}} )?){_NAME}",
     "HAN_NAME": r"\p{IsHan}{2,3}(?=先生|女士|小姐)",
 }
 TYPES = list(PATTERNS)
-#: Texts without any of these have no mention.
-HINT = r"[0-9@]|AKIA|先生|女士|小姐|[=:]|(?:Mr|Mrs|Ms|Miss|Herrn?|Frau|Sr|Sra|Señora?|Monsieur|Madame|Mme|Don|Doña|Dra?|Prof|г-н|г-жа|господин|госпожа)\.? \p{Lu}"
+#: Texts without any of these have no mention; looking for strings is much cheaper than the patterns.
+_WORDS = "Mr Herr Herrn Señor Sr Monsieur Don г-н господин Mrs Ms Miss Frau Señora Sra Madame Mme Doña г-жа госпожа Dr Prof Dra"
+HINTS = [*"0123456789@", "AKIA", "先生", "女士", "小姐", "password", "passwd", "secret", "token", "api_key", "apikey", "access_key", *[w + end for w in _WORDS.split() for end in (" ", ". ")]]
 OPEN, CLOSE, SEP, ESC = "\ue000", "\ue001", "\ue002", "\ue003"  # marks; those in a text are escaped
 #: Names by gender, and syllables of surnames.
 GIVEN = {
@@ -56,7 +59,7 @@ def mark(text: Column) -> Column:
     clean = F.regexp_replace(text, f"([{OPEN}-{ESC}])", f"{ESC}$1{ESC}")
     clean = F.translate(clean, OPEN + CLOSE + SEP, "012")
     found = F.regexp_replace(clean, "|".join(f"({p})" for p in PATTERNS.values()), OPEN + SEP.join(f"${i}" for i in range(1, len(PATTERNS) + 1)) + CLOSE)
-    return F.when(text.rlike(HINT), found)
+    return F.when(reduce(lambda a, b: a | b, [F.contains(text, F.lit(h)) for h in HINTS]), found)
 
 
 def _unmarked(text: Column) -> Column:
@@ -88,10 +91,15 @@ def _luhn(digits: Column) -> Column:
     return F.pmod(F.aggregate(doubled, F.lit(0), lambda a, x: a + x), F.lit(10))
 
 
-def surrogate(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
-    """The keyed surrogate of a canonical form, of its length and kinds of characters; of names, by gender and script."""
+def draw(entities: DataFrame, key: str) -> DataFrame:
+    """``entities`` (kind, canon, attempt) with new, the keyed surrogate of a canonical form: of its length and kinds of characters; of names, by gender and script.
+
+    The keyed stream and the drawn characters are columns of their own, written before they are used: within a
+    lambda they would be computed again for every character.
+    """
+    kind, canon, attempt, stream, drawn = (F.col(c) for c in ("kind", "canon", "attempt", "stream", "drawn"))
     seed = F.concat_ws("|", F.lit(key), kind, canon, attempt.cast("string"))
-    stream = F.concat(*[F.sha2(F.concat(seed, F.lit(f"|{i}")), 256) for i in range(4)])
+    streamed = written(entities.withColumn("stream", F.concat(*[F.sha2(F.concat(seed, F.lit(f"|{i}")), 256) for i in range(4)])))
     value = lambda i: F.conv(F.substr(stream, (F.pmod(2 * i, F.lit(254)) + 1).cast("int"), F.lit(2)), 16, 10).cast("int")
     number = lambda i: F.conv(F.substr(stream, F.lit(8 * i + 1), F.lit(7)), 16, 10).cast("long")
     hexes = (kind == "SECRET") & canon.rlike("^[0-9a-f]+$")
@@ -112,7 +120,7 @@ def surrogate(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
     head = F.when(kind == "IBAN", 2).when(kind == "KEY", 4).when(kind == "CARD", 1).when((kind == "PHONE") & F.startswith(canon, F.lit("+")), 2).otherwise(0)
     tail = F.when(kind == "EMAIL", F.instr(F.reverse(canon), ".")).otherwise(0)
     kept = lambda c, i: F.when((i < head) | (i >= F.length(canon) - tail), c).otherwise(char(c, i))
-    drawn = F.array_join(F.transform(chars, kept), "")
+    with_drawn = written(streamed.withColumn("drawn", F.array_join(F.transform(chars, kept), "")))
     # a card's last digit keeps the card's Luhn sum
     zeroed = F.transform(F.transform(F.sequence(F.lit(1), F.length(drawn)), lambda i: F.substr(drawn, i, F.lit(1))), lambda c, i: F.when(i == F.length(canon) - 1, 0).otherwise(c.cast("int")))
     own = _luhn(F.transform(chars, lambda c: c.cast("int")))
@@ -128,7 +136,7 @@ def surrogate(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
     for g in GIVEN:
         more = F.when(attempt > 0, F.concat(F.lit("-"), F.when(cyrillic, F.initcap(_pick(CYRILLIC_SYLLABLES, number(6)))).otherwise(again))).otherwise("")
         out = out.when(kind == f"GIVEN_{g}", F.concat(F.when(cyrillic, _pick(CYRILLIC[g], number(0))).otherwise(_pick(GIVEN[g], number(0))), more))
-    return out.otherwise(drawn)
+    return with_drawn.withColumn("new", out.otherwise(drawn)).drop("stream", "drawn")
 
 
 def render(kind: Column, mention: Column, new: Column) -> Column:
@@ -149,7 +157,7 @@ def render(kind: Column, mention: Column, new: Column) -> Column:
 
 def assign(entities: DataFrame, key: str) -> DataFrame:
     """kind, canon, new: distinct surrogates for distinct entities. Those that meet another's surrogate or a real entity are drawn again, the smallest of those that meet apart."""
-    drawn = written(entities.withColumn("attempt", F.lit(0)).withColumn("new", surrogate(key, F.col("kind"), F.col("canon"), F.col("attempt"))))
+    drawn = written(draw(entities.withColumn("attempt", F.lit(0)), key))
     while True:
         folded = F.lower("new")
         first = drawn.groupBy("kind", folded.alias("low")).agg(F.min("canon").alias("winner"))
@@ -158,8 +166,8 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
         judged = written(judged.select("kind", "canon", "attempt", "new", ((F.col("canon") != F.col("winner")) | F.col("r_low").isNotNull()).alias("again")))
         if judged.filter("again").isEmpty():
             return judged.select("kind", "canon", "new")
-        attempt = F.col("attempt") + F.col("again").cast("int")
-        drawn = written(judged.select("kind", "canon", attempt.alias("attempt"), F.when(F.col("again"), surrogate(key, F.col("kind"), F.col("canon"), attempt)).otherwise(F.col("new")).alias("new")))
+        more = draw(judged.filter("again").select("kind", "canon", (F.col("attempt") + 1).alias("attempt")), key)
+        drawn = written(judged.filter("NOT again").select("kind", "canon", "attempt", "new").unionByName(more))
 
 
 def replace_entities(docs: DataFrame, key: str, text: str = "text") -> DataFrame:

@@ -23,6 +23,7 @@ FAR = 1 << 62
 
 
 def _matrix(data: bytes, dim: int) -> np.ndarray:
+    """Rows of a block; of vectors without components, a byte each."""
     return np.frombuffer(data, "<i8").reshape(-1, dim) if dim else np.zeros((len(data), 0), "<i8")
 
 
@@ -96,7 +97,7 @@ def exact_top_k(vectors: DataFrame, is_query, k: int = 5, key: str = "vec_id", v
         for b in batches:
             for _, r in b.iterrows():
                 m = _matrix(r["data"], r["dim"])
-                yield pd.DataFrame({"query_id": np.frombuffer(r["ids"], "<i8"), "dim": np.int32(r["dim"]), "data": [x.tobytes() for x in m], "own": np.sqrt((m.astype("float64") ** 2).sum(1))})
+                yield pd.DataFrame({"query_id": np.frombuffer(r["ids"], "<i8"), "dim": np.int32(r["dim"]), "data": [x.tobytes() or b"\0" for x in m], "own": np.sqrt((m.astype("float64") ** 2).sum(1))})
 
     bounds = blocks.groupBy("dim").agg(F.max("norm").alias("norm"))
     queries = near.mapInPandas(unpack, "query_id long, dim int, data binary, own double").groupBy("query_id").agg(F.min(F.struct("data", "dim", "own")).alias("x")).select("query_id", "x.*")
