@@ -114,7 +114,7 @@ def audio_ctx_caps(spark, sf_dir) -> DataFrame:
     return events(spark, sf_dir).select("event_id", ctx.alias("ctx"), F.greatest(F.lit(16), F.least(F.lit(224), F.ceil(10 * v) + 8)).cast("long").alias("cap"))
 
 
-@query("F36 T17", "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x)) / len(embedding)), 6) AS rms, round(list_max(embedding), 6) AS peak FROM embeddings".replace("round(list_max(embedding), 6) AS peak", "CAST(list_max(embedding) AS FLOAT) AS peak"))
+@query("F36 T17", "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x)) / len(embedding)), 6) AS rms, CAST(list_max(embedding) AS FLOAT) AS peak FROM embeddings")
 def frame_rms(spark, sf_dir) -> DataFrame:
     squares = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(F.sqrt(squares / F.size("embedding")), 6).alias("rms"), F.array_max("embedding").cast("float").alias("peak"))
@@ -184,7 +184,7 @@ def hysteresis(spark, sf_dir) -> DataFrame:
     return e.select("event_id", F.last("switch", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("shown"))
 
 
-@query("A21 W08", "SELECT role, CAST(conv_id % 10 AS BIGINT) AS room, count(*) AS n, max(length(text)) AS longest FROM conversations GROUP BY GROUPING SETS ((), (role), (room), (role, room))".replace("CAST(conv_id % 10 AS BIGINT) AS room", "room").replace("FROM conversations", "FROM (SELECT *, conv_id % 10 AS room FROM conversations)"))
+@query("A21 W08", "SELECT role, room, count(*) AS n, max(length(text)) AS longest FROM (SELECT *, conv_id % 10 AS room FROM conversations) GROUP BY GROUPING SETS ((), (role), (room), (role, room))")
 def drift_summary(spark, sf_dir) -> DataFrame:
     c = table(spark, sf_dir, "conversations").withColumn("room", F.col("conv_id") % 10)
     return c.cube("role", "room").agg(F.count("*").alias("n"), F.max(F.length("text")).cast("long").alias("longest"))

@@ -25,7 +25,7 @@ def exact_dedup_keep_best(spark, sf_dir) -> DataFrame:
     return d.groupBy("lang", F.sha2(X.loose_key(F.col("text")), 256).alias("h")).agg(best).select("b.doc_id", "b.source")
 
 
-@query("A14", f"SELECT doc_id, n FROM (SELECT doc_id, {NORM}[:200] AS key, coalesce(quality, -1) AS q FROM documents LEFT JOIN labels USING (doc_id)) QUALIFY row_number() OVER (PARTITION BY key ORDER BY q DESC, doc_id) = 1".replace("SELECT doc_id, n FROM", "SELECT doc_id, count(*) OVER (PARTITION BY key) AS n FROM"))
+@query("A14", r"SELECT doc_id, count(*) OVER (PARTITION BY key) AS n FROM (SELECT doc_id, regexp_replace(lower(text), '[^a-z0-9\x{c0}-\x{24f}]', '', 'g')[:200] AS key, coalesce(quality, -1) AS q FROM documents LEFT JOIN labels USING (doc_id)) QUALIFY row_number() OVER (PARTITION BY key ORDER BY q DESC, doc_id) = 1")
 def near_dedup_keep_best(spark, sf_dir) -> DataFrame:
     """The same under a coarser key: the beginning of the normal form."""
     d = docs(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id", "left")

@@ -133,7 +133,7 @@ def regression_diff(spark, sf_dir) -> DataFrame:
     return m.select("event_type", "user_id", verdict.alias("verdict"))
 
 
-@query("A28", "SELECT t.name, t.actual, CAST(e.expected AS BIGINT) AS expected, t.actual = e.expected AS ok FROM (SELECT 'nation' AS name, count(*) AS actual FROM nation UNION ALL SELECT 'region', count(*) FROM region) t FULL JOIN (VALUES ('nation', 25), ('region', 6)) e(name, expected) USING (name)".replace("SELECT t.name,", "SELECT name,"))
+@query("A28", "SELECT name, t.actual, CAST(e.expected AS BIGINT) AS expected, t.actual = e.expected AS ok FROM (SELECT 'nation' AS name, count(*) AS actual FROM nation UNION ALL SELECT 'region', count(*) FROM region) t FULL JOIN (VALUES ('nation', 25), ('region', 6)) e(name, expected) USING (name)")
 def row_count_reconciliation(spark, sf_dir) -> DataFrame:
     actual = reduce(DataFrame.union, [table(spark, sf_dir, t).agg(F.lit(t).alias("name"), F.count("*").alias("actual")) for t in ("nation", "region")])
     expected = spark.createDataFrame([("nation", 25), ("region", 6)], "name string, expected long")

@@ -63,7 +63,7 @@ def status_mapping(spark, sf_dir) -> DataFrame:
     return events(spark, sf_dir).select("event_id", F.coalesce(F.element_at(names, F.col("event_type")), F.lit("other")).alias("status"))
 
 
-@query("M03", "SELECT * FROM (SELECT user_id, event_id, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before_value, value AS after_value, event_type FROM events) WHERE event_type = 'purchase' AND before_value <> after_value".replace("SELECT * FROM (", "SELECT user_id, event_id, before_value, after_value FROM (", 1))
+@query("M03", "SELECT user_id, event_id, before_value, after_value FROM (SELECT user_id, event_id, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before_value, value AS after_value, event_type FROM events) WHERE event_type = 'purchase' AND before_value <> after_value")
 def correction_before_after(spark, sf_dir) -> DataFrame:
     e = events(spark, sf_dir).withColumn("before_value", F.lag("value").over(ordered()))
     return e.filter("event_type = 'purchase' AND before_value <> value").select("user_id", "event_id", "before_value", F.col("value").alias("after_value"))
@@ -115,7 +115,7 @@ def purge_antijoin(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "lineitem").join(gone, "l_orderkey", "left_anti").select("l_orderkey", "l_linenumber")
 
 
-@query("M16", "SELECT doc_id, CASE WHEN t.doc_id IS NULL THEN md5(d.text) END AS text_md5, t.doc_id IS NOT NULL AS tombstone FROM documents d LEFT JOIN (SELECT doc_id FROM labels WHERE toxic = 1) t USING (doc_id)".replace("t.doc_id IS NULL THEN", "t.doc_id IS NULL THEN").replace("SELECT doc_id,", "SELECT d.doc_id,"))
+@query("M16", "SELECT d.doc_id, CASE WHEN t.doc_id IS NULL THEN md5(d.text) END AS text_md5, t.doc_id IS NOT NULL AS tombstone FROM documents d LEFT JOIN (SELECT doc_id FROM labels WHERE toxic = 1) t USING (doc_id)")
 def erasure_antijoin(spark, sf_dir) -> DataFrame:
     toxic = table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id", F.lit(True).alias("gone"))
     d = table(spark, sf_dir, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("h")).join(toxic, "doc_id", "left")
@@ -169,8 +169,8 @@ def monotone_cursor(spark, sf_dir) -> DataFrame:
     return events(spark, sf_dir).select("event_id", "user_id", F.row_number().over(ordered()).cast("long").alias("cursor"))
 
 
-@query("T03", """WITH c AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS cursor FROM events), kept AS (SELECT * FROM c WHERE event_type <> 'signup'), r AS (SELECT user_id, user_id % 50 AS after FROM events GROUP BY ALL)
-SELECT r.user_id, after, count(cursor) FILTER (cursor > after) AS pending, coalesce(min(cursor) FILTER (cursor > after) > after + 1, false) OR after > max(cursor) AS gap FROM r JOIN kept USING (user_id) GROUP BY 1, 2""".replace("GROUP BY ALL", "GROUP BY user_id"))
+@query("T03", """WITH c AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS cursor FROM events), kept AS (SELECT * FROM c WHERE event_type <> 'signup'), r AS (SELECT user_id, user_id % 50 AS after FROM events GROUP BY user_id)
+SELECT r.user_id, after, count(cursor) FILTER (cursor > after) AS pending, coalesce(min(cursor) FILTER (cursor > after) > after + 1, false) OR after > max(cursor) AS gap FROM r JOIN kept USING (user_id) GROUP BY 1, 2""")
 def resume_with_gap(spark, sf_dir) -> DataFrame:
     """What a reader at a cursor still gets, and whether it must take the full state since events are missing."""
     log = events(spark, sf_dir).withColumn("cursor", F.row_number().over(ordered())).filter("event_type <> 'signup'").withColumn("after", F.col("user_id") % 50)
@@ -199,7 +199,7 @@ def materialised_view(spark, sf_dir) -> DataFrame:
     return rows.filter("NOT dead").drop("dead")
 
 
-@query("T06", "SELECT user_id, count(*) AS released FROM (SELECT DISTINCT user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) QUALIFY false".replace(" QUALIFY false", "").replace("SELECT user_id, count(*) AS released FROM (SELECT DISTINCT user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)", "WITH d AS (SELECT DISTINCT user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events), n AS (SELECT *, k - row_number() OVER (PARTITION BY user_id ORDER BY k) AS lag FROM d) SELECT user_id, count(*) FILTER (lag = first_lag) AS released, count(*) FILTER (lag <> first_lag) AS held FROM (SELECT *, min(lag) OVER (PARTITION BY user_id) AS first_lag FROM n) GROUP BY 1"))
+@query("T06", "WITH d AS (SELECT DISTINCT user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events), n AS (SELECT *, k - row_number() OVER (PARTITION BY user_id ORDER BY k) AS lag FROM d) SELECT user_id, count(*) FILTER (lag = first_lag) AS released, count(*) FILTER (lag <> first_lag) AS held FROM (SELECT *, min(lag) OVER (PARTITION BY user_id) AS first_lag FROM n) GROUP BY 1")
 def in_order_release(spark, sf_dir) -> DataFrame:
     """The contiguous prefix of each session's numbers is released, the rest is held."""
     d = events(spark, sf_dir).filter("k IS NOT NULL").select("user_id", "k").distinct()

@@ -64,7 +64,7 @@ def series_first_last_peak(spark, sf_dir) -> DataFrame:
     )
 
 
-@query("A21", "SELECT event_type, CAST(user_id % 10 AS BIGINT) AS room, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents, CAST(grouping(event_type) * 2 + grouping(room) AS BIGINT) AS level FROM (SELECT *, user_id % 10 AS room FROM events) GROUP BY GROUPING SETS ((), (event_type), (room), (event_type, room))".replace("CAST(user_id % 10 AS BIGINT) AS room", "room"))
+@query("A21", "SELECT event_type, room, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents, CAST(grouping(event_type) * 2 + grouping(room) AS BIGINT) AS level FROM (SELECT *, user_id % 10 AS room FROM events) GROUP BY GROUPING SETS ((), (event_type), (room), (event_type, room))")
 def grouping_sets_summary(spark, sf_dir) -> DataFrame:
     e = events(spark, sf_dir).withColumn("room", F.col("user_id") % 10)
     return e.cube("event_type", "room").agg(F.count("*").alias("n"), F.sum("cents").alias("cents"), F.grouping_id().alias("level"))
@@ -78,7 +78,7 @@ def inventory_counts(spark, sf_dir) -> DataFrame:
     return parts[0].union(parts[1]).union(parts[2])
 
 
-@query("A02", "SELECT user_id, arg_max(event_type, {'n': n, 'neg': -ascii(event_type), 't': event_type}) AS mode, max(n) AS n FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2) GROUP BY 1".replace("arg_max(event_type, {'n': n, 'neg': -ascii(event_type), 't': event_type})", "first(event_type ORDER BY n DESC, event_type)"))
+@query("A02", "SELECT user_id, first(event_type ORDER BY n DESC, event_type) AS mode, max(n) AS n FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2) GROUP BY 1")
 def mode_by_group(spark, sf_dir) -> DataFrame:
     counts = events(spark, sf_dir).groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
     return counts.groupBy("user_id").agg(F.min_by("event_type", F.struct(-F.col("n"), "event_type")).alias("mode"), F.max("n").alias("n"))
@@ -192,7 +192,7 @@ def metrics_export(spark, sf_dir) -> DataFrame:
     return e.orderBy("ts", "event_id").limit(100_000).select("event_id", F.col("ts").alias("at"), "value")
 
 
-@query("P18", "SELECT event_id, struct_pack(p50 := value, n := k) AS latency FROM (SELECT event_id, value, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)".replace("struct_pack(p50 := value, n := k) AS latency", "value AS latency_p50, k AS latency_n"))
+@query("P18", "SELECT event_id, value AS latency_p50, k AS latency_n FROM (SELECT event_id, value, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)")
 def nested_pruning(spark, sf_dir) -> DataFrame:
     e = events(spark, sf_dir).select("event_id", F.struct(F.struct(F.col("value").alias("p50"), F.col("cents").alias("hidden")).alias("A2"), F.col("k").alias("n")).alias("latency"))
     return e.select("event_id", F.col("latency.A2.p50").alias("latency_p50"), F.col("latency.n").alias("latency_n"))

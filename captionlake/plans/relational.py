@@ -237,7 +237,7 @@ def cap_eviction(spark, sf_dir) -> DataFrame:
     return latest_per_key(events(spark, sf_dir), ["user_id"], [F.desc("ts"), F.desc("event_id")], 32).select("event_id", "user_id")
 
 
-@query("W07", "SELECT conv_id, turn, coalesce(string_agg(role, ',' ORDER BY turn) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), '') AS context FROM conversations".replace("string_agg(role, ',' ORDER BY turn) OVER", "string_agg(role, ',') OVER"))
+@query("W07", "SELECT conv_id, turn, coalesce(string_agg(role, ',') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), '') AS context FROM conversations")
 def preceding_k_context(spark, sf_dir) -> DataFrame:
     w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-4, -1)
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(F.collect_list("role").over(w), ",").alias("context"))

@@ -89,10 +89,10 @@ def subgram_suppression(spark, sf_dir) -> DataFrame:
     return m.join(parts.select("n", F.col("sub").alias("gram")), ["gram", "n"], "left_anti")
 
 
-@query("F32 F33 X09", """WITH k AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))[:64]) AS key FROM benchmark),
+@query("F32 F33 X09", """WITH k AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS key FROM benchmark),
 q AS (SELECT conv_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))) AS key FROM conversations WHERE turn = 0),
 h AS (SELECT conv_id, item_id, count(*) AS n FROM (SELECT DISTINCT conv_id, key FROM q WHERE length(key) >= 6) JOIN (SELECT DISTINCT item_id, key FROM k) USING (key) GROUP BY 1, 2)
-SELECT conv_id, item_id, n FROM h QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY n DESC, item_id) <= 12""".replace("list_distinct(regexp_extract_all(lower(text), '[a-z]+'))[:64]", "regexp_extract_all(lower(text), '[a-z]+')"))
+SELECT conv_id, item_id, n FROM h QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY n DESC, item_id) <= 12""")
 def dictionary_references(spark, sf_dir) -> DataFrame:
     keys = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z]+"), F.lit(0)))
     k = table(spark, sf_dir, "benchmark").select("item_id", F.explode(keys("text")).alias("key"))
