@@ -52,3 +52,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def vocabulary_path(file: str) -> str:
+    """A vocabulary file by its path, or by its name among the public tokenizers."""
+    if "/" in file:
+        return file
+    import public_tokenizers
+
+    return public_tokenizers.path(file)

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import vocabulary_path, written
 
 #: Open bins of a packing task, and pieces that one task packs (about).
 OPEN_BINS, TASK_PIECES = 512, 200_000
@@ -31,7 +31,7 @@ def _encoder(vocabulary: str):
         import public_tokenizers
         import tiktoken
 
-        with open(public_tokenizers.path(vocabulary), "rb") as f:
+        with open(vocabulary_path(vocabulary), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         _encoders[vocabulary] = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
     return _encoders[vocabulary]
@@ -100,7 +100,8 @@ def pack_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", lim
     Returns a row for each piece: key, piece, start, length, ids_crc32, sequence_id and offset. Full pieces are
     sequences of their own (ids below 0); the others are dealt evenly to packing tasks by their row, so that
     neither a hot key nor a group of copies meets in one task. Bins that a task leaves open are closed as they
-    are: at most ``open_bins`` for each ``task_pieces`` pieces.
+    are: at most ``open_bins`` for each ``task_pieces`` pieces. ``vocabulary`` is a file of byte-pair ranks, by
+    path or by name among the public tokenizers; every task reads it on its own machine.
 
     Null and empty texts are the end id alone. Null keys and repeated rows are kept as they are. A text of any
     length is tokenized whole. An empty table gives an empty result. Other columns are not read.

@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import vocabulary_path
+
 MARK = "▁"  # stands for a space
 NORMAL, BYTE = 1, 6
 UNKNOWN_PENALTY = 10.0
@@ -246,11 +248,9 @@ _models: dict[str, Unigram] = {}
 
 
 def model(name: str = "piece_bpe_32k.model") -> Unigram:
-    """The model of a public vocabulary file; one for each process."""
+    """The model of a vocabulary file, by path or by name among the public tokenizers; one for each process."""
     if name not in _models:
-        import public_tokenizers
-
-        _models[name] = Unigram(zipf_scores(read_pieces(public_tokenizers.path(name))))
+        _models[name] = Unigram(zipf_scores(read_pieces(vocabulary_path(name))))
     return _models[name]
 
 
