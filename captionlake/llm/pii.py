@@ -52,6 +52,8 @@ CYRILLIC_SYLLABLES = "бар ден вол гор зин кел лам мер н
 HAN = "安白陈程邓方高何胡江李林刘马宁潘钱沈唐王吴徐叶张赵周"
 _CYR = "абвгдежзиклмнопрстуфхцчшэюя"
 ALPHABET = "abcdefghijklmnopqrstuvwxyz"
+#: The attempts from which surrogates are longer than the entity, and addresses of version 6.
+SAME_LENGTH, IPV6 = 3, 8
 
 
 def mark(text: Column) -> Column:
@@ -91,9 +93,18 @@ def _luhn(digits: Column) -> Column:
     return F.pmod(F.aggregate(doubled, F.lit(0), lambda a, x: a + x), F.lit(10))
 
 
+def _head(kind: Column, form: Column, plus: int) -> Column:
+    """How many leading characters stay: country, network or vendor. ``plus``: how many of them a phone number with "+" has."""
+    return F.when(kind == "IBAN", 2).when(kind == "KEY", 4).when(kind == "CARD", 1).when((kind == "PHONE") & F.startswith(form, F.lit("+")), plus).otherwise(0)
+
+
 def draw(entities: DataFrame, key: str) -> DataFrame:
     """``entities`` (kind, canon, attempt) with new, the keyed surrogate of a canonical form: of its length and kinds of characters; of names, by gender and script.
 
+    The space of surrogates grows with the attempt, so that any number of entities finds distinct ones: names get a
+    syllable more in each attempt, other forms a character more from attempt SAME_LENGTH on, after their head. Addresses
+    keep their numbers of digits in attempts 0 and 1, then are any address, and from attempt IPV6 on of version 6.
+
     The keyed stream and the drawn characters are columns of their own, written before they are used: within a
     lambda they would be computed again for every character.
     """
@@ -101,7 +112,7 @@ def draw(entities: DataFrame, key: str) -> DataFrame:
     seed = F.concat_ws("|", F.lit(key), kind, canon, attempt.cast("string"))
     streamed = written(entities.withColumn("stream", F.concat(*[F.sha2(F.concat(seed, F.lit(f"|{i}")), 256) for i in range(4)])))
     value = lambda i: F.conv(F.substr(stream, (F.pmod(2 * i, F.lit(254)) + 1).cast("int"), F.lit(2)), 16, 10).cast("int")
-    number = lambda i: F.conv(F.substr(stream, F.lit(8 * i + 1), F.lit(7)), 16, 10).cast("long")
+    number = lambda i: F.conv(F.substr(stream, (F.pmod(F.lit(8) * i, F.lit(248)) + 1).cast("int"), F.lit(7)), 16, 10).cast("long")
     hexes = (kind == "SECRET") & canon.rlike("^[0-9a-f]+$")
 
     def char(c: Column, i: Column) -> Column:
@@ -112,47 +123,53 @@ def draw(entities: DataFrame, key: str) -> DataFrame:
         return (
             F.when(c.rlike("[0-9]"), F.pmod(v, F.lit(10)).cast("string")).when(c.rlike("[a-z]"), small).when(c.rlike("[A-Z]"), F.upper(small))
             .when(c.rlike(r"\p{IsHan}"), han).when(c.rlike(r"\p{IsCyrillic}"), F.when(c.rlike(r"\p{Lu}"), F.upper(cyr)).otherwise(cyr))
-            .when(c.rlike(r"\p{Lu}"), F.upper(small)).when(c.rlike(r"\p{L}"), small).otherwise(c)
+            .when(c.rlike(r"\p{Lu}"), F.upper(small)).when(c.rlike(r"\p{L}"), small).when((kind == "SECRET") & (attempt > 0), small).otherwise(c)
         )
 
-    chars = F.transform(F.sequence(F.lit(1), F.greatest(F.length(canon), F.lit(1))), lambda i: F.substr(canon, i, F.lit(1)))
-    # leading characters that stay: country, network or vendor; trailing ones: a mail's top-level domain
-    head = F.when(kind == "IBAN", 2).when(kind == "KEY", 4).when(kind == "CARD", 1).when((kind == "PHONE") & F.startswith(canon, F.lit("+")), 2).otherwise(0)
-    tail = F.when(kind == "EMAIL", F.instr(F.reverse(canon), ".")).otherwise(0)
-    kept = lambda c, i: F.when((i < head) | (i >= F.length(canon) - tail), c).otherwise(char(c, i))
+    each = lambda x: F.transform(F.sequence(F.lit(1), F.greatest(F.length(x), F.lit(1))), lambda i: F.substr(x, i, F.lit(1)))
+    # trailing characters that stay: a mail's top-level domain
+    head, tail = _head(kind, canon, 2), F.when(kind == "EMAIL", F.instr(F.reverse(canon), ".")).otherwise(0)
+    filler = F.when(kind.isin("IBAN", "CARD", "PHONE", "SSN"), "0").when(kind == "KEY", "A").when(kind == "HAN_NAME", HAN[0]).otherwise("a")
+    form = F.concat(F.substr(canon, F.lit(1), head), F.repeat(filler, F.greatest(attempt - SAME_LENGTH + 1, F.lit(0))), F.substr(canon, head + 1))
+    chars = each(form)
+    kept = lambda c, i: F.when((i < head) | (i >= F.length(form) - tail), c).otherwise(char(c, i))
     with_drawn = written(streamed.withColumn("drawn", F.array_join(F.transform(chars, kept), "")))
     # a card's last digit keeps the card's Luhn sum
-    zeroed = F.transform(F.transform(F.sequence(F.lit(1), F.length(drawn)), lambda i: F.substr(drawn, i, F.lit(1))), lambda c, i: F.when(i == F.length(canon) - 1, 0).otherwise(c.cast("int")))
-    own = _luhn(F.transform(chars, lambda c: c.cast("int")))
+    zeroed = F.transform(F.transform(F.sequence(F.lit(1), F.length(drawn)), lambda i: F.substr(drawn, i, F.lit(1))), lambda c, i: F.when(i == F.length(form) - 1, 0).otherwise(c.cast("int")))
+    own = _luhn(F.transform(each(canon), lambda c: c.cast("int")))
     card = F.concat(F.substr(drawn, F.lit(1), F.length(drawn) - 1), F.pmod(own - _luhn(zeroed), F.lit(10)).cast("string"))
-    # parts of an address keep their number of digits
+    # parts of an address keep their number of digits at first
     octet = lambda x, i: F.when(F.length(x) == 1, 1 + F.pmod(value(i), F.lit(9))).when(F.length(x) == 2, 10 + F.pmod(value(i), F.lit(90))).otherwise(100 + F.pmod(value(i), F.lit(156))).cast("string")
-    ip = F.array_join(F.transform(F.split(canon, r"\."), octet), ".")
+    wide = lambda x, i: F.when(attempt < 2, octet(x, i)).otherwise(value(i).cast("string"))
+    v6 = F.concat_ws(":", F.lit("2001:db8"), *[F.substr(stream, F.lit(4 * i + 1), F.lit(4)) for i in range(6)])
+    ip = F.when(attempt < IPV6, F.array_join(F.transform(F.split(canon, r"\."), wide), ".")).otherwise(v6)
     cyrillic = canon.rlike(r"\p{IsCyrillic}")
-    again = F.when(attempt > 0, F.initcap(_pick(SYLLABLES, number(6)))).otherwise("")
-    latin = F.concat(F.initcap(F.concat(*[_pick(SYLLABLES, number(i)) for i in range(3)], F.when(attempt > 0, _pick(SYLLABLES, number(5))).otherwise(""))))
-    cyr = F.initcap(F.concat(*[_pick(CYRILLIC_SYLLABLES, number(i)) for i in range(3)], F.when(attempt > 0, _pick(CYRILLIC_SYLLABLES, number(5))).otherwise("")))
+    grown = lambda syllables, first: F.when(attempt > 0, F.array_join(F.transform(F.sequence(F.lit(0), attempt - 1), lambda i: _pick(syllables, number(i + first))), "")).otherwise("")
+    latin, cyr = (F.initcap(F.concat(*[_pick(s, number(i)) for i in range(3)], grown(s, 5))) for s in (SYLLABLES, CYRILLIC_SYLLABLES))
+    more = F.when(attempt > 0, F.concat(F.lit("-"), F.initcap(F.when(cyrillic, grown(CYRILLIC_SYLLABLES, 6)).otherwise(grown(SYLLABLES, 6))))).otherwise("")
     out = F.when(kind == "CARD", card).when(kind == "IP", ip).when(kind == "SURNAME", F.when(cyrillic, cyr).otherwise(latin))
     for g in GIVEN:
-        more = F.when(attempt > 0, F.concat(F.lit("-"), F.when(cyrillic, F.initcap(_pick(CYRILLIC_SYLLABLES, number(6)))).otherwise(again))).otherwise("")
         out = out.when(kind == f"GIVEN_{g}", F.concat(F.when(cyrillic, _pick(CYRILLIC[g], number(0))).otherwise(_pick(GIVEN[g], number(0))), more))
     return with_drawn.withColumn("new", out.otherwise(drawn)).drop("stream", "drawn")
 
 
 def render(kind: Column, mention: Column, new: Column) -> Column:
-    """The surrogate in the format of a mention: its separators and capitals."""
-    letters = F.regexp_replace(new, r"[^\p{L}\p{N}]", "")
+    """The surrogate in the format of a mention: its separators and capitals; characters that it has more stand after the head."""
+    bare = lambda x: F.regexp_replace(x, r"[^\p{L}\p{N}]", "")
+    letters = bare(new)
+    extra, head = F.greatest(F.length(letters) - F.length(bare(mention)), F.lit(0)), _head(kind, mention, 1)
     chars = F.transform(F.sequence(F.lit(1), F.length(mention)), lambda i: F.substr(mention, i, F.lit(1)))
     zero = F.struct(F.lit("").alias("out"), F.lit(0).alias("i"))
 
     def step(acc: Column, c: Column) -> Column:
         takes = c.rlike(r"[\p{L}\p{N}]")
-        x = F.substr(letters, acc["i"] + 1, F.lit(1))
-        return F.struct(F.concat(acc["out"], F.when(takes, F.when(c.rlike(r"\p{Lu}"), F.upper(x)).otherwise(x)).otherwise(c)).alias("out"), (acc["i"] + F.when(takes, 1).otherwise(0)).alias("i"))
+        n = F.when(acc["i"] == head, extra + 1).otherwise(1)
+        x = F.substr(letters, acc["i"] + 1, n)
+        return F.struct(F.concat(acc["out"], F.when(takes, F.when(c.rlike(r"\p{Lu}"), F.concat(F.upper(F.substr(x, F.lit(1), F.lit(1))), F.substr(x, F.lit(2)))).otherwise(x)).otherwise(c)).alias("out"), (acc["i"] + F.when(takes, n).otherwise(0)).alias("i"))
 
     named = kind.startswith("GIVEN") | (kind == "SURNAME")
     shouted = named & (F.upper(mention) == mention) & (F.length(mention) > 1)
-    return F.when(shouted, F.upper(new)).when(named, new).otherwise(F.aggregate(chars, zero, step)["out"])
+    return F.when(shouted, F.upper(new)).when(named | kind.isin("IP", "KEY", "SECRET", "HAN_NAME"), new).otherwise(F.aggregate(chars, zero, step)["out"])
 
 
 def assign(entities: DataFrame, key: str) -> DataFrame:

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 from fractions import Fraction
 
 import pytest
+from pyspark.sql import functions as F
 
 from captionlake.llm import fm, packing, pii, unigram
 from captionlake.llm.hyperminhash import keep_one, near_duplicates
@@ -235,6 +236,25 @@ def test_colliding_surrogates_are_drawn_again(spark):
     assert len({(r.kind, r.new.lower()) for r in got}) == len(got) == 500
 
 
+def test_more_entities_than_short_forms_get_distinct_surrogates(spark):
+    kinds = {"GIVEN_N": [f"name{i}" for i in range(800)] + [f"имя{i}" for i in range(200)], "HAN_NAME": [a + b for a in pii.HAN for b in pii.HAN] + [pii.HAN[:2], "龍龍"]}
+    kinds |= {"IP": [f"{i // 1000}.{i // 100 % 10}.{i // 10 % 10}.{i % 10}" for i in range(7000)], "SECRET": ["--------", "_____/__", "++++++++"], "EMAIL": [f"{c}@{d}.de" for c in pii.ALPHABET for d in pii.ALPHABET]}
+    entities = spark.createDataFrame([(k, c) for k, v in kinds.items() for c in dict.fromkeys(v)], "kind string, canon string")
+    got = pii.assign(entities, "k").collect()
+    assert len(got) == entities.count() == len({(r.kind, r.new.lower()) for r in got})
+    assert not {(r.kind, r.new.lower()) for r in got} & {(r.kind, r.canon) for r in got}
+    cyrillic = [r.new for r in got if r.kind == "GIVEN_N" and r.canon[0] == "и"]
+    assert all(re.fullmatch("[А-Яа-я]+(-[А-Я][а-я]+)?", n) for n in cyrillic) and all(r.new.endswith(".de") for r in got if r.kind == "EMAIL")
+
+
+def test_longer_surrogates_keep_the_format_of_mentions(spark):
+    rows = [("PHONE", "+1 (017) 555-7713", "+10175557713"), ("PHONE", "017-555-7713", "0175557713"), ("CARD", "4111 1111 1111 1111", "4111111111111111"), ("EMAIL", "Bob.S@X.com", "bob.s@x.com"), ("SSN", "123-45-6789", "123456789"), ("IBAN", "DE12 3456 7890 1234", "DE12345678901234"), ("IP", "1.2.3.4", "1.2.3.4")]
+    entities = spark.createDataFrame([(*r, 5) for r in rows], "kind string, mention string, canon string, attempt int")
+    got = {r.mention: r.x for r in pii.draw(entities, "k").withColumn("x", pii.render(*map(F.col, ("kind", "mention", "new")))).collect()}
+    forms = [r"\+1 \(\d{6}\) \d{3}-\d{4}", r"\d{6}-\d{3}-\d{4}", r"4\d{6} \d{4} \d{4} \d{4}", r"[A-Z][a-z]{5}\.[A-Z]@[A-Z]\.com", r"\d{6}-\d\d-\d{4}", r"DE\d{5} \d{4} \d{4} \d{4}", r"\d+\.\d+\.\d+\.\d+"]
+    assert all(re.fullmatch(f, got[m]) for f, (_, m, _) in zip(forms, rows, strict=True)), got
+
+
 @pytest.mark.parametrize("fn", [
     remove_repeats, near_duplicates, keep_one, shard_records, quality_rules, packing.pack_documents, unigram.encode_documents, lambda d: pii.replace_entities(d, "k"), lambda d: fm.score_documents(d, fm.fit(fm.np.zeros((0, fm.N_FEATURES), "float32"), fm.np.zeros(0))),
 ])
