@@ -21,11 +21,12 @@ _TITLES = {
     "F": r"(?:Mrs|Ms|Miss|Frau|Señora|Sra|Madame|Mme|Doña|г-жа|госпожа)",
     "N": r"(?:Dr|Prof|Dra)",
 }
+_KEYWORDS = ["password", "passwd", "secret", "token", "api_key", "apikey", "access_key"]
 #: Type -> pattern, in order of precedence where several match at one place. Groups in patterns don't capture.
 PATTERNS = {
     "EMAIL": rf"(?<![\p{{L}}\p{{N}}._%+\-])[\p{{L}}\p{{N}}._%+\-]{{1,64}}@[A-Za-z0-9\-]{{1,63}}(?:\.[A-Za-z0-9\-]{{1,63}}){{0,8}}\.[A-Za-z]{{2,24}}(?!{_WORD})",
     "KEY": rf"(?<!{_WORD})AKIA[0-9A-Z]{{16}}(?!{_WORD})",
-    "SECRET": r"""(?=[A-Za-z0-9+/_\-]{8})(?<![A-Za-z0-9+/_\-])(?<=(?:password|passwd|secret|token|api_key|apikey|access_key)\s{0,2}[=:]\s{0,2}["']?)[A-Za-z0-9+/_\-]{8,200}""",
+    "SECRET": rf"""(?<=[=:\s"'])(?<![A-Za-z0-9+/_\-])(?=(?:\.*+[A-Za-z0-9+/_=\-]){{8}})(?<=(?i:{'|'.join(_KEYWORDS)})["']?\s{{0,2}}[=:]\s{{0,2}}["']?)(?:\.*+[A-Za-z0-9+/_=\-]++)++""",
     "IBAN": rf"(?<!{_WORD})[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{3,7}}(?: ?[A-Z0-9]{{1,3}})?(?!{_WORD})",
     "IP": r"(?<![\w.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?!\.?\w)",
     "SSN": r"(?<![\w\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w\-])",
@@ -36,9 +37,9 @@ PATTERNS = {
     "HAN_NAME": r"\p{IsHan}{2,3}(?=先生|女士|小姐)",
 }
 TYPES = list(PATTERNS)
-#: Texts without any of these have no mention; looking for strings is much cheaper than the patterns.
+#: Texts without any of these and of the keywords in any case have no mention; looking for strings is much cheaper than the patterns.
 _WORDS = "Mr Herr Herrn Señor Sr Monsieur Don г-н господин Mrs Ms Miss Frau Señora Sra Madame Mme Doña г-жа госпожа Dr Prof Dra"
-HINTS = [*"0123456789@", "AKIA", "先生", "女士", "小姐", "password", "passwd", "secret", "token", "api_key", "apikey", "access_key", *[w + end for w in _WORDS.split() for end in (" ", ". ")]]
+HINTS = [*"0123456789@", "AKIA", "先生", "女士", "小姐", *[w + end for w in _WORDS.split() for end in (" ", ". ")]]
 OPEN, CLOSE, SEP, ESC = "\ue000", "\ue001", "\ue002", "\ue003"  # marks; those in a text are escaped
 #: Names by gender, and syllables of surnames.
 GIVEN = {
@@ -61,7 +62,7 @@ def mark(text: Column) -> Column:
     clean = F.regexp_replace(text, f"([{OPEN}-{ESC}])", f"{ESC}$1{ESC}")
     clean = F.translate(clean, OPEN + CLOSE + SEP, "012")
     found = F.regexp_replace(clean, "|".join(f"({p})" for p in PATTERNS.values()), OPEN + SEP.join(f"${i}" for i in range(1, len(PATTERNS) + 1)) + CLOSE)
-    return F.when(reduce(lambda a, b: a | b, [F.contains(text, F.lit(h)) for h in HINTS]), found)
+    return F.when(reduce(lambda a, b: a | b, [*[F.contains(text, F.lit(h)) for h in HINTS], text.rlike(f"(?i:{'|'.join(_KEYWORDS)})")]), found)
 
 
 def _unmarked(text: Column) -> Column:

@@ -255,6 +255,17 @@ def test_longer_surrogates_keep_the_format_of_mentions(spark):
     assert all(re.fullmatch(f, got[m]) for f, (_, m, _) in zip(forms, rows, strict=True)), got
 
 
+def test_secrets_are_replaced_whole(spark):
+    long, jwt = "aB3/" * 75 + "xy==", "eyJhbGciOi.eyJzdWIiOi.SflKxwRJSM"
+    rows = [f'token = "{long}" end', f"token: {jwt}. Then", "API_KEY=abcdwxyz tail", "Password: Hunter-two now", "AWS_SECRET_ACCESS_KEY=abcd/wxyz+abcd", '{"api_key": "abcdwxyz", "n": "abcdwxyz"}', "token = short.1", "a token of gratitude", "SECRET='..abcdwxyz..'", "password=" + "-" * 8]
+    got = [r.text for r in pii.replace_entities(spark.createDataFrame(list(enumerate(rows)), "doc_id int, text string"), "k").orderBy("doc_id").collect()]
+    forms = [r'token = "([A-Za-z0-9/]{302}==)" end', r"token: (\w{10}\.\w{10}\.\w{10})\. Then", "API_KEY=([a-z]{8}) tail", "Password: ([A-Z][a-z]{5}-[a-z]{3}) now", r"AWS_SECRET_ACCESS_KEY=([a-z]{4}/[a-z]{4}\+[a-z]{4})", r'\{"api_key": "([a-z]{8})", "n": "abcdwxyz"\}', r"token = short\.1", "a token of gratitude", r"SECRET='(\.\.[a-z]{8})\.\.'", "password=([a-z]{8})"]
+    for old, new, form in zip(rows, got, forms, strict=True):
+        m = re.fullmatch(form, new)
+        assert m and (not m.groups() or m[1] not in old and new != old), new
+    assert not any(long[i : i + 8] in got[0] for i in range(len(long) - 7))
+
+
 @pytest.mark.parametrize("fn", [
     remove_repeats, near_duplicates, keep_one, shard_records, quality_rules, packing.pack_documents, unigram.encode_documents, lambda d: pii.replace_entities(d, "k"), lambda d: fm.score_documents(d, fm.fit(fm.np.zeros((0, fm.N_FEATURES), "float32"), fm.np.zeros(0))),
 ])
