@@ -92,3 +92,23 @@ def test_gate_over_several_batches(spark, tmp_path):
     stream = spark.readStream.schema("event_id long, k long, event_type string, user_id long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "e"))
     got = run_now(gated(stream)).orderBy("cursor").collect()
     assert [(r.event_id, r.version, r.cursor) for r in got] == [(1, 3, 1), (4, 4, 2)]
+
+
+def test_documents_with_one_opening_stay_apart(spark, tmp_path):
+    opening = "the same licence header " * 20
+    rows = [(1, opening + "one"), (2, opening + "two"), (3, opening.upper() + "One!"), (4, "первый текст"), (5, "второй текст"), (6, None), (7, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 0), (3, 1)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert sorted(map(tuple, corpus.near_dedup_keep_best(spark, str(tmp_path)).collect())) == [(2, 1), (3, 2), (4, 1), (5, 1), (6, 1), (7, 1)]
+
+
+def test_near_dedup_equals_its_sql_without_the_cut(spark):
+    import duckdb
+
+    from captionlake import registry
+
+    con, sf = duckdb.connect(), SF.replace("0.001", "0.01")
+    for t in ("documents", "labels"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    want = con.sql(registry.ORACLES["near_dedup_keep_best"].replace("[:200]", "")).fetchall()
+    assert sorted(map(tuple, corpus.near_dedup_keep_best(spark, sf).collect())) == sorted(want)
