@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+PREFIX = "captionlake-"
+_made: ContextVar[list | None] = ContextVar("made", default=None)
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a new local one where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a new folder in local mode (tests); on a cluster that is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = tempfile.mkdtemp(prefix="captionlake-")
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = tempfile.mkdtemp(prefix=PREFIX)
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
@@ -26,24 +34,55 @@ def written(df: DataFrame, batch: int | None = None) -> DataFrame:
     ``batch``: rows that Python tasks get at a time meanwhile, for rows that can be large.
     """
     spark, name = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    path = f"{shared_dir(spark)}/captionlake-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{PREFIX}{uuid.uuid4().hex}"
     before = spark.conf.get(name)
     try:
-        spark.conf.set(name, str(batch or before))
+        if batch:
+            spark.conf.set(name, str(batch))
         df.write.parquet(path)
     finally:
-        spark.conf.set(name, before)
+        if batch:
+            spark.conf.set(name, before)
+    made = _made.get()
+    if made is not None:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def drop_written(*frames: DataFrame) -> None:
     """Delete tables made by written() that no later plan reads."""
     for df in frames:
         for file in df.inputFiles()[:1]:
-            spark = df.sparkSession
-            folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-            if "captionlake-" in folder.getName():
-                folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+            folder = file.rsplit("/", 1)[0]
+            if folder.rsplit("/", 1)[-1].startswith(PREFIX):
+                _delete(df.sparkSession, folder)
+
+
+def tidy(operator: Callable) -> Callable:
+    """Delete the tables that ``operator`` has written once it returns, except those that its result reads."""
+
+    @functools.wraps(operator)
+    def run(*args, **kwargs) -> DataFrame:
+        outer, made = _made.get(), []
+        token = _made.set(made)
+        try:
+            out = operator(*args, **kwargs)
+        finally:
+            _made.reset(token)
+        read = {f.rsplit("/", 2)[-2] for f in out.inputFiles()}
+        kept = [path for path in made if path.rsplit("/", 1)[-1] in read]
+        for path in set(made) - set(kept):
+            _delete(out.sparkSession, path)
+        if outer is not None:
+            outer += kept
+        return out
+
+    return run
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

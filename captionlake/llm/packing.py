@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import vocabulary_path, written
+from .common import tidy, vocabulary_path, written
 
 #: Open bins of a packing task, and pieces that one task packs (about).
 OPEN_BINS, TASK_PIECES = 512, 200_000
@@ -94,6 +94,7 @@ class BestFit:
         return bin_id
 
 
+@tidy
 def pack_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int = 1024, vocabulary: str = "byte_bpe_50k.tiktoken", open_bins: int = OPEN_BINS, task_pieces: int = TASK_PIECES) -> DataFrame:
     """Pack all documents into sequences of at most ``limit`` tokens.
 

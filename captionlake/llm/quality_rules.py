@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import tidy, written
 
 SPACE = r"[\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -82,6 +82,7 @@ def quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
     return run.groupBy(*keys, "rule").agg(at(1).alias("q25"), at(3).alias("q75"), F.max("all").alias("n"))
 
 
+@tidy
 def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Judge every document: fixed base rules, then fences that adapt to its language and source.
 
