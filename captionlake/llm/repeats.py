@@ -10,6 +10,11 @@ Neighbours with a common prefix of WINDOW bytes are repeated windows.
 
 As equal windows stand in the same column, suffixes of different columns needn't be compared, so a round costs
 the number of segments and not that of all suffixes so far.
+
+A group of more than ``largest`` distinct segments is subdivided by content: its columns are cut into stripes, and
+the bytes that all windows of a stripe have in common are the key of a smaller group of shorter segments, in
+which the same is done again. Stripes of one column hold copies of one window, which need no sorting. So no
+task holds a group that grows with the corpus.
 """
 
 from __future__ import annotations
@@ -23,18 +28,22 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, written
+from .common import drop_written, tidy, written
 
 #: Bytes of a window, and of a gram (a power of two).
 WINDOW, GRAM = 200, 32
-#: Bytes that are hashed at a time, segments that a task sorts at a time, and rows that a task reads at a time where rows hold texts.
+#: Bytes that are hashed at a time (longer texts in overlapping parts), segments that a task sorts at a time, and rows that a task reads at a time where rows hold texts.
 CHUNK, SORTED, ROWS_AT_ONCE = 1_000_000, 40_000, 512
-#: Distinct segments of a group that are sorted; the windows of larger groups are counted by their hashes.
-LARGEST = 20_000
+#: Distinct segments of a group that are sorted together; larger groups are subdivided.
+LARGEST = 256
+#: Bits of a gram's hash that order minimizers; the others hold its place. Grams that agree in them tie in any text, and the leftmost wins.
+PLACE_BITS = np.uint64(31)
 _TABLE = np.random.default_rng(20).integers(0, 1 << 64, 256, "uint64")
 #: Columns of an aligned group: those before the minimizer, and those from it on.
 BEFORE = WINDOW - GRAM
 COLUMNS = BEFORE + WINDOW
+#: Columns of a stripe at each level of subdivision: 169 columns are 13 stripes of 13 columns.
+STRIPES = (13, 1)
 
 
 def _gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -55,8 +64,7 @@ def segments(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     if len(data) < WINDOW:
         return tuple(np.zeros(0, "int64") for _ in range(6))
     grams, width, n = _gram_hashes(data), BEFORE + 1, 1
-    bits = np.uint64(int(len(grams)).bit_length())
-    m = (grams >> bits << bits) | np.arange(len(grams), dtype="uint64")  # the leftmost of equal ones is the least
+    m = (grams >> PLACE_BITS << PLACE_BITS) | np.arange(len(grams), dtype="uint64")  # the leftmost of equal ones is the least
     while 2 * n <= width:
         m, n = np.minimum(m[:-n], m[n:]), 2 * n
     if width > n:
@@ -68,7 +76,7 @@ def segments(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     new[1:] &= (m[1:] != m[:-1]) | ~ok[:-1]
     starts = np.flatnonzero(new)
     count = np.add.reduceat(ok, starts, dtype="int64") if len(starts) else np.zeros(0, "int64")
-    at = (m[starts] & np.uint64((1 << int(bits)) - 1)).astype("int64")
+    at = (m[starts] & np.uint64((1 << int(PLACE_BITS)) - 1)).astype("int64")
     view, size = memoryview(joined), count + WINDOW - 1
     content = np.fromiter((xxhash.xxh3_64_intdigest(view[a : a + c]) for a, c in zip(starts.tolist(), size.tolist(), strict=True)), "uint64", len(starts))
     return doc[starts], starts - (ends - lens)[doc[starts]], size, at - starts, grams[at].view("int64"), content.view("int64")
@@ -138,52 +146,22 @@ def merged(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[np.concatenate([[0], cut + 1]), 0], top[np.concatenate([cut, [len(spans) - 1]])]], 1)
 
 
-def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", largest: int = LARGEST) -> DataFrame:
-    """d, spans: for each text with repeated windows, the [start, end) spans of bytes that they cover in it, not merged. d is the hash of key and text."""
-    slim = docs.select(F.xxhash64(key, text).alias("d"), F.col(text).alias("t"))
+def stripes(data: bytes, offset: int, width: int) -> Iterator[tuple]:
+    """Cut an aligned segment into stripes of ``width`` columns: for each, a 128-bit hash of its number and of the bytes that all its windows share, its start in the segment, its own offset, and its bytes."""
+    first = BEFORE - offset
+    last = first + len(data) - WINDOW
+    for j in range(first // width, last // width + 1):
+        lo, hi = max(first, j * width), min(last, (j + 1) * width - 1)
+        shared = data[(j + 1) * width - 1 - first : j * width + WINDOW - first]
+        yield xxhash.xxh3_128_digest(j.to_bytes(2, "little") + shared), lo - first, BEFORE - lo, data[lo - first : hi - first + WINDOW]
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def out(ids: list, texts: list) -> pd.DataFrame:
-            doc, start, size, offset, m, content = segments(texts)
-            return pd.DataFrame({"d": np.array(ids, "int64")[doc], "m": m, "content": content, "place": start << 20 | size << 10 | offset})
 
-        for b in batches:
-            ids, texts, n = [], [], 0
-            for d, t in zip(b["d"], b["t"], strict=True):
-                t = (t or "").encode()
-                if len(t) >= WINDOW:
-                    ids.append(d)
-                    texts.append(t)
-                    n += len(t)
-                if n > CHUNK:
-                    yield out(ids, texts)
-                    ids, texts, n = [], [], 0
-            if texts:
-                yield out(ids, texts)
-
-    cuts = written(slim.mapInPandas(cut, "d long, m long, content long, place long"), ROWS_AT_ONCE)
-    shared = written(cuts.groupBy("m").agg(F.count("*").alias("n")).filter("n > 1").select("m"))
-    kept = written(cuts.join(shared, "m"))
-    drop_written(cuts)
-    # one row for each distinct segment: how often it occurs, and one place
-    distinct = written(kept.groupBy("m", "content").agg(F.count("*").alias("n"), F.min(F.struct("d", "place")).alias("one")))
-    several = distinct.groupBy("m").agg(F.count("*").alias("kinds")).filter("kinds > 1")
-    # segments that occur once, among others: their windows must be looked at; those that occur twice are covered whole
-    wanted = distinct.join(several, "m").select("m", "content", (F.col("n") > 1).alias("whole"), "kinds", "one.*")
-    lists = wanted.groupBy("d").agg(F.collect_list(F.struct("m", "content", "whole", "kinds", "place")).alias("cuts"))
+_PIECE = "g binary, c binary, whole boolean, off int, data binary"
+_MARK = "g binary, c binary, spans array<array<int>>"
 
-    def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for t, cuts in zip(b["t"], b["cuts"], strict=True):
-                t = t.encode()
-                for c in cuts:
-                    start = c["place"] >> 20
-                    rows.append((c["m"], c["content"], c["whole"], c["kinds"], c["place"] & 1023, t[start : start + (c["place"] >> 10 & 1023)]))
-            yield pd.DataFrame(rows, columns=["m", "content", "whole", "kinds", "off", "data"])
 
-    pieces = written(slim.join(lists, "d").mapInPandas(fetch, "m long, content long, whole boolean, kinds long, off int, data binary"), ROWS_AT_ONCE)
-    spans_type = "m long, content long, spans array<array<int>>"
+def _sorted_marks(pieces: DataFrame) -> DataFrame:
+    """The repeated windows of pieces whose groups ``g`` are small, as spans within each piece; not for whole ones."""
 
     def sort(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows come sorted by group; whole groups are sorted together, about SORTED segments at a time."""
@@ -193,47 +171,136 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", lar
             n += len(b)
             if n >= SORTED:
                 b = pd.concat(held, ignore_index=True)
-                last = b["m"] == b["m"].iat[-1]
+                last = b["g"] == b["g"].iat[-1]
                 yield from out(b[~last])
                 held, n = [b[last]], int(last.sum())
         if held:
             yield from out(pd.concat(held, ignore_index=True))
 
     def out(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        b = b.drop_duplicates(["m", "content"])
         if len(b):
             found = repeated_windows(b["data"].tolist(), b["off"].to_numpy("int64"))
             some = found.any(1) & ~b["whole"].to_numpy()
             b, found = b[some], found[some]
             if len(b):  # Arrow has no type for an empty column of lists
-                yield pd.DataFrame({"m": b["m"], "content": b["content"], "spans": [spans_of(f, o) for f, o in zip(found, b["off"], strict=True)]})
+                yield pd.DataFrame({"g": b["g"], "c": b["c"], "spans": [spans_of(f, o) for f, o in zip(found, b["off"], strict=True)]})
 
-    sorted_in = pieces.filter(F.col("kinds") <= largest).select("m", "content", "whole", "off", "data").repartition("m").sortWithinPartitions("m")
-    marks = sorted_in.mapInPandas(sort, spans_type)
+    return pieces.repartition("g").sortWithinPartitions("g").mapInPandas(sort, _MARK)
 
-    # windows of larger groups: each distinct one of a segment is counted over the group, so no task holds the group
-    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def marks_of(pieces: DataFrame, largest: int, level: int = 0) -> DataFrame:
+    """g, c, spans: repeated windows of ``pieces`` (g, c, whole, off, data), which are distinct in (g, c) and aligned in each group g.
+
+    ``whole`` pieces occur twice: they are compared with the others but not marked.
+    """
+    kinds = written(pieces.groupBy("g").agg(F.count("*").alias("kinds")).filter("kinds > 1"))
+    several = pieces.join(kinds, "g")
+    marks = _sorted_marks(several.filter(F.col("kinds") <= largest).drop("kinds"))
+    big = several.filter(F.col("kinds") > largest)
+    if kinds.filter(F.col("kinds") > largest).isEmpty():
+        done = written(marks, 8192)
+        drop_written(kinds)
+        return done
+
+    width = STRIPES[level]
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(m, c, w, i, xxhash.xxh3_128_digest(x[i : i + WINDOW])) for m, c, w, x in zip(b["m"], b["content"], b["whole"], b["data"], strict=True) for i in range(len(x) - WINDOW + 1)]
-            yield pd.DataFrame(rows, columns=["m", "content", "whole", "i", "h"])
+            rows = []
+            for g, c, whole, off, data in zip(b["g"], b["c"], b["whole"], b["off"], b["data"], strict=True):
+                for key, shift, own, part in stripes(data, off, width):
+                    rows.append((g, c, whole, key, xxhash.xxh3_128_digest(own.to_bytes(2, "little") + part), shift, own, part if width > 1 else None))
+            yield pd.DataFrame(rows, columns=["g", "c", "whole", "g2", "c2", "shift", "off", "data"])
+
+    parts = big.mapInPandas(cut, "g binary, c binary, whole boolean, g2 binary, c2 binary, shift int, off int, data binary")
+    if width == 1:  # a group holds copies of one window
+        each = written(parts.select("g", "c", "whole", "g2", "shift"), 8192)
+        twice = written(each.groupBy("g2").agg(F.count("*").alias("n"), F.max("whole").alias("whole")).filter("n > 1 OR whole").select("g2"))
+        hits, scratch = each.filter("NOT whole").join(twice, "g2").select("g", "c", F.array(F.col("shift"), F.col("shift") + WINDOW).alias("span")), [each, twice]
+    else:
+        each = written(parts, ROWS_AT_ONCE)
+        counted = written(each.groupBy("g2", "c2").agg(F.count("*").alias("n")))
+        inner = each.select("g2", "c2", "off", "data").dropDuplicates(["g2", "c2"]).join(counted, ["g2", "c2"]).select(F.col("g2").alias("g"), F.col("c2").alias("c"), (F.col("n") > 1).alias("whole"), "off", "data")
+        inner = written(inner, ROWS_AT_ONCE)
+        below = marks_of(inner, largest, level + 1)
+        full = inner.filter("whole").select("g", "c", F.array(F.array(F.lit(0), F.octet_length("data"))).alias("spans"))
+        found = written(below.unionByName(full).select(F.col("g").alias("g2"), F.col("c").alias("c2"), "spans"))
+        moved = F.transform("spans", lambda s: F.array(F.get(s, 0) + F.col("shift"), F.get(s, 1) + F.col("shift")))
+        hits = each.filter("NOT whole").select("g", "c", "g2", "c2", "shift").join(found, ["g2", "c2"]).select("g", "c", F.explode(moved).alias("span"))
+        scratch = [each, counted, inner, below, found]
+    done = written(marks.unionByName(hits.groupBy("g", "c").agg(F.collect_set("span").alias("spans"))), 8192)
+    drop_written(kinds, *scratch)
+    return done
+
+
+def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", largest: int = LARGEST) -> DataFrame:
+    """d, spans: for each text with repeated windows, the [start, end) spans of bytes that they cover in it, not merged. d is the hash of key and text."""
+    slim = docs.select(F.xxhash64(key, text).alias("d"), F.col(text).alias("t"))
+    # rows that repeat key and text are read once, as a text that occurs twice
+    again = written(slim.groupBy("d").agg(F.count("*").alias("n")).filter("n > 1").select("d"))
+    if again.isEmpty():
+        slim = slim.withColumn("times", F.lit(1))
+    else:
+        slim = slim.join(again, "d", "left_anti").withColumn("times", F.lit(1)).unionByName(slim.join(again, "d", "left_semi").dropDuplicates(["d"]).withColumn("times", F.lit(2)))
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def out(held: list) -> pd.DataFrame:
+            ids, times, bases, texts = zip(*held, strict=True)
+            doc, start, size, offset, m, content = segments(texts)
+            return pd.DataFrame({"d": np.array(ids, "int64")[doc], "times": np.array(times, "int32")[doc], "m": m, "content": content, "place": start + np.array(bases, "int64")[doc] << 20 | size << 10 | offset})
+
+        for b in batches:
+            held, n = [], 0
+            for d, times, t in zip(b["d"], b["times"], b["t"], strict=True):
+                t = (t or "").encode()
+                for base in range(0, len(t) - WINDOW + 1, CHUNK):
+                    part = t[base : base + CHUNK + WINDOW - 1]
+                    held.append((d, times, base, part))
+                    n += len(part)
+                    if n > CHUNK:
+                        yield out(held)
+                        held, n = [], 0
+            if held:
+                yield out(held)
+
+    cuts = written(slim.mapInPandas(cut, "d long, times int, m long, content long, place long"), ROWS_AT_ONCE)
+    shared = written(cuts.groupBy("m").agg(F.sum("times").alias("n")).filter("n > 1").select("m"))
+    kept = written(cuts.join(shared, "m"))
+    drop_written(cuts, shared)
+    # one row for each distinct segment: how often it occurs, and one place
+    distinct = written(kept.groupBy("m", "content").agg(F.sum("times").alias("n"), F.min(F.struct("d", "place")).alias("one")))
+    several = written(distinct.groupBy("m").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("m"))
+    # segments that occur once, among others: their windows must be looked at; those that occur twice are covered whole
+    wanted = distinct.join(several, "m").select("m", "content", (F.col("n") > 1).alias("whole"), "one.*")
+    lists = written(wanted.groupBy("d").agg(F.collect_list(F.struct("m", "content", "whole", "place")).alias("cuts")))
+
+    def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for t, cuts in zip(b["t"], b["cuts"], strict=True):
+                t = t.encode()
+                for c in cuts:
+                    start = c["place"] >> 20
+                    rows.append((c["m"].to_bytes(8, "big", signed=True), c["content"].to_bytes(8, "big", signed=True), c["whole"], c["place"] & 1023, t[start : start + (c["place"] >> 10 & 1023)]))
+            yield pd.DataFrame(rows, columns=["g", "c", "whole", "off", "data"])
 
-    huge = pieces.filter(F.col("kinds") > largest).dropDuplicates(["m", "content"])
-    if not huge.isEmpty():
-        each = written(huge.mapInPandas(windows, "m long, content long, whole boolean, i int, h binary"), ROWS_AT_ONCE)
-        twice = each.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-        hits = each.filter("NOT whole").join(twice, "h").groupBy("m", "content").agg(F.collect_list(F.array(F.col("i"), F.col("i") + WINDOW)).alias("spans"))
-        marks = marks.unionByName(hits)
-    marks = written(marks, 8192)
+    pieces = written(slim.join(lists, "d").mapInPandas(fetch, _PIECE), ROWS_AT_ONCE)
+    marks = marks_of(pieces, largest)
+    number = lambda c: F.conv(F.hex(c), 16, -10).cast("long")
+    marks = marks.select(number("g").alias("m"), number("c").alias("content"), "spans")
 
     size = F.shiftright("place", 10).bitwiseAND(F.lit(1023)).cast("int")
     whole = distinct.filter("n > 1").select("m", "content").join(kept, ["m", "content"]).select("d", F.array(F.array(F.lit(0), size)).alias("spans"), "place")
     part = marks.join(kept, ["m", "content"]).select("d", "spans", "place")
-    start = F.shiftright("place", 20).cast("int")
+    start = F.shiftright("place", 20)
     moved = F.transform("spans", lambda s: F.array(F.get(s, 0) + F.col("start"), F.get(s, 1) + F.col("start")))
     placed = whole.unionByName(part).withColumn("start", start).select("d", F.explode(moved).alias("span"))
-    return written(placed.groupBy("d").agg(F.collect_set("span").alias("spans")))
+    spans = written(placed.groupBy("d").agg(F.collect_set("span").alias("spans")))
+    drop_written(again, kept, distinct, several, lists, pieces)
+    return spans
 
 
+@tidy
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", largest: int = LARGEST) -> DataFrame:
     """Remove from every text each byte that is covered by a WINDOW-byte string which also starts anywhere else.
 
@@ -241,8 +308,9 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", lar
     and kept_text (the same as text; a character of which only some bytes are covered stays whole). All copies
     of a passage go, overlaps count, and texts are judged as they came in.
 
-    Null texts are empty; texts under WINDOW bytes can't hold a repeat. Copies of a text, repeated rows and null
-    keys are texts like any other. Segments are told apart by 64-bit hashes within groups of one minimizer,
+    Null texts are empty; texts under WINDOW bytes can't hold a repeat; very long texts are hashed in parts, and
+    a row's segments take about its bytes. Copies of a text, repeated rows and null keys are texts like any other:
+    rows that repeat key and text are read once and count twice. Segments are told apart by 64-bit hashes within groups of one minimizer,
     texts by a 64-bit hash of key and text. Columns of ``docs`` with the names of added ones are replaced. An
     empty table gives an empty result.
     """
