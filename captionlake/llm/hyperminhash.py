@@ -2,16 +2,18 @@
 
 A document's set of word shingles is hashed once; each register keeps the least hash of its bucket as a count
 of leading zeros and some mantissa bits. Bands of registers find candidates, the share of equal registers,
-corrected for chance collisions, estimates their Jaccard similarity, and full sets confirm the links. Before
-that, bitmaps of the sets give an upper bound of the similarity, which never rules out a link.
+corrected for chance collisions, estimates their Jaccard similarity, and full sets confirm the links. The
+estimate only orders the work: likely pairs are confirmed first, the others where they would still join two
+components. Only safe bounds rule a pair out before: the sizes of the sets, and bitmaps of them.
 
 Links are looked for until every two documents that share a band are either in one component or known not to
 be linked, but not all pairs are formed: a band's members are first compared with one of them, and then only
-members outside of the band's main component with the others, in blocks.
+members outside of the band's main component with the others of like size, in blocks.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,13 +22,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, written
+from .common import drop_written, tidy, written
 from .components import connected_components
 
 #: Registers, registers of a band, bands, mantissa bits. Two sets of similarity 0.85 share no band once in 10**9.
 REGISTERS, ROWS, BANDS, MANTISSA = 128, 4, 28, 10
-#: Standard deviations by which an estimate may fall short of the threshold before a pair is dropped.
-SLACK = 4.5
+#: Standard deviations by which an estimate may fall short of the threshold before a pair has to wait.
+SLACK = 2
 #: Members of a band that are compared at a time, and rows that a task reads at a time where rows hold texts or sets.
 BLOCK, ROWS_AT_ONCE = 256, 512
 VALUE_BITS = 50
@@ -115,6 +117,7 @@ def _bitmaps(column: pd.Series) -> list[np.ndarray]:
     return [np.frombuffer(x, "uint8", offset=2 * REGISTERS) for x in column]
 
 
+@tidy
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, threshold: int = 80, text_hash: bool = False) -> DataFrame:
     """Link documents whose shingle sets have 100 * |A and B| >= threshold * |A or B|; group them by what links reach.
 
@@ -122,8 +125,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     itself included) and kept (whether it is that one); with ``text_hash``, also xxhash64 of the text. Sets are
     compared by 64-bit hashes of their shingles.
 
-    Null, empty and blank texts have no shingles and are linked with nothing. Rows with equal sets are one node
-    with the smallest of their keys, so repeated rows and groups of copies of any size cost an aggregate. Rows
+    No link is lost whose documents share a band (README: odds); the rest of the method is exact.
+
+    Null, empty and blank texts have no shingles and are linked with nothing; very long ones are hashed whole, their
+    sets taking 8 bytes a word. Rows with equal sets are one node with the smallest of their keys, so repeated rows
+    and groups of copies of any size cost an aggregate. Rows
     that repeat a key with another text are judged by their texts. A row with a null key is linked with nothing,
     has a null component and is kept. An empty table gives an empty result. Other columns are not read.
     """
@@ -140,45 +146,50 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
             yield pd.DataFrame(rows, columns=["k", "th", "n", "fp", "regs"]).astype({"k": b["k"].dtype})
 
     signed = written(slim.mapInPandas(sign, f"k {kind}, th long, n long, fp binary, regs binary"), ROWS_AT_ONCE)
-    reps = written(signed.filter("n > 0 AND k IS NOT NULL").groupBy("fp").agg(F.min("k").alias("rep"), F.max("n").alias("n"), F.min("regs").alias("regs")))
+    reps = signed.filter("n > 0 AND k IS NOT NULL").groupBy("fp").agg(F.min(F.struct("k", "th")).alias("one"), F.max("n").alias("n"), F.min("regs").alias("regs"))
+    # size: the least size class; linked sets are in one class or in neighbouring ones
+    reps = written(reps.select("fp", F.col("one.k").alias("rep"), F.col("one.th").alias("th"), "n", F.floor(F.log(F.col("n")) / math.log(100 / threshold)).cast("int").alias("size"), "regs"))
 
     # bands: the least of a band's members by a hash (of four orders) is what the others are compared with first
     band = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("i")
-    bands = reps.select("rep", "regs", band).select("rep", "i", F.xxhash64("i", F.expr(f"substring(regs, i * {2 * ROWS} + 1, {2 * ROWS})")).alias("band"), F.xxhash64("rep", F.col("i") % 4).alias("order"))
-    shared = written(bands.groupBy("band").agg(F.count("*").alias("size"), F.min(F.struct("order", "rep"))["rep"].alias("pivot")).filter("size > 1"))
-    members = written(bands.select("rep", "i", "band").join(shared.select("band", "pivot"), "band"))
+    bands = reps.select("rep", "n", "regs", band).select("rep", "n", "i", F.xxhash64("i", F.expr(f"substring(regs, i * {2 * ROWS} + 1, {2 * ROWS})")).alias("band"), F.xxhash64("rep", F.col("i") % 4).alias("order"))
+    shared = written(bands.groupBy("band").agg(F.count("*").alias("many"), F.min(F.struct("order", "rep", "n")).alias("p")).filter("many > 1").select("band", F.col("p.rep").alias("pivot"), F.col("p.n").alias("n_pivot")))
+    members = written(bands.select("rep", "n", "i", "band").join(shared, "band"))
 
     def with_registers(pairs: DataFrame) -> DataFrame:
         for x in ("a", "b"):
             pairs = pairs.join(reps.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("regs").alias(f"regs_{x}")), x)
         return pairs
 
-    def likely(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def possible(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Pairs that no bound rules out, with the estimate of their similarity."""
         for p in batches:
             if len(p):
                 j = estimate((_matrix(p["regs_a"]) == _matrix(p["regs_b"])).sum(1), p["n_a"].to_numpy(), p["n_b"].to_numpy())
-                ok = (j >= least) & (100 * np.minimum(p["n_a"], p["n_b"]) >= threshold * np.maximum(p["n_a"], p["n_b"]))
-                at, n = np.flatnonzero(ok), np.concatenate([p["n_a"], p["n_b"]])
-                maps = _bitmaps(p["regs_a"]) + _bitmaps(p["regs_b"])
-                at = [i for i in at if len(may_link(maps, n, i, np.array([i + len(p)]), threshold))]
+                n, maps = np.concatenate([p["n_a"], p["n_b"]]), _bitmaps(p["regs_a"]) + _bitmaps(p["regs_b"])
+                at = [i for i in range(len(p)) if len(may_link(maps, n, i, np.array([i + len(p)]), threshold))]
                 yield p.iloc[at][["a", "b"]].assign(j=j[at])
 
-    star = members.filter("rep <> pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
-    star = written(with_registers(star).mapInPandas(likely, f"a {kind}, b {kind}, j double"), 4096)
+    sizes_allow = 100 * F.least("n", "n_pivot") >= threshold * F.greatest("n", "n_pivot")
+    star = members.filter(F.col("rep") != F.col("pivot")).filter(sizes_allow).select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
+    star = written(with_registers(star).mapInPandas(possible, f"a {kind}, b {kind}, j double"), 4096)
 
     def sets_of(pairs: DataFrame) -> DataFrame:
-        """rep, data: the full sets of the documents in ``pairs``."""
-        ends = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct().join(reps.select("rep", F.col("fp").alias("want")), "rep")
+        """rep, data: the full sets of the documents in ``pairs``, one row for each, however many rows repeat it."""
+        ends = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct().join(reps.select("rep", F.col("th").alias("want"), "fp"), "rep")
+        rows = slim.join(written(ends), (F.col("k") == F.col("rep")) & (F.col("th") == F.col("want"))).select("rep", "t", "fp").dropDuplicates(["rep", "fp"])
 
         def full(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 sets = [shingle_set(t, width).tobytes() for t in b["t"]]
-                ok = [xxhash.xxh3_128_digest(s) == bytes(w) for s, w in zip(sets, b["want"], strict=True)]
-                yield pd.DataFrame({"rep": b["rep"], "data": sets})[ok]
+                ok = [xxhash.xxh3_128_digest(s) == bytes(w) for s, w in zip(sets, b["fp"], strict=True)]
+                yield pd.DataFrame({"rep": b["rep"], "fp": b["fp"], "data": sets})[ok]
+
+        return written(rows.mapInPandas(full, f"rep {kind}, fp binary, data binary"), ROWS_AT_ONCE)
 
-        return written(slim.join(ends, F.col("k") == F.col("rep")).select("rep", "t", "want").mapInPandas(full, f"rep {kind}, data binary"), ROWS_AT_ONCE)
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        sets = sets_of(pairs)
 
-    def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         def confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for p in batches:
                 ok = []
@@ -190,26 +201,37 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 
         for x in ("a", "b"):
             pairs = pairs.join(sets.select(F.col("rep").alias(x), F.col("data").alias(f"data_{x}")), x)
-        return written(pairs.mapInPandas(confirm, f"a {kind}, b {kind}"), ROWS_AT_ONCE)
+        links = written(pairs.mapInPandas(confirm, f"a {kind}, b {kind}").distinct(), ROWS_AT_ONCE)
+        drop_written(sets)
+        return links
+
+    def apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+        """Those of ``pairs`` whose ends are in different components."""
+        for x in ("a", "b"):
+            pairs = pairs.join(found.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}")), x, "left")
+        return pairs.filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).drop("c_a", "c_b")
 
-    links = confirmed(star.select("a", "b"), sets_of(star))
+    links = confirmed(star.filter(F.col("j") >= least).select("a", "b"))
     found = connected_components(links)
 
-    # bands whose members are in several components: those outside of the largest are compared with all others
+    # bands whose members are in several components: those outside of the largest are compared with all others of like size
     placed = members.select("band", "i", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("band", "i", "rep", F.coalesce("component", "rep").alias("comp"))
-    placed = written(placed)
+    placed = written(placed.join(reps.select("rep", "size"), "rep"))
     per = placed.groupBy("band", "comp").agg(F.count("*").alias("n"))
-    open_bands = per.groupBy("band").agg(F.count("*").alias("comps"), F.sum("n").alias("all"), F.max("n").alias("most"), F.max_by("comp", F.struct("n", "comp")).alias("main")).filter("comps > 1")
-    rest = placed.join(open_bands, "band").join(reps.select("rep", "n", "regs"), "rep").select(
-        "band", "i", "rep", "comp", "n", "regs", (F.col("comp") != F.col("main")).alias("outside"), F.ceil(F.col("all") / BLOCK).alias("nb"), F.ceil((F.col("all") - F.col("most")) / BLOCK).alias("nl")
-    )
+    open_bands = written(per.groupBy("band").agg(F.count("*").alias("comps"), F.max_by("comp", F.struct("n", "comp")).alias("main")).filter("comps > 1").select("band", "main"))
+    opened = written(placed.join(open_bands, "band").select("band", "i", "rep", "comp", "size", (F.col("comp") != F.col("main")).alias("outside")))
+    blocks = written(opened.groupBy("band", "size").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"), F.ceil(F.count_if("outside") / BLOCK).cast("int").alias("nl")))
+    what = reps.select("rep", "n", "regs")
 
     def side(left: bool) -> DataFrame:
-        """One side of the comparisons, with the key of each pair of blocks in which it takes part."""
-        own, n_own, n_other = ("l", "nl", "nb") if left else ("b", "nb", "nl")
-        other = "b" if left else "l"
-        x = (rest.filter("outside") if left else rest).withColumn(own, F.pmod(F.xxhash64("rep", F.lit(own)), F.col(n_own))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col(n_other) - 1)))
-        return x.select(F.xxhash64("band", "l", "b").alias("g"), F.lit(left).alias("left"), "i", "rep", "comp", "n", "regs")
+        """One side of the comparisons, with the key of each pair of blocks in which it takes part: block l of the outside members of a size with block b of all members of a size beside it."""
+        near = F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1))
+        own, other = ("nl", "nb") if left else ("nb", "nl")
+        x = (opened.filter("outside") if left else opened).join(blocks.select("band", "size", F.col(own).alias("n_own")), ["band", "size"]).withColumn("s2", near)
+        x = x.join(blocks.select("band", F.col("size").alias("s2"), F.col(other).alias("n_other")).filter("n_other > 0"), ["band", "s2"])
+        x = x.withColumn("mine", F.pmod(F.xxhash64("rep", F.lit(own)), F.col("n_own"))).withColumn("theirs", F.explode(F.sequence(F.lit(0), F.col("n_other") - 1)))
+        cell = ("size", "s2", "mine", "theirs") if left else ("s2", "size", "theirs", "mine")
+        return x.select(F.xxhash64("band", *[F.col(c).cast("long") for c in cell]).alias("g"), F.lit(left).alias("left"), "i", "rep", "comp").join(what, "rep").select("g", "left", "i", "rep", "comp", "n", "regs")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows come sorted by g; a pair of blocks has some hundred rows."""
@@ -234,10 +256,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
             x, y = lo + np.flatnonzero(left[lo:hi]), lo + np.flatnonzero(~left[lo:hi])
             for i in x:
                 o = y[(comp[y] != comp[i]) & (100 * np.minimum(n[y], n[i]) >= threshold * np.maximum(n[y], n[i]))]
-                same = regs[o] == regs[i]
                 # a pair is judged in the first band that it shares, which is open as the pair is in two components
-                first = same[:, : BANDS * ROWS].reshape(len(o), BANDS, ROWS).all(2).argmax(1) == band[i]
-                o = o[first & (estimate(same.sum(1), n[o], n[i]) >= least)]
+                same = regs[o, : BANDS * ROWS] == regs[i, : BANDS * ROWS]
+                o = o[same.reshape(len(o), BANDS, ROWS).all(2).argmax(1) == band[i]]
                 o = may_link(maps, n, i, o, threshold) if len(o) else o
                 xs.append(np.full(len(o), i))
                 ys.append(o)
@@ -246,11 +267,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
             yield pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)}).drop_duplicates()
 
     dealt = side(True).unionByName(side(False)).repartition("g").sortWithinPartitions("g")
-    more = written(dealt.mapInPandas(compare, f"a {kind}, b {kind}").distinct().join(star.select("a", "b"), ["a", "b"], "left_anti"), 4096)
-    drop_written(placed, members, shared)
+    more = written(dealt.mapInPandas(compare, f"a {kind}, b {kind}").distinct().join(star.filter(F.col("j") >= least).select("a", "b"), ["a", "b"], "left_anti").unionByName(apart(star.filter(F.col("j") < least).select("a", "b"), found)).distinct(), 4096)
+    drop_written(placed, open_bands, opened, blocks, members, shared, star)
     if not more.isEmpty():
-        links = links.unionByName(confirmed(more, sets_of(more)))
+        links = links.unionByName(confirmed(more))
         found = connected_components(links)
+    drop_written(more)
 
     node = reps.select("fp", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("comp"))
     out = signed.select("k", "th", "n", "fp").join(node, "fp", "left")
@@ -258,10 +280,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     return out.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("k") == component, F.lit(True)).alias("kept"), *[F.col("th").alias("text_hash")] * text_hash)
 
 
+@tidy
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, threshold: int = 80) -> DataFrame:
     """``docs`` with one document of each group of near_duplicates(), the one of the smallest key, all columns as they are.
 
-    Of rows that repeat key and text one stays, except those without shingles or key, which all stay.
+    Of rows that repeat key and text one stays, the least by a hash of all its columns (maps aside), except those
+    without shingles or key, which all stay. Null, empty and very long texts as in near_duplicates(); columns with
+    clashing names stay as they are; an empty table gives an empty result.
     """
     judged = written(near_duplicates(docs, key, text, width, threshold, text_hash=True).select(F.col(key).alias("_cl_k"), F.col("text_hash").alias("_cl_th"), "n_shingles", "kept"))
     own = docs.withColumn("_cl_h", F.xxhash64(text))
@@ -269,6 +294,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: in
     left = own.join(judged.filter("NOT kept").select("_cl_k", "_cl_th").distinct(), same, "left_anti")
     again = written(judged.filter("kept AND n_shingles > 0 AND _cl_k IS NOT NULL").groupBy("_cl_k", "_cl_th").agg(F.count("*").alias("n")).filter("n > 1").drop("n"))
     if not again.isEmpty():
-        once = left.join(again, same, "left_semi").groupBy(key, "_cl_h").agg(*[F.first(c).alias(c) for c in docs.columns if c != key])
-        left = left.join(again, same, "left_anti").unionByName(once.select(*left.columns))
+        order = F.xxhash64(*[f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()])
+        once = left.join(again, same, "left_semi").groupBy(key, "_cl_h").agg(F.min_by(F.struct(*docs.columns), order).alias("_cl_row"))
+        left = left.join(again, same, "left_anti").unionByName(once.select("_cl_row.*", "_cl_h"))
     return left.drop("_cl_h")
