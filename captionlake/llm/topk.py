@@ -1,13 +1,15 @@
 """Exact top-k search by distributed histogram selection.
 
-Candidates are packed into blocks, queries into groups, and every (block, group) pair is scored in a task of
-its own. Rounds of global score histograms narrow, for each query, the interval that holds its k-th best
-score down to one integer; a last scoring keeps what is above, and breaks ties at that score by id.
+Candidates are packed into blocks, queries into groups. Every block is scored in place against the groups of a wave,
+whose bytes are bounded and which are broadcast. Rounds of global histograms of all scores narrow, for each query,
+the interval that holds its k-th best score down to one integer; a last scoring keeps what is above, and breaks
+ties at that score by id. Vectors are never shuffled after they are packed, only counts and results.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -15,10 +17,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import tidy, written
 
 #: Candidate vectors in a block, queries in a group, bins of a round's histograms.
 BLOCK, GROUP, BINS = 4096, 512, 1024
+#: Bytes of the query vectors and histograms of a wave of groups (one group at least), which every task holds; pairs that a task reads at a time.
+WAVE_BYTES, PAIRS_AT_ONCE = 64 << 20, 4
 FAR = 1 << 62
 
 
@@ -69,16 +73,23 @@ def _scores(c: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (c.astype("float64") @ q.T.astype("float64")).astype("int64") if top < 2.0**53 else c @ q.T
 
 
-def _pair(left: pd.DataFrame, right: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Candidate ids, query ids and scores [candidate, query] of one block and one group; a query's own id scores -FAR."""
-    dim = int(left["dim"][0])
-    ids, q = np.frombuffer(left["ids"][0], "<i8"), right["query_id"].to_numpy("int64")
-    s = _scores(_matrix(left["data"][0], dim), _matrix(b"".join(right["q"]), dim))
-    s[ids[:, None] == q[None, :]] = -FAR
-    return ids, q, s
+class _Group:
+    """A group of queries and, where it meets a block, their scores."""
 
+    def __init__(self, r):
+        self.ids, self.lo, self.hi, self.width, self.need = (np.frombuffer(r[c], "<i8") for c in ("q_ids", "lo", "hi", "width", "need"))
+        self.q = _matrix(r["q"], int(r["dim"]))
 
-def exact_top_k(vectors: DataFrame, is_query, k: int = 5, key: str = "vec_id", vector: str = "embedding", scale: int = 256, block: int = BLOCK, group: int = GROUP, bins: int = BINS) -> DataFrame:
+    def scores(self, r) -> tuple[np.ndarray, np.ndarray]:
+        """Candidate ids and scores [candidate, query] of the block of a row; a query's own id scores -FAR."""
+        ids = np.frombuffer(r["ids"], "<i8")
+        s = _scores(_matrix(r["data"], int(r["dim"])), self.q)
+        s[ids[:, None] == self.ids[None, :]] = -FAR
+        return ids, s
+
+
+@tidy
+def exact_top_k(vectors: DataFrame, is_query, k: int = 5, key: str = "vec_id", vector: str = "embedding", scale: int = 256, block: int = BLOCK, group: int = GROUP, bins: int = BINS, wave_bytes: int = WAVE_BYTES) -> DataFrame:
     """The k best-scoring other vectors of every query.
 
     ``is_query`` is a condition on the key column. Returns query_id, rank (from 1), vec_id and score: integer
@@ -88,7 +99,8 @@ def exact_top_k(vectors: DataFrame, is_query, k: int = 5, key: str = "vec_id", v
     Vectors that are null, hold null or non-finite components, or have a null id take no part. Vectors of other
     lengths are no candidates. Rows that repeat an id are candidates each; as queries they are one, the
     bytewise smallest. Scores beyond 64 bits wrap. Other columns are not read; an empty table gives an empty
-    result. Each task holds one block, one group and their scores.
+    result. Each task holds one block, a wave's groups and histograms (``wave_bytes``), and one pair's scores; more
+    queries than a wave holds take more waves, each a pass over the blocks.
     """
     blocks = written(quantized_blocks(vectors, key, vector, scale, block))
     near = quantized_blocks(vectors.filter(is_query), key, vector, scale, group)
@@ -99,33 +111,48 @@ def exact_top_k(vectors: DataFrame, is_query, k: int = 5, key: str = "vec_id", v
                 m = _matrix(r["data"], r["dim"])
                 yield pd.DataFrame({"query_id": np.frombuffer(r["ids"], "<i8"), "dim": np.int32(r["dim"]), "data": [x.tobytes() or b"\0" for x in m], "own": np.sqrt((m.astype("float64") ** 2).sum(1))})
 
-    bounds = blocks.groupBy("dim").agg(F.max("norm").alias("norm"))
+    bounds = written(blocks.groupBy("dim").agg(F.max("norm").alias("norm")))
     queries = near.mapInPandas(unpack, "query_id long, dim int, data binary, own double").groupBy("query_id").agg(F.min(F.struct("data", "dim", "own")).alias("x")).select("query_id", "x.*")
     queries = written(queries)
-    n_groups = max(1, -(-queries.count() // group))
+    size = queries.agg(F.count("*").alias("n"), F.max("dim").alias("dim")).first()
+    n_groups = max(1, -(-size["n"] // group))
+    per_wave = max(1, wave_bytes // (group * 8 * ((size["dim"] or 0) + bins + 6)))
+    queries = written(queries.withColumn("grp", F.pmod(F.xxhash64("query_id"), F.lit(n_groups)).cast("int")))
     reach = F.least(F.ceil(F.col("own") * F.col("norm")) + 1, F.lit(FAR // 2)).cast("long")
-    state = queries.join(bounds, "dim").select(
-        "query_id", "dim", "data", F.pmod(F.xxhash64("query_id"), F.lit(n_groups)).alias("grp"), (-reach).alias("lo"), (reach + 1).alias("hi"), F.ceil((2 * reach + 1) / bins).cast("long").alias("width"), F.lit(k).cast("long").alias("need")
-    )
-    state = written(state)
-    sides = blocks.select(F.col("block").alias("at"), F.col("dim"))
+    state = written(queries.join(bounds, "dim").select(
+        "query_id", (-reach).alias("lo"), (reach + 1).alias("hi"), F.ceil((2 * reach + 1) / bins).cast("long").alias("width"), F.lit(k).cast("long").alias("need")
+    ))
+
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        """A group of queries as one row."""
+        long = lambda c: rows[c].to_numpy("<i8").tobytes()
+        dim = rows["dim"].iloc[0]
+        data = b"".join(rows["data"]) if dim else bytes(len(rows))
+        return pd.DataFrame([(rows["grp"].iloc[0], dim, long("query_id"), data, long("lo"), long("hi"), long("width"), long("need"))], columns=["grp", "dim", "q_ids", "q", "lo", "hi", "width", "need"])
 
     def scored(fn, schema: str) -> DataFrame:
-        left = blocks.withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1)))).withColumn("grp", F.col("grp").cast("long"))
-        right = state.join(sides, "dim").select("query_id", F.col("data").alias("q"), "lo", "hi", "width", "need", F.col("at").alias("block"), "grp")
-        return left.groupBy("block", "grp").cogroup(right.groupBy("block", "grp")).applyInPandas(fn, schema)
-
-    def histogram(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        """Counts by bin of the ``need`` best scores within each query's interval: the others can't hold the k-th best."""
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "bin": [], "n": []}, dtype="int64")
-        _, q, s = _pair(left, right)
-        lo, hi, width = (right[c].to_numpy("int64") for c in ("lo", "hi", "width"))
-        s = np.where((s >= lo) & (s < hi), s, -FAR)
-        best = np.partition(s, len(s) - k, axis=0)[-k:] if len(s) > k else s
-        b = np.where(best > -FAR, (best - lo) // np.maximum(width, 1), -1)
-        rows = pd.DataFrame({"query_id": np.broadcast_to(q, b.shape).ravel(), "bin": b.ravel()})
-        return rows[rows["bin"] >= 0].groupby(["query_id", "bin"], as_index=False).size().rename(columns={"size": "n"})
+        """fn over each block with each group of its dimension, wave by wave; blocks stay where they are."""
+        groups = written(queries.join(state, "query_id").groupBy("grp", "dim").applyInPandas(pack, "grp int, dim int, q_ids binary, q binary, lo binary, hi binary, width binary, need binary"))
+        waves = [groups.filter((F.col("grp") >= g) & (F.col("grp") < g + per_wave)) for g in range(0, n_groups, per_wave)]
+        return reduce(DataFrame.unionByName, [written(blocks.join(F.broadcast(w), "dim").mapInPandas(fn, schema), PAIRS_AT_ONCE) for w in waves])
+
+    def histogram(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Counts by bin of all scores within each query's interval, added up over a task's blocks."""
+        held: dict[tuple, tuple[_Group, np.ndarray]] = {}
+        for b in batches:
+            for r in b.to_dict("records"):
+                at = (r["grp"], r["dim"])
+                if at not in held:
+                    g = _Group(r)
+                    held[at] = g, np.zeros(len(g.ids) * bins, "int64")
+                g, counts = held[at]
+                _, s = g.scores(r)
+                inside = (s >= g.lo) & (s < g.hi) & (g.width > 0)
+                place = (s - g.lo) // np.maximum(g.width, 1) + np.arange(len(g.ids)) * bins
+                counts += np.bincount(place[inside], minlength=len(counts))
+        for g, counts in held.values():
+            at = np.flatnonzero(counts)
+            yield pd.DataFrame({"query_id": g.ids[at // bins], "bin": at % bins, "n": counts[at]})
 
     while (widest := state.agg(F.max("width").alias("w")).first()["w"]) and widest > 0:
         counts = scored(histogram, "query_id long, bin long, n long").groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
@@ -133,26 +160,29 @@ def exact_top_k(vectors: DataFrame, is_query, k: int = 5, key: str = "vec_id", v
         runs = counts.withColumn("upto", F.sum("n").over(w)).join(state.select("query_id", "need"), "query_id")
         found = runs.filter((F.col("upto") >= F.col("need")) & (F.col("upto") - F.col("n") < F.col("need"))).select("query_id", "bin", (F.col("upto") - F.col("n")).alias("above"))
         seen = state.join(found, "query_id", "left")
-        done = F.col("width") <= 1
+        done, ready = F.col("width") <= 1, F.col("width") == 0
         # fewer candidates than k: everything qualifies
         state = written(seen.select(
-            "query_id", "dim", "data", "grp",
-            F.when(F.col("bin").isNull(), F.lit(-FAR + 1)).otherwise(F.col("lo") + F.col("bin") * F.col("width")).cast("long").alias("lo"),
-            F.when(F.col("bin").isNull(), F.col("hi")).otherwise(F.col("lo") + (F.col("bin") + 1) * F.col("width")).alias("hi"),
+            "query_id",
+            F.when(ready, F.col("lo")).when(F.col("bin").isNull(), F.lit(-FAR + 1)).otherwise(F.col("lo") + F.col("bin") * F.col("width")).cast("long").alias("lo"),
+            F.when(ready | F.col("bin").isNull(), F.col("hi")).otherwise(F.col("lo") + (F.col("bin") + 1) * F.col("width")).alias("hi"),
             F.when(F.col("bin").isNull() | done, F.lit(0)).otherwise(F.ceil(F.col("width") / bins)).cast("long").alias("width"),
             (F.col("need") - F.coalesce(F.col("above"), F.lit(0))).alias("need"),
         ))
 
-    def select(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def select(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """What is above each query's k-th best score, and of the ties at it as many of the smallest ids as are needed."""
-        out = []
-        if len(left) and len(right):
-            ids, q, s = _pair(left, right)
-            for j, (lo, need) in enumerate(zip(right["lo"], right["need"], strict=True)):
-                over, tie = np.flatnonzero(s[:, j] > lo), np.flatnonzero(s[:, j] == lo)
-                pick = np.concatenate([over, tie[np.argsort(ids[tie], kind="stable")[: int(need)]]])
-                out.append(pd.DataFrame({"query_id": q[j], "vec_id": ids[pick], "score": s[pick, j]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
+        for b in batches:
+            out = []
+            for r in b.to_dict("records"):
+                g = _Group(r)
+                ids, s = g.scores(r)
+                for j in np.flatnonzero((s >= g.lo).any(0)):
+                    over, tie = np.flatnonzero(s[:, j] > g.lo[j]), np.flatnonzero(s[:, j] == g.lo[j])
+                    pick = np.concatenate([over, tie[np.argsort(ids[tie], kind="stable")[: int(g.need[j])]]])
+                    out.append(pd.DataFrame({"query_id": g.ids[j], "vec_id": ids[pick], "score": s[pick, j]}))
+            if out:
+                yield pd.concat(out)
 
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     best = scored(select, "query_id long, vec_id long, score long").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

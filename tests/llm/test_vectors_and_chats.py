@@ -5,18 +5,20 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from captionlake.llm.chat import format_chat, read_back, text_part
 from captionlake.llm.topk import exact_top_k
 
 
-def test_top_k_matches_brute_force(spark):
+@pytest.mark.parametrize("wave_bytes", [1, 1 << 20])
+def test_top_k_matches_brute_force(spark, wave_bytes):
     rng = random.Random(2)
     hot = [0.25] * 8
     rows = [(i, hot if i % 3 == 0 else [rng.gauss(0, 0.3) for _ in range(8)]) for i in range(400)]
     rows += [(400, None), (450, [None] + [0.1] * 7), (500, [math.inf] + [0.1] * 7), (550, [math.nan] * 8), (600, [0.5] * 3), (601, [0.5] * 3), (650, []), (None, hot), (7, hot)]
-    got = exact_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("block", F.lit(1)), F.col("vec_id") % 50 == 0, k=5, block=64, group=3, bins=16).collect()
+    got = exact_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("block", F.lit(1)), F.col("vec_id") % 50 == 0, k=5, block=64, group=3, bins=64, wave_bytes=wave_bytes).collect()
     valid = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     want = Counter()
     for q, a in valid:
