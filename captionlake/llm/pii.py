@@ -1,7 +1,8 @@
 """Surrogates for personal data (DataFrame functions only).
 
-One regular expression finds the mentions and tells their types. Every distinct entity gets a keyed surrogate
-of the same type, script, gender and format; surrogates that meet each other or a real entity are drawn again,
+One regular expression finds the mentions and tells their types; names need a title at one place of a text, and
+then are found at the others without one. Every distinct entity gets a keyed surrogate of the same type, script,
+gender and format; names are one kind, so a name has one surrogate after any title and as a given or family name; surrogates that meet each other or a real entity are drawn again,
 so distinct entities stay distinct and mentions of one entity keep one surrogate over the whole corpus.
 """
 
@@ -12,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import tidy, written
 
 _WORD = r"[\p{L}\p{N}]"
 _NAME = r"\p{Lu}[\p{L}'’\-]+"
@@ -36,7 +37,9 @@ PATTERNS = {
     "SURNAME": rf"(?=\p{{Lu}})(?<=(?<!\p{{L}})(?:{'|'.join(_TITLES.values())})\.? (?:\p{{Lu}}[\p{{L}}'’\-]{{1,30}} )?){_NAME}",
     "HAN_NAME": r"\p{IsHan}{2,3}(?=先生|女士|小姐)",
 }
-TYPES = list(PATTERNS)
+#: NAME is a name without a title, in a text that has it with one. Patterns of names come last.
+TYPES = [*PATTERNS, "NAME"]
+N_NAMES = 5
 #: Texts without any of these and of the keywords in any case have no mention; looking for strings is much cheaper than the patterns.
 _WORDS = "Mr Herr Herrn Señor Sr Monsieur Don г-н господин Mrs Ms Miss Frau Señora Sra Madame Mme Doña г-жа госпожа Dr Prof Dra"
 HINTS = [*"0123456789@", "AKIA", "先生", "女士", "小姐", *[w + end for w in _WORDS.split() for end in (" ", ". ")]]
@@ -65,6 +68,18 @@ def mark(text: Column) -> Column:
     return F.when(reduce(lambda a, b: a | b, [*[F.contains(text, F.lit(h)) for h in HINTS], text.rlike(f"(?i:{'|'.join(_KEYWORDS)})")]), found)
 
 
+def _untitled(marked: Column) -> Column:
+    """Mark the other places of names that a text has with a title: names of three letters or more, as written or in capitals, and Han names."""
+    parts = F.split(marked, f"[{OPEN}{CLOSE}]", -1)
+    mentions = F.filter(parts, lambda p, i: i % 2 == 1)
+    named = F.transform(mentions, lambda p: F.array_join(F.slice(F.split(p, SEP, -1), len(PATTERNS) - N_NAMES + 1, N_NAMES), ""))
+    names = F.array_distinct(F.flatten(F.transform(named, lambda x: F.array(x, F.upper(x)))))
+    names = F.array_sort(F.filter(names, lambda x: (F.length(x) > 2) | x.rlike(r"^\p{IsHan}{2}")), lambda a, b: F.length(b) - F.length(a))
+    pattern = F.concat(F.lit(r"((?<![\p{L}\p{N}\-])(?:"), F.array_join(names, "|"), F.lit(r")(?![\p{L}\p{N}]|-\p{L})|"), F.array_join(F.concat(F.filter(names, lambda x: x.rlike(r"^\p{IsHan}")), F.array(F.lit("(?!)"))), "|"), F.lit(")"))
+    again = F.transform(parts, lambda p, i: F.when(i % 2 == 1, F.concat(F.lit(OPEN), p, F.lit(CLOSE))).otherwise(F.regexp_replace(p, pattern, F.lit(OPEN + SEP * len(PATTERNS) + "$1" + CLOSE))))
+    return F.when(F.size(names) > 0, F.array_join(again, "")).otherwise(marked)
+
+
 def _unmarked(text: Column) -> Column:
     for c, d in zip(OPEN + CLOSE + SEP, "012", strict=True):
         text = F.replace(text, F.lit(f"{ESC}{d}{ESC}"), F.lit(c))
@@ -87,6 +102,26 @@ def canonical(kind: Column, mention: Column) -> Column:
     )
 
 
+def entity_kind(kind: Column, mention: Column) -> Column:
+    """Names of any title and place are one kind."""
+    han = mention.rlike(r"^\p{IsHan}")
+    return F.when((kind == "NAME") & han, "HAN_NAME").when(kind.startswith("GIVEN") | kind.isin("SURNAME", "NAME"), "NAME").otherwise(kind)
+
+
+def entities_of(mentions: DataFrame) -> DataFrame:
+    """entity, canon, role: distinct entities of ``mentions`` (entity, canon, kind). Role of a NAME: M, F or N for given names (N where titles of both genders or none tell), else S."""
+    has = lambda k: F.max(F.col("kind") == k)
+    m, f, n = has("GIVEN_M"), has("GIVEN_F"), has("GIVEN_N")
+    role = F.when(m & ~f, "M").when(f & ~m, "F").when(m | f | n, "N").otherwise("S")
+    return mentions.groupBy("entity", "canon").agg(role.alias("role")).withColumnRenamed("entity", "kind")
+
+
+def _mod97(text: Column) -> Column:
+    """The remainder by 97 of an account number whose letters count 10 to 35."""
+    value = lambda c: F.when(c.rlike("[0-9]"), F.ascii(c) - 48).otherwise(F.ascii(F.upper(c)) - 55)
+    return F.aggregate(F.split(text, ""), F.lit(0), lambda acc, c: F.pmod(acc * F.when(c.rlike("[0-9]"), 10).otherwise(100) + value(c), F.lit(97)).cast("int"))
+
+
 def _luhn(digits: Column) -> Column:
     """The Luhn sum modulo 10 of an array of digits."""
     n = F.size(digits)
@@ -100,7 +135,7 @@ def _head(kind: Column, form: Column, plus: int) -> Column:
 
 
 def draw(entities: DataFrame, key: str) -> DataFrame:
-    """``entities`` (kind, canon, attempt) with new, the keyed surrogate of a canonical form: of its length and kinds of characters; of names, by gender and script.
+    """``entities`` (kind, canon, role, attempt) with new, the keyed surrogate of a canonical form: of its length and kinds of characters; of names, by gender and script.
 
     The space of surrogates grows with the attempt, so that any number of entities finds distinct ones: names get a
     syllable more in each attempt, other forms a character more from attempt SAME_LENGTH on, after their head. Addresses
@@ -109,7 +144,7 @@ def draw(entities: DataFrame, key: str) -> DataFrame:
     The keyed stream and the drawn characters are columns of their own, written before they are used: within a
     lambda they would be computed again for every character.
     """
-    kind, canon, attempt, stream, drawn = (F.col(c) for c in ("kind", "canon", "attempt", "stream", "drawn"))
+    kind, canon, role, attempt, stream, drawn = (F.col(c) for c in ("kind", "canon", "role", "attempt", "stream", "drawn"))
     seed = F.concat_ws("|", F.lit(key), kind, canon, attempt.cast("string"))
     streamed = written(entities.withColumn("stream", F.concat(*[F.sha2(F.concat(seed, F.lit(f"|{i}")), 256) for i in range(4)])))
     value = lambda i: F.conv(F.substr(stream, (F.pmod(2 * i, F.lit(254)) + 1).cast("int"), F.lit(2)), 16, 10).cast("int")
@@ -139,6 +174,10 @@ def draw(entities: DataFrame, key: str) -> DataFrame:
     zeroed = F.transform(F.transform(F.sequence(F.lit(1), F.length(drawn)), lambda i: F.substr(drawn, i, F.lit(1))), lambda c, i: F.when(i == F.length(form) - 1, 0).otherwise(c.cast("int")))
     own = _luhn(F.transform(each(canon), lambda c: c.cast("int")))
     card = F.concat(F.substr(drawn, F.lit(1), F.length(drawn) - 1), F.pmod(own - _luhn(zeroed), F.lit(10)).cast("string"))
+    # an account number's check digits keep its remainder by 97, so that valid ones stay valid
+    country, own_account, account = F.substr(drawn, F.lit(1), F.lit(2)), F.concat(F.substr(canon, F.lit(5)), F.substr(canon, F.lit(1), F.lit(4))), F.substr(drawn, F.lit(5))
+    check = F.pmod(_mod97(own_account) - _mod97(F.concat(account, country, F.lit("00"))), F.lit(97))
+    iban = F.concat(country, F.lpad(F.when(check < 2, check + 97).otherwise(check).cast("string"), 2, "0"), account)
     # parts of an address keep their number of digits at first
     octet = lambda x, i: F.when(F.length(x) == 1, 1 + F.pmod(value(i), F.lit(9))).when(F.length(x) == 2, 10 + F.pmod(value(i), F.lit(90))).otherwise(100 + F.pmod(value(i), F.lit(156))).cast("string")
     wide = lambda x, i: F.when(attempt < 2, octet(x, i)).otherwise(value(i).cast("string"))
@@ -148,9 +187,9 @@ def draw(entities: DataFrame, key: str) -> DataFrame:
     grown = lambda syllables, first: F.when(attempt > 0, F.array_join(F.transform(F.sequence(F.lit(0), attempt - 1), lambda i: _pick(syllables, number(i + first))), "")).otherwise("")
     latin, cyr = (F.initcap(F.concat(*[_pick(s, number(i)) for i in range(3)], grown(s, 5))) for s in (SYLLABLES, CYRILLIC_SYLLABLES))
     more = F.when(attempt > 0, F.concat(F.lit("-"), F.initcap(F.when(cyrillic, grown(CYRILLIC_SYLLABLES, 6)).otherwise(grown(SYLLABLES, 6))))).otherwise("")
-    out = F.when(kind == "CARD", card).when(kind == "IP", ip).when(kind == "SURNAME", F.when(cyrillic, cyr).otherwise(latin))
+    out = F.when(kind == "CARD", card).when(kind == "IP", ip).when(kind == "IBAN", iban).when((kind == "NAME") & (role == "S"), F.when(cyrillic, cyr).otherwise(latin))
     for g in GIVEN:
-        out = out.when(kind == f"GIVEN_{g}", F.concat(F.when(cyrillic, _pick(CYRILLIC[g], number(0))).otherwise(_pick(GIVEN[g], number(0))), more))
+        out = out.when((kind == "NAME") & (role == g), F.concat(F.when(cyrillic, _pick(CYRILLIC[g], number(0))).otherwise(_pick(GIVEN[g], number(0))), more))
     return with_drawn.withColumn("new", out.otherwise(drawn)).drop("stream", "drawn")
 
 
@@ -168,33 +207,37 @@ def render(kind: Column, mention: Column, new: Column) -> Column:
         x = F.substr(letters, acc["i"] + 1, n)
         return F.struct(F.concat(acc["out"], F.when(takes, F.when(c.rlike(r"\p{Lu}"), F.concat(F.upper(F.substr(x, F.lit(1), F.lit(1))), F.substr(x, F.lit(2)))).otherwise(x)).otherwise(c)).alias("out"), (acc["i"] + F.when(takes, n).otherwise(0)).alias("i"))
 
-    named = kind.startswith("GIVEN") | (kind == "SURNAME")
+    named = kind.startswith("GIVEN") | kind.isin("SURNAME", "NAME")
     shouted = named & (F.upper(mention) == mention) & (F.length(mention) > 1)
     return F.when(shouted, F.upper(new)).when(named | kind.isin("IP", "KEY", "SECRET", "HAN_NAME"), new).otherwise(F.aggregate(chars, zero, step)["out"])
 
 
 def assign(entities: DataFrame, key: str) -> DataFrame:
-    """kind, canon, new: distinct surrogates for distinct entities. Those that meet another's surrogate or a real entity are drawn again, the smallest of those that meet apart."""
+    """kind, canon, new: distinct surrogates for distinct entities (kind, canon, role). Those that meet another's surrogate or a real entity are drawn again, the smallest of those that meet apart."""
     drawn = written(draw(entities.withColumn("attempt", F.lit(0)), key))
     while True:
         folded = F.lower("new")
         first = drawn.groupBy("kind", folded.alias("low")).agg(F.min("canon").alias("winner"))
         real = entities.select(F.col("kind").alias("r_kind"), F.lower("canon").alias("r_low")).distinct()
         judged = drawn.withColumn("low", folded).join(first, ["kind", "low"]).join(real, (F.col("kind") == F.col("r_kind")) & (F.col("low") == F.col("r_low")), "left")
-        judged = written(judged.select("kind", "canon", "attempt", "new", ((F.col("canon") != F.col("winner")) | F.col("r_low").isNotNull()).alias("again")))
+        judged = written(judged.select("kind", "canon", "role", "attempt", "new", ((F.col("canon") != F.col("winner")) | F.col("r_low").isNotNull()).alias("again")))
         if judged.filter("again").isEmpty():
             return judged.select("kind", "canon", "new")
-        more = draw(judged.filter("again").select("kind", "canon", (F.col("attempt") + 1).alias("attempt")), key)
-        drawn = written(judged.filter("NOT again").select("kind", "canon", "attempt", "new").unionByName(more))
+        more = draw(judged.filter("again").select("kind", "canon", "role", (F.col("attempt") + 1).alias("attempt")), key)
+        drawn = written(judged.filter("NOT again").select("kind", "canon", "role", "attempt", "new").unionByName(more))
 
 
+@tidy
 def replace_entities(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Replace every mention of personal data or a secret in ``text`` by its surrogate under ``key``.
 
     Returns ``docs`` with text replaced and a column entities (array of (kind, new) in order of the mentions,
     empty where there are none); an existing column of that name is replaced.
 
-    Null texts stay null and empty ones empty. Repeated rows stay and get equal texts. Texts without mentions
+    Names are known by a title before (Han names: after) them; the same name elsewhere in the same text is replaced
+    too, as the kind NAME, and a name has one surrogate in all texts. Names that no title tells stay.
+
+    Null texts stay null and empty ones empty; very long ones are read whole. Repeated rows stay and get equal texts. Texts without mentions
     come back byte for byte. An entity that a third of all rows mention is one row of the table of entities.
     Row order isn't kept. An empty table gives an empty result.
     """
@@ -203,15 +246,15 @@ def replace_entities(docs: DataFrame, key: str, text: str = "text") -> DataFrame
     marked = own.withColumn("_cl_marked", mark(F.col(text)))
     has = F.coalesce(F.contains("_cl_marked", F.lit(OPEN)), F.lit(False))
     plain = marked.filter(~has).drop("_cl_marked").withColumn("entities", F.array().cast(kind_of))
-    hits = written(marked.filter(has).withColumn("_cl_row", F.monotonically_increasing_id()))
+    hits = written(marked.filter(has).withColumns({"_cl_marked": _untitled(F.col("_cl_marked")), "_cl_row": F.monotonically_increasing_id()}))
 
     pieces = hits.select("_cl_row", F.posexplode(F.split("_cl_marked", f"[{OPEN}{CLOSE}]", -1)).alias("place", "piece")).filter("place % 2 = 1")
     fields = pieces.withColumn("fields", F.split("piece", SEP, -1))
     at = F.array_position(F.transform("fields", lambda x: x != ""), F.lit(True)).cast("int")
     typed = fields.withColumn("at", at).select("_cl_row", "place", F.element_at(F.array(*[F.lit(t) for t in TYPES]), F.col("at")).alias("kind"), F.element_at("fields", F.col("at")).alias("mention"))
-    mentions = written(typed.withColumn("canon", canonical(F.col("kind"), F.col("mention"))))
-    names = assign(written(mentions.groupBy("kind", "canon").agg(F.lit(1).alias("one")).drop("one")), key)
-    new = mentions.join(names, ["kind", "canon"]).select("_cl_row", F.struct("place", "kind", render(F.col("kind"), F.col("mention"), F.col("new")).alias("new")).alias("x"))
+    mentions = written(typed.withColumns({"canon": canonical(F.col("kind"), F.col("mention")), "entity": entity_kind(F.col("kind"), F.col("mention"))}))
+    names = assign(written(entities_of(mentions)), key).withColumnRenamed("kind", "entity")
+    new = mentions.join(names, ["entity", "canon"]).select("_cl_row", F.struct("place", "kind", render(F.col("kind"), F.col("mention"), F.col("new")).alias("new")).alias("x"))
     lists = new.groupBy("_cl_row").agg(F.array_sort(F.collect_list("x")).alias("_cl_new"))
     parts = F.split("_cl_marked", f"[{OPEN}{CLOSE}]", -1)
     rebuilt = F.array_join(F.transform(parts, lambda p, i: F.when(i % 2 == 1, F.get("_cl_new", F.floor(i / 2).cast("int"))["new"]).otherwise(p)), "")

@@ -1,12 +1,15 @@
 """Operators over documents against brute force, on odd cases and on an empty table."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
 
 import pytest
+import regex
+import xxhash
 from pyspark.sql import functions as F
 
 from captionlake.llm import fm, packing, pii, unigram
@@ -41,7 +44,7 @@ def brute_repeats(texts, window=200):
     return out
 
 
-@pytest.mark.parametrize("largest", [2, 20_000])
+@pytest.mark.parametrize("largest", [1, 3, 256])
 def test_repeats_match_brute_force(spark, largest):
     rows = odd_documents() + [(400, "ab" * 500, "en", "s", 0), (401, "x" * 450, "en", "s", 0), (402, "y" * 200, "en", "s", 0)]
     got = remove_repeats(documents(spark, rows), largest=largest)
@@ -98,17 +101,36 @@ def test_keep_one_leaves_one_of_each_group(spark):
     assert sum(ids[100 + i] for i in range(12)) < 12
 
 
-def test_shards_are_balanced_and_slots_gapless(spark):
-    rows = odd_documents(7) + [(9, "same " * 20, "en", "s", 0)] * 300
-    got = shard_records(documents(spark, rows), 4, cell_rows=50).collect()
-    assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == Counter((r[0], len((r[1] or "").encode()) + 1, zlib.crc32((r[1] or "").encode())) for r in rows)
-    sizes, slots = Counter(), defaultdict(list)
-    for r in got:
-        sizes[r.shard] += r.size
-        slots[r.shard].append(r.slot)
-    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
-    most = max(r.size for r in got)
-    assert max(sizes.values()) - min(sizes.values()) <= 2 * most
+def brute_shards(rows, n_shards):
+    """Records in the order of key, xxhash64 of the text, CRC and size; each goes where the middle of its bytes lies."""
+    records = []
+    for k, t, *_ in rows:
+        data = (t or "").encode()
+        h = xxhash.xxh64_intdigest(data, seed=42)
+        records.append(((k is not None, k or 0), h - (1 << 64) * (h >> 63), zlib.crc32(data), len(data) + 1, k))
+    records.sort(key=lambda r: r[:4])
+    total, at, out, first = sum(r[3] for r in records), 0, Counter(), {}
+    for i, (_, _, crc, size, k) in enumerate(records):
+        shard = min((2 * at + size) * n_shards // (2 * total), n_shards - 1)
+        out[k, size, crc, shard, i - first.setdefault(shard, i)] += 1
+        at += size
+    return out
+
+
+@pytest.mark.parametrize(("ranges", "cell_rows", "seed"), [(8, 4, 7), (256, 10_000, 8), (3, 1, 9)])
+def test_shards_match_brute_force(spark, ranges, cell_rows, seed):
+    rows = odd_documents(seed) + [(9, "same " * 20, "en", "s", 0)] * 300 + [(9, f"other {i}", "en", "s", 0) for i in range(200)]
+    got = shard_records(documents(spark, rows).repartition(5), 4, ranges=ranges, cell_rows=cell_rows).collect()
+    assert Counter((r.doc_id, r.size, r.text_crc32, r.shard, r.slot) for r in got) == brute_shards(rows, 4)
+
+
+def test_a_record_with_many_copies_is_cut(spark, monkeypatch):
+    from captionlake.llm import sharding
+
+    monkeypatch.setattr(sharding, "COPIES", 7)
+    rows = [(1, "x", "en", "s", 0)] * 100 + [(None, "x", "en", "s", 0)] * 9
+    got = shard_records(documents(spark, rows), 3).collect()
+    assert Counter((r.doc_id, r.size, r.text_crc32, r.shard, r.slot) for r in got) == brute_shards(rows, 3)
 
 
 def brute_counts(text):
@@ -221,7 +243,7 @@ def test_surrogates_keep_format_gender_and_identity(spark):
     p, q, ip = re.fullmatch(r"Call \+1 (\(\d{3}\) \d{3}-\d{4}), or \+1-(\d{3}-\d{3}-\d{4})! IP (\S+)\.", text[2]).groups()
     assert re.sub(r"\D", "", p) == re.sub(r"\D", "", q) and all(0 < int(x) < 256 for x in ip.split("."))
     given, s1, s2, s3, cyr = re.fullmatch(r"Dear Mrs\. (\S+) (\S+) and Mr\. (\S+), Dr\. (\S+); г-жа (\S+ \S+)", text[3]).groups()
-    assert given in pii.GIVEN["F"].split() and s1 == s2 == s3.title() and s3.isupper() and re.fullmatch("[а-яА-Я ]+", cyr)
+    assert given.split("-")[0] in pii.GIVEN["F"].split() and s1 == s2 == s3.title() and s3.isupper() and re.fullmatch("[а-яА-Я ]+", cyr)
     luhn = lambda d: sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d))) % 10
     c1, c2 = re.match(r"((?:\d{4} ?){4}) and (\d{16}) and \d{3}-\d{2}-\d{4}", text[4]).groups()
     assert c1.replace(" ", "") == c2 and luhn(c2) == 0 and c2 != "4111111111111111"
@@ -231,25 +253,90 @@ def test_surrogates_keep_format_gender_and_identity(spark):
 
 
 def test_colliding_surrogates_are_drawn_again(spark):
-    entities = spark.createDataFrame([("GIVEN_F", f"name{i}") for i in range(200)] + [("SURNAME", f"s{i}") for i in range(300)], "kind string, canon string")
+    entities = spark.createDataFrame([("NAME", f"name{i}", "F") for i in range(200)] + [("NAME", f"s{i}", "S") for i in range(300)], "kind string, canon string, role string")
     got = pii.assign(entities, "k").collect()
     assert len({(r.kind, r.new.lower()) for r in got}) == len(got) == 500
 
 
-def test_more_entities_than_short_forms_get_distinct_surrogates(spark):
-    kinds = {"GIVEN_N": [f"name{i}" for i in range(800)] + [f"имя{i}" for i in range(200)], "HAN_NAME": [a + b for a in pii.HAN for b in pii.HAN] + [pii.HAN[:2], "龍龍"]}
-    kinds |= {"IP": [f"{i // 1000}.{i // 100 % 10}.{i // 10 % 10}.{i % 10}" for i in range(7000)], "SECRET": ["--------", "_____/__", "++++++++"], "EMAIL": [f"{c}@{d}.de" for c in pii.ALPHABET for d in pii.ALPHABET]}
-    entities = spark.createDataFrame([(k, c) for k, v in kinds.items() for c in dict.fromkeys(v)], "kind string, canon string")
-    got = pii.assign(entities, "k").collect()
-    assert len(got) == entities.count() == len({(r.kind, r.new.lower()) for r in got})
-    assert not {(r.kind, r.new.lower()) for r in got} & {(r.kind, r.canon) for r in got}
-    cyrillic = [r.new for r in got if r.kind == "GIVEN_N" and r.canon[0] == "и"]
+def test_thousands_of_entities_of_each_type_get_distinct_surrogates(spark):
+    n = 10_000
+    kinds = {"N": [f"name{i}" for i in range(n)] + [f"имя{i}" for i in range(200)], "M": [f"mann{i}" for i in range(n)], "S": [f"sur{i}" for i in range(n)]}
+    rows = [("NAME", c, role) for role, v in kinds.items() for c in v]
+    kinds = {"HAN_NAME": [a + b for a in pii.HAN for b in pii.HAN] + [pii.HAN[:2] + chr(0x4E00 + i) for i in range(n)], "IP": [f"{i // 1000}.{i // 100 % 10}.{i // 10 % 10}.{i % 10}" for i in range(n)], "SECRET": ["--------", "_____/__", "++++++++"] + [f"{i:08d}" for i in range(n)]}
+    kinds |= {"EMAIL": [f"{c}@{d}.de" for c in pii.ALPHABET for d in pii.ALPHABET] + [f"u{i}@x.de" for i in range(n)], "CARD": [f"411111111{i:04d}" for i in range(n)], "SSN": [f"12345{i:04d}" for i in range(n)], "PHONE": [f"+1555{i:04d}" for i in range(n)], "KEY": [f"AKIA{i:016d}" for i in range(n)], "IBAN": [f"DE99{i:012d}" for i in range(n)]}
+    rows += [(k, c, None) for k, v in kinds.items() for c in dict.fromkeys(v)]
+    got = pii.assign(spark.createDataFrame(rows, "kind string, canon string, role string").repartition(4), "k").collect()
+    assert len(got) == len(rows) == len({(r.kind, r.new.lower()) for r in got})
+    assert not {(r.kind, r.new.lower()) for r in got} & {(r.kind, r.canon.lower()) for r in got}
+    cyrillic = [r.new for r in got if r.kind == "NAME" and r.canon[0] == "и"]
     assert all(re.fullmatch("[А-Яа-я]+(-[А-Я][а-я]+)?", n) for n in cyrillic) and all(r.new.endswith(".de") for r in got if r.kind == "EMAIL")
 
 
+def mod97(account):
+    return int("".join(str(int(c, 36)) for c in account[4:] + account[:4])) % 97
+
+
+def test_account_numbers_stay_valid(spark):
+    rows = [("DE89370400440532013000", 0), ("GB82WEST12345698765432", 0), ("FR1420041010050500013M02606", 0), ("DE12345678901234", 5)]
+    docs = spark.createDataFrame([(i, f"to {a} now") for i, (a, _) in enumerate(rows)], "doc_id int, text string")
+    for r in pii.replace_entities(docs, "k").collect():
+        new = re.fullmatch("to ([A-Z0-9]+) now", r.text)[1]
+        old = rows[r.doc_id][0]
+        assert new != old and new[:2] == old[:2] and len(new) == len(old) and mod97(new) == mod97(old)
+
+
+def test_names_without_a_title_are_replaced_where_the_text_has_them_with_one(spark):
+    rows = [
+        (1, "Dr. Anna Schmidt came. Schmidt spoke, then Anna; SCHMIDT's talk by Anna-Maria Schmidtke and Mrs. Anna."), (2, "Schmidt and Anna are not named here."), (3, "王伟先生来了。后来王伟走了。"),
+        (4, "Mr. Li Wei met Herr Frankel. Frankel left Li."), (5, "Sra Anna Torres"), (6, "Mr. Anna Krull"),
+    ]
+    got = {r.doc_id: r for r in pii.replace_entities(spark.createDataFrame(rows, "doc_id int, text string"), "k").collect()}
+    m = re.fullmatch(r"Dr\. (\S+) (\S+) came\. (\S+) spoke, then (\S+); (\S+)'s talk by Anna-Maria Schmidtke and Mrs\. (\S+)\.", got[1].text)
+    anna, schmidt, s2, a2, s3, a3 = m.groups()
+    assert anna == a2 == a3 and schmidt == s2 == s3.title() and s3.isupper() and "Anna" != anna.split("-")[0]
+    assert [e.kind for e in got[1].entities] == ["GIVEN_N", "SURNAME", "NAME", "NAME", "NAME", "SURNAME"]
+    assert got[2].text == rows[1][1] and not got[2].entities
+    han = re.fullmatch("(..)先生来了。后来(..)走了。", got[3].text)
+    assert han[1] == han[2] != "王伟"
+    f = re.fullmatch(r"Mr\. (\S+) (\S+) met Herr (\S+)\. (\S+) left Li\.", got[4].text)
+    assert f[3] == f[4] != "Frankel"
+    assert got[5].text.split()[1] == got[6].text.split()[1] == anna
+
+
+def test_surrogates_against_documents_with_known_entities(spark):
+    """Documents are built from known entities, so the whole result is known but for the surrogates: a one-to-one map of entities that keeps their forms."""
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choices("abcdefghij", k=n))
+    digits = lambda n: "".join(rng.choices("123456789", k=n))
+    pools = {
+        "EMAIL": [f"{word(6)}.{word(5)}@{word(7)}.org" for _ in range(30)], "SSN": [f"{digits(3)}-{digits(2)}-{digits(4)}" for _ in range(30)], "IP": [f"1{digits(2)}.2{rng.choice('01234')}{digits(1)}.{digits(2)}.{digits(1)}" for _ in range(30)],
+        "NAME": [word(8).title() for _ in range(30)], "KEY": ["AKIA" + word(16).upper() for _ in range(30)], "CARD": [f"{digits(4)} {digits(4)} {digits(4)} {digits(4)}" for _ in range(30)],
+    }
+    lead = {"NAME": "Mrs. "}
+    form = {"EMAIL": r"[a-z]+\.[a-z]+@[a-z]+\.org", "SSN": r"\d{3}-\d\d-\d{4}", "IP": r"\d{1,3}(?:\.\d{1,3}){3}", "NAME": r"\p{Lu}[\p{L}\-]+", "KEY": "AKIA[A-Z0-9]{16}", "CARD": r"\d{4}(?: \d{4}){3}"}
+    built = []
+    for i in range(200):
+        parts = []
+        for _ in range(rng.randint(0, 6)):
+            kind = rng.choice(list(pools))
+            parts += [(None, " ".join(word(5) for _ in range(rng.randint(1, 6))) + ", " + lead.get(kind, "")), (kind, rng.choice(pools[kind])), (None, ". ")]
+        parts.append((None, word(5)))
+        built.append((i, parts))
+    docs = spark.createDataFrame([(i, "".join(x for _, x in parts)) for i, parts in built], "doc_id int, text string")
+    text, map_ = {r.doc_id: r.text for r in pii.replace_entities(docs, "secret").collect()}, {}
+    for i, parts in built:
+        pattern = "".join(regex.escape(x) if kind is None else f"({form[kind]})" for kind, x in parts)
+        m = regex.fullmatch(pattern, text[i])
+        assert m, text[i]
+        for (kind, old), new in zip([p for p in parts if p[0]], m.groups(), strict=True):
+            assert map_.setdefault((kind, old), new) == new != old
+    assert len({(kind, new) for (kind, _), new in map_.items()}) == len(map_)
+    assert not {new for new in map_.values()} & {old for _, old in map_}
+
+
 def test_longer_surrogates_keep_the_format_of_mentions(spark):
     rows = [("PHONE", "+1 (017) 555-7713", "+10175557713"), ("PHONE", "017-555-7713", "0175557713"), ("CARD", "4111 1111 1111 1111", "4111111111111111"), ("EMAIL", "Bob.S@X.com", "bob.s@x.com"), ("SSN", "123-45-6789", "123456789"), ("IBAN", "DE12 3456 7890 1234", "DE12345678901234"), ("IP", "1.2.3.4", "1.2.3.4")]
-    entities = spark.createDataFrame([(*r, 5) for r in rows], "kind string, mention string, canon string, attempt int")
+    entities = spark.createDataFrame([(*r, None, 5) for r in rows], "kind string, mention string, canon string, role string, attempt int")
     got = {r.mention: r.x for r in pii.draw(entities, "k").withColumn("x", pii.render(*map(F.col, ("kind", "mention", "new")))).collect()}
     forms = [r"\+1 \(\d{6}\) \d{3}-\d{4}", r"\d{6}-\d{3}-\d{4}", r"4\d{6} \d{4} \d{4} \d{4}", r"[A-Z][a-z]{5}\.[A-Z]@[A-Z]\.com", r"\d{6}-\d\d-\d{4}", r"DE\d{5} \d{4} \d{4} \d{4}", r"\d+\.\d+\.\d+\.\d+"]
     assert all(re.fullmatch(f, got[m]) for f, (_, m, _) in zip(forms, rows, strict=True)), got
