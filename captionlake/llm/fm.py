@@ -105,10 +105,15 @@ def is_held_out(key: str = "doc_id") -> Column:
 
 
 def fit_on_labels(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> Model:
-    """Fit on about ``sample`` labelled rows (2 * ``sample`` at most) drawn by a hash of their key, none of them held out. Null labels and unlabelled rows take no part; without any, all scores are 0.5."""
+    """Fit on ``sample`` labels at most, the least by a hash of their key, none of them held out.
+
+    Null labels and unlabelled rows take no part; without any, all scores are 0.5. Where rows repeat a key, 2 * ``sample``
+    rows at most take part, the least by key and features, so the model is the same for the same rows. Keys are of any
+    type that can be ordered. Null, empty and very long texts are texts like any other; an empty table gives the model
+    without labels.
+    """
     known = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull() & ~is_held_out(key)).select(F.col(key).alias("k"), F.col(label).cast("float").alias("y"))
-    n = known.count()
-    drawn = known.filter(F.pmod(F.xxhash64("k", F.lit("fit")), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / max(n, 1)))).limit(2 * sample)
+    drawn = known.orderBy(F.xxhash64("k", F.lit("fit")), "k", "y").limit(sample)
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -117,14 +122,18 @@ def fit_on_labels(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
                 yield pd.DataFrame({"k": c["k"], "x": [features(t).astype("<f2").tobytes() for t in c["t"]], "y": c["y"]})
 
     joined = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(drawn), "k")
-    rows = joined.mapInPandas(vectors, "k long, x binary, y float").limit(2 * sample).collect()
-    rows.sort(key=lambda r: (r["k"], r["x"]))
+    kind = docs.schema[key].dataType.simpleString()
+    rows = joined.mapInPandas(vectors, f"k {kind}, x binary, y float").orderBy("k", "x", "y").limit(2 * sample).collect()
     x = np.array([np.frombuffer(r["x"], "<f2") for r in rows], "float32").reshape(len(rows), N_FEATURES)
     return fit(x, np.array([r["y"] for r in rows], "float32"))
 
 
 def score_documents(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with a column score (0 to 1) from the text alone. Null and empty texts have the score of a text without words; repeated rows score alike and all stay. An existing column score is replaced."""
+    """``docs`` with a column score (0 to 1) from the text alone.
+
+    Null and empty texts have the score of a text without words; very long ones are hashed whole, in slices. Repeated rows
+    score alike and all stay. An existing column score is replaced. An empty table gives an empty result.
+    """
     held = docs.sparkSession.sparkContext.broadcast((model.w0, model.w, model.v))
     kept = docs.drop("score")
 
