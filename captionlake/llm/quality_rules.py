@@ -17,7 +17,7 @@ BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 #: Rule -> (numerator, scale, least margin beyond the quartile). Values are scale * numerator / n_words.
 RULES = {"word_length": ("word_chars", 100, 150), "symbols": ("n_symbols", 1000, 100), "dup_lines": ("n_dup_lines", 1000, 50), "repeats": ("n_repeat_words", 1000, 300)}
-#: Fence: q75 + SPREAD * (q75 - q25) + margin. Groups of fewer than LEAST documents take the sketch merged over their language.
+#: Fence: q75 + SPREAD * (q75 - q25) + margin. Groups of fewer than LEAST documents take the sketch merged over their language, small languages that of all.
 SPREAD, LEAST = 3, 100
 SALTS = 16
 
@@ -83,13 +83,15 @@ def quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
 
 
 @tidy
-def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", spread: int = SPREAD, least: int = LEAST) -> DataFrame:
     """Judge every document: fixed base rules, then fences that adapt to its language and source.
 
     Returns key, the counts of document_counts(), base_failed (fewer than 50 words, or more than half of the
-    words in repeated 3-word windows), failed_rules (names of rules whose value is beyond its fence) and kept.
+    words in repeated 3-word windows), failed_rules (names of rules whose value is beyond its fence), fence_level
+    (source, lang or all: whose sketch gave the fences; null where no document of the group passes the base rules)
+    and kept. ``spread`` and ``least`` are SPREAD and LEAST.
     Fences are learnt from the documents that pass the base rules. Null languages and sources are groups of
-    their own. Null and empty texts fail the base rules. Repeated rows are judged alike and all returned.
+    their own. Null and empty texts fail the base rules; very long ones are counted whole. Repeated rows are judged alike and all returned.
     Extra columns are not read; an empty table gives an empty result.
     """
     slim = document_counts(docs.select(F.col(key).alias("_cl_key"), "lang", "source", F.col(text).alias("_cl_text")), "_cl_text").drop("_cl_text")
@@ -102,16 +104,17 @@ def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     lang = lang.select(F.col("lang").alias("l_lang"), F.col("rule").alias("l_rule"), F.struct("q25", "q75", "n").alias("l"))
     every = every.select(F.col("rule").alias("e_rule"), F.struct("q25", "q75", "n").alias("e"))  # a row for each rule
     joined = group.join(lang, F.col("lang").eqNullSafe(F.col("l_lang")) & (F.col("rule") == F.col("l_rule"))).join(F.broadcast(every), F.col("rule") == F.col("e_rule"))
-    use = F.when(F.col("k.n") >= LEAST, F.col("k")).when(F.col("l.n") >= LEAST, F.col("l")).otherwise(F.col("e"))
+    by = lambda k, l, e: F.when(F.col("k.n") >= least, k).when(F.col("l.n") >= least, l).otherwise(e)
+    use, level = by(F.col("k"), F.col("l"), F.col("e")), by(F.lit("source"), F.lit("lang"), F.lit("all"))
     margin = F.create_map(*[F.lit(x) for r, (_, _, m) in RULES.items() for x in (r, m)])
-    fence = use["q75"] + SPREAD * (use["q75"] - use["q25"]) + F.element_at(margin, F.col("rule"))
-    fences = joined.select("lang", "source", "rule", fence.alias("fence")).groupBy("lang", "source").agg(F.map_from_entries(F.collect_list(F.struct("rule", "fence"))).alias("fences"))
+    fence = use["q75"] + spread * (use["q75"] - use["q25"]) + F.element_at(margin, F.col("rule"))
+    fences = joined.select("lang", "source", "rule", fence.alias("fence"), level.alias("level")).groupBy("lang", "source").agg(F.max("level").alias("fence_level"), F.map_from_entries(F.collect_list(F.struct("rule", "fence"))).alias("fences"))
     # one source may hold a third of all rows: both sides carry a salt
-    right = fences.select(F.col("lang").alias("f_lang"), F.col("source").alias("f_source"), "fences", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("f_salt"))
+    right = fences.select(F.col("lang").alias("f_lang"), F.col("source").alias("f_source"), "fences", "fence_level", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("f_salt"))
     left = counts.withColumn("salt", F.pmod(F.xxhash64("_cl_key", "n_words", "word_chars"), F.lit(SALTS)).cast("int"))
     both = left.join(right, F.col("lang").eqNullSafe(F.col("f_lang")) & F.col("source").eqNullSafe(F.col("f_source")) & (F.col("salt") == F.col("f_salt")), "left")
     broken = F.filter(F.array(*[F.when(v > F.element_at("fences", F.lit(r)), F.lit(r)) for r, v in rule_values().items()]), lambda x: x.isNotNull())
     return both.withColumn("failed_rules", F.when(F.col("base_failed"), F.array().cast("array<string>")).otherwise(broken)).select(
-        F.col("_cl_key").alias(key), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "failed_rules",
+        F.col("_cl_key").alias(key), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "failed_rules", "fence_level",
         (~F.col("base_failed") & (F.size("failed_rules") == 0)).alias("kept"),
     )

@@ -130,12 +130,12 @@ q AS (
   SELECT lang, source, rule, count(*) AS n, quantile_disc(f, 0.25) AS q25, quantile_disc(f, 0.75) AS q75, any_value(margin) AS margin, GROUPING(lang) AS gl, GROUPING(source) AS gs
   FROM low WHERE NOT base_failed GROUP BY GROUPING SETS ((lang, source, rule), (lang, rule), (rule))),
 fence AS (
-  SELECT k.lang, k.source, k.rule, CASE WHEN k.n >= 100 THEN k.q75 + 3 * (k.q75 - k.q25) WHEN l.n >= 100 THEN l.q75 + 3 * (l.q75 - l.q25) ELSE e.q75 + 3 * (e.q75 - e.q25) END + k.margin AS fence
+  SELECT k.lang, k.source, k.rule, CASE WHEN k.n >= 100 THEN 'source' WHEN l.n >= 100 THEN 'lang' ELSE 'all' END AS level, CASE WHEN k.n >= 100 THEN k.q75 + 3 * (k.q75 - k.q25) WHEN l.n >= 100 THEN l.q75 + 3 * (l.q75 - l.q25) ELSE e.q75 + 3 * (e.q75 - e.q25) END + k.margin AS fence
   FROM q k JOIN q l ON k.gs = 0 AND l.gs = 1 AND l.gl = 0 AND k.lang IS NOT DISTINCT FROM l.lang AND k.rule = l.rule JOIN q e ON e.gl = 1 AND k.rule = e.rule),
 bad AS (SELECT low.doc_id, list(low.rule ORDER BY CASE low.rule WHEN 'word_length' THEN 1 WHEN 'symbols' THEN 2 WHEN 'dup_lines' THEN 3 ELSE 4 END) AS rules
   FROM low JOIN fence ON low.lang IS NOT DISTINCT FROM fence.lang AND low.source IS NOT DISTINCT FROM fence.source AND low.rule = fence.rule WHERE NOT base_failed AND v > fence.fence GROUP BY low.doc_id)
-SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, coalesce(bad.rules, []::VARCHAR[]) AS failed_rules, NOT base_failed AND bad.rules IS NULL AS kept
-FROM f LEFT JOIN bad USING (doc_id)
+SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, coalesce(bad.rules, []::VARCHAR[]) AS failed_rules, level AS fence_level, NOT base_failed AND bad.rules IS NULL AS kept
+FROM f LEFT JOIN bad USING (doc_id) LEFT JOIN (SELECT DISTINCT lang, source, level FROM fence) x ON f.lang IS NOT DISTINCT FROM x.lang AND f.source IS NOT DISTINCT FROM x.source
 """
 
 
