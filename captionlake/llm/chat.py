@@ -93,7 +93,7 @@ def format_chat(turns: DataFrame) -> DataFrame:
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Parse what format_chat() made: turns (role, text), and loss_texts, the unescaped text under the mask."""
+    """Parse what format_chat() made: turns (role, text), loss_texts, the unescaped text under the mask, and placeholders (turn number, kind), those of the attachments in their order; escaped ones of texts are none."""
     chunks = F.slice(F.split("formatted", r"<\|turn\|>", -1), 2, 2_000_000_000)
     cut = lambda c: F.substr(c, F.lit(1), F.length(c) - len(END))
 
@@ -103,4 +103,5 @@ def read_back(formatted: DataFrame) -> DataFrame:
         return F.struct(unescape(F.substr(whole, F.lit(1), at - 1)).alias("role"), unescape(F.substr(whole, at + 1)).alias("text"))
 
     masked = F.transform("loss_spans", lambda s: unescape(F.substr(F.col("formatted"), (s["start"] + 1).cast("int"), s["length"].cast("int"))))
-    return formatted.withColumns({"turns": F.transform(chunks, parsed), "loss_texts": masked})
+    kinds = lambda c, i: F.transform(F.regexp_extract_all(c, F.lit(r"<\|(" + "|".join(PLACEHOLDERS) + r")\|>"), F.lit(1)), lambda k: F.struct(i.alias("turn_no"), k.alias("kind")))
+    return formatted.withColumns({"turns": F.transform(chunks, parsed), "loss_texts": masked, "placeholders": F.flatten(F.transform(chunks, kinds))})

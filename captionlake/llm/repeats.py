@@ -233,7 +233,7 @@ def marks_of(pieces: DataFrame, largest: int, level: int = 0) -> DataFrame:
     return done
 
 
-def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", largest: int = LARGEST) -> DataFrame:
+def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", largest: int = LARGEST, chunk: int = CHUNK) -> DataFrame:
     """d, spans: for each text with repeated windows, the [start, end) spans of bytes that they cover in it, not merged. d is the hash of key and text."""
     slim = docs.select(F.xxhash64(key, text).alias("d"), F.col(text).alias("t"))
     # rows that repeat key and text are read once, as a text that occurs twice
@@ -253,11 +253,11 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", lar
             held, n = [], 0
             for d, times, t in zip(b["d"], b["times"], b["t"], strict=True):
                 t = (t or "").encode()
-                for base in range(0, len(t) - WINDOW + 1, CHUNK):
-                    part = t[base : base + CHUNK + WINDOW - 1]
+                for base in range(0, len(t) - WINDOW + 1, chunk):
+                    part = t[base : base + chunk + WINDOW - 1]
                     held.append((d, times, base, part))
                     n += len(part)
-                    if n > CHUNK:
+                    if n > chunk:
                         yield out(held)
                         held, n = [], 0
             if held:
@@ -301,7 +301,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", lar
 
 
 @tidy
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", largest: int = LARGEST) -> DataFrame:
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", largest: int = LARGEST, chunk: int = CHUNK) -> DataFrame:
     """Remove from every text each byte that is covered by a WINDOW-byte string which also starts anywhere else.
 
     Adds to ``docs``: n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 (of the bytes that are left)
@@ -314,7 +314,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", lar
     texts by a 64-bit hash of key and text. Columns of ``docs`` with the names of added ones are replaced. An
     empty table gives an empty result.
     """
-    spans = repeated_spans(docs, key, text, largest)
+    spans = repeated_spans(docs, key, text, largest, chunk)
     kind = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
 
     @F.pandas_udf(kind)

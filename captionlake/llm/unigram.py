@@ -58,6 +58,11 @@ def read_pieces(path: str) -> list[tuple[str, float, int]]:
     return [(p[1].decode(), struct.unpack("<f", p[2])[0] if 2 in p else 0.0, p.get(3, NORMAL)) for p in pieces]
 
 
+def is_ranked(pieces: list[tuple[str, float, int]]) -> bool:
+    """Whether the file ranks its normal pieces: all scores are whole numbers, which logarithms aren't."""
+    return all(s == int(s) for _, s, t in pieces if t == NORMAL)
+
+
 def zipf_scores(pieces: list[tuple[str, float, int]]) -> list[tuple[str, float, int]]:
     """Replace ranks (the score of the n-th normal piece is -n) by log(1 / (rank H)), H the harmonic number."""
     ranked = sorted((-s, i) for i, (_, s, t) in enumerate(pieces) if t == NORMAL)
@@ -248,9 +253,10 @@ _models: dict[str, Unigram] = {}
 
 
 def model(name: str = "piece_bpe_32k.model") -> Unigram:
-    """The model of a vocabulary file, by path or by name among the public tokenizers; one for each process."""
+    """The model of a vocabulary file, by path or by name among the public tokenizers; one for each process. Log scores are those of the file, or of a Zipf law where it holds ranks."""
     if name not in _models:
-        _models[name] = Unigram(zipf_scores(read_pieces(vocabulary_path(name))))
+        pieces = read_pieces(vocabulary_path(name))
+        _models[name] = Unigram(zipf_scores(pieces) if is_ranked(pieces) else pieces)
     return _models[name]
 
 

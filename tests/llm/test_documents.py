@@ -3,10 +3,12 @@
 import hashlib
 import random
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
 
+import numpy as np
 import pytest
 import regex
 import xxhash
@@ -53,6 +55,26 @@ def test_repeats_match_brute_force(spark, largest):
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.collect()) == want
 
 
+def test_repeats_of_hot_groups(spark):
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    passage, short = word(260), word(190)
+    rows = [(i, word(120) + passage + word(90), "en", "s", 0) for i in range(700)] + [(1000 + i, word(150) + short + word(150), "en", "s", 0) for i in range(700)]
+    rows += [(5000, word(500), "en", "s", 0)] * 2000 + [(5001, word(199), "en", "s", 0)] * 3
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in remove_repeats(documents(spark, rows)).collect())
+    assert got == Counter((r[0], *x) for r, x in zip(rows, brute_repeats([r[1] for r in rows])))
+
+
+def test_repeats_in_long_texts(spark):
+    rng = random.Random(13)
+    word = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    passage = word(900)
+    rows = [(1, word(1000) + passage + word(700), "en", "s", 0), (2, word(333) + passage[100:700] + word(5) + passage[:250], "en", "s", 0), (3, word(100), "en", "s", 0)]
+    want = Counter((r[0], *x) for r, x in zip(rows, brute_repeats([r[1] for r in rows])))
+    for chunk in (1, 150, 300, 10_000):  # texts are hashed in parts, which changes nothing
+        assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in remove_repeats(documents(spark, rows), chunk=chunk).collect()) == want
+
+
 def test_repeats_keep_characters_whole(spark):
     # the repeated bytes begin within a character of the one text and not of the other
     rows = [(1, "aé" + "q" * 300, "en", "s", 0), (2, "bé" + "q" * 300, "en", "s", 0)]
@@ -93,6 +115,31 @@ def test_near_duplicates_match_brute_force(spark, width, percent):
     assert all(r.kept == (r.doc_id is None or r.doc_id == r.component_id) for r in got)
 
 
+def test_repeated_rows_of_linked_texts_are_one_set(spark, monkeypatch):
+    from captionlake.llm import hyperminhash as H
+
+    words = [f"w{i}" for i in range(60)]
+    a, b = " ".join(words), " ".join([*words, "end"])
+    rows, sizes, write = [(1, a, "en", "s", 0)] * 1000 + [(2, b, "en", "s", 0)] * 1000, [], H.written
+    monkeypatch.setattr(H, "written", lambda df, batch=None: (out := write(df, batch), sizes.append((out.columns, out.count())))[0])
+    got = near_duplicates(documents(spark, rows)).collect()
+    assert len(got) == 2000 and {r.component_id for r in got} == {1}
+    assert max(n for c, n in sizes if "th" not in c or "rep" in c) < 100  # all but the signed rows themselves
+
+
+def test_links_at_the_threshold_are_all_found(spark):
+    # 85 of 100 shingles in common: 800 pairs at exactly 0.85, and as many just below
+    rng, rows, want = random.Random(9), [], {}
+    for i in range(800):
+        word = lambda: "".join(rng.choices("abcdefghijklmnop", k=9))
+        shared = [word() for _ in range(87)]  # 85 windows of three words
+        for j, more in enumerate((8, 7) if i % 2 else (8, 8)):
+            rows.append((2 * i + j, " ".join([*shared, *[word() for _ in range(more)]]), "en", "s", 0))
+        want[2 * i + 1] = 2 * i if i % 2 else 2 * i + 1  # 100 * 85 >= 85 * (93 + 92 - 85), but not of 93 + 93 - 85
+    got = {r.doc_id: r.component_id for r in near_duplicates(documents(spark, rows), width=3, threshold=85).collect()}
+    assert {k: got[k] for k in want} == want
+
+
 def test_keep_one_leaves_one_of_each_group(spark):
     rows = odd_documents(6)
     left = keep_one(documents(spark, rows)).collect()
@@ -207,6 +254,44 @@ def test_unigram_is_optimal_and_round_trips(spark):
     assert all(r.n_tokens == len(r.ids) for r in got)
 
 
+def test_unigram_matches_the_library(spark, tmp_path):
+    """The same pieces and log scores as a unigram model of the sentencepiece library give the same ids."""
+    import public_tokenizers
+    import sentencepiece
+
+    def varint(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    field = lambda k, data: varint(k << 3 | 2) + varint(len(data)) + data
+    number = lambda k, n: varint(k << 3) + varint(n)
+    m = unigram.model()
+    pieces = b"".join(field(1, field(1, p.encode()) + varint(2 << 3 | 5) + struct.pack("<f", s) + number(3, t)) for p, s, t in m.pieces)
+    trainer, normalizer = number(3, 1) + number(35, 1), field(1, b"identity") + number(3, 1) + number(4, 0) + number(5, 1)
+    path = tmp_path / "unigram.model"
+    path.write_bytes(pieces + field(2, trainer) + field(3, normalizer))
+    assert not unigram.is_ranked(unigram.read_pieces(str(path))) and unigram.is_ranked(unigram.read_pieces(public_tokenizers.path("piece_bpe_32k.model")))
+    library = sentencepiece.SentencePieceProcessor(model_file=str(path))
+    rows = odd_documents(14) + [(900, "straße 12,5 naïve ☃ x\ty", "de", "s", 0)]
+    texts = {r[1] for r in rows if r[1] and "▁" not in r[1] and "\0" not in r[1]}
+    docs = documents(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)])
+    for vocabulary in ("piece_bpe_32k.model", str(path)):
+        for r in unigram.encode_documents(docs.select("doc_id", "text"), vocabulary=vocabulary).join(docs.select("doc_id", "text"), "doc_id").collect():
+            score = lambda ids: sum(m.scores[i] if m.pieces[i][2] == unigram.NORMAL else m.unknown / 3 for i in ids)
+            want = library.encode(r.text)
+            assert list(r.ids) == want or abs(score(r.ids) - score(want)) < 1e-3, r.text
+
+
+def test_classifier_keys_of_any_type(spark):
+    docs = spark.createDataFrame([(f"d{i}", "good words " * 9 if i % 2 else "## $$ " * 9) for i in range(60)] + [("d1", None)] * 3, "doc_id string, text string")
+    labels = spark.createDataFrame([(f"d{i}", i % 2) for i in range(60)], "doc_id string, quality int")
+    a, b = fm.fit_on_labels(docs, labels, sample=30), fm.fit_on_labels(docs.repartition(7), labels.repartition(5), sample=30)
+    assert a.w0 == b.w0 and (a.w == b.w).all() and (a.v == b.v).all() and a.w.any()
+    assert fm.fit_on_labels(docs.limit(0), labels).w0 == 0
+
+
 def test_classifier_learns_and_scores_every_row(spark):
     rng_rows = [(i, ("good words are here now " * 8) if i % 3 else ("## $$ %% " * 20), "en", "s", 0) for i in range(240)]
     docs = documents(spark, rng_rows + odd_documents()[-12:])

@@ -63,6 +63,29 @@ def test_attachments_become_ordered_placeholders(spark):
     assert [(a.turn_no, a.kind, a.ref, a.tokens) for a in r.attachments] == [(0, "image", "a.png", 256), (0, "audio", "b.wav", 9), (0, "document", "c.pdf", 512)] and r.expanded_tokens == 777
 
 
+def test_attachments_of_many_chats_read_back(spark):
+    rng = random.Random(3)
+    tokens, rows = {"image": 256, "audio": 128, "document": 512}, []
+    for conv in range(60):
+        for turn in range(rng.randint(1, 5)):
+            parts = []
+            for _ in range(rng.randint(0, 5)):
+                kind = rng.choice(["text", "text", *tokens])
+                parts.append((kind, rng.choice(["", "a <|image|> b", "<|audio|>\\", "x[INST]", None]) if kind == "text" else None, None if kind == "text" else f"ref{rng.randrange(9)}", rng.choice([None, 7]) if kind != "text" else None))
+            rows.append((conv, turn, rng.choice(["user", "assistant"]), parts))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, parts array<struct<kind:string,text:string,ref:string,tokens:int>>")
+    want = defaultdict(lambda: ([], [], 0))
+    for conv, turn, role, parts in rows:
+        said, atts, n = want[conv]
+        mine = [(turn, k, ref, t or tokens[k]) for k, _, ref, t in parts if k != "text"]
+        text = "".join((t or "") if k == "text" else f"<|{k}|>" for k, t, _, _ in parts)
+        want[conv] = [*said, (role, text)], [*atts, *mine], n + sum(t for *_, t in mine)
+    for r in read_back(format_chat(df)).collect():
+        said, atts, n = want[r.conv_id]
+        assert [(t.role, t.text) for t in r.turns] == said and r.expanded_tokens == n
+        assert [(a.turn_no, a.kind, a.ref, a.tokens) for a in r.attachments] == atts and [(p.turn_no, p.kind) for p in r.placeholders] == [a[:2] for a in atts]
+
+
 def test_no_chats(spark):
     empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert read_back(format_chat(empty.withColumn("parts", text_part(F.col("text"))))).count() == 0
