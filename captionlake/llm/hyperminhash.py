@@ -156,9 +156,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     shared = written(bands.groupBy("band").agg(F.count("*").alias("many"), F.min(F.struct("order", "rep", "n")).alias("p")).filter("many > 1").select("band", F.col("p.rep").alias("pivot"), F.col("p.n").alias("n_pivot")))
     members = written(bands.select("rep", "n", "i", "band").join(shared, "band"))
 
+    # registers and bitmaps travel only for those that share a band
+    banded = written(reps.select("rep", "n", "regs").join(written(members.select("rep").distinct()), "rep", "left_semi"))
+
     def with_registers(pairs: DataFrame) -> DataFrame:
         for x in ("a", "b"):
-            pairs = pairs.join(reps.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("regs").alias(f"regs_{x}")), x)
+            pairs = pairs.join(banded.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("regs").alias(f"regs_{x}")), x)
         return pairs
 
     def possible(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -221,7 +224,6 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     open_bands = written(per.groupBy("band").agg(F.count("*").alias("comps"), F.max_by("comp", F.struct("n", "comp")).alias("main")).filter("comps > 1").select("band", "main"))
     opened = written(placed.join(open_bands, "band").select("band", "i", "rep", "comp", "size", (F.col("comp") != F.col("main")).alias("outside")))
     blocks = written(opened.groupBy("band", "size").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"), F.ceil(F.count_if("outside") / BLOCK).cast("int").alias("nl")))
-    what = reps.select("rep", "n", "regs")
 
     def side(left: bool) -> DataFrame:
         """One side of the comparisons, with the key of each pair of blocks in which it takes part: block l of the outside members of a size with block b of all members of a size beside it."""
@@ -231,7 +233,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
         x = x.join(blocks.select("band", F.col("size").alias("s2"), F.col(other).alias("n_other")).filter("n_other > 0"), ["band", "s2"])
         x = x.withColumn("mine", F.pmod(F.xxhash64("rep", F.lit(own)), F.col("n_own"))).withColumn("theirs", F.explode(F.sequence(F.lit(0), F.col("n_other") - 1)))
         cell = ("size", "s2", "mine", "theirs") if left else ("s2", "size", "theirs", "mine")
-        return x.select(F.xxhash64("band", *[F.col(c).cast("long") for c in cell]).alias("g"), F.lit(left).alias("left"), "i", "rep", "comp").join(what, "rep").select("g", "left", "i", "rep", "comp", "n", "regs")
+        return x.select(F.xxhash64("band", *[F.col(c).cast("long") for c in cell]).alias("g"), F.lit(left).alias("left"), "i", "rep", "comp")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows come sorted by g; a pair of blocks has some hundred rows."""
@@ -266,9 +268,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
             x, y = rep[np.concatenate(xs)], rep[np.concatenate(ys)]
             yield pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)}).drop_duplicates()
 
-    dealt = side(True).unionByName(side(False)).repartition("g").sortWithinPartitions("g")
+    dealt = side(True).unionByName(side(False)).join(banded, "rep").repartition("g").sortWithinPartitions("g")
     more = written(dealt.mapInPandas(compare, f"a {kind}, b {kind}").distinct().join(star.filter(F.col("j") >= least).select("a", "b"), ["a", "b"], "left_anti").unionByName(apart(star.filter(F.col("j") < least).select("a", "b"), found)).distinct(), 4096)
-    drop_written(placed, open_bands, opened, blocks, members, shared, star)
+    drop_written(placed, open_bands, opened, blocks, members, banded, shared, star)
     if not more.isEmpty():
         links = links.unionByName(confirmed(more))
         found = connected_components(links)
