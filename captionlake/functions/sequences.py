@@ -43,7 +43,8 @@ def rewrite(aliases: dict[str, str], passes: int = 8):
 
 
 #: Characters that may not begin or end a line.
-NOT_FIRST, NOT_LAST = "、。，．！？）」』】〉》ー)]}.,!?", "（「『【〈《([{"
+NOT_FIRST = "、。，．・？！ゝゞー」』）】ぁぃぅぇぉっゃゅょゎゕゖァィゥェォッャュョヮヵヶ〃々〻ヽヾｧｨｩｪｫｬｭｮｯｰ" + "".join(map(chr, range(0x31F0, 0x3200))) + ")]}.,!?"
+NOT_LAST = "「『（【〈《〔〖〘〚([{"
 
 
 def break_lines(width: int, lines: int = 2):
@@ -93,23 +94,22 @@ def longest_first(text: Column, terms: list[str], most: int = 8):
 
 
 def has_loop(text: Column, least: int = 3, share: float = 0.4) -> Column:
-    """Whether a unit of 1 to 12 characters is repeated ``least`` times or more and makes up that share of the text."""
-    found = [F.length(F.regexp_extract(text, rf"(.{{{n}}})\1{{{least - 1},}}", 0)) for n in range(1, 13)]
-    return F.greatest(*found) >= share * F.greatest(F.length(text), F.lit(1))
+    """Whether a unit of 1 to 12 characters is repeated ``least`` times or more in a row and the run makes up that share of the text without white space, six characters at least. All runs of each unit length are looked at."""
+    t = F.regexp_replace(text, r"\s", "")
+    runs = F.flatten(F.array(*[F.regexp_extract_all(t, F.lit(rf"(?s)((.{{{n}}})\2{{{least - 1},}})"), F.lit(1)) for n in range(1, 13)]))
+    longest = F.aggregate(runs, F.lit(0), lambda a, x: F.greatest(a, F.length(x)))
+    return F.coalesce(longest >= F.greatest(F.lit(6.0), share * F.length(t)), F.lit(False))
 
 
-def smoothed_floor(levels: Column, least: float = 1e-4) -> Column:
-    """A noise floor that follows an array of levels: fast down (0.7, 0.3), slowly up (0.995, 0.005)."""
-    step = lambda f, x: F.greatest(F.when(x < f, 0.7 * f + 0.3 * x).otherwise(0.995 * f + 0.005 * x), F.lit(least))
-    return F.aggregate(levels, F.coalesce(F.get(levels, 0), F.lit(least)), step)
+#: How fast a noise floor falls and rises, its least value, and from which level on a frame is speech.
+FALL, RISE, LEAST_FLOOR, SPEECH_FLOOR, SPEECH_RATIO = (0.7, 0.3), (0.995, 0.005), 1e-4, 0.008, 3.0
 
 
-def queue_end(jobs: Column) -> Column:
-    """When a serial worker is done with jobs (array of (due, cost) in order of due): a job starts when it is due and the one before is done."""
-    zero = F.struct(F.lit(0).cast("long").alias("done"), F.lit(0).cast("long").alias("lag"))
+def smoothed_floor(levels: Column, speech_floor: float = SPEECH_FLOOR, ratio: float = SPEECH_RATIO) -> Column:
+    """A noise floor that follows an array of levels: fast down, slowly up, and not up where the level is speech, at ``ratio`` times the floor and ``speech_floor`` or more."""
 
-    def step(s: Column, j: Column) -> Column:
-        done = F.greatest(s["done"], j["due"]) + j["cost"]
-        return F.struct(done.alias("done"), F.greatest(s["lag"], done - j["due"]).alias("lag"))
+    def step(f: Column, x: Column) -> Column:
+        speech = x >= F.greatest(F.lit(speech_floor), f * ratio)
+        return F.greatest(F.when(x < f, FALL[0] * f + FALL[1] * x).when(speech, f).otherwise(RISE[0] * f + RISE[1] * x), F.lit(LEAST_FLOOR))
 
-    return F.aggregate(jobs, zero, step)
+    return F.aggregate(levels, F.lit(speech_floor), step)

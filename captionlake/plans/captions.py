@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sequences as Q
 from ..functions import text as X
+from ..operators import folds
 from ..operators.windows import islands
 from ..registry import query
 from ..sources.tables import events, table
@@ -24,12 +25,12 @@ def in_session():
 
 
 @query("W02 F14 A22", f"""WITH c AS ({CUES}), d AS (SELECT role, (length(text) - 0.5 * length(regexp_replace(text, '[^\\x00-\\x7f]', '', 'g'))) / (coalesce(t1 - t0, lead(t0) OVER (PARTITION BY conv_id ORDER BY turn) - t0, 3000) / 1000.0) AS cps FROM c)
-SELECT role, count(*) AS n, count(*) FILTER (cps > 17) AS fast, round(max(cps), 6) AS max FROM d GROUP BY 1""")
+SELECT role, count(*) AS n, count(*) FILTER (cps > 17) AS fast, round(max(cps), 6) AS max, round(quantile_cont(cps, 0.5), 6) AS p50, round(quantile_cont(cps, 0.9), 6) AS p90 FROM d GROUP BY 1""")
 def reading_speed(spark, sf_dir) -> DataFrame:
     """A cue lasts to its end, else to the next one's start, else three seconds."""
     lasts = F.coalesce(F.col("t1") - F.col("t0"), F.lead("t0").over(in_session()) - F.col("t0"), F.lit(3000))
     c = cues(spark, sf_dir).withColumn("cps", X.half_width(F.col("text")) / (lasts / 1000.0))
-    return c.groupBy("role").agg(F.count("*").alias("n"), F.count_if(F.col("cps") > 17).alias("fast"), F.round(F.max("cps"), 6).alias("max"))
+    return c.groupBy("role").agg(F.count("*").alias("n"), F.count_if(F.col("cps") > 17).alias("fast"), F.round(F.max("cps"), 6).alias("max"), *[F.round(F.percentile("cps", q), 6).alias(n) for n, q in (("p50", 0.5), ("p90", 0.9))])
 
 
 @query("W03 F30", f"""WITH c AS ({CUES}), l AS (SELECT *, lag(coalesce(t1, t0 + 3000)) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM c)
@@ -59,7 +60,7 @@ def islands_of_activity(spark, sf_dir) -> DataFrame:
     return out.groupBy("user_id", "island").agg(F.count("*").alias("n"), F.min("event_id").alias("first")).filter("n >= 2")
 
 
-@query("W10 A30", "WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - row_number() OVER (PARTITION BY user_id, value < 50 ORDER BY ts, event_id) AS g FROM events) SELECT user_id, max(n) AS longest FROM (SELECT user_id, g, count(*) AS n FROM r WHERE value < 50 GROUP BY 1, 2) GROUP BY 1")
+@query("W10", "WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - row_number() OVER (PARTITION BY user_id, value < 50 ORDER BY ts, event_id) AS g FROM events) SELECT user_id, max(n) AS longest FROM (SELECT user_id, g, count(*) AS n FROM r WHERE value < 50 GROUP BY 1, 2) GROUP BY 1")
 def longest_run(spark, sf_dir) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     low = F.col("value") < 50
@@ -78,6 +79,46 @@ def srt_export(spark, sf_dir) -> DataFrame:
     return c.groupBy("conv_id").agg(F.md5(F.array_join(F.transform(blocks, lambda x: x["b"]), "\n\n").cast("binary")).alias("srt"))
 
 
+#: A cue's text in each variant: the spoken line, its translation (here every other line has one), or both.
+SPOKEN, TARGET = "trim(text)", "CASE WHEN turn % 2 = 1 THEN '>> ' || trim(text) ELSE '' END"
+VARIANTS = {"zh": SPOKEN, "target": TARGET, "bilingual": f"CASE WHEN {SPOKEN} <> '' AND {TARGET} <> '' THEN {SPOKEN} || chr(10) || {TARGET} ELSE {SPOKEN} || {TARGET} END"}
+CODE = "printf('%02d:%02d:%02d{s}%03d', {t} // 3600000, {t} // 60000 % 60, {t} // 1000 % 60, {t} % 1000)"
+BLOCKS = {
+    "srt": (f"i || chr(10) || {CODE.format(s=',', t='t0')} || ' --> ' || {CODE.format(s=',', t='e')} || chr(10) || line || chr(10)", "", "chr(10)"),
+    "vtt": (f"{CODE.format(s='.', t='t0')} || ' --> ' || {CODE.format(s='.', t='e')} || chr(10) || line || chr(10)", "WEBVTT\n\n", "chr(10)"),
+    "txt": ("line", "", "chr(10)"),
+    "json": ("""'{"t0_ms":' || t0 || ',"t1_ms":' || e || ',"text":' || to_json(line) || '}'""", "", "chr(10)"),
+    "md": (f"'**[' || {CODE.format(s='.', t='t0')} || ']** ' || replace(line, chr(10), '  ' || chr(10)) || chr(10)", "# captions\n\n", "chr(10)"),
+}
+EXPORTS = " UNION ALL ".join(
+    f"SELECT conv_id, '{v}' AS variant, '{f}' AS format, md5('{head}' || string_agg({block}, {sep} ORDER BY turn)) AS file FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM (SELECT conv_id, turn, t0, CASE WHEN coalesce(t1, t0 + 1000) <= t0 THEN t0 + 400 ELSE coalesce(t1, t0 + 1000) END AS e, {line} AS line FROM c) WHERE line <> '') GROUP BY 1"
+    for v, line in VARIANTS.items() for f, (block, head, sep) in BLOCKS.items()
+)
+
+
+@query("S20", f"WITH c AS ({CUES}) {EXPORTS}".replace("\\n", "\n"))
+def caption_exports(spark, sf_dir) -> DataFrame:
+    """Each session as a file of each format in each variant; lines without a text in the variant are left out and not numbered."""
+    c = cues(spark, sf_dir)
+    spoken = F.trim("text")
+    target = F.when(F.col("turn") % 2 == 1, F.concat(F.lit(">> "), spoken)).otherwise("")
+    both = F.concat_ws("\n", F.when(spoken != "", spoken), F.when(target != "", target))
+    last = F.coalesce("t1", F.col("t0") + 1000)
+    lined = c.select("conv_id", "turn", "t0", F.when(last <= F.col("t0"), F.col("t0") + 400).otherwise(last).alias("e"), F.explode(F.create_map(F.lit("zh"), spoken, F.lit("target"), target, F.lit("bilingual"), both)).alias("variant", "line")).filter("line <> ''")
+    n = F.row_number().over(Window.partitionBy("conv_id", "variant").orderBy("turn"))
+    stamp = lambda comma: F.concat(X.timecode(F.col("t0"), comma), F.lit(" --> "), X.timecode(F.col("e"), comma), F.lit("\n"), F.col("line"), F.lit("\n"))
+    text = F.regexp_replace(F.regexp_replace(F.to_json(F.struct(F.col("line").alias("x"))), r'^\{"x":', ""), r"\}$", "")
+    blocks = {
+        "srt": F.concat(n.cast("string"), F.lit("\n"), stamp(",")), "vtt": stamp("."), "txt": F.col("line"),
+        "json": F.concat(F.lit('{"t0_ms":'), F.col("t0").cast("string"), F.lit(',"t1_ms":'), F.col("e").cast("string"), F.lit(',"text":'), text, F.lit("}")),
+        "md": F.concat(F.lit("**["), X.timecode(F.col("t0"), "."), F.lit("]** "), F.replace("line", F.lit("\n"), F.lit("  \n")), F.lit("\n")),
+    }
+    heads = F.create_map(*[F.lit(x) for f, (_, head, _) in BLOCKS.items() for x in (f, head)])
+    each = lined.select("conv_id", "variant", "turn", F.create_map(*[x for f, b in blocks.items() for x in (F.lit(f), b)]).alias("m")).select("conv_id", "variant", "turn", F.explode("m").alias("format", "block"))
+    files = each.groupBy("conv_id", "variant", "format").agg(F.array_sort(F.collect_list(F.struct("turn", "block"))).alias("b"))
+    return files.select("conv_id", "variant", "format", F.md5(F.concat(F.element_at(heads, F.col("format")), F.array_join(F.transform("b", lambda x: x["block"]), "\n")).cast("binary")).alias("file"))
+
+
 @query("S28", "SELECT conv_id, md5(string_agg('- ' || text, chr(10) ORDER BY turn)) AS minutes, count(*) AS n FROM conversations WHERE trim(text) <> '' GROUP BY 1")
 def ordered_text_agg(spark, sf_dir) -> DataFrame:
     lines = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: F.concat(F.lit("- "), x["text"]))
@@ -91,20 +132,34 @@ def ab_outcomes(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") % 5).alias("dim")).agg(F.count_if(n > 3).alias("wins"), F.count_if(n < 3).alias("losses"), F.count_if(n == 3).alias("ties"))
 
 
-@query("A19")
+@query("A19", """WITH e AS (SELECT user_id, count(*) FILTER (event_type = 'click') AS w, count(*) FILTER (event_type = 'error') AS l FROM events GROUP BY 1)
+SELECT user_id, w, l, round(least(1.0, 2 * list_sum(list_transform(range(0, least(w, l) + 1), lambda i: exp(lgamma(w + l + 1) - lgamma(i + 1) - lgamma(w + l - i + 1) - (w + l) * ln(2.0))))), 9) AS p FROM e""")
 def sign_test(spark, sf_dir) -> DataFrame:
-    """The two-sided sign test of wins and losses: the binomial tail, summed from the logarithm of each term."""
+    """The two-sided sign test of wins and losses: the binomial tail in one pass, each term's logarithm from the one before."""
     e = events(spark, sf_dir).groupBy("user_id").agg(F.count_if(F.col("event_type") == "click").alias("w"), F.count_if(F.col("event_type") == "error").alias("l"))
-    n, k = F.col("w") + F.col("l"), F.least("w", "l")
-    log_choose = lambda i: F.aggregate(F.filter(F.sequence(F.lit(1).cast("long"), F.greatest(i, F.lit(1).cast("long"))), lambda j: j <= i), F.lit(0.0), lambda s, j: s + F.log((n - i + j) / j))
-    tail = F.aggregate(F.sequence(F.lit(0).cast("long"), k), F.lit(0.0), lambda s, i: s + F.exp(log_choose(i) - n * F.log(F.lit(2.0))))
-    return e.select("user_id", "w", "l", F.round(F.least(F.lit(1.0), 2 * tail), 9).alias("p"))
+    n = F.col("w") + F.col("l")
+    first = -n * F.log(F.lit(2.0))
+    zero = F.struct(first.alias("log"), F.exp(first).alias("sum"))
+
+    def step(s, i):
+        log = s["log"] + F.log((n - i + 1) / i)
+        return F.struct(log.alias("log"), (s["sum"] + F.exp(log)).alias("sum"))
 
+    upto = F.filter(F.sequence(F.lit(0).cast("long"), F.least("w", "l")), lambda i: i > 0)
+    return e.select("user_id", "w", "l", F.round(F.least(F.lit(1.0), 2 * F.aggregate(upto, zero, step)["sum"]), 9).alias("p"))
 
-@query("F18", "SELECT conv_id, turn, coalesce(length(text) <= 60 AND NOT regexp_matches(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), '[.!?]$'), false) AS joins FROM conversations")
+
+@query("F18", f"""WITH c AS ({CUES}), b AS (SELECT conv_id, turn, text, t0 - lag(coalesce(t1, t0 + 4800)) OVER w AS gap, lag(text) OVER w AS before FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn)
+  UNION ALL SELECT -1, i, t, g, b FROM (VALUES (1, '短句', 400, '前句'), (2, '短句', 401, '前句'), (3, '短句', 0, '前句。'), (4, 'nine char', 0, 'a'), (5, '', 0, 'a'), (6, 'x', 0, 'why?')) AS v(i, t, g, b))
+SELECT conv_id, turn, coalesce(gap <= 400 AND before <> '' AND text <> '' AND NOT regexp_matches(before, '[。！？?!.]$') AND length(text) <= 8, false) AS joins FROM b""")
 def join_candidates(spark, sf_dir) -> DataFrame:
-    before = F.lag("text").over(in_session())
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce((F.length("text") <= 60) & ~before.rlike("[.!?]\\z"), F.lit(False)).alias("joins"))
+    """A line joins the one before after 400 ms at most, if that doesn't end a sentence and the line has eight characters at most."""
+    c = cues(spark, sf_dir)
+    end = F.lag(F.coalesce("t1", F.col("t0") + 4800)).over(in_session())
+    odd = spark.sql("SELECT -1L AS conv_id, CAST(i AS BIGINT) AS turn, t AS text, CAST(g AS BIGINT) AS gap, b AS before FROM VALUES (1, '短句', 400, '前句'), (2, '短句', 401, '前句'), (3, '短句', 0, '前句。'), (4, 'nine char', 0, 'a'), (5, '', 0, 'a'), (6, 'x', 0, 'why?') AS v(i, t, g, b)")
+    b = c.select("conv_id", "turn", "text", (F.col("t0") - end).alias("gap"), F.lag("text").over(in_session()).alias("before")).unionByName(odd)
+    joins = (F.col("gap") <= 400) & (F.col("before") != "") & (F.col("text") != "") & ~F.col("before").rlike("[。！？?!.]\\z") & (F.length("text") <= 8)
+    return b.select("conv_id", "turn", F.coalesce(joins, F.lit(False)).alias("joins"))
 
 
 @query("F25", "SELECT event_id, CAST(greatest(128, least(1500, ceil((value * 62.5 + 64) / 64) * 64)) AS BIGINT) AS ctx, CAST(greatest(16, least(224, ceil(10 * value) + 8)) AS BIGINT) AS cap FROM events")
@@ -120,10 +175,14 @@ def frame_rms(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(F.sqrt(squares / F.size("embedding")), 6).alias("rms"), F.array_max("embedding").cast("float").alias("peak"))
 
 
-@query("F17", "SELECT conv_id, turn, CASE WHEN text LIKE '%ti' OR text LIKE '%ou' THEN text || '?' ELSE text END AS marked FROM conversations")
+ASKED = "(VALUES (1, '好嗎'), (2, '你呢 '), (3, '好嗎？'), (4, '好。'), (5, ''), (6, 'really?'), (7, '走')) AS t(id, text)"
+
+
+@query("F17", f"SELECT id, CASE WHEN trim(text) LIKE '%嗎' OR trim(text) LIKE '%呢' THEN trim(text) || '？' ELSE trim(text) END AS marked FROM {ASKED}")
 def question_marks(spark, sf_dir) -> DataFrame:
-    t = F.col("text")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(t.endswith("ti") | t.endswith("ou"), F.concat(t, F.lit("?"))).otherwise(t).alias("marked"))
+    """A question mark after a line that ends in a question particle, and has no mark."""
+    t = F.trim("text")
+    return spark.sql(f"SELECT * FROM {ASKED}").select("id", F.when(t.endswith("嗎") | t.endswith("呢"), F.concat(t, F.lit("？"))).otherwise(t).alias("marked"))
 
 
 @query("F27", "SELECT item_id, len(regexp_extract_all(text, '[^.,;!?]{1,24}[.,;!?]?')) AS phrases FROM benchmark")
@@ -162,13 +221,11 @@ def session_windows(spark, sf_dir) -> DataFrame:
     return events(spark, sf_dir).groupBy("user_id", F.session_window("ts", "30 minutes")).agg(F.min("event_id").alias("first"), F.count("*").alias("n")).drop("session_window")
 
 
-@query("T20", "SELECT event_id FROM (SELECT event_id, ts - lag(ts) OVER w AS gap, event_type <> lag(event_type) OVER w AS changed FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE gap IS NULL OR (changed AND gap >= INTERVAL 1 HOUR)")
+@query("T20")
 def throttled_updates(spark, sf_dir) -> DataFrame:
-    """An update goes out if it differs from the one before and that is an hour old."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    us = F.unix_micros("ts")
-    e = events(spark, sf_dir).withColumns({"gap": us - F.lag(us).over(w), "changed": F.col("event_type") != F.lag("event_type").over(w)})
-    return e.filter("gap IS NULL OR (changed AND gap >= 3600000000)").select("event_id")
+    """An update goes out if it differs from the last one sent and that is an hour old."""
+    e = events(spark, sf_dir).select(F.col("user_id").alias("key"), F.unix_micros("ts").alias("at"), F.col("event_id").alias("id"), F.col("event_type").alias("text"))
+    return folds.throttle(e, 3_600_000_000)
 
 
 @query("T32", """WITH l AS (SELECT *, CASE WHEN value < 30 THEN 'ok' WHEN value < 100 THEN 'warn' ELSE 'bad' END AS level FROM events),
@@ -198,14 +255,27 @@ def hard_text_functions(spark, sf_dir) -> DataFrame:
     return b.select("item_id", Q.match_ratio(t, F.lower(t)).alias("ratio"), Q.rewrite({"the": "THE", "THE and": "BOTH"})(t).alias("rewritten"), Q.break_lines(16)(t).alias("lines"), Q.longest_first(t, ["the", "then", "with", "and"]).alias("picked"))
 
 
-@query("W12")
+@query("W12", """SELECT vec_id, round(list_reduce(list_prepend(CAST(0.008 AS DOUBLE), list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE)))),
+ lambda f, x: greatest(CASE WHEN x < f THEN 0.7 * f + 0.3 * x WHEN x >= greatest(0.008, f * 3.0) THEN f ELSE 0.995 * f + 0.005 * x END, 0.0001)), 9) AS floor FROM embeddings""")
 def noise_floor(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(Q.smoothed_floor(F.transform("embedding", lambda x: F.abs(x.cast("double")))), 9).alias("floor"))
 
 
-@query("T31")
+@query("T31", """WITH j AS (SELECT user_id, event_id, ts, epoch_us(ts) // 1000 AS due, CAST(trunc(value * 1000) AS BIGINT) AS cost FROM events),
+s AS (SELECT *, sum(cost) OVER (PARTITION BY user_id ORDER BY due, event_id ROWS UNBOUNDED PRECEDING) AS upto FROM j),
+d AS (SELECT *, CAST(upto + max(due - upto + cost) OVER (PARTITION BY user_id ORDER BY due, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS done FROM s)
+SELECT user_id, max(done) AS done, max(done - due) AS max_lag, arg_max(done - due, (due, event_id)) AS lag FROM d GROUP BY 1""")
 def backlog_simulation(spark, sf_dir) -> DataFrame:
-    """A serial worker per user and day: the end of its work and its greatest lag, folded over the day's jobs."""
-    jobs = F.array_sort(F.collect_list(F.struct(F.unix_millis("ts").alias("due"), (F.col("value") * 1000).cast("long").alias("cost"))))
-    per = events(spark, sf_dir).groupBy("user_id", F.to_date("ts").alias("day")).agg(jobs.alias("jobs"))
-    return per.select("user_id", "day", Q.queue_end("jobs").alias("s")).select("user_id", "day", "s.done", "s.lag")
+    """A serial worker per user: a job starts when it is due and the one before is done. The end of job i is the cost of all so far plus the most by which a due time was ahead of the cost before it, so windows do."""
+    w = Window.partitionBy("user_id").orderBy("due", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    j = events(spark, sf_dir).select("user_id", "event_id", F.unix_millis("ts").alias("due"), (F.col("value") * 1000).cast("long").alias("cost")).withColumn("upto", F.sum("cost").over(w))
+    d = j.withColumn("done", F.col("upto") + F.max(F.col("due") - F.col("upto") + F.col("cost")).over(w))
+    lag = F.col("done") - F.col("due")
+    return d.groupBy("user_id").agg(F.max("done").alias("done"), F.max(lag).alias("max_lag"), F.max_by(lag, F.struct("due", "event_id")).alias("lag"))
+
+
+@query("T31")
+def parallel_backlog(spark, sf_dir) -> DataFrame:
+    """The same with three workers, and the most jobs that wait or run at a time."""
+    jobs = events(spark, sf_dir).select(F.col("user_id").alias("key"), F.unix_millis("ts").alias("due"), F.col("event_id").alias("id"), (F.col("value") * 3_600_000).cast("long").alias("cost"))
+    return folds.queue(jobs, 3)

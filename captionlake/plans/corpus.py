@@ -25,9 +25,9 @@ def exact_dedup_keep_best(spark, sf_dir) -> DataFrame:
     return d.groupBy("lang", F.sha2(X.loose_key(F.col("text")), 256).alias("h")).agg(best).select("b.doc_id", "b.source")
 
 
-@query("A14", r"SELECT doc_id, count(*) OVER (PARTITION BY key) AS n FROM (SELECT doc_id, regexp_replace(lower(text), '[^a-z0-9\x{c0}-\x{24f}]', '', 'g')[:200] AS key, coalesce(quality, -1) AS q FROM documents LEFT JOIN labels USING (doc_id)) QUALIFY row_number() OVER (PARTITION BY key ORDER BY q DESC, doc_id) = 1")
+@query("A14", r"SELECT doc_id, count(*) OVER (PARTITION BY key) AS n FROM (SELECT doc_id, regexp_replace(replace(lower(text), 'ß', 'ss'), '[\p{P}\p{S}\p{Z}\p{C}]', '', 'g') AS key, coalesce(quality, -1) AS q FROM documents LEFT JOIN labels USING (doc_id)) QUALIFY row_number() OVER (PARTITION BY key ORDER BY q DESC, doc_id) = 1")
 def near_dedup_keep_best(spark, sf_dir) -> DataFrame:
-    """The same over all languages, under the whole normal form of any script. The SQL still cuts its key to 200 characters and so loses documents with one opening."""
+    """The same over all languages, under the whole normal form of any script."""
     hashed = docs(spark, sf_dir).select("doc_id", F.sha2(X.memory_key(F.col("text")), 256).alias("h"))
     return hashed.join(table(spark, sf_dir, "labels"), "doc_id", "left").groupBy("h").agg(F.min(F.struct(-F.coalesce("quality", F.lit(-1)), "doc_id")).alias("b"), F.count("*").alias("n")).select("b.doc_id", "n")
 
@@ -57,9 +57,18 @@ MAIL, PHONE = "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}", "[+][0-9]{1,3}
 @query("F07", f"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, 'https?://[^ \\n]+', '[URL]', 'g'), '{MAIL}', '[EMAIL]', 'g'), '{PHONE}', '[PHONE]', 'g')) AS masked,
 CAST(len(regexp_extract_all(text, '{MAIL}')) AS BIGINT) AS mails, CAST(len(regexp_extract_all(text, '{PHONE}')) AS BIGINT) AS phones FROM documents""")
 def pii_mask(spark, sf_dir) -> DataFrame:
-    t = F.col("text")
-    masked = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"https?://[^ \n]+", "[URL]"), MAIL, "[EMAIL]"), PHONE, "[PHONE]")
-    return docs(spark, sf_dir).select("doc_id", F.md5(masked.cast("binary")).alias("masked"), F.regexp_count(t, F.lit(MAIL)).cast("long").alias("mails"), F.regexp_count(t, F.lit(PHONE)).cast("long").alias("phones"))
+    """Texts without a sign of a pattern skip it."""
+    step = lambda t, sign, pattern, tag: F.when(F.contains(t, F.lit(sign)), F.regexp_replace(t, pattern, tag)).otherwise(t)
+    count = lambda sign, pattern: F.when(F.contains("text", F.lit(sign)), F.regexp_count("text", F.lit(pattern))).otherwise(0).cast("long")
+    masked = step(step(step(F.col("text"), "://", r"https?://[^ \n]+", "[URL]"), "@", MAIL, "[EMAIL]"), "+", PHONE, "[PHONE]")
+    return docs(spark, sf_dir).select("doc_id", F.md5(masked.cast("binary")).alias("masked"), count("@", MAIL).alias("mails"), count("+", PHONE).alias("phones"))
+
+
+@query("F07")
+def pii_redact(spark, sf_dir) -> DataFrame:
+    """All steps of masking; a document with more than three hits is dropped, as a publisher may choose."""
+    text, counts = X.redact(F.col("text"), names=["Anna", "Schmidt"], all_urls=True)
+    return docs(spark, sf_dir).select("doc_id", F.md5(text.cast("binary")).alias("masked"), *[n.alias(k) for k, n in counts.items()], (sum(counts.values()) > 3).alias("dropped"))
 
 
 @query("F08", "SELECT doc_id, CAST(length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS BIGINT) AS latin, CAST(length(regexp_replace(text, '[^0-9]', '', 'g')) AS BIGINT) AS digits, CASE WHEN length(text) = 0 THEN 'empty' WHEN 2 * length(regexp_replace(text, '[^A-Za-z]', '', 'g')) < length(text) THEN 'mixed' ELSE 'latin' END AS script FROM documents")
@@ -96,12 +105,19 @@ def html_visible_text(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.md5(X.visible_text(F.col("html")).cast("binary")).alias("text_md5"))
 
 
-@query("F38", "SELECT source, sha256(string_agg(regexp_replace(lower(text), '[^a-z0-9]', '', 'g'), chr(10) ORDER BY doc_id))[:16] AS fingerprint FROM documents WHERE length(text) < 600 GROUP BY 1")
+DIGESTS = "SELECT source, doc_id AS i, sha256(regexp_replace(replace(lower(text), 'ß', 'ss'), '[\\p{P}\\p{S}\\p{Z}\\p{C}]', '', 'g')) AS h FROM documents"
+for _ in range(4):
+    DIGESTS = f"SELECT source, i // 1000 AS i, sha256(string_agg(h, chr(10) ORDER BY i, h)) AS h FROM ({DIGESTS}) GROUP BY 1, 2"
+
+
+@query("F38", f"SELECT source, h[:16] AS fingerprint FROM ({DIGESTS})")
 def content_fingerprint(spark, sf_dir) -> DataFrame:
-    """A digest of a source's short lines in order; only their normal forms are gathered."""
-    d = docs(spark, sf_dir).filter(F.length("text") < 600).select("source", "doc_id", F.regexp_replace(F.lower("text"), "[^a-z0-9]", "").alias("t"))
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "t"))), lambda x: x["t"])
-    return d.groupBy("source").agg(F.substring(F.sha2(F.array_join(lines, "\n"), 256), 1, 16).alias("fingerprint"))
+    """A digest of all lines of a source in order: lines are hashed where they are read, and digests of a thousand neighbours are hashed again, level by level, so no group holds a source."""
+    d = docs(spark, sf_dir).select("source", F.col("doc_id").alias("i"), F.sha2(X.plain_key(F.col("text")), 256).alias("h"))
+    for _ in range(4):
+        hashes = F.transform(F.array_sort(F.collect_list(F.struct("i", "h"))), lambda x: x["h"])
+        d = d.groupBy("source", F.floor(F.col("i") / 1000).alias("j")).agg(F.sha2(F.array_join(hashes, "\n"), 256).alias("h")).withColumnRenamed("j", "i")
+    return d.select("source", F.substring("h", 1, 16).alias("fingerprint"))
 
 
 @query("F10", "SELECT doc_id, coalesce(CASE WHEN doc_id % 10 = 0 THEN 'session' END, CASE WHEN source IN ('src1', 'src2') THEN 'room' END, CASE WHEN lang = 'de' THEN 'origin' END, 'unknown') AS licence FROM documents")
@@ -128,9 +144,12 @@ def unicode_keys(spark, sf_dir) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", F.md5(X.nfkc_fold(t).cast("binary")).alias("fold"), F.md5(X.memory_key(t).cast("binary")).alias("memory"), X.display_width(t).alias("width"))
 
 
-@query("F05", "SELECT item_id, text AS spaced FROM benchmark")
+HAN_ROWS = "(VALUES (1, '因緣生'), (2, 'GPU 訓練開始了'), (3, 'plain words'), (4, ''), (5, 'あいう,因')) AS t(id, text)"
+
+
+@query("F05", f"SELECT id, trim(regexp_replace(regexp_replace(text, '([\\x{{3400}}-\\x{{4dbf}}\\x{{4e00}}-\\x{{9fff}}\\x{{f900}}-\\x{{faff}}\\x{{3040}}-\\x{{30ff}}])', ' \\1 ', 'g'), ' +', ' ', 'g')) AS spaced FROM {HAN_ROWS}")
 def han_spacing(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "benchmark").select("item_id", X.space_han(F.col("text")).alias("spaced"))
+    return spark.sql(f"SELECT * FROM {HAN_ROWS}").select("id", X.space_han(F.col("text")).alias("spaced"))
 
 
 @query("F31", """SELECT b.item_id, list_filter([CASE WHEN d.text IS NULL THEN 'missing' END, CASE WHEN d.text = '' THEN 'empty' END, CASE WHEN NOT contains(d.text, split_part(b.text, ' ', 1)) THEN 'must' END, CASE WHEN contains(d.text, '#') THEN 'forbidden' END], lambda x: x IS NOT NULL) AS rules FROM benchmark b LEFT JOIN documents d ON b.item_id * 7 = d.doc_id""")
@@ -141,22 +160,39 @@ def regression_rules(spark, sf_dir) -> DataFrame:
     return b.join(docs(spark, sf_dir).select("doc_id", "text"), "doc_id", "left").select("item_id", F.array_compact(rules).alias("rules"))
 
 
-@query("F45", """SELECT a.conv_id, a.turn, len(list_filter(list_distinct(regexp_extract_all(a.text, '[0-9]+')), lambda x: NOT list_contains(regexp_extract_all(b.text, '[0-9]+'), x))) AS missing_numbers, contains(lower(a.text), ' after ') <> contains(lower(b.text), ' after ') AS relation
-FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'user'""")
+NUMBERS = "regexp_extract_all({}, '(?:^|[^0-9A-Za-z.])([+-]?[0-9]+(?:[.,][0-9]+)*[%％]?)', 1)"
+LOCKED = "document"
+
+
+@query("F45", f"""WITH p AS (SELECT a.conv_id, a.turn, a.text AS src, b.text AS tgt FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'user'
+  UNION ALL SELECT -1, i, s, t FROM (VALUES (1, '5 minutes after, 3.5% of -7', 'within 5 minutes 3.5%'), (2, 'the document', ''), (3, 'a document', 'a file <b>x</b>'), (4, '12 days after and 2 hours within', 'within 12 days')) AS v(i, s, t))
+SELECT conv_id, turn, list_filter([CASE WHEN trim(tgt) = '' THEN 'empty' END, CASE WHEN trim(tgt) <> '' AND regexp_matches(tgt, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]|<[^<>]+>') THEN 'format' END,
+  CASE WHEN trim(tgt) <> '' AND len(list_filter({NUMBERS.format('src')}, lambda x: NOT list_contains({NUMBERS.format('tgt')}, x))) > 0 THEN 'numbers' END,
+  CASE WHEN trim(tgt) <> '' AND regexp_matches(src, '[0-9] *(minutes|seconds|hours|days) after') AND NOT regexp_matches(src, '[0-9] *(minutes|seconds|hours|days) within') AND regexp_matches(lower(tgt), '\\bwithin\\b') THEN 'relation' END,
+  CASE WHEN trim(tgt) <> '' AND contains(src, '{LOCKED}') AND NOT contains(lower(tgt), '{LOCKED}') THEN 'locked_term' END], lambda x: x IS NOT NULL) AS flags FROM p""")
 def translation_flags(spark, sf_dir) -> DataFrame:
+    """What is suspicious of a translation: nothing there, markup or control characters, numbers of the source missing, "after" told as "within", a locked term missing."""
     c = table(spark, sf_dir, "conversations")
     a = c.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("src"))
     b = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("tgt"))
-    numbers = lambda x: F.regexp_extract_all(x, F.lit("[0-9]+"), F.lit(0))
-    after = lambda x: F.lower(x).contains(" after ")
-    return a.join(b, ["conv_id", "turn"]).select("conv_id", "turn", F.size(F.array_except(numbers("src"), numbers("tgt"))).cast("long").alias("missing_numbers"), (after(F.col("src")) != after(F.col("tgt"))).alias("relation"))
+    odd = spark.sql("SELECT -1L AS conv_id, CAST(i AS BIGINT) AS turn, s AS src, t AS tgt FROM VALUES (1, '5 minutes after, 3.5% of -7', 'within 5 minutes 3.5%'), (2, 'the document', ''), (3, 'a document', 'a file <b>x</b>'), (4, '12 days after and 2 hours within', 'within 12 days') AS v(i, s, t)")
+    src, tgt = F.col("src"), F.col("tgt")
+    numbers = lambda x: F.regexp_extract_all(x, F.lit(r"(?<![0-9A-Za-z.])[+-]?[0-9]+(?:[.,][0-9]+)*[%％]?"), F.lit(0))
+    span = lambda word: src.rlike(f"[0-9] *(minutes|seconds|hours|days) {word}")
+    there = F.trim(tgt) != ""
+    rules = {
+        "empty": ~there, "format": there & tgt.rlike(r"[\x00-\x08\x0b\x0c\x0e-\x1f]|<[^<>]+>"), "numbers": there & (F.size(F.array_except(numbers(src), numbers(tgt))) > 0),
+        "relation": there & span("after") & ~span("within") & F.lower(tgt).rlike(r"\bwithin\b"), "locked_term": there & src.contains(LOCKED) & ~F.lower(tgt).contains(LOCKED),
+    }
+    pairs = a.join(b, ["conv_id", "turn"]).unionByName(odd)
+    return pairs.select("conv_id", "turn", F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in rules.items()])).alias("flags"))
 
 
 @query("F24")
 def repetition_loops(spark, sf_dir) -> DataFrame:
     from ..functions.sequences import has_loop
 
-    return docs(spark, sf_dir).filter(F.length("text") < 2000).select("doc_id", has_loop(F.col("text")).alias("loop"))
+    return docs(spark, sf_dir).select("doc_id", has_loop(F.col("text")).alias("loop"))
 
 
 @query("L02", f"SELECT norm AS h, doc_id FROM (SELECT md5({NORM}) AS norm, doc_id, n_chars FROM documents) QUALIFY row_number() OVER (PARTITION BY norm ORDER BY n_chars DESC, doc_id) = 1")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..functions.text import loose_key
+from ..operators import folds
 from ..registry import query
 from ..sources.tables import events, table
 
@@ -14,10 +16,9 @@ def ordered():
     return Window.partitionBy("user_id").orderBy("ts", "event_id")
 
 
-def day_steps(spark, sf_dir) -> DataFrame:
-    """One row per user and day with its events in order: the unit of the folds below, bounded by a day of one user."""
-    step = F.struct("ts", "event_id", "event_type", "value", F.unix_seconds("ts").alias("s"))
-    return events(spark, sf_dir).groupBy("user_id", F.to_date("ts").alias("day")).agg(F.array_sort(F.collect_list(step)).alias("steps"))
+def lines(spark, sf_dir) -> DataFrame:
+    """Events as lines of their user: key, at (seconds), id, text."""
+    return events(spark, sf_dir).select(F.col("user_id").alias("key"), F.unix_seconds("ts").alias("at"), F.col("event_id").alias("id"), F.col("event_type").alias("text"), "value")
 
 
 @query("F04", "SELECT item_id, translate(lower(text), 'áàâäéèêëíîïóôöúùûüñç', 'aaaaeeeeiiiooouuuunc') AS folded FROM benchmark")
@@ -26,17 +27,20 @@ def char_fold(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", F.translate(F.lower("text"), "áàâäéèêëíîïóôöúùûüñç", "aaaaeeeeiiiooouuuunc").alias("folded"))
 
 
-@query("F19", "SELECT item_id, text AS scrubbed, false AS downgraded FROM benchmark")
+@query("F19", "SELECT * FROM (VALUES (1, 'abc', 'final', false), (2, 'ab', 'degraded', true), (3, 'é☃', 'final', false), (4, '', 'degraded', true)) AS t(id, scrubbed, status, downgraded)")
 def utf8_scrub(spark, sf_dir) -> DataFrame:
-    clean = F.make_valid_utf8("text")
-    return table(spark, sf_dir, "benchmark").select("item_id", clean.alias("scrubbed"), (clean != F.col("text")).alias("downgraded"))
+    """Bytes that aren't UTF-8 go (half of a surrogate pair too), and a row that loses some is downgraded. The rows hold such bytes; tables of strings can't."""
+    rows = spark.sql("SELECT * FROM VALUES (1, X'616263'), (2, X'61EDA0BD62'), (3, X'C3A9E29883'), (4, X'FF') AS t(id, data)").withColumn("text", F.col("data").cast("string"))
+    clean, status = X.scrub(F.col("text"), F.lit("final"))
+    return rows.select("id", clean.alias("scrubbed"), status.alias("status"), (status == "degraded").alias("downgraded"))
 
 
 @query("J06", "SELECT doc_id, source FROM documents WHERE regexp_matches(lower(text), '(^|[^a-z0-9])nicht([^a-z0-9]|$)') AND lang = 'de'")
 def index_hit_join(spark, sf_dir) -> DataFrame:
     """Hits of a word index joined back to their rows, of which only current ones stay."""
     d = table(spark, sf_dir, "documents")
-    hits = d.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)))).alias("term")).filter("term = 'nicht'").select("doc_id")
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))
+    hits = d.filter(F.contains(F.lower("text"), F.lit("nicht"))).filter(F.array_contains(words, "nicht")).select("doc_id").distinct()
     return d.filter("lang = 'de'").select("doc_id", "source").join(hits, "doc_id", "left_semi")
 
 
@@ -49,31 +53,21 @@ def bounded_queue(spark, sf_dir) -> DataFrame:
 
 @query("T13")
 def merge_carry(spark, sf_dir) -> DataFrame:
-    """Lines over 60 are stale: up to two of them are carried to the next line within two places; more are skipped."""
-    zero = F.expr("named_struct('held', array(), 'lines', array())").cast("struct<held:array<bigint>,lines:array<struct<id:bigint,carried:array<bigint>>>>")
+    """Lines over 60 are stale and ride along with the next one: two at most, 80 characters, two numbers ahead; a user's lines are one sequence, over any midnight."""
+    seq = F.row_number().over(Window.partitionBy("key").orderBy("at", "id"))
+    return folds.carry_lines(lines(spark, sf_dir).select("key", seq.alias("seq"), "id", "text", (F.col("value") > 60).alias("stale")))
 
-    def step(s, e):
-        stale = e["value"] > 60
-        held = F.when(F.size(s["held"]) < 2, F.concat(s["held"], F.array(e["event_id"]))).otherwise(s["held"])
-        line = F.array(F.struct(e["event_id"].alias("id"), s["held"].alias("carried")))
-        return F.struct(F.when(stale, held).otherwise(F.array().cast("array<bigint>")).alias("held"), F.when(stale, s["lines"]).otherwise(F.concat(s["lines"], line)).alias("lines"))
 
-    out = day_steps(spark, sf_dir).select("user_id", "day", F.explode(F.aggregate("steps", zero, step)["lines"]).alias("l"))
-    return out.select("user_id", "day", F.col("l.id").alias("event_id"), F.col("l.carried").alias("carried"))
-
-
-@query("T21 T33")
+@query("T21")
 def cooled_trigger(spark, sf_dir) -> DataFrame:
-    """An event fires unless one fired within the hour before, or the last one fired was of its type."""
-    zero = F.expr("named_struct('last', 0L, 'kind', '', 'fired', array())").cast("struct<last:bigint,kind:string,fired:array<bigint>>")
+    """A user's lines fire once they span an hour; they reach back six hours, cool down for two, and don't repeat ids or texts within a day."""
+    return folds.windowed_trigger(lines(spark, sf_dir).select("key", "at", "id", "text"), 3600, 6 * 3600, 2 * 3600, 24 * 3600)
 
-    def step(s, e):
-        fires = (e["s"] - s["last"] >= 3600) & (e["event_type"] != s["kind"])
-        return F.struct(
-            F.when(fires, e["s"]).otherwise(s["last"]).alias("last"), F.when(fires, e["event_type"]).otherwise(s["kind"]).alias("kind"), F.when(fires, F.concat(s["fired"], F.array(e["event_id"]))).otherwise(s["fired"]).alias("fired")
-        )
 
-    return day_steps(spark, sf_dir).select("user_id", "day", F.explode(F.aggregate("steps", zero, step)["fired"]).alias("event_id"))
+@query("T33")
+def repeat_suppression(spark, sf_dir) -> DataFrame:
+    """A line is muted if the last one said had its text, less than an hour ago."""
+    return folds.mute_repeats(lines(spark, sf_dir).select("key", "at", "id", "text"), 3600)
 
 
 @query("T25", "SELECT user_id, CAST(floor(epoch((SELECT max(ts) FROM events))) - floor(epoch(max(ts))) AS BIGINT) AS quiet_s, floor(epoch((SELECT max(ts) FROM events))) - floor(epoch(max(ts))) >= 21600 AS idle FROM events GROUP BY 1")
