@@ -293,7 +293,8 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: in
     judged = written(near_duplicates(docs, key, text, width, threshold, text_hash=True).select(F.col(key).alias("_cl_k"), F.col("text_hash").alias("_cl_th"), "n_shingles", "kept"))
     own = docs.withColumn("_cl_h", F.xxhash64(text))
     same = (F.col(key) == F.col("_cl_k")) & (F.col("_cl_h") == F.col("_cl_th"))
-    left = own.join(judged.filter("NOT kept").select("_cl_k", "_cl_th").distinct(), same, "left_anti")
+    gone = written(judged.filter("NOT kept").select("_cl_k", "_cl_th").distinct())  # its size is known before texts would be shuffled
+    left = own.join(gone, same, "left_anti")
     again = written(judged.filter("kept AND n_shingles > 0 AND _cl_k IS NOT NULL").groupBy("_cl_k", "_cl_th").agg(F.count("*").alias("n")).filter("n > 1").drop("n"))
     if not again.isEmpty():
         order = F.xxhash64(*[f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()])
