@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,10 +40,33 @@ def any_of(a: DataFrame, b: DataFrame, conditions: list[Column], a_id: list[str]
     return out.dropDuplicates([*a_id, *b_id])
 
 
-def containment(texts: DataFrame, terms: DataFrame, text: str, term: str, n: int = 3) -> DataFrame:
-    """Pairs of a text and a term that it holds: the term's first n characters are looked up among the text's n-grams, then the whole term is checked. Terms under n characters hold no n-gram and must be filtered out before."""
-    grams = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substr(F.col(text), i, F.lit(n)))))
-    return texts.withColumn("_g", grams).join(terms.withColumn("_g", F.substr(F.col(term), F.lit(1), F.lit(n))), "_g").filter(F.contains(text, term)).drop("_g")
+#: Characters of terms that are sent to all tasks as one automaton; more terms meet the texts by a join.
+TERM_CHARS = 16 << 20
+
+
+def containment(texts: DataFrame, terms: DataFrame, text: str, term: str, n: int = 3, most_chars: int = TERM_CHARS) -> DataFrame:
+    """Pairs of a text's row and a distinct term that it holds.
+
+    Terms of ``most_chars`` in all are one automaton, which every text passes once, in time linear in it. More
+    terms are joined: a term's first n characters are looked up among a text's n-grams, then the whole term is
+    checked; terms under n characters must then be filtered out before.
+    """
+    size = terms.agg(F.sum(F.length(term)).alias("chars")).first()["chars"] or 0
+    if size > most_chars:
+        grams = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substr(F.col(text), i, F.lit(n)))))
+        return texts.withColumn("_g", grams).join(terms.withColumn("_g", F.substr(F.col(term), F.lit(1), F.lit(n))), "_g").filter(F.contains(text, term)).drop("_g").distinct()
+    sent = texts.sparkSession.sparkContext.broadcast([r[0] for r in terms.select(term).filter(F.length(term) > 0).distinct().collect()])
+
+    @F.pandas_udf("array<string>")
+    def held(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        automaton = ahocorasick.Automaton()
+        for word in sent.value:
+            automaton.add_word(word, word)
+        automaton.make_automaton()
+        for t in batches:
+            yield t.map(lambda x: sorted({w for _, w in automaton.iter(x)}) if x and sent.value else [])
+
+    return texts.withColumn(term, F.explode(held(F.col(text))))
 
 
 def keyed_diff(old: DataFrame, new: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:

@@ -30,7 +30,7 @@ def first_vs_current(spark, sf_dir) -> DataFrame:
     return events(spark, sf_dir).groupBy("user_id", "event_type").agg(F.min_by("value", at).alias("first_value"), F.max_by("value", at).alias("current_value"), elapsed.alias("elapsed_s"))
 
 
-@query("W11 T35", "WITH k AS (SELECT DISTINCT user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events), r AS (SELECT user_id, unnest(range(min(k), max(k) + 1)) AS k FROM k GROUP BY user_id) SELECT user_id, k FROM r EXCEPT SELECT user_id, k FROM k")
+@query("W11", "WITH k AS (SELECT DISTINCT user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events), r AS (SELECT user_id, unnest(range(min(k), max(k) + 1)) AS k FROM k GROUP BY user_id) SELECT user_id, k FROM r EXCEPT SELECT user_id, k FROM k")
 def missing_sequence(spark, sf_dir) -> DataFrame:
     return missing_numbers(events(spark, sf_dir).filter("k IS NOT NULL"), ["user_id"], "k")
 

@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import dictionary as D
+from ..functions.stems import stem
 from ..functions.text import loose_key
 from ..operators import search as S
+from ..operators.vectors import cosine_top_k
 from ..registry import query
 from ..sources.tables import table
 
 W_SQL = "SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents"
 
 
-@query("X05 X06", f"""WITH w AS ({W_SQL}), l AS (SELECT doc_id, len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS len FROM documents), s AS (SELECT count(*) AS n, sum(len) AS total FROM l),
+@query("X05", f"""WITH w AS ({W_SQL}), l AS (SELECT doc_id, len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS len FROM documents), s AS (SELECT count(*) AS n, sum(len) AS total FROM l),
 h AS (SELECT doc_id, term, count(*) AS tf FROM w WHERE term IN ('with', 'from', 'nicht') GROUP BY 1, 2), d AS (SELECT term, count(*) AS df FROM h GROUP BY 1)
 SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / (total / n)))), 6) AS score FROM h JOIN d USING (term) JOIN l USING (doc_id), s GROUP BY 1 ORDER BY score DESC, doc_id LIMIT 20""")
 def bm25_topk(spark, sf_dir) -> DataFrame:
@@ -55,10 +58,22 @@ def tm_fuzzy(spark, sf_dir) -> DataFrame:
 
 @query("X04")
 def stemmed_search(spark, sf_dir) -> DataFrame:
-    """Words by stem: English endings are cut by rules, so that forms of a word meet."""
+    """Words by stem, so that forms of a word meet; distinct words are stemmed once."""
     p = S.postings(table(spark, sf_dir, "documents").filter("lang = 'en'"), "doc_id", "text")
-    stem = F.regexp_replace(F.regexp_replace("term", "(?<=[a-z]{3})(ing|edly|ed|ly|es|s)$", ""), "(.)\\1$", "$1")
-    return p.groupBy(stem.alias("stem")).agg(F.sum("tf").alias("n"), F.count_distinct("doc_id").alias("docs")).filter("docs > 1")
+    stems = p.select("term").distinct().withColumn("stem", stem("term"))
+    return p.join(stems, "term").groupBy("stem").agg(F.sum("tf").alias("n"), F.count_distinct("doc_id").alias("docs")).filter("docs > 1")
+
+
+HAN_TEXTS = "(VALUES (1, '因緣生法，因緣生'), (2, '緣生'), (3, 'abc 法'), (4, '因緣')) AS t(id, text)"
+HAN_GRAMS = " UNION ALL ".join(f"SELECT id, unnest(list_transform(range(1, length(w) - {n} + 2), lambda i: w[i:i + {n} - 1])) AS g FROM r" for n in (2, 3, 4))
+
+
+@query("A11", f"WITH r AS (SELECT id, unnest(regexp_extract_all(text, '[\\x{{3400}}-\\x{{4dbf}}\\x{{4e00}}-\\x{{9fff}}]+')) AS w FROM {HAN_TEXTS}) SELECT g AS gram, count(*) AS n, count(DISTINCT id) AS sessions, min(id) AS first FROM ({HAN_GRAMS}) GROUP BY 1")
+def han_ngrams(spark, sf_dir) -> DataFrame:
+    """Han 2- to 4-grams, overlapping ones too: how often, in how many sessions, and where first."""
+    runs = spark.sql(f"SELECT * FROM {HAN_TEXTS}").select("id", F.explode(F.regexp_extract_all("text", F.lit("[\\u3400-\\u4dbf\\u4e00-\\u9fff]+"), F.lit(0))).alias("w"))
+    cut = lambda n: F.filter(F.transform(F.sequence(F.lit(1), F.length("w")), lambda i: F.substr("w", i, F.lit(n))), lambda g: F.length(g) == n)
+    return runs.select("id", F.explode(F.flatten(F.array(*[cut(n) for n in (2, 3, 4)]))).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"), F.count_distinct("id").alias("sessions"), F.min("id").alias("first"))
 
 
 GRAMS_SQL = "SELECT item_id, unnest(list_transform(range(1, length(w) - {n} + 2), lambda i: w[i:i + {n} - 1])) AS g FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z]{{4,}}')) AS w FROM benchmark)"
@@ -89,16 +104,29 @@ def subgram_suppression(spark, sf_dir) -> DataFrame:
     return m.join(parts.select("n", F.col("sub").alias("gram")), ["gram", "n"], "left_anti")
 
 
-@query("F32 F33 X09", """WITH k AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS key FROM benchmark),
-q AS (SELECT conv_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))) AS key FROM conversations WHERE turn = 0),
-h AS (SELECT conv_id, item_id, count(*) AS n FROM (SELECT DISTINCT conv_id, key FROM q WHERE length(key) >= 6) JOIN (SELECT DISTINCT item_id, key FROM k) USING (key) GROUP BY 1, 2)
-SELECT conv_id, item_id, n FROM h QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY n DESC, item_id) <= 12""")
+ORDERED = "list_filter({l}, lambda x, i: list_position({l}, x) = i)"
+STOPS = ", ".join(f"'{w}'" for w in D.STOP_WORDS)
+TOKENS = "list_filter(regexp_extract_all(lower(text), '[a-z][a-z0-9]*(?:[''-][a-z0-9]+)*'), lambda x: x NOT IN (" + STOPS + "))"
+
+
+@query("F32 F33 X09", f"""WITH e0 AS (SELECT item_id, text, lower(split_part(text, ' ', 1)) AS word, lower(split_part(text, ' ', 2)) AS alt, list_concat(CASE WHEN length(text) <= 160 THEN [lower(text)] ELSE [] END, {TOKENS}) AS rest FROM benchmark),
+e1 AS (SELECT *, list_filter(list_concat([word, alt], rest), lambda x: x <> '' AND length(x) <= 160) AS l FROM e0), e AS (SELECT item_id, text, word, alt, unnest(list_slice({ORDERED.format(l='l')}, 1, 64)) AS key FROM e1),
+q0 AS (SELECT conv_id, turn, regexp_extract_all(lower(trim(text))[:600], '[a-z][a-z''-]{{1,39}}') AS l FROM conversations), q AS (SELECT conv_id, turn, unnest(list_slice({ORDERED.format(l='l')}, 1, 80)) AS key FROM q0),
+h AS (SELECT conv_id, turn, item_id, any_value(word) AS word, any_value(length(text)) AS len, min(CASE WHEN key IN (word, alt) THEN 0 ELSE 1 END) AS rank FROM q JOIN e USING (key) GROUP BY 1, 2, 3),
+r AS (SELECT *, row_number() OVER w AS i FROM h WINDOW w AS (PARTITION BY conv_id, turn ORDER BY rank, word, item_id) QUALIFY row_number() OVER w <= 12),
+b AS (SELECT *, CAST(coalesce(sum(least(240, len)) OVER (PARTITION BY conv_id, turn ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS used FROM r)
+SELECT conv_id, turn, item_id, rank, least(240, len, 2400 - used) AS chars FROM b WHERE used < 2400""")
 def dictionary_references(spark, sf_dir) -> DataFrame:
-    keys = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z]+"), F.lit(0)))
-    k = table(spark, sf_dir, "benchmark").select("item_id", F.explode(keys("text")).alias("key"))
-    q = table(spark, sf_dir, "conversations").filter("turn = 0").select("conv_id", F.explode(keys("text")).alias("key")).filter(F.length("key") >= 6).distinct()
-    n = q.join(k, "key").groupBy("conv_id", "item_id").agg(F.count("*").alias("n"))
-    return n.withColumn("r", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("n"), "item_id"))).filter("r <= 12").drop("r")
+    """References of every turn: entries that share a key with it, 12 at most, those whose word it has first, within 2,400 characters."""
+    b = table(spark, sf_dir, "benchmark").select("item_id", "text", F.lower(F.split_part("text", F.lit(" "), F.lit(1))).alias("word"), F.lower(F.split_part("text", F.lit(" "), F.lit(2))).alias("alt"))
+    e = b.select("item_id", "word", "alt", F.length("text").alias("len"), F.explode(D.entry_keys(F.col("word"), F.col("alt"), F.array("text"))).alias("key"))
+    q = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(D.query_keys(F.col("text"))).alias("key"))
+    rank = F.min(F.when((F.col("key") == F.col("word")) | (F.col("key") == F.col("alt")), 0).otherwise(1))
+    h = q.join(e, "key").groupBy("conv_id", "turn", "item_id").agg(F.first("word").alias("word"), F.first("len").alias("len"), rank.alias("rank"))
+    w = Window.partitionBy("conv_id", "turn").orderBy("rank", "word", "item_id")
+    first = h.withColumn("i", F.row_number().over(w)).filter("i <= 12")
+    used = F.coalesce(F.sum(F.least(F.lit(240), F.col("len"))).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return first.withColumn("used", used).filter("used < 2400").select("conv_id", "turn", "item_id", "rank", F.least(F.lit(240), F.col("len"), 2400 - F.col("used")).alias("chars"))
 
 
 @query("F20", """SELECT item_id, CAST(i AS BIGINT) AS line, trim(split_part(l, ' ', 1)) AS term, trim(l[length(split_part(l, ' ', 1)) + 1:]) AS target FROM (SELECT item_id, unnest(string_split(text, '. ')) AS l, unnest(range(1, len(string_split(text, '. ')) + 1)) AS i FROM benchmark) WHERE trim(l) <> '' AND i <= 40""")
@@ -119,17 +147,11 @@ def vector_dim_check(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "embeddings").groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n"), F.count_if(bad).alias("bad"))
 
 
-@query("X11", """WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id < 5), s AS (SELECT query_id, v.vec_id, list_cosine_similarity(CAST(e AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS c FROM q JOIN embeddings v ON v.vec_id <> query_id)
+@query("X11", """WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT query_id, v.vec_id, list_cosine_similarity(CAST(e AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS c FROM q JOIN embeddings v ON v.vec_id <> query_id)
 SELECT query_id, vec_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(c, 9) DESC, vec_id) AS INTEGER) AS rank FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(c, 9) DESC, vec_id) <= 8""")
 def cosine_topk(spark, sf_dir) -> DataFrame:
-    """Five fixed queries (so a bounded broadcast) against all vectors; a vector of norm 0 scores 0."""
-    v = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
-    q = v.filter("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("e").alias("q"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    norm = F.sqrt(dot("e", "e")) * F.sqrt(dot("q", "q"))
-    scored = v.join(F.broadcast(q), F.col("vec_id") != F.col("query_id")).withColumn("c", F.round(F.when(norm > 0, dot("e", "q") / norm).otherwise(0.0), 9))
-    w = Window.partitionBy("query_id").orderBy(F.desc("c"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(w)).filter("rank <= 8").select("query_id", "vec_id", "rank")
+    """Every vector whose id is divisible by 20 against all vectors."""
+    return cosine_top_k(table(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0, 8)
 
 
 @query("X12", """SELECT d.doc_id, c.item_id FROM documents d JOIN (SELECT item_id, sha256(trim(split_part(text, ' ', 1))) AS h FROM benchmark) c ON sha256(trim(split_part(d.text, ' ', 1))) = c.h QUALIFY row_number() OVER (PARTITION BY d.doc_id ORDER BY c.item_id) <= 3""")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.text import loose_key
 from ..operators import folds
+from ..operators.windows import missing_numbers
 from ..registry import query
 from ..sources.tables import events, table
 
@@ -95,3 +96,55 @@ def capped_batch_job(spark, sf_dir) -> DataFrame:
     """A job over 40 items at most, with a result for each instead of one for all."""
     result = F.when(F.col("o_totalprice") > 300000, "failed: too large").when(F.col("o_orderstatus") == "P", "failed: pending").otherwise("done")
     return table(spark, sf_dir, "orders").orderBy("o_orderkey").limit(40).select("o_orderkey", result.alias("result"))
+
+
+@query("T28")
+def rate_admission(spark, sf_dir) -> DataFrame:
+    """Three admitted hits an hour for each of 100 clients; all others share one allowance."""
+    client = F.when(F.col("key") < 100, F.col("key")).otherwise(-1)
+    return folds.admit(lines(spark, sf_dir).select(client.alias("key"), "at", "id"), 3600, 3)
+
+
+@query("A30", """WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - row_number() OVER (PARTITION BY user_id, value < 20 ORDER BY ts, event_id) AS g FROM events),
+l AS (SELECT user_id, max(n) AS longest FROM (SELECT user_id, g, count(*) AS n FROM r WHERE value < 20 GROUP BY 1, 2) GROUP BY 1),
+m AS (SELECT user_id, sum(CAST(round(value * 100) AS BIGINT)) AS cents, count(*) AS n, count(*) FILTER (value > 100) AS spikes FROM events GROUP BY 1)
+SELECT user_id, coalesce(longest, 0) AS longest, CASE WHEN cents > 6000 * n OR 10 * spikes > n THEN 'background_load' WHEN longest >= 4 THEN 'throttled' ELSE 'ok' END AS status FROM m LEFT JOIN l USING (user_id)""")
+def run_stability(spark, sf_dir) -> DataFrame:
+    """A run's class: loaded if its mean is over 60 or a tenth of its readings over 100, throttled if four or more in a row are under 20."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    low = F.col("value") < 20
+    e = events(spark, sf_dir).withColumn("low", low).withColumn("turned", F.when(low & ~F.coalesce(F.lag(low).over(w), F.lit(False)), 1).otherwise(0))
+    e = e.withColumn("run", F.sum("turned").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    longest = e.filter("low").groupBy("user_id", "run").agg(F.count("*").alias("n")).groupBy("user_id").agg(F.max("n").alias("longest"))
+    m = e.groupBy("user_id").agg(F.sum("cents").alias("c"), F.count("*").alias("n"), F.count_if(F.col("value") > 100).alias("spikes"))
+    status = F.when((F.col("c") > 6000 * F.col("n")) | (10 * F.col("spikes") > F.col("n")), "background_load").when(F.col("longest") >= 4, "throttled").otherwise("ok")
+    return m.join(longest, "user_id", "left").select("user_id", F.coalesce("longest", F.lit(0)).alias("longest"), status.alias("status"))
+
+
+@query("A24", """SELECT p_brand, arg_min(p_partkey, (p_retailprice < 1200 OR p_retailprice > 1600, abs(p_retailprice - 1400), p_partkey)) AS p_partkey, NOT bool_or(p_retailprice BETWEEN 1200 AND 1600) AS outside FROM part GROUP BY 1""")
+def closest_to_target(spark, sf_dir) -> DataFrame:
+    """The row in the target range that is closest to its middle, else the closest of all, with a note."""
+    x = F.col("p_retailprice")
+    inside = (x >= 1200) & (x <= 1600)
+    return table(spark, sf_dir, "part").groupBy("p_brand").agg(F.min_by("p_partkey", F.struct(~inside, F.abs(x - 1400), "p_partkey")).alias("p_partkey"), (~F.max(inside)).alias("outside"))
+
+
+@query("M14", """SELECT conv_id, turn, md5('{"turn":' || p || ',"role":' || to_json(r) || ',"text":' || to_json(t) || '}') AS before FROM (SELECT conv_id, turn, text, lag(turn) OVER w AS p, lag(role) OVER w AS r, lag(text) OVER w AS t FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE p IS NOT NULL AND t <> text""")
+def revisions_before_change(spark, sf_dir) -> DataFrame:
+    """The whole payload that a change replaces, as JSON, for each change: lines of a session stand for its versions."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    c = table(spark, sf_dir, "conversations")
+    before = F.to_json(F.struct(F.lag("turn").over(w).alias("turn"), F.lag("role").over(w).alias("role"), F.lag("text").over(w).alias("text")))
+    changed = c.select("conv_id", "turn", "text", before.alias("b"), F.lag("text").over(w).alias("t")).filter("t IS NOT NULL AND t <> text")
+    return changed.select("conv_id", "turn", F.md5(F.col("b").cast("binary")).alias("before"))
+
+
+@query("T35", """WITH s AS (SELECT l_orderkey, l_linenumber AS seq, l_partkey AS version FROM lineitem WHERE l_quantity > 15),
+g AS (SELECT l_orderkey, max(version) AS version_floor, min(seq) AS oldest, max(seq) AS newest, list(DISTINCT seq) AS seen FROM s GROUP BY 1)
+SELECT l_orderkey, version_floor, CAST(newest + 1 AS BIGINT) AS next, list_sort(list_filter(range(oldest, newest), lambda x: NOT list_contains(seen, x))) AS holes FROM g""")
+def state_recovery(spark, sf_dir) -> DataFrame:
+    """What a restarted session must know: the floor of versions, the next number, and holes from the oldest kept number on, told by gaps between neighbours."""
+    s = table(spark, sf_dir, "lineitem").filter("l_quantity > 15").select("l_orderkey", F.col("l_linenumber").cast("long").alias("seq"), F.col("l_partkey").alias("version"))
+    g = s.groupBy("l_orderkey").agg(F.max("version").alias("version_floor"), (F.max("seq") + 1).alias("next"))
+    holes = missing_numbers(s, ["l_orderkey"], "seq").groupBy("l_orderkey").agg(F.array_sort(F.collect_list("seq")).alias("holes"))
+    return g.join(holes, "l_orderkey", "left").select("l_orderkey", "version_floor", "next", F.coalesce("holes", F.array().cast("array<bigint>")).alias("holes"))

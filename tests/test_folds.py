@@ -106,3 +106,43 @@ def test_redaction_matches_brute_force(spark):
         if t is not None:
             assert (r.t, r.url, r.email, r.id, r.phone, r.name) == brute(t) or tuple(r)[1:] == brute(t), t
     assert got[5].t is None
+
+
+def test_stems_of_the_published_examples():
+    from captionlake.functions.stems import porter
+
+    want = "caresses caress ponies poni ties ti cats cat feed feed agreed agre plastered plaster motoring motor sing sing conflated conflat troubled troubl sized size hopping hop tanned tan falling fall hissing hiss fizzed fizz failing fail filing file happy happi sky sky relational relat conditional condit rational ration digitizer digit conformabli conform vietnamization vietnam predication predic operator oper feudalism feudal decisiveness decis hopefulness hope callousness callous formaliti formal sensitiviti sensit sensibiliti sensibl triplicate triplic formative form formalize formal electriciti electr electrical electr hopeful hope goodness good revival reviv allowance allow inference infer airliner airlin adjustable adjust defensible defens irritant irrit replacement replac adjustment adjust dependent depend adoption adopt homologou homolog communism commun activate activ angulariti angular homologous homolog effective effect bowdlerize bowdler probate probat rate rate cease ceas controll control roll roll studies studi study studi running run".split()
+    assert {w: porter(w) for w in want[::2]} == dict(zip(want[::2], want[1::2]))
+
+
+def test_containment_by_join_finds_the_same(spark):
+    from captionlake.operators.joins import containment
+
+    rng = random.Random(8)
+    texts = spark.createDataFrame([(i, "".join(rng.choices("abc", k=rng.randint(0, 30)))) for i in range(60)] + [(60, None)], "id int, text string")
+    terms = spark.createDataFrame([("".join(rng.choices("abc", k=rng.randint(3, 5))),) for _ in range(40)], "term string").distinct()
+    want = sorted((r.id, t.term) for r in texts.collect() for t in terms.collect() if r.text and t.term in r.text)
+    for most in (1 << 20, 0):
+        assert [tuple(r) for r in rows_of(containment(texts, terms, "text", "term", 3, most).select("id", "term"), "id", "term")] == sorted(want, key=repr)
+
+
+def test_dictionary_keys(spark):
+    from captionlake.functions import dictionary as D
+
+    df = spark.createDataFrame([("Bank", None, ["a river bank/the shore", "x" * 161], ["banks", " Banked "], "The bank's 因緣生 is, ok")], "word string, alt string, glosses array<string>, forms array<string>, s string")
+    r = df.select(D.entry_keys(F.col("word"), F.col("alt"), F.col("glosses"), F.col("forms")).alias("e"), D.query_keys(F.col("s")).alias("q")).first()
+    assert r.e == ["bank", "a river bank", "river", "the shore", "shore", "banks", "banked"]
+    assert r.q == ["the", "bank's", "is", "ok", "因緣生", "因緣", "緣生", "因", "緣", "生"]
+
+
+def test_nearest_vectors_in_waves(spark):
+    from captionlake.operators.vectors import cosine_top_k
+
+    rng = random.Random(6)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(90)] + [(100, [0.0] * 4), (120, None), (None, [1.0] * 4)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    valid = [(i, v) for i, v in rows if i is not None and v is not None]
+    norm = lambda v: sum(x * x for x in v) ** 0.5
+    cos = lambda a, b: round(sum(x * y for x, y in zip(a, b)) / (norm(a) * norm(b)), 9) if norm(a) * norm(b) else 0.0
+    want = [(q, i, n) for q, a in valid if q % 20 == 0 for n, (_, i) in enumerate(sorted((-cos(a, b), i) for i, b in valid if i != q)[:3], 1)]
+    assert rows_of(cosine_top_k(df, lambda i: i % 20 == 0, 3, block=2, wave_bytes=1), "query_id", "vec_id", "rank") == sorted(want, key=repr)
