@@ -85,6 +85,15 @@ def tidy(operator: Callable) -> Callable:
     return run
 
 
+#: Rows of keys and hashes (about 64 bytes each) that are sent to all tasks at most.
+BROADCAST_ROWS = 1_000_000
+
+
+def broadcast_if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, a written table of keys and hashes, to be broadcast if it has ``most`` rows at most, so that texts that it is joined with aren't shuffled; else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

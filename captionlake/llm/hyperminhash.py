@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, tidy, written
+from .common import broadcast_if_small, drop_written, tidy, written
 from .components import connected_components
 
 #: Registers, registers of a band, bands, mantissa bits. Two sets of similarity 0.85 share no band once in 10**9.
@@ -180,7 +180,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     def sets_of(pairs: DataFrame) -> DataFrame:
         """rep, data: the full sets of the documents in ``pairs``, one row for each, however many rows repeat it."""
         ends = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct().join(reps.select("rep", F.col("th").alias("want"), "fp"), "rep")
-        rows = slim.join(written(ends), (F.col("k") == F.col("rep")) & (F.col("th") == F.col("want"))).select("rep", "t", "fp").dropDuplicates(["rep", "fp"])
+        rows = slim.join(broadcast_if_small(written(ends)), (F.col("k") == F.col("rep")) & (F.col("th") == F.col("want"))).select("rep", "t", "fp").dropDuplicates(["rep", "fp"])
 
         def full(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
@@ -294,9 +294,10 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: in
     own = docs.withColumn("_cl_h", F.xxhash64(text))
     same = (F.col(key) == F.col("_cl_k")) & (F.col("_cl_h") == F.col("_cl_th"))
     gone = written(judged.filter("NOT kept").select("_cl_k", "_cl_th").distinct())  # its size is known before texts would be shuffled
-    left = own.join(gone, same, "left_anti")
+    left = own.join(broadcast_if_small(gone), same, "left_anti")
     again = written(judged.filter("kept AND n_shingles > 0 AND _cl_k IS NOT NULL").groupBy("_cl_k", "_cl_th").agg(F.count("*").alias("n")).filter("n > 1").drop("n"))
     if not again.isEmpty():
+        again = broadcast_if_small(again)
         order = F.xxhash64(*[f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()])
         once = left.join(again, same, "left_semi").groupBy(key, "_cl_h").agg(F.min_by(F.struct(*docs.columns), order).alias("_cl_row"))
         left = left.join(again, same, "left_anti").unionByName(once.select("_cl_row.*", "_cl_h"))
