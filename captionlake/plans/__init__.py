@@ -1,3 +1,3 @@
 """Queries that bind the operators to the driver's tables."""
 
-from . import captions, corpus, joins, ledger, metrics, relational, search, streams, tail  # noqa: F401
+from . import captions, corpus, joins, ledger, metrics, relational, rules, search, streams, tail  # noqa: F401
