@@ -85,16 +85,16 @@ FRAME_MS, SPEECH_SHARE, PAD_MS, LEAST_SAVED_MS = 32, 0.05, 200, 500
 
 @query("T17", """WITH h AS (SELECT vec_id, len(embedding) AS n, list_filter(range(1, len(embedding) + 1), lambda i: abs(embedding[i]) >= 0.25) AS spoken FROM embeddings),
 t AS (SELECT vec_id, n * 32 AS total, len(spoken) < 0.05 * n AS silent, greatest(0, (list_min(spoken) - 1) * 32 - 200) AS a, least(n * 32, list_max(spoken) * 32 + 200) AS b FROM h)
-SELECT vec_id, silent, CAST(CASE WHEN b > a AND total - (b - a) >= 500 THEN a END AS BIGINT) AS trim_from, CAST(CASE WHEN b > a AND total - (b - a) >= 500 THEN b END AS BIGINT) AS trim_to FROM t""")
+SELECT vec_id, silent, CAST(CASE WHEN b > a AND total - (b - a) >= 500 THEN a ELSE 0 END AS BIGINT) AS start_ms, CAST(CASE WHEN b > a AND total - (b - a) >= 500 THEN b ELSE total END AS BIGINT) AS end_ms FROM t""")
 def voice_gate(spark, sf_dir) -> DataFrame:
-    """Frames' levels stand for speech probabilities: silent audio has few speech frames; other audio is trimmed to its speech and padding where that saves enough."""
+    """Frames' levels stand for speech probabilities: silent audio has few speech frames; other audio is cut to its speech and padding where that saves enough."""
     n, at = F.size("embedding"), F.filter(F.transform("embedding", lambda x, i: F.when(F.abs(x) >= 0.25, i)), lambda i: i.isNotNull())
     h = table(spark, sf_dir, "embeddings").select("vec_id", n.alias("n"), at.alias("at"))
     begin = F.when(F.size("at") > 0, F.greatest(F.lit(0), F.array_min("at") * FRAME_MS - PAD_MS))
     end = F.when(F.size("at") > 0, F.least(F.col("n") * FRAME_MS, (F.array_max("at") + 1) * FRAME_MS + PAD_MS))
     t = h.select("vec_id", (F.size("at") < SPEECH_SHARE * F.col("n")).alias("silent"), begin.alias("a"), end.alias("b"), (F.col("n") * FRAME_MS).alias("total"))
     worth = (F.col("b") > F.col("a")) & (F.col("total") - (F.col("b") - F.col("a")) >= LEAST_SAVED_MS)
-    return t.select("vec_id", "silent", F.when(worth, F.col("a")).cast("long").alias("trim_from"), F.when(worth, F.col("b")).cast("long").alias("trim_to"))
+    return t.select("vec_id", "silent", F.when(worth, F.col("a")).otherwise(0).cast("long").alias("start_ms"), F.when(worth, F.col("b")).otherwise(F.col("total")).cast("long").alias("end_ms"))
 
 
 @query("F36", """WITH p AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x FROM embeddings),
