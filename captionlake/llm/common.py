@@ -5,9 +5,11 @@ from __future__ import annotations
 import functools
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from contextvars import ContextVar
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,6 +100,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def runs(batches: Iterator[pd.DataFrame], column: str) -> Iterator[pd.DataFrame]:
+    """Whole groups of rows of one value of ``column``, from batches that are sorted by it (values are hashes or numbers, never null)."""
+    held: list[pd.DataFrame] = []
+    for b in batches:
+        if not len(b):
+            continue
+        v = b[column].to_numpy()
+        cuts = [0, *(np.flatnonzero(v[1:] != v[:-1]) + 1), len(v)]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            if held and held[0][column].iat[0] != v[lo]:
+                yield pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]
+                held = []
+            held.append(b.iloc[lo:hi])
+    if held:
+        yield pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -8,14 +8,17 @@ from pyspark.sql import functions as F
 from .chat import format_chat, read_back, text_part
 from .common import table
 from .fm import fit_on_labels, is_held_out, score_documents
+from .forest import near_vectors
 from .hyperminhash import near_duplicates
 from .packing import pack_documents
 from .pii import replace_entities
 from .quality_rules import quality_rules
 from .repeats import remove_repeats
 from .sharding import shard_records
+from .spelling import observed_words, spelling_variants
 from .topk import exact_top_k
 from .unigram import encode_documents
+from .wand import ranked_search
 
 QUERIES, ORACLES = {}, {}
 
@@ -162,3 +165,63 @@ SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query
+def op11_block_max_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+ORACLES["op11_block_max_wand"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents WHERE text IS NOT NULL),
+n AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n FROM d WHERE len(w) > 0),
+s AS (SELECT CAST(count(*) AS BIGINT) AS nn, CAST(sum(n) AS BIGINT) AS ll FROM n),
+p AS MATERIALIZED (SELECT doc_id, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM d) GROUP BY 1, 2),
+q AS MATERIALIZED (SELECT item_id, term, CAST(count(*) AS BIGINT) AS times FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY 1, 2),
+f AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(nn) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM p, s GROUP BY term),
+x AS (SELECT q.item_id, p.doc_id, CAST(sum(q.times * f.w * ((1000000000 * p.tf) // (1000 * p.tf + 8 * (25 + (75 * n.n * s.nn) // s.ll)))) AS BIGINT) AS score
+  FROM q JOIN p USING (term) JOIN f USING (term) JOIN n ON n.doc_id = p.doc_id, s GROUP BY 1, 2),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM x WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
+"""
+
+
+@query
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(observed_words(table(spark, sf_dir, "documents")))
+
+
+@query
+def op13_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"), similarity=0.9)
+
+
+ORACLES["op13_projection_forest"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) WHERE list_cosine_similarity(a.x, b.x) >= 0.9),
+r AS (SELECT vec_id AS origin, vec_id AS reached FROM embeddings UNION SELECT r.origin, l.b FROM r JOIN l ON r.reached = l.a),
+c AS (SELECT origin AS vec_id, min(reached) AS component_id FROM r GROUP BY 1),
+k AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY 1)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN k USING (vec_id)
+"""
+
+
+#: crc32 by bytes: the table follows from the polynomial; letters beyond ASCII (U+00C0 to U+00FF) are the bytes 195 and the code point less 64.
+ORACLES["op12_spelling_variants"] = r"""
+WITH RECURSIVE tab AS (SELECT list(c ORDER BY b) AS tab FROM (
+    SELECT b, list_reduce(list_prepend(b, list_transform(range(8), lambda i: CAST(i AS BIGINT))), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM (SELECT CAST(unnest(range(256)) AS BIGINT) AS b))),
+t AS (SELECT doc_id, r, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS r FROM documents) GROUP BY 1, 2),
+b AS (SELECT r, n, flatten(list_transform(string_split(doc_id || ':' || r, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [CAST(unicode(x) AS BIGINT)] ELSE [195, unicode(x) - 64] END)) AS b FROM t),
+h AS (SELECT r, n, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, tab[1 + (xor(c, x) & 255)])), 4294967295) AS h FROM b, tab),
+w AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (SELECT CASE WHEN h % 97 = 0 THEN substr(r, 1, h % length(r)) || substr(r, h % length(r) + 2) ELSE r END AS word, n FROM h) WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+m AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i - 1) AS l, substr(word, i + 1) AS r FROM w, LATERAL (SELECT unnest(range(1, length(word) + 1)) AS i)),
+e AS MATERIALIZED (
+  SELECT DISTINCT a.word, b.word AS near, b.n FROM m a JOIN m b ON a.i = b.i AND a.l = b.l AND a.r = b.r AND a.word <> b.word
+  UNION SELECT m.word, w.word, w.n FROM m JOIN w ON w.word = m.l || m.r UNION SELECT w.word, m.word, m.n FROM m JOIN w ON w.word = m.l || m.r),
+f AS MATERIALIZED (SELECT w.word, w.n, coalesce(x.n_near, 0) AS n_near, CASE WHEN x.best.n >= 2 * w.n THEN x.best.near END AS form, CASE WHEN x.best.n >= 2 * w.n THEN x.best.n END AS form_n
+  FROM w LEFT JOIN (SELECT word, count(*) AS n_near, first({'near': near, 'n': n} ORDER BY n DESC, near) AS best FROM e GROUP BY word) x USING (word)),
+up AS (SELECT word, word AS top, 0 AS step FROM f UNION ALL SELECT up.word, f.form, step + 1 FROM up JOIN f ON f.word = up.top WHERE f.form IS NOT NULL)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN (SELECT word, max_by(top, step) AS root FROM up GROUP BY word) USING (word)
+"""
