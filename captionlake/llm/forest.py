@@ -181,11 +181,12 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
         if many.isEmpty():
             leaves.append(todo)
             break
-        leaves.append(todo.join(many, "node", "left_anti"))
-        big = todo.join(many, "node")
+        few = (lambda x: x) if leaves else F.broadcast  # the roots are one row for each tree and length of vectors; later nodes are many and none is hot
+        leaves.append(todo.join(few(many), "node", "left_anti"))
+        big = todo.join(few(many), "node")
         drawn = big.filter(F.pmod(F.xxhash64("fp", "node"), F.lit(1 << 30)) < F.col("n") ** -1 * (sample * float(1 << 30)))
         splits = written(drawn.repartition("node").sortWithinPartitions("node").mapInPandas(fit, "node long, splits binary"), ROWS_AT_ONCE)
-        routed = big.drop("n").join(splits, "node").select("rep", "fp", "data", "node", "splits")
+        routed = big.drop("n").join(few(splits), "node").select("rep", "fp", "data", "node", "splits")
         todo = written(routed.mapInPandas(route, "rep long, fp long, data binary, node long"), ROWS_AT_ONCE)
     placed = leaves[0]
     for more in leaves[1:]:
