@@ -7,10 +7,11 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextvars import ContextVar
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PREFIX = "captionlake-"
@@ -87,17 +88,25 @@ def tidy(operator: Callable) -> Callable:
     return run
 
 
-#: Rows of keys and hashes (about 64 bytes each) that are sent to all tasks at most.
-BROADCAST_ROWS = 1_000_000
+#: Bits of a filter for each key, and in all (32 MB, in 8,192 chunks): beyond 8 million keys a filter lets more through.
+FILTER_BITS, MOST_BITS = 32, 1 << 28
 
 
-def broadcast_if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """``df``, a written table of keys and hashes, to be broadcast if it has ``most`` rows at most, so that texts that it is joined with aren't shuffled; else as it is, for a shuffled join."""
-    return F.broadcast(df) if df.count() <= most else df
+def split_by_keys(rows: DataFrame, keys: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:
+    """``rows`` that may have one of ``keys`` (a written table), and those that surely have none.
 
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    A bitmap of the keys' hashes, whose size is bounded, is sent to all tasks, so rows that are not asked for stay where
+    they are, however many keys there are; only the first part has to meet the keys by a shuffle. Rows with a null among the columns are in the second part.
+    """
+    bits = 1 << min(MOST_BITS.bit_length() - 1, max(15, (FILTER_BITS * keys.count() - 1).bit_length()))
+    place = F.pmod(F.xxhash64(*on), F.lit(bits))
+    chunks = written(keys.select(place.alias("p")).groupBy((F.col("p") / 32768).cast("long").alias("_chunk")).agg(F.bitmap_construct_agg((F.col("p") % 32768).cast("long")).alias("_bits")))
+    put = rows.withColumn("_p", F.when(reduce(Column.__or__, [F.col(c).isNull() for c in on]), F.lit(None)).otherwise(place))
+    put = put.withColumn("_chunk", (F.col("_p") / 32768).cast("long")).join(F.broadcast(chunks), "_chunk", "left")
+    byte = F.conv(F.hex(F.substring("_bits", (F.col("_p") % 32768 / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.expr("shiftright(_b, cast(_p % 8 AS int)) % 2 = 1"), F.lit(False))
+    put = put.withColumn("_b", byte).withColumn("_hit", hit)
+    return put.filter("_hit").select(*rows.columns), put.filter("NOT _hit").select(*rows.columns)
 
 
 def runs(batches: Iterator[pd.DataFrame], column: str) -> Iterator[pd.DataFrame]:
@@ -117,6 +126,10 @@ def runs(batches: Iterator[pd.DataFrame], column: str) -> Iterator[pd.DataFrame]
         yield pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, drop_written, tidy, written
+from .common import drop_written, split_by_keys, tidy, written
 from .components import connected_components
 
 #: Registers, registers of a band, bands, mantissa bits. Two sets of similarity 0.85 share no band once in 10**9.
@@ -159,28 +159,53 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     # registers and bitmaps travel only for those that share a band
     banded = written(reps.select("rep", "n", "regs").join(written(members.select("rep").distinct()), "rep", "left_semi"))
 
-    def with_registers(pairs: DataFrame) -> DataFrame:
+    def beside(pairs: DataFrame, held: DataFrame) -> DataFrame:
+        """The pairs as groups of rows of ``held``: one for the end that more pairs have (side 0), then one for each other end, at most about BLOCK of them. So what a hub of many pairs holds travels once for a block."""
+        ends = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("deg"))
         for x in ("a", "b"):
-            pairs = pairs.join(banded.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("regs").alias(f"regs_{x}")), x)
-        return pairs
+            pairs = pairs.join(ends.select(F.col("rep").alias(x), F.col("deg").alias(f"deg_{x}")), x)
+        swap = F.col("deg_b") > F.col("deg_a")
+        pairs = written(pairs.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("hub"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("rep")))
+        parts = pairs.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+        spokes = pairs.join(parts, "hub").select("hub", F.pmod(F.xxhash64("rep"), F.col("parts")).alias("part"), F.lit(1).alias("side"), "rep")
+        hubs = parts.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(0).alias("side"), F.col("hub").alias("rep"))
+        return written(spokes.unionByName(hubs)).join(held, "rep").repartition("hub", "part").sortWithinPartitions("hub", "part", "side")
+
+    def starred(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.Series, pd.DataFrame]]:
+        """(the hub's row, some of the rows beside it)."""
+        hub = None
+        for b in batches:
+            side = b["side"].to_numpy()
+            cuts = [0, *np.flatnonzero(side == 0), len(b)]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if lo < hi and side[lo] == 0:
+                    hub, lo = b.iloc[lo], lo + 1
+                if lo < hi:
+                    yield hub, b.iloc[lo:hi]
+
+    def ordered(hub: pd.Series, rest: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"a": [min(hub["rep"], x) for x in rest["rep"]], "b": [max(hub["rep"], x) for x in rest["rep"]]})
 
     def possible(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Pairs that no bound rules out, with the estimate of their similarity."""
-        for p in batches:
-            if len(p):
-                j = estimate((_matrix(p["regs_a"]) == _matrix(p["regs_b"])).sum(1), p["n_a"].to_numpy(), p["n_b"].to_numpy())
-                n, maps = np.concatenate([p["n_a"], p["n_b"]]), _bitmaps(p["regs_a"]) + _bitmaps(p["regs_b"])
-                at = [i for i in range(len(p)) if len(may_link(maps, n, i, np.array([i + len(p)]), threshold))]
-                yield p.iloc[at][["a", "b"]].assign(j=j[at])
+        for hub, p in starred(batches):
+            n = np.array([hub["n"], *p["n"]], "int64")
+            regs = np.frombuffer(hub["regs"][: 2 * REGISTERS], "<u2")
+            j = estimate((_matrix(p["regs"]) == regs).sum(1), n[1:], n[0])
+            at = may_link([np.frombuffer(hub["regs"], "uint8", offset=2 * REGISTERS), *_bitmaps(p["regs"])], n, 0, np.arange(1, len(n)), threshold) - 1
+            if len(at):
+                yield ordered(hub, p.iloc[at]).assign(j=j[at])
 
     sizes_allow = 100 * F.least("n", "n_pivot") >= threshold * F.greatest("n", "n_pivot")
     star = members.filter(F.col("rep") != F.col("pivot")).filter(sizes_allow).select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
-    star = written(with_registers(star).mapInPandas(possible, f"a {kind}, b {kind}, j double"), 4096)
+    star = written(beside(written(star), banded).mapInPandas(possible, f"a {kind}, b {kind}, j double"), 4096)
 
     def sets_of(pairs: DataFrame) -> DataFrame:
         """rep, data: the full sets of the documents in ``pairs``, one row for each, however many rows repeat it."""
-        ends = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct().join(reps.select("rep", F.col("th").alias("want"), "fp"), "rep")
-        rows = slim.join(broadcast_if_small(written(ends)), (F.col("k") == F.col("rep")) & (F.col("th") == F.col("want"))).select("rep", "t", "fp").dropDuplicates(["rep", "fp"])
+        ends = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct().join(reps.select("rep", "th", "fp"), "rep")
+        ends = written(ends.select(F.col("rep").alias("k"), "th", "fp"))
+        asked, _ = split_by_keys(slim, ends, ["k", "th"])
+        rows = asked.join(ends.hint("shuffle_hash"), ["k", "th"]).dropDuplicates(["k", "th", "fp"]).select(F.col("k").alias("rep"), "t", "fp")  # as the join has dealt them
 
         def full(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
@@ -194,17 +219,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
         sets = sets_of(pairs)
 
         def confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for p in batches:
-                ok = []
-                for x, y in zip(p["data_a"], p["data_b"], strict=True):
-                    s, t = np.frombuffer(x, "uint64"), np.frombuffer(y, "uint64")
+            for hub, p in starred(batches):
+                s, ok = np.frombuffer(hub["data"], "uint64"), []
+                for y in p["data"]:
+                    t = np.frombuffer(y, "uint64")
                     both = len(np.intersect1d(s, t, assume_unique=True))
                     ok.append(100 * both >= threshold * (len(s) + len(t) - both))
-                yield p.loc[ok, ["a", "b"]]
+                if any(ok):
+                    yield ordered(hub, p[ok])
 
-        for x in ("a", "b"):
-            pairs = pairs.join(sets.select(F.col("rep").alias(x), F.col("data").alias(f"data_{x}")), x)
-        links = written(pairs.mapInPandas(confirm, f"a {kind}, b {kind}").distinct(), ROWS_AT_ONCE)
+        links = written(beside(pairs, sets.select("rep", "data")).mapInPandas(confirm, f"a {kind}, b {kind}").distinct(), ROWS_AT_ONCE)
         drop_written(sets)
         return links
 
@@ -290,15 +314,16 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: in
     without shingles or key, which all stay. Null, empty and very long texts as in near_duplicates(); columns with
     clashing names stay as they are; an empty table gives an empty result.
     """
-    judged = written(near_duplicates(docs, key, text, width, threshold, text_hash=True).select(F.col(key).alias("_cl_k"), F.col("text_hash").alias("_cl_th"), "n_shingles", "kept"))
-    own = docs.withColumn("_cl_h", F.xxhash64(text))
-    same = (F.col(key) == F.col("_cl_k")) & (F.col("_cl_h") == F.col("_cl_th"))
-    gone = written(judged.filter("NOT kept").select("_cl_k", "_cl_th").distinct())  # its size is known before texts would be shuffled
-    left = own.join(broadcast_if_small(gone), same, "left_anti")
-    again = written(judged.filter("kept AND n_shingles > 0 AND _cl_k IS NOT NULL").groupBy("_cl_k", "_cl_th").agg(F.count("*").alias("n")).filter("n > 1").drop("n"))
+    judged = written(near_duplicates(docs, key, text, width, threshold, text_hash=True).select(F.col(key).alias("_cl_k"), F.col("text_hash").alias("_cl_h"), "n_shingles", "kept"))
+    own, on = docs.withColumns({"_cl_k": F.col(key), "_cl_h": F.xxhash64(text)}), ["_cl_k", "_cl_h"]
+    # texts that no key asks for stay where they are
+    gone = written(judged.filter("NOT kept").select(*on).distinct())
+    maybe, left = split_by_keys(own, gone, on)
+    left = left.unionByName(maybe.join(gone.hint("shuffle_hash"), on, "left_anti"))
+    again = written(judged.filter("kept AND n_shingles > 0 AND _cl_k IS NOT NULL").groupBy(*on).agg(F.count("*").alias("n")).filter("n > 1").drop("n"))
     if not again.isEmpty():
-        again = broadcast_if_small(again)
         order = F.xxhash64(*[f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()])
-        once = left.join(again, same, "left_semi").groupBy(key, "_cl_h").agg(F.min_by(F.struct(*docs.columns), order).alias("_cl_row"))
-        left = left.join(again, same, "left_anti").unionByName(once.select("_cl_row.*", "_cl_h"))
-    return left.drop("_cl_h")
+        maybe, single = split_by_keys(left, again, on)
+        once = maybe.join(again.hint("shuffle_hash"), on, "left_semi").groupBy(*on).agg(F.min_by(F.struct(*docs.columns), order).alias("_cl_row"))
+        left = single.unionByName(maybe.join(again.hint("shuffle_hash"), on, "left_anti")).select(*docs.columns).unionByName(once.select("_cl_row.*"))
+    return left.select(*docs.columns)
