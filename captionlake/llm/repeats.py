@@ -233,9 +233,15 @@ def marks_of(pieces: DataFrame, largest: int, level: int = 0) -> DataFrame:
     return done
 
 
+def text_id(key: str, text: str):
+    """128 bits by which texts are told apart: two hashes of key and text."""
+    half = lambda *x: F.lpad(F.hex(F.xxhash64(*x)), 16, "0")
+    return F.unhex(F.concat(half(F.col(key), F.col(text)), half(F.lit(1), F.col(text), F.col(key))))
+
+
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", largest: int = LARGEST, chunk: int = CHUNK) -> DataFrame:
-    """d, spans: for each text with repeated windows, the [start, end) spans of bytes that they cover in it, not merged. d is the hash of key and text."""
-    slim = docs.select(F.xxhash64(key, text).alias("d"), F.col(text).alias("t"))
+    """d, spans: for each text with repeated windows, the [start, end) spans of bytes that they cover in it, not merged. d is text_id() of key and text."""
+    slim = docs.select(text_id(key, text).alias("d"), F.col(text).alias("t"))
     # rows that repeat key and text are read once, as a text that occurs twice
     again = written(slim.groupBy("d").agg(F.count("*").alias("n")).filter("n > 1").select("d"))
     if again.isEmpty():
@@ -247,7 +253,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", lar
         def out(held: list) -> pd.DataFrame:
             ids, times, bases, texts = zip(*held, strict=True)
             doc, start, size, offset, m, content = segments(texts)
-            return pd.DataFrame({"d": np.array(ids, "int64")[doc], "times": np.array(times, "int32")[doc], "m": m, "content": content, "place": start + np.array(bases, "int64")[doc] << 20 | size << 10 | offset})
+            return pd.DataFrame({"d": np.array(ids, object)[doc], "times": np.array(times, "int32")[doc], "m": m, "content": content, "place": start + np.array(bases, "int64")[doc] << 20 | size << 10 | offset})
 
         for b in batches:
             held, n = [], 0
@@ -263,7 +269,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", lar
             if held:
                 yield out(held)
 
-    cuts = written(slim.mapInPandas(cut, "d long, times int, m long, content long, place long"), ROWS_AT_ONCE)
+    cuts = written(slim.mapInPandas(cut, "d binary, times int, m long, content long, place long"), ROWS_AT_ONCE)
     shared = written(cuts.groupBy("m").agg(F.sum("times").alias("n")).filter("n > 1").select("m"))
     kept = written(cuts.join(shared, "m"))
     drop_written(cuts, shared)
@@ -311,7 +317,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", lar
     Null texts are empty; texts under WINDOW bytes can't hold a repeat; very long texts are hashed in parts, and
     a row's segments take about its bytes. Copies of a text, repeated rows and null keys are texts like any other:
     rows that repeat key and text are read once and count twice. Segments are told apart by 64-bit hashes within groups of one minimizer,
-    texts by a 64-bit hash of key and text. Columns of ``docs`` with the names of added ones are replaced. An
+    texts by a 128-bit one of key and text. Columns of ``docs`` with the names of added ones are replaced. An
     empty table gives an empty result.
     """
     spans = repeated_spans(docs, key, text, largest, chunk)
@@ -338,6 +344,6 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", lar
         return pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
 
     names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
-    own = docs.drop(*[c for c in names if c not in (key, text)]).withColumn("_cl_d", F.xxhash64(key, text))
+    own = docs.drop(*[c for c in names if c not in (key, text)]).withColumn("_cl_d", text_id(key, text))
     joined = own.join(spans.select(F.col("d").alias("_cl_d"), F.col("spans").alias("_cl_spans")), "_cl_d", "left")
     return joined.withColumn("_cl_x", cut(F.col(text), F.col("_cl_spans"))).select(*[c for c in own.columns if c != "_cl_d"], "_cl_x.*")
