@@ -1,14 +1,12 @@
-"""Text search over postings that are derived tables: n-grams, words, BM25, fuzzy memory matches."""
+"""Text search over postings that are derived tables: n-grams, words, BM25."""
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sequences import match_ratio
-
 #: BM25 parameters.
 K1, B = 1.2, 0.75
 
@@ -63,16 +61,3 @@ def gram_search(index: DataFrame, docs: DataFrame, key: str, text: str, phrase:
     wanted = sorted({phrase[i : i + n] for i in range(len(phrase) - n + 1)})
     hits = index.filter(F.col("gram").isin(*wanted)).groupBy(key).agg(F.count_distinct("gram").alias("_n")).filter(F.col("_n") == len(wanted))
     return docs.join(hits, key, "left_semi").filter(F.contains(F.lower(F.col(text)), F.lit(phrase))).select(key)
-
-
-def fuzzy_matches(queries: DataFrame, memory: DataFrame, q: str, m: str, text: str, candidates: int = 30, least: float = 0.86, k: int = 3) -> DataFrame:
-    """For each query the k best memory texts with a match ratio of ``least`` to under 1: those that share most of 40 distinct trigrams are compared. Grams in more than a tenth of the memory find nothing and are left out; without another a query finds nothing."""
-    mem = memory.select(m, F.col(text).alias("_m"), F.explode(grams(F.col(text))).alias("g"))
-    common = mem.groupBy("g").agg(F.count("*").alias("_df"))
-    total = memory.agg(F.count("*").alias("_n"))  # one row
-    rare = common.join(F.broadcast(total)).filter(F.col("_df") <= F.greatest(F.col("_n") / 10, F.lit(10))).select("g")
-    asked = queries.select(q, F.col(text).alias("_q"), F.explode(F.slice(grams(F.col(text)), 1, 40)).alias("g"))
-    shared = asked.join(rare, "g", "left_semi").join(mem, "g").groupBy(q, m, "_q", "_m").agg(F.count("*").alias("_s"))
-    best = shared.withColumn("_r", F.row_number().over(Window.partitionBy(q).orderBy(F.desc("_s"), m))).filter(F.col("_r") <= candidates)
-    rated = best.withColumn("ratio", match_ratio("_q", "_m")).filter((F.col("ratio") >= least) & (F.col("ratio") < 1))
-    return rated.withColumn("rank", F.row_number().over(Window.partitionBy(q).orderBy(F.desc("ratio"), m))).filter(F.col("rank") <= k).select(q, "rank", m, "ratio")

@@ -9,6 +9,7 @@ from ..functions import dictionary as D
 from ..functions.stems import stem
 from ..functions.text import loose_key
 from ..operators import search as S
+from ..operators.fuzzy import fuzzy_matches
 from ..operators.vectors import cosine_top_k
 from ..registry import query
 from ..sources.tables import table
@@ -53,7 +54,7 @@ def tm_exact(spark, sf_dir) -> DataFrame:
 @query("X07 F12")
 def tm_fuzzy(spark, sf_dir) -> DataFrame:
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name")
-    return S.fuzzy_matches(p.select(F.col("p_partkey").alias("q_id"), "p_name"), p.select(F.col("p_partkey").alias("m_id"), "p_name"), "q_id", "m_id", "p_name")
+    return fuzzy_matches(p.select(F.col("p_partkey").alias("q_id"), "p_name"), p.select(F.col("p_partkey").alias("m_id"), "p_name"), "q_id", "m_id", "p_name")
 
 
 @query("X04")

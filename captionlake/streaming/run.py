@@ -12,14 +12,23 @@ EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, valu
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, or a new local one where that is unset (tests)."""
+    """The folder of spark.checkpoint.dir. Where it is unset, a new folder in local mode (tests); on a cluster that is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="captionlake-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder: computed once for several readers, and there when an executor is lost."""
+    path = f"{shared_dir(df.sparkSession)}/captionlake-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def event_stream(spark: SparkSession, sf_dir: str, files_per_batch: int | None = None) -> DataFrame:
     """The event log as a stream; ts is an instant, as watermarks need."""
     reader = spark.readStream.schema(EVENTS)
