@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,19 +43,3 @@ def bm25(docs: DataFrame, key: str, text: str, terms: list[str], k: int) -> Data
 def phrase_search(docs: DataFrame, key: str, text: str, phrase: str) -> DataFrame:
     """Documents that hold a phrase. The check by ``contains`` is pruned by nothing here; a table of grams prunes it where one is kept."""
     return docs.filter(F.contains(F.lower(F.col(text)), F.lit(phrase.lower()))).select(key)
-
-
-def routed(docs: DataFrame, key: str, text: str, q: str) -> DataFrame:
-    """A search by the length of what is asked: three characters or more are a phrase, fewer are looked for as they are. Spaces within Chinese, Japanese and Korean go, others become one."""
-    words = q.split()
-    q = ("" if re.search("[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\uf900-\ufaff]", q) else " ").join(words)
-    if len("".join(words)) >= 3:
-        return phrase_search(docs, key, text, q)
-    return docs.filter(F.contains(F.lower(F.col(text)), F.lit("".join(words).lower()))).select(key)
-
-
-def gram_search(index: DataFrame, docs: DataFrame, key: str, text: str, phrase: str, n: int = 3) -> DataFrame:
-    """The same by an index (gram, key): a document must have each gram of the phrase, then is checked."""
-    wanted = sorted({phrase[i : i + n] for i in range(len(phrase) - n + 1)})
-    hits = index.filter(F.col("gram").isin(*wanted)).groupBy(key).agg(F.count_distinct("gram").alias("_n")).filter(F.col("_n") == len(wanted))
-    return docs.join(hits, key, "left_semi").filter(F.contains(F.lower(F.col(text)), F.lit(phrase))).select(key)

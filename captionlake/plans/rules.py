@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import captions as C
 from ..operators import folds
 from ..operators import glossary as G
-from ..operators import search as S
 from ..registry import query
 from ..sources.tables import events, table
 
@@ -138,10 +137,3 @@ def job_leases(spark, sf_dir) -> DataFrame:
     kinds = F.create_map(*[F.lit(x) for pair in (("view", "claim"), ("click", "beat"), ("purchase", "finish"), ("error", "retry"), ("signup", "cancel")) for x in pair])
     e = events(spark, sf_dir).select(F.col("user_id").alias("key"), F.unix_seconds("ts").alias("at"), F.col("event_id").alias("id"), F.coalesce(F.element_at(kinds, F.col("event_type")), F.lit("beat")).alias("kind"), (F.col("k") % 2).alias("owner"))
     return folds.leases(e, 20 * 3600, 3)
-
-
-@query("X01", """SELECT 'long' AS q, doc_id FROM documents WHERE contains(lower(text), 'tion the') UNION ALL SELECT 'short', doc_id FROM documents WHERE contains(lower(text), 'qu') UNION ALL SELECT 'spaced', doc_id FROM documents WHERE contains(lower(text), '因緣生')""")
-def routed_search(spark, sf_dir) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
-    hits = [S.routed(d, "doc_id", "text", q).select(F.lit(name).alias("q"), "doc_id") for name, q in (("long", " tion  the "), ("short", "qu"), ("spaced", "因 緣 生"))]
-    return hits[0].unionByName(hits[1]).unionByName(hits[2])

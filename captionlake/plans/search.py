@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,9 +13,11 @@ from ..functions.stems import stem
 from ..functions.text import loose_key
 from ..operators import search as S
 from ..operators.fuzzy import fuzzy_matches
+from ..operators.index import TextIndex, ranked, search
 from ..operators.vectors import cosine_top_k
 from ..registry import query
 from ..sources.tables import table
+from ..streaming.run import shared_dir
 
 W_SQL = "SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents"
 
@@ -24,17 +29,51 @@ def bm25_topk(spark, sf_dir) -> DataFrame:
     return S.bm25(table(spark, sf_dir, "documents"), "doc_id", "text", ["with", "from", "nicht"], 20)
 
 
-@query("X01 X02", "SELECT doc_id FROM documents WHERE contains(lower(text), 'tion the')")
+@query("X02", "SELECT doc_id FROM documents WHERE contains(lower(text), 'tion the')")
 def trigram_search(spark, sf_dir) -> DataFrame:
-    """A phrase of three characters or more; shorter ones go to word postings."""
+    """A phrase by a scan: what a table without an index costs."""
     return S.phrase_search(table(spark, sf_dir, "documents"), "doc_id", "text", "tion the")
 
 
-@query("X02", "SELECT page_id FROM pages WHERE contains(lower(url), 'page1')")
+def new_index(spark, key: str) -> TextIndex:
+    return TextIndex(spark, f"{shared_dir(spark)}/captionlake-index-{uuid.uuid4().hex}", key)
+
+
+#: Texts that the tables lack.
+HAN_ROWS = "(VALUES (-1, '因緣生法，因緣生'), (-2, '緣生 ABC'), (-3, 'abcd 法'), (-4, '因緣 qu'))"
+
+
+@query("X01 X02 X03", f"""WITH d AS (SELECT doc_id, text FROM documents UNION ALL SELECT * FROM {HAN_ROWS})
+SELECT 'long' AS q, doc_id, 'gram' AS way FROM d WHERE contains(lower(text), 'tion the') UNION ALL SELECT 'short', doc_id, 'token' FROM d WHERE regexp_matches(lower(text), '(^|[^\\pL\\pN])qu')
+UNION ALL SELECT 'spaced', doc_id, 'gram' FROM d WHERE contains(lower(text), '因緣生') UNION ALL SELECT 'han', doc_id, 'token' FROM d WHERE contains(text, '緣生')""")
+def routed_search(spark, sf_dir) -> DataFrame:
+    """Four questions by the stored index: three characters or more go to the trigrams, fewer to the tokens."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(spark.sql(f"SELECT CAST(doc_id AS BIGINT) AS doc_id, text FROM {HAN_ROWS[1:-1]} AS t(doc_id, text)"))
+    index = new_index(spark, "doc_id")
+    index.add(d, "text")
+    hits = [search(index, d, "text", q).select(F.lit(name).alias("q"), "doc_id", "way") for name, q in (("long", " tion  the "), ("short", "qu"), ("spaced", "因 緣 生"), ("han", "緣 生"))]
+    return reduce(DataFrame.unionByName, hits)
+
+
+@query("X02 X03", "SELECT page_id FROM pages WHERE contains(lower(url), '/en/') AND page_id % 3 > 0")
 def gram_index_search(spark, sf_dir) -> DataFrame:
-    p = table(spark, sf_dir, "pages").select("page_id", "url")
-    index = p.select("page_id", F.explode(S.grams(F.lower("url"))).alias("gram"))
-    return S.gram_search(index, p, "page_id", "url", "page1")
+    """Current rows of an index over all rows; two appends hold half of them, and the rest, not indexed yet, is looked through."""
+    p, index = table(spark, sf_dir, "pages").select("page_id", "url"), new_index(spark, "page_id")
+    for part in (0, 1):
+        index.add(p.filter(F.col("page_id") % 4 == part), "url")
+    return search(index, p, "url", "/en/", F.col("page_id") % 3 > 0).select("page_id")
+
+
+@query("X05", """WITH w AS (SELECT item_id, regexp_extract_all(lower(text), '[\\pL\\pN]+') AS w FROM benchmark), s AS (SELECT count(*) AS n, sum(len(w)) AS total FROM w),
+t AS (SELECT item_id, term, count(*) AS tf FROM (SELECT item_id, unnest(w) AS term FROM w) WHERE term IN ('the', 'that', 'thin') GROUP BY 1, 2), d AS (SELECT term, count(*) AS df FROM t GROUP BY 1),
+b AS (SELECT item_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(w) / (total / n)))), 6) AS score FROM t JOIN d USING (term) JOIN w USING (item_id), s GROUP BY 1 ORDER BY score DESC, item_id LIMIT 20),
+f AS (SELECT item_id, score, w, greatest(1, least(list_min(list_filter(range(1, len(w) + 1), lambda i: w[i] IN ('the', 'that', 'thin'))) - 4, len(w) - 15)) AS f FROM b JOIN w USING (item_id))
+SELECT item_id, score, CASE WHEN f > 1 THEN '… ' ELSE '' END || array_to_string(list_transform(w[f:f + 15], lambda x: CASE WHEN x IN ('the', 'that', 'thin') THEN '[' || x || ']' ELSE x END), ' ') || CASE WHEN f + 16 <= len(w) THEN ' …' ELSE '' END AS snippet FROM f""")
+def ranked_snippets(spark, sf_dir) -> DataFrame:
+    """The best texts for three words with the place of the first hit, by the stored index."""
+    b, index = table(spark, sf_dir, "benchmark"), new_index(spark, "item_id")
+    index.add(b, "text")
+    return ranked(index, b, "text", ["the", "that", "thin"], 20)
 
 
 @query("X03", f"SELECT term, count(*) AS n, count(DISTINCT doc_id) AS docs FROM ({W_SQL}) WHERE term LIKE 'wit%' GROUP BY 1")
