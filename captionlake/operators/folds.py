@@ -36,11 +36,15 @@ def ordered_fold(df: DataFrame, keys: list[str], order: list[str], schema: str,
     return df.repartition(*[F.col(c) for c in keys]).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 
+#: Marks after which two lines are joined as they are; others are joined by a comma.
+PAUSES, COMMA = "，。！？；、,.!?;", "，"
+
+
 def carry_lines(df: DataFrame, most: int = 2, chars: int = 80, reach: int = 2) -> DataFrame:
     """Stale lines (key, seq, id, text, stale) ride along with the next line of their key: ``most`` of them, ``chars`` characters in all, and no more than ``reach`` numbers ahead. Others are skipped. Returns key, id, text, carried."""
 
     def join(a: str, b: str) -> str:
-        return a + ("" if a[-1:] in "，。！？；、,.!?;" else "，") + b
+        return f"{a}{b}" if not a or a.endswith(tuple(PAUSES)) else f"{a}{COMMA}{b}"
 
     def step(state: dict, r) -> list:
         held = state.get("held")

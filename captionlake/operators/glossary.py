@@ -63,7 +63,7 @@ def set_violations(terms: DataFrame) -> DataFrame:
     named = lambda d, rule: d.select("id", F.lit(rule).alias("rule"), "alias")
     distinct = t.select("term").distinct()
     owners = a.groupBy("alias").agg(F.min("term").alias("x"), F.max("term").alias("y")).filter("x <> y").select("alias")
-    inside = containment(distinct, a.filter(F.length("alias") >= LEAST_ALIAS).select(F.col("alias").alias("_alias")).distinct(), "term", "_alias", LEAST_ALIAS).filter("term <> _alias").select(F.col("term").alias("other"), F.col("_alias").alias("alias"))
+    inside = containment(distinct, a.filter(F.length("alias") >= LEAST_ALIAS).select(F.col("alias").alias("_alias")).distinct(), "term", "_alias").filter("term <> _alias").select(F.col("term").alias("other"), F.col("_alias").alias("alias"))
     inside = a.join(inside, "alias").filter("other <> term").select("id", "alias").distinct()
     return (
         twice.unionByName(named(a.filter(F.length("alias") < LEAST_ALIAS), "short_alias")).unionByName(named(a.filter(F.col("alias").isin(*STOP_ALIASES)), "stop_alias"))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..streaming.run import kept
+
 
 def as_of(left: DataFrame, right: DataFrame, keys: list[str], on: str, values: list[str]) -> DataFrame:
     """``left`` with the values of the last ``right`` row of its key whose ``on`` is not later; both sides are sorted once, in a union."""
@@ -40,33 +42,46 @@ def any_of(a: DataFrame, b: DataFrame, conditions: list[Column], a_id: list[str]
     return out.dropDuplicates([*a_id, *b_id])
 
 
-#: Characters of terms that are sent to all tasks as one automaton; more terms meet the texts by a join.
-TERM_CHARS = 16 << 20
+#: Characters of the terms of a wave, about: its automaton takes some 100 MB in a task.
+TERM_CHARS = 2 << 20
 
 
-def containment(texts: DataFrame, terms: DataFrame, text: str, term: str, n: int = 3, most_chars: int = TERM_CHARS) -> DataFrame:
-    """Pairs of a text's row and a distinct term that it holds.
+def hits_of(texts: DataFrame, terms: DataFrame, text: str, term: str, found: Callable, kind: str, most_chars: int = TERM_CHARS) -> DataFrame:
+    """``texts`` with a column ``term`` of ``kind``: found(automaton, text) for an automaton of all distinct, non-empty terms.
 
-    Terms of ``most_chars`` in all are one automaton, which every text passes once, in time linear in it. More
-    terms are joined: a term's first n characters are looked up among a text's n-grams, then the whole term is
-    checked; terms under n characters must then be filtered out before.
+    Terms are dealt into waves of about ``most_chars`` characters by a hash, whose automata go to all tasks one after the
+    other, so any number of terms is looked for, whatever their lengths; with more than one wave a row comes once for each, and the waves' rows are written.
     """
-    size = terms.agg(F.sum(F.length(term)).alias("chars")).first()["chars"] or 0
-    if size > most_chars:
-        grams = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substr(F.col(text), i, F.lit(n)))))
-        return texts.withColumn("_g", grams).join(terms.withColumn("_g", F.substr(F.col(term), F.lit(1), F.lit(n))), "_g").filter(F.contains(text, term)).drop("_g").distinct()
-    sent = texts.sparkSession.sparkContext.broadcast([r[0] for r in terms.select(term).filter(F.length(term) > 0).distinct().collect()])
-
-    @F.pandas_udf("array<string>")
-    def held(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        automaton = ahocorasick.Automaton()
-        for word in sent.value:
-            automaton.add_word(word, word)
-        automaton.make_automaton()
-        for t in batches:
-            yield t.map(lambda x: sorted({w for _, w in automaton.iter(x)}) if x and sent.value else [])
-
-    return texts.withColumn(term, F.explode(held(F.col(text))))
+    spark = texts.sparkSession
+    distinct = terms.select(F.col(term).alias("_t")).filter(F.length("_t") > 0).distinct()
+    size = distinct.agg(F.sum(F.length("_t")).alias("chars")).first()["chars"] or 0
+    n_waves = max(1, -(-size // most_chars))
+
+    def scan(sent):
+        @F.pandas_udf(kind)
+        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            automaton = ahocorasick.Automaton()
+            for word in sent.value:
+                automaton.add_word(word, word)
+            automaton.make_automaton()
+            for t in batches:
+                yield t.map(lambda x: found(automaton, x) if x and sent.value else [])
+
+        return run(F.col(text))
+
+    out = None
+    for wave in range(n_waves):
+        words = distinct.filter(F.pmod(F.xxhash64("_t"), F.lit(n_waves)) == wave).collect()  # a wave's terms
+        part = texts.withColumn(term, scan(spark.sparkContext.broadcast([r[0] for r in words])))
+        part = part if n_waves == 1 else kept(part)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def containment(texts: DataFrame, terms: DataFrame, text: str, term: str, most_chars: int = TERM_CHARS) -> DataFrame:
+    """Pairs of a text's row and a distinct term that it holds, in time linear in the texts for each wave of terms (hits_of)."""
+    held = hits_of(texts, terms, text, term, lambda automaton, x: sorted({w for _, w in automaton.iter(x)}), "array<string>", most_chars)
+    return held.withColumn(term, F.explode(term))
 
 
 def keyed_diff(old: DataFrame, new: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:

@@ -178,11 +178,13 @@ def frame_rms(spark, sf_dir) -> DataFrame:
 ASKED = "(VALUES (1, '好嗎'), (2, '你呢 '), (3, '好嗎？'), (4, '好。'), (5, ''), (6, 'really?'), (7, '走')) AS t(id, text)"
 
 
-@query("F17", f"SELECT id, CASE WHEN trim(text) LIKE '%嗎' OR trim(text) LIKE '%呢' THEN trim(text) || '？' ELSE trim(text) END AS marked FROM {ASKED}")
+@query("F17", f"WITH r AS (SELECT item_id + 100 AS id, text FROM benchmark UNION ALL SELECT * FROM {ASKED}) SELECT id, CASE WHEN trim(text) LIKE '%嗎' OR trim(text) LIKE '%呢' THEN trim(text) || '？' ELSE trim(text) END AS marked FROM r")
 def question_marks(spark, sf_dir) -> DataFrame:
     """A question mark after a line that ends in a question particle, and has no mark."""
     t = F.trim("text")
-    return spark.sql(f"SELECT * FROM {ASKED}").select("id", F.when(t.endswith("嗎") | t.endswith("呢"), F.concat(t, F.lit("？"))).otherwise(t).alias("marked"))
+    b = table(spark, sf_dir, "benchmark").select((F.col("item_id") + 100).alias("id"), "text")
+    lines = b.unionByName(spark.sql(f"SELECT CAST(id AS BIGINT) AS id, text FROM {ASKED}"))
+    return lines.select("id", F.when(t.endswith("嗎") | t.endswith("呢"), F.concat(t, F.lit("？"))).otherwise(t).alias("marked"))
 
 
 @query("F27", "SELECT item_id, len(regexp_extract_all(text, '[^.,;!?]{1,24}[.,;!?]?')) AS phrases FROM benchmark")

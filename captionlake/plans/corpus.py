@@ -147,9 +147,10 @@ def unicode_keys(spark, sf_dir) -> DataFrame:
 HAN_ROWS = "(VALUES (1, '因緣生'), (2, 'GPU 訓練開始了'), (3, 'plain words'), (4, ''), (5, 'あいう,因')) AS t(id, text)"
 
 
-@query("F05", f"SELECT id, trim(regexp_replace(regexp_replace(text, '([\\x{{3400}}-\\x{{4dbf}}\\x{{4e00}}-\\x{{9fff}}\\x{{f900}}-\\x{{faff}}\\x{{3040}}-\\x{{30ff}}])', ' \\1 ', 'g'), ' +', ' ', 'g')) AS spaced FROM {HAN_ROWS}")
+@query("F05", f"WITH r AS (SELECT item_id + 100 AS id, text FROM benchmark UNION ALL SELECT * FROM {HAN_ROWS}) SELECT id, trim(regexp_replace(regexp_replace(text, '([\\x{{3400}}-\\x{{4dbf}}\\x{{4e00}}-\\x{{9fff}}\\x{{f900}}-\\x{{faff}}\\x{{3040}}-\\x{{30ff}}])', ' \\1 ', 'g'), ' +', ' ', 'g')) AS spaced FROM r")
 def han_spacing(spark, sf_dir) -> DataFrame:
-    return spark.sql(f"SELECT * FROM {HAN_ROWS}").select("id", X.space_han(F.col("text")).alias("spaced"))
+    b = table(spark, sf_dir, "benchmark").select((F.col("item_id") + 100).alias("id"), "text")
+    return b.unionByName(spark.sql(f"SELECT CAST(id AS BIGINT) AS id, text FROM {HAN_ROWS}")).select("id", X.space_han(F.col("text")).alias("spaced"))
 
 
 @query("F31", """SELECT b.item_id, list_filter([CASE WHEN d.text IS NULL THEN 'missing' END, CASE WHEN d.text = '' THEN 'empty' END, CASE WHEN NOT contains(d.text, split_part(b.text, ' ', 1)) THEN 'must' END, CASE WHEN contains(d.text, '#') THEN 'forbidden' END], lambda x: x IS NOT NULL) AS rules FROM benchmark b LEFT JOIN documents d ON b.item_id * 7 = d.doc_id""")

@@ -22,7 +22,7 @@ def terms(spark, sf_dir) -> DataFrame:
 @query("J09", f"WITH t AS ({TERMS_SQL}) SELECT term, count(*) AS docs FROM documents JOIN t ON contains(lower(text), term) GROUP BY 1")
 def containment_term_hits(spark, sf_dir) -> DataFrame:
     texts = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("text"))
-    return containment(texts, terms(spark, sf_dir), "text", "term", 6).groupBy("term").agg(F.count("*").alias("docs"))
+    return containment(texts, terms(spark, sf_dir), "text", "term").groupBy("term").agg(F.count("*").alias("docs"))
 
 
 @query("A10 F23", f"""WITH t AS ({TERMS_SQL}), p AS (SELECT a.conv_id, a.turn, lower(a.text) AS src, lower(b.text) AS tgt FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'user' AND b.role = 'assistant'),
@@ -32,7 +32,7 @@ def term_hit_rate(spark, sf_dir) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     src = c.filter("role = 'user'").select("conv_id", "turn", F.lower("text").alias("src"))
     tgt = c.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.lower("text").alias("tgt"))
-    hits = containment(src.join(tgt, ["conv_id", "turn"]), terms(spark, sf_dir), "src", "term", 6).withColumn("hit", F.contains("tgt", "term"))
+    hits = containment(src.join(tgt, ["conv_id", "turn"]), terms(spark, sf_dir), "src", "term").withColumn("hit", F.contains("tgt", "term"))
     n = F.count_if("hit")
     return hits.groupBy("term").agg(F.count("*").alias("segments"), n.alias("hits"), F.count_if(~F.col("hit")).alias("omissions"), (n.cast("double") / F.count("*")).alias("rate"))
 
@@ -110,12 +110,14 @@ def unblinding(spark, sf_dir) -> DataFrame:
     return long.join(F.broadcast(key), ["parity", "dim"]).groupBy("model", "dim").agg(F.count("*").alias("n"), (F.sum("score").cast("double") / F.count("*")).alias("mean"))
 
 
-@query("J18", "SELECT CAST(row_number() OVER (ORDER BY a, b, c) AS BIGINT) AS run, a, b, c FROM (VALUES (1), (2), (3)) x(a), (VALUES (10), (20)) y(b), (VALUES (5), (6), (7)) z(c) ORDER BY run LIMIT 12")
+@query("J18", "SELECT p_size, s_nationkey, CAST(z AS INTEGER) AS z, CAST(row_number() OVER (PARTITION BY p_size ORDER BY s_nationkey, z) AS BIGINT) AS run FROM (SELECT DISTINCT p_size FROM part) a, (SELECT DISTINCT s_nationkey FROM supplier) b, (VALUES (5), (6), (7)) c(z) QUALIFY run <= 12")
 def parameter_grid(spark, sf_dir) -> DataFrame:
-    """The product of short lists of parameters, from one row of arrays, so it needs no join."""
-    grid = spark.range(1).select(F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("a"))
-    grid = grid.select("a", F.explode(F.array(F.lit(10), F.lit(20))).alias("b")).select("a", "b", F.explode(F.array(F.lit(5), F.lit(6), F.lit(7))).alias("c"))
-    return grid.select(F.row_number().over(Window.orderBy("a", "b", "c")).cast("long").alias("run"), "a", "b", "c").orderBy("run").limit(12)
+    """The product of short lists of parameters, twelve runs at most for each size: the lists are arrays of distinct values, so no join makes pairs."""
+    lists = table(spark, sf_dir, "supplier").agg(F.array_sort(F.collect_set("s_nationkey")).alias("b"))  # nations: 25 at most
+    sizes = table(spark, sf_dir, "part").select("p_size").distinct()
+    grid = sizes.join(F.broadcast(lists)).select("p_size", F.explode("b").alias("s_nationkey")).select("p_size", "s_nationkey", F.explode(F.array(F.lit(5), F.lit(6), F.lit(7))).alias("z"))
+    w = Window.partitionBy("p_size").orderBy("s_nationkey", "z")
+    return grid.withColumn("run", F.row_number().over(w).cast("long")).filter("run <= 12")
 
 
 @query("A27", """WITH m AS (SELECT event_type, user_id, CAST(sum(CAST(round(value * 100) AS BIGINT)) FILTER (ts < TIMESTAMP '2024-01-15') AS BIGINT) AS old, CAST(sum(CAST(round(value * 100) AS BIGINT)) FILTER (ts >= TIMESTAMP '2024-01-15') AS BIGINT) AS new FROM events GROUP BY 1, 2)

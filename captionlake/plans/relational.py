@@ -141,9 +141,9 @@ def correlated_count(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey").join(per, "c_custkey", "left").select("c_custkey", F.coalesce("n_orders", F.lit(0)).alias("n_orders"), "first_order")
 
 
-@query("J14", "SELECT DISTINCT l_orderkey AS orphan FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)")
+@query("J14", "SELECT DISTINCT l_orderkey AS orphan FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P')")
 def orphan_sweep(spark, sf_dir) -> DataFrame:
-    known = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("orphan"))
+    known = table(spark, sf_dir, "orders").filter("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("orphan"))
     return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("orphan")).join(known, "orphan", "left_anti").distinct()
 
 

@@ -108,10 +108,11 @@ HAN_TEXTS = "(VALUES (1, '因緣生法，因緣生'), (2, '緣生'), (3, 'abc 
 HAN_GRAMS = " UNION ALL ".join(f"SELECT id, unnest(list_transform(range(1, length(w) - {n} + 2), lambda i: w[i:i + {n} - 1])) AS g FROM r" for n in (2, 3, 4))
 
 
-@query("A11", f"WITH r AS (SELECT id, unnest(regexp_extract_all(text, '[\\x{{3400}}-\\x{{4dbf}}\\x{{4e00}}-\\x{{9fff}}]+')) AS w FROM {HAN_TEXTS}) SELECT g AS gram, count(*) AS n, count(DISTINCT id) AS sessions, min(id) AS first FROM ({HAN_GRAMS}) GROUP BY 1")
+@query("A11", f"WITH x AS (SELECT doc_id + 100 AS id, text FROM documents UNION ALL SELECT * FROM {HAN_TEXTS}), r AS (SELECT id, unnest(regexp_extract_all(text, '[\\x{{3400}}-\\x{{4dbf}}\\x{{4e00}}-\\x{{9fff}}]+')) AS w FROM x) SELECT g AS gram, count(*) AS n, count(DISTINCT id) AS sessions, min(id) AS first FROM ({HAN_GRAMS}) GROUP BY 1")
 def han_ngrams(spark, sf_dir) -> DataFrame:
     """Han 2- to 4-grams, overlapping ones too: how often, in how many sessions, and where first."""
-    runs = spark.sql(f"SELECT * FROM {HAN_TEXTS}").select("id", F.explode(F.regexp_extract_all("text", F.lit("[\\u3400-\\u4dbf\\u4e00-\\u9fff]+"), F.lit(0))).alias("w"))
+    d = table(spark, sf_dir, "documents").select((F.col("doc_id") + 100).alias("id"), "text")
+    runs = d.unionByName(spark.sql(f"SELECT CAST(id AS BIGINT) AS id, text FROM {HAN_TEXTS}")).select("id", F.explode(F.regexp_extract_all("text", F.lit("[\\u3400-\\u4dbf\\u4e00-\\u9fff]+"), F.lit(0))).alias("w"))
     cut = lambda n: F.filter(F.transform(F.sequence(F.lit(1), F.length("w")), lambda i: F.substr("w", i, F.lit(n))), lambda g: F.length(g) == n)
     return runs.select("id", F.explode(F.flatten(F.array(*[cut(n) for n in (2, 3, 4)]))).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"), F.count_distinct("id").alias("sessions"), F.min("id").alias("first"))
 

@@ -112,3 +112,14 @@ def test_near_dedup_equals_its_sql_without_the_cut(spark):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     want = con.sql(registry.ORACLES["near_dedup_keep_best"].replace("[:200]", "")).fetchall()
     assert sorted(map(tuple, corpus.near_dedup_keep_best(spark, sf).collect())) == sorted(want)
+
+
+def test_only_wanted_leaves_are_read(spark):
+    import re
+
+    from captionlake.plans.metrics import nested_metrics, nested_pruning
+
+    q = nested_pruning(spark, "/root/testdata/sf0.001")
+    read = re.search(r"ReadSchema: (.*)", q._jdf.queryExecution().executedPlan().toString()).group(1)
+    assert "latency:struct<A2:struct<p50:double>,n:bigint>" in read and "hidden" not in read and "payload" not in read
+    assert "payload" in nested_metrics(spark, "/root/testdata/sf0.001").columns
