@@ -8,6 +8,7 @@ verified links are joined into components, and the links of a component's member
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 from statistics import NormalDist
@@ -30,7 +31,7 @@ RECALL, LEAST_TREES = 0.99, 4
 #: Slack of angles (radians) within which a bound doesn't decide a pair.
 SLACK = 1e-6
 #: Rows of vectors that a task reads at a time.
-ROWS_AT_ONCE = 4096
+ROWS_AT_ONCE = 16384
 
 
 def trees_needed(n: int, similarity: float, leaf: int = LEAF, overlap: float = OVERLAP, recall: float = RECALL) -> int:
@@ -52,6 +53,7 @@ def _matrix(column: pd.Series, kind: str) -> np.ndarray:
     return m / np.sqrt((m * m).sum(1, keepdims=True))
 
 
+@functools.lru_cache(maxsize=1 << 12)
 def _direction(node: int, split: int, dim: int) -> np.ndarray:
     v = np.random.default_rng([node & ((1 << 64) - 1), split]).standard_normal(dim)
     return v / np.sqrt(v @ v)
@@ -166,13 +168,17 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for node, g in b.groupby("node"):
+            at, nodes = [], []
+            for node, own in b.groupby("node").indices.items():
+                g = b.iloc[own]
                 splits = np.frombuffer(g["splits"].iat[0], "<f8").reshape(-1, 4)
-                if not len(splits):  # the sample was too small to split by: pieces at random, in the next round by other directions
-                    yield g[["rep", "fp", "data"]].assign(node=xxhash.xxh3_64_intdigest(f"{node}") - (1 << 63))
-                    continue
-                for at, rows in _route(int(node), splits, _matrix(g["data"], kind), _jitter(g["fp"].to_numpy())):
-                    yield g[["rep", "fp", "data"]].iloc[rows].assign(node=xxhash.xxh3_64_intdigest(f"{node}/{at}") - (1 << 63))
+                # a sample too small to split by: the node is tried again under another name, by another sample and other directions
+                sides = _route(int(node), splits, _matrix(g["data"], kind), _jitter(g["fp"].to_numpy())) if len(splits) else [("again", np.arange(len(own)))]
+                for side, rows in sides:
+                    at.append(own[rows])
+                    nodes.append(np.full(len(rows), xxhash.xxh3_64_intdigest(f"{node}/{side}") - (1 << 63)))
+            if at:
+                yield b[["rep", "fp", "data"]].iloc[np.concatenate(at)].assign(node=np.concatenate(nodes))
 
     leaves: list[DataFrame] = []
     todo = slim
@@ -227,6 +233,7 @@ def _count_links(members: DataFrame, kind: str, similarity: float, block: int) -
     # one row for each component and batch of rows; adding them up goes by place
     mean = members.select("component", "dim", "data").mapInPandas(sums, "component long, dim int, sum array<double>").select("component", "dim", F.posexplode("sum").alias("i", "x"))
     mean = mean.groupBy("component", "dim", "i").agg(F.sum("x").alias("x")).groupBy("component", "dim").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("mean"))
+    mean = written(mean)  # so that the rows of a hot component can be split where they meet it
 
     def angles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -289,5 +296,5 @@ def _count_links(members: DataFrame, kind: str, similarity: float, block: int) -
     dealt = asks.select(*columns).unionByName(told.select(*columns)).repartition("g").sortWithinPartitions("g")
     counted = counted.unionByName(sure).unionByName(dealt.mapInPandas(across, "rep long, fp long, links long"))
     out = written(counted.groupBy("rep", "fp").agg(F.sum("links").alias("links")), ROWS_AT_ONCE)
-    drop_written(turned, bins, whole, both)
+    drop_written(turned, mean, bins, whole, both)
     return out
