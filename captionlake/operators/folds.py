@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -120,7 +120,11 @@ def admit(df: DataFrame, window: int, limit: int) -> DataFrame:
             state.append(r.at)
         return [(r.key, r.id, ok)]
 
-    return ordered_fold(df, ["key"], ["at", "id"], "key long, id long, admitted boolean", list, step)
+    # of hits at one instant at most ``limit`` can be admitted, the first by id: the others needn't pass through the key's one fold
+    first = Window.partitionBy("key", "at").orderBy("id")
+    ranked = df.select("key", "at", "id").withColumn("_n", F.row_number().over(first))
+    folded = ordered_fold(ranked.filter(F.col("_n") <= limit).drop("_n"), ["key"], ["at", "id"], "key long, id long, admitted boolean", list, step)
+    return folded.unionByName(ranked.filter(F.col("_n") > limit).select("key", "id", F.lit(False).alias("admitted")))
 
 
 def queue(df: DataFrame, workers: int) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.joins import keyed_diff
 from ..operators.windows import latest_per_key, missing_numbers
+from ..operators import folds
 from ..registry import query
 from ..sources.tables import events, table
 
@@ -79,16 +80,15 @@ def tm_quality_state(spark, sf_dir) -> DataFrame:
 @query("M05")
 def tm_reinforce(spark, sf_dir) -> DataFrame:
     """Fold each unit's events in order: a repeat adds 1 up to 5 from 3 on, an error disables, and a disabled unit stays so."""
-    steps = F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type")))
-    zero = F.struct(F.lit(3).alias("quality"), F.lit(0).alias("uses"))
-
-    def step(s, e):
+    def step(s: dict, r) -> list:
         q = s["quality"]
-        up = F.when(e["event_type"] == "error", 1).when(q >= 3, F.least(q + 1, F.lit(5))).otherwise(q)
-        return F.struct(F.when(q <= 1, q).otherwise(up).alias("quality"), (s["uses"] + 1).alias("uses"))
+        if q > 1:
+            s["quality"] = 1 if r.event_type == "error" else min(q + 1, 5) if q >= 3 else q
+        s["uses"] += 1
+        return []
 
-    unit = events(spark, sf_dir).groupBy("user_id", F.pmod("k", F.lit(10)).alias("unit")).agg(steps.alias("steps"))
-    return unit.select("user_id", "unit", F.aggregate("steps", zero, step).alias("s")).select("user_id", "unit", "s.quality", "s.uses")
+    rows = events(spark, sf_dir).select("user_id", F.pmod("k", F.lit(10)).alias("unit"), F.unix_micros("ts").alias("at"), "event_id", "event_type")
+    return folds.ordered_fold(rows, ["user_id", "unit"], ["at", "event_id"], "user_id long, unit long, quality int, uses int", lambda: {"quality": 3, "uses": 0}, step, lambda s, key: [(*key, s["quality"], s["uses"])])
 
 
 @query("M07", """WITH p AS (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_shipdate DESC, l_orderkey DESC, l_linenumber DESC) AS r FROM lineitem WHERE l_returnflag = 'N'),

@@ -32,7 +32,7 @@ def daily_metric_rollup(spark, sf_dir) -> DataFrame:
 
 @query("A04", "SELECT event_type, round(quantile_cont(value, 0.5), 4) AS p50, round(quantile_cont(value, 0.95), 4) AS p95 FROM events GROUP BY 1")
 def pct_linear_by_type(spark, sf_dir) -> DataFrame:
-    return events(spark, sf_dir).groupBy("event_type").agg(F.round(F.percentile("value", 0.5), 4).alias("p50"), F.round(F.percentile("value", 0.95), 4).alias("p95"))
+    return summary(events(spark, sf_dir), ["event_type"], "value", {"p50": 0.5, "p95": 0.95}).drop("n", "max")
 
 
 @query("A05", f"SELECT event_type, count(*) AS n, {P50} AS p50, {P95} AS p95, max(value) AS max FROM events GROUP BY 1")

@@ -123,3 +123,37 @@ def test_only_wanted_leaves_are_read(spark):
     read = re.search(r"ReadSchema: (.*)", q._jdf.queryExecution().executedPlan().toString()).group(1)
     assert "latency:struct<A2:struct<p50:double>,n:bigint>" in read and "hidden" not in read and "payload" not in read
     assert "payload" in nested_metrics(spark, "/root/testdata/sf0.001").columns
+
+
+def test_a_hot_group_is_ranked_in_pieces(spark):
+    """One group of a million distinct values and ten of a few: exact, and no piece has more than a 128th of the table."""
+    from pyspark.sql import functions as F
+
+    from captionlake.operators.percentiles import RANGES, range_of, rounded_rank, summary
+
+    n = 1_000_000
+    hot = spark.range(n).select(F.lit("hot").alias("k"), F.pmod(F.col("id") * 7919, F.lit(n)).cast("double").alias("v"))
+    few = spark.range(50).select(F.concat(F.lit("k"), (F.col("id") % 10).cast("string")).alias("k"), (F.col("id") * 1000.5).alias("v"))
+    df = hot.unionByName(few)
+    largest = df.withColumn("b", range_of(df, "v")).groupBy("k", "b").agg(F.count_distinct("v").alias("n")).agg(F.max("n").alias("n")).first()["n"]
+    assert largest <= n / (RANGES // 2)
+    got = {r.k: r for r in rounded_rank(df, ["k"], "v", {"p50": 0.5, "p95": 0.95}).collect()}
+    assert (got["hot"].n, got["hot"].p50, got["hot"].p95, got["hot"].max) == (n, round(0.5 * (n - 1)), round(0.95 * (n - 1)), n - 1)
+    assert (got["k3"].n, got["k3"].p50, got["k3"].max) == (5, 23 * 1000.5, 43 * 1000.5) and len(got) == 11
+    assert {r.k: r.p25 for r in summary(df, ["k"], "v", {"p25": 0.25}).collect()}["hot"] == 249999.75
+
+
+def test_percentiles_of_odd_groups(spark):
+    import random
+    from statistics import quantiles
+
+    from captionlake.operators.percentiles import summary
+
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([1.5, -2.0, 1e300, 5e-324, 0.0, rng.random()])) for _ in range(500)] + [("only nulls", None), ("one", 7.0), ("ties", 1.0), ("ties", 1.0)]
+    got = {r.k: r for r in summary(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", {"q": 0.25}).collect()}
+    for k in ("a", "b", None):
+        values = [v for x, v in rows if x == k]
+        assert got[k].n == len(values) and abs(got[k].q - quantiles(values, n=4, method="inclusive")[0]) <= 1e-4
+    assert (got["only nulls"].n, got["only nulls"].q, got["one"].q, got["ties"].q) == (0, None, 7.0, 1.0)
+    assert summary(spark.createDataFrame([], "k string, v double"), ["k"], "v", {"q": 0.25}).count() == 0
