@@ -40,7 +40,16 @@ def ordered_fold(df: DataFrame, keys: list[str], order: list[str], schema: str,
 PAUSES, COMMA = "，。！？；、,.!?;", "，"
 
 
+#: A fold as what ordered_fold() and streams take: order, schema, start, step.
+Fold = tuple[list[str], str, Callable, Callable]
+
+
 def carry_lines(df: DataFrame, most: int = 2, chars: int = 80, reach: int = 2) -> DataFrame:
+    """carrying() over a table."""
+    return ordered_fold(df, ["key"], *carrying(most, chars, reach))
+
+
+def carrying(most: int = 2, chars: int = 80, reach: int = 2) -> Fold:
     """Stale lines (key, seq, id, text, stale) ride along with the next line of their key: ``most`` of them, ``chars`` characters in all, and no more than ``reach`` numbers ahead. Others are skipped. Returns key, id, text, carried."""
 
     def join(a: str, b: str) -> str:
@@ -59,33 +68,57 @@ def carry_lines(df: DataFrame, most: int = 2, chars: int = 80, reach: int = 2) -
             del state["held"]
         return [(r.key, r.id, join(held["text"], r.text), held["ids"])] if near and held["text"] else [(r.key, r.id, r.text, [])]
 
-    return ordered_fold(df, ["key"], ["seq", "id"], "key long, id long, text string, carried array<long>", dict, step)
+    return ["seq", "id"], "key long, id long, text string, carried array<long>", dict, step
 
 
 def windowed_trigger(df: DataFrame, least: int, longest: int, cool_down: int, memory: int, lines: int = 24) -> DataFrame:
-    """Fire on lines (key, at, id, text) whose pending span reaches ``least``: pending lines reach back ``longest`` at most, a key is quiet for ``cool_down`` after firing, and the same ids or texts don't fire again within ``memory``. Returns key, id (of the line that fires), n."""
+    """triggering() over a table."""
+    return ordered_fold(df, ["key"], *triggering(least, longest, cool_down, memory, lines))
+
+
+def triggering(least: int, longest: int, cool_down: int, memory: int, lines: int = 24, kept: int = 64) -> Fold:
+    """Fire on lines (key, at, id, text) whose pending span reaches ``least``.
+
+    A line that comes again takes the place of the old one; a time before the pending lines clears them. Pending lines reach back
+    ``longest`` at most, a key is quiet for ``cool_down`` after firing, and the same ids, or texts without regard to case and
+    spaces, don't fire again within ``memory`` (the last ``kept`` of each are remembered). Returns key, id (of the line that fires), n.
+    """
 
     def step(state: dict, r) -> list:
         pending = state.setdefault("pending", [])
-        pending.append((r.at, r.id, r.text))
-        while len(pending) > 1 and r.at - pending[0][0] > longest:
+        line = (r.at, r.id, r.text)
+        again = [i for i, x in enumerate(pending) if x[1] == r.id]
+        if again:
+            pending[again[0]] = line
+        else:
+            if pending and r.at < pending[0][0]:
+                pending.clear()
+            pending.append(line)
+        while len(pending) > 1 and pending[-1][0] - pending[0][0] > longest:
             pending.pop(0)
-        if r.at - pending[0][0] < least or r.at - state.get("fired", -(1 << 62)) < cool_down:
+        if pending[-1][0] - pending[0][0] < least or r.at - state.get("fired", -(1 << 62)) < cool_down:
             return []
         said = pending[-lines:]
-        seen = {k: at for k, at in state.get("seen", {}).items() if r.at - at < memory}
-        marks = ("ids", *sorted(i for _, i, _ in said)), ("texts", *(t for _, _, t in said))
-        state["pending"], state["seen"] = [], seen
-        if any(m in seen for m in marks):
+        state["pending"] = []
+        marks = {"ids": tuple(sorted(i for _, i, _ in said)), "texts": tuple(" ".join((t or "").split()).casefold() for _, _, t in said)}
+        seen = {kind: {m: at for m, at in state.get("seen", {}).get(kind, {}).items() if r.at - at < memory} for kind in marks}
+        state["seen"] = seen
+        if any(m in seen[kind] for kind, m in marks.items()):
             return []
-        seen.update(dict.fromkeys(marks, r.at))
+        for kind, m in marks.items():
+            seen[kind] = dict([*seen[kind].items(), (m, r.at)][-kept:])
         state["fired"] = r.at
         return [(r.key, r.id, len(said))]
 
-    return ordered_fold(df, ["key"], ["at", "id"], "key long, id long, n long", dict, step)
+    return ["at", "id"], "key long, id long, n long", dict, step
 
 
 def mute_repeats(df: DataFrame, within: int) -> DataFrame:
+    """muting() over a table."""
+    return ordered_fold(df, ["key"], *muting(within))
+
+
+def muting(within: int) -> Fold:
     """Lines (key, at, id, text) without those whose text is that of the last line said, less than ``within`` ago. Returns key, id."""
 
     def step(state: dict, r) -> list:
@@ -94,10 +127,15 @@ def mute_repeats(df: DataFrame, within: int) -> DataFrame:
         state["text"], state["at"] = r.text, r.at
         return [(r.key, r.id)]
 
-    return ordered_fold(df, ["key"], ["at", "id"], "key long, id long", dict, step)
+    return ["at", "id"], "key long, id long", dict, step
 
 
 def throttle(df: DataFrame, gap: int) -> DataFrame:
+    """throttling() over a table."""
+    return ordered_fold(df, ["key"], *throttling(gap))
+
+
+def throttling(gap: int) -> Fold:
     """Updates (key, at, id, text) that differ from the last one sent and come ``gap`` after it or later. Returns key, id."""
 
     def step(state: dict, r) -> list:
@@ -106,10 +144,19 @@ def throttle(df: DataFrame, gap: int) -> DataFrame:
         state["text"], state["at"] = r.text, r.at
         return [(r.key, r.id)]
 
-    return ordered_fold(df, ["key"], ["at", "id"], "key long, id long", dict, step)
+    return ["at", "id"], "key long, id long", dict, step
 
 
 def admit(df: DataFrame, window: int, limit: int) -> DataFrame:
+    """admitting() over a table."""
+    # of hits at one instant at most ``limit`` can be admitted, the first by id: the others needn't pass through the key's one fold
+    first = Window.partitionBy("key", "at").orderBy("id")
+    ranked = df.select("key", "at", "id").withColumn("_n", F.row_number().over(first))
+    out = ordered_fold(ranked.filter(F.col("_n") <= limit).drop("_n"), ["key"], *admitting(window, limit))
+    return out.unionByName(ranked.filter(F.col("_n") > limit).select("key", "id", F.lit(False).alias("admitted")))
+
+
+def admitting(window: int, limit: int) -> Fold:
     """Whether each hit (key, at, id) is admitted: fewer than ``limit`` hits were within the window before. Refused hits don't count. Returns key, id, admitted."""
 
     def step(state: list, r) -> list:
@@ -120,11 +167,7 @@ def admit(df: DataFrame, window: int, limit: int) -> DataFrame:
             state.append(r.at)
         return [(r.key, r.id, ok)]
 
-    # of hits at one instant at most ``limit`` can be admitted, the first by id: the others needn't pass through the key's one fold
-    first = Window.partitionBy("key", "at").orderBy("id")
-    ranked = df.select("key", "at", "id").withColumn("_n", F.row_number().over(first))
-    folded = ordered_fold(ranked.filter(F.col("_n") <= limit).drop("_n"), ["key"], ["at", "id"], "key long, id long, admitted boolean", list, step)
-    return folded.unionByName(ranked.filter(F.col("_n") > limit).select("key", "id", F.lit(False).alias("admitted")))
+    return ["at", "id"], "key long, id long, admitted boolean", list, step
 
 
 def queue(df: DataFrame, workers: int) -> DataFrame:

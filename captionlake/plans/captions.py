@@ -10,6 +10,7 @@ from ..functions import text as X
 from ..operators import folds
 from ..operators.windows import islands
 from ..registry import query
+from . import recursions
 from ..sources.tables import events, table
 
 CUES = "SELECT conv_id, turn, role, text, turn * 5000 AS t0, CASE WHEN turn % 3 = 0 THEN turn * 5000 + 4000 + (length(text) % 4) * 1000 END AS t1 FROM conversations"
@@ -223,7 +224,7 @@ def session_windows(spark, sf_dir) -> DataFrame:
     return events(spark, sf_dir).groupBy("user_id", F.session_window("ts", "30 minutes")).agg(F.min("event_id").alias("first"), F.count("*").alias("n")).drop("session_window")
 
 
-@query("T20")
+@query("T20", recursions.throttling(3_600_000_000, recursions.MICROS))
 def throttled_updates(spark, sf_dir) -> DataFrame:
     """An update goes out if it differs from the last one sent and that is an hour old."""
     e = events(spark, sf_dir).select(F.col("user_id").alias("key"), F.unix_micros("ts").alias("at"), F.col("event_id").alias("id"), F.col("event_type").alias("text"))

@@ -9,6 +9,7 @@ from ..operators.joins import keyed_diff
 from ..operators.windows import latest_per_key, missing_numbers
 from ..operators import folds
 from ..registry import query
+from . import recursions
 from ..sources.tables import events, table
 
 
@@ -77,7 +78,7 @@ def tm_quality_state(spark, sf_dir) -> DataFrame:
     return events(spark, sf_dir).groupBy("user_id").agg(q.alias("quality")).withColumn("state", F.when(F.col("quality") >= 3, "live").when(F.col("quality") == 2, "pending").otherwise("disabled"))
 
 
-@query("M05")
+@query("M05", recursions.REINFORCED)
 def tm_reinforce(spark, sf_dir) -> DataFrame:
     """Fold each unit's events in order: a repeat adds 1 up to 5 from 3 on, an error disables, and a disabled unit stays so."""
     def step(s: dict, r) -> list:

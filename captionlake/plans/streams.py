@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import folds
 from ..registry import query
+from . import recursions
 from ..streaming.run import event_stream, last_of, run_now
-from ..streaming.state import gated, resequenced
+from ..streaming.state import folded, gated, resequenced
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -52,7 +54,7 @@ def stream_resubmission(spark, sf_dir) -> DataFrame:
     return run_now(once.select("user_id", "event_type", "k")).groupBy("user_id", "event_type", "k").agg(F.count("*").alias("passed"))
 
 
-@query("T06 T07 T08 T09", """WITH e AS (SELECT DISTINCT user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY k) - 1 AS i FROM e)
+@query("T06 T09", """WITH e AS (SELECT DISTINCT user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY k) - 1 AS i FROM e)
 SELECT user_id, k FROM r WHERE k = i""")
 def stream_resequence(spark, sf_dir) -> DataFrame:
     """What a session releases in order before its first hole (no hole is given up here)."""
@@ -67,3 +69,40 @@ def stream_start_stop(spark, sf_dir) -> DataFrame:
     side = lambda kind, p: event_stream(spark, sf_dir).filter(F.col("event_type") == kind).select(F.col("event_id").alias(f"{p}_id"), F.col("user_id").alias(f"{p}_user"), F.col("k").alias(f"{p}_k"), F.col("ts").alias(f"{p}_ts")).withWatermark(f"{p}_ts", "1 day")
     pairs = side("view", "start").join(side("click", "stop"), F.expr("start_user = stop_user AND start_k = stop_k AND stop_ts >= start_ts AND stop_ts <= start_ts + INTERVAL 2 HOURS"))
     return run_now(pairs.select("start_id", "stop_id")).drop("batch")
+
+
+def lines(spark, sf_dir) -> DataFrame:
+    """The event log as a stream of lines: key, at (seconds), id, text."""
+    stateful(spark)
+    return event_stream(spark, sf_dir).select(F.col("user_id").alias("key"), F.unix_seconds("ts").alias("at"), F.col("event_id").alias("id"), F.col("event_type").alias("text"), "value")
+
+
+@query("T20", recursions.throttling(3600, recursions.SECONDS))
+def stream_throttle(spark, sf_dir) -> DataFrame:
+    return run_now(folded(lines(spark, sf_dir), folds.throttling(3600))).drop("batch")
+
+
+@query("T33", recursions.muting(3600))
+def stream_mute_repeats(spark, sf_dir) -> DataFrame:
+    return run_now(folded(lines(spark, sf_dir), folds.muting(3600))).drop("batch")
+
+
+@query("T28", recursions.admitting(3600, 3, "user_id"))
+def stream_admission(spark, sf_dir) -> DataFrame:
+    return run_now(folded(lines(spark, sf_dir), folds.admitting(3600, 3))).drop("batch")
+
+
+@query("T13", recursions.carrying("CAST(floor(floor(epoch(ts)) / 7200) AS BIGINT)", "value > 60"))
+def stream_carry(spark, sf_dir) -> DataFrame:
+    """Stale lines ride along with a line of the next two slots of two hours."""
+    rows = lines(spark, sf_dir).select("key", F.floor(F.col("at") / 7200).alias("seq"), "at", "id", "text", (F.col("value") > 60).alias("stale"))
+    _, schema, start, step = folds.carrying()
+    return run_now(folded(rows, (["at", "id"], schema, start, step))).drop("batch")
+
+
+@query("T07 T08")
+def stream_holes(spark, sf_dir) -> DataFrame:
+    """Numbers released in order where holes are given up after an hour of event time, or when more than eight are held."""
+    stateful(spark)
+    e = event_stream(spark, sf_dir).withWatermark("ts", "1 minute")
+    return run_now(resequenced(e, wait_ms=3_600_000, cap=8)).drop("batch")

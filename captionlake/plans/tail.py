@@ -10,6 +10,7 @@ from ..functions.text import loose_key
 from ..operators import folds
 from ..operators.windows import missing_numbers
 from ..registry import query
+from . import recursions
 from ..sources.tables import events, table
 
 
@@ -54,7 +55,7 @@ def bounded_queue(spark, sf_dir) -> DataFrame:
     return events(spark, sf_dir).filter("event_type = 'view'").groupBy("user_id").agg(F.least(n, F.lit(32)).alias("waiting"), F.greatest(n - 32, F.lit(0)).alias("dropped"), F.max("event_id").alias("newest"))
 
 
-@query("T13")
+@query("T13", recursions.carrying("row_number() OVER (PARTITION BY user_id ORDER BY CAST(floor(epoch(ts)) AS BIGINT), event_id)", "value > 60"))
 def merge_carry(spark, sf_dir) -> DataFrame:
     """Lines over 60 are stale and ride along with the next one: two at most, 80 characters, two numbers ahead; a user's lines are one sequence, over any midnight."""
     seq = F.row_number().over(Window.partitionBy("key").orderBy("at", "id"))
@@ -67,7 +68,7 @@ def cooled_trigger(spark, sf_dir) -> DataFrame:
     return folds.windowed_trigger(lines(spark, sf_dir).select("key", "at", "id", "text"), 3600, 6 * 3600, 2 * 3600, 24 * 3600)
 
 
-@query("T33")
+@query("T33", recursions.muting(3600))
 def repeat_suppression(spark, sf_dir) -> DataFrame:
     """A line is muted if the last one said had its text, less than an hour ago."""
     return folds.mute_repeats(lines(spark, sf_dir).select("key", "at", "id", "text"), 3600)
@@ -100,7 +101,7 @@ def capped_batch_job(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "orders").orderBy("o_orderkey").limit(40).select("o_orderkey", result.alias("result"))
 
 
-@query("T28")
+@query("T28", recursions.admitting(3600, 3, "CASE WHEN user_id < 100 THEN user_id ELSE -1 END"))
 def rate_admission(spark, sf_dir) -> DataFrame:
     """Three admitted hits an hour for each of 100 clients; all others share one allowance."""
     client = F.when(F.col("key") < 100, F.col("key")).otherwise(-1)
