@@ -8,23 +8,23 @@ def recursion(rows: str, first: str, step: str, out: str) -> str:
     return f"WITH RECURSIVE e AS ({rows}), s AS (SELECT e.key, e.n, {first} FROM e WHERE n = 1 UNION ALL SELECT e.key, e.n, {step} FROM s JOIN e ON e.key = s.key AND e.n = s.n + 1) {out}"
 
 
-LINES = """SELECT *, row_number() OVER (PARTITION BY key ORDER BY at, id) AS n FROM (SELECT {key} AS key, {at} AS at, event_id AS id, event_type AS text, value, {seq} AS seq FROM events)"""
+LINES = """SELECT *, row_number() OVER (PARTITION BY key ORDER BY sec, id) AS n FROM (SELECT {key} AS key, {at} AS sec, event_id AS id, event_type AS text, value, {seq} AS seq FROM events)"""
 SECONDS, MICROS = "CAST(floor(epoch(ts)) AS BIGINT)", "epoch_us(ts)"
 
 
 def muting(within: int) -> str:
-    same = f"(e.text = s.text AND e.at - s.last < {within})"
-    return recursion(LINES.format(key="user_id", at=SECONDS, seq=0), "id, text, at AS last, true AS said", f"e.id, CASE WHEN {same} THEN s.text ELSE e.text END, CASE WHEN {same} THEN s.last ELSE e.at END, NOT {same}", "SELECT key, id FROM s WHERE said")
+    same = f"(e.text = s.text AND e.sec - s.last < {within})"
+    return recursion(LINES.format(key="user_id", at=SECONDS, seq=0), "id, text, sec AS last, true AS said", f"e.id, CASE WHEN {same} THEN s.text ELSE e.text END, CASE WHEN {same} THEN s.last ELSE e.sec END, NOT {same}", "SELECT key, id FROM s WHERE said")
 
 
 def throttling(gap: int, at: str) -> str:
-    held = f"(e.text = s.text OR e.at - s.last < {gap})"
-    return recursion(LINES.format(key="user_id", at=at, seq=0), "id, text, at AS last, true AS sent", f"e.id, CASE WHEN {held} THEN s.text ELSE e.text END, CASE WHEN {held} THEN s.last ELSE e.at END, NOT {held}", "SELECT key, id FROM s WHERE sent")
+    held = f"(e.text = s.text OR e.sec - s.last < {gap})"
+    return recursion(LINES.format(key="user_id", at=at, seq=0), "id, text, sec AS last, true AS sent", f"e.id, CASE WHEN {held} THEN s.text ELSE e.text END, CASE WHEN {held} THEN s.last ELSE e.sec END, NOT {held}", "SELECT key, id FROM s WHERE sent")
 
 
 def admitting(window: int, limit: int, key: str) -> str:
-    live = f"list_filter(s.times, lambda x: e.at - x < {window})"
-    return recursion(LINES.format(key=key, at=SECONDS, seq=0), "id, [at] AS times, true AS admitted", f"e.id, CASE WHEN len({live}) < {limit} THEN list_append({live}, e.at) ELSE {live} END, len({live}) < {limit}", "SELECT key, id, admitted FROM s")
+    live = f"list_filter(s.times, lambda x: e.sec - x < {window})"
+    return recursion(LINES.format(key=key, at=SECONDS, seq=0), "id, [sec] AS times, true AS admitted", f"e.id, CASE WHEN len({live}) < {limit} THEN list_append({live}, e.sec) ELSE {live} END, len({live}) < {limit}", "SELECT key, id, admitted FROM s")
 
 
 def carrying(seq: str, stale: str) -> str:

@@ -126,13 +126,13 @@ class Resequencer(StatefulProcessor):
 
 
 class OrderedFold(StatefulProcessor):
-    """A fold of operators/folds.py over a stream: the same step on a state that is kept between micro-batches, for ``ttl_ms`` of quiet if that is set."""
+    """A fold of operators/folds.py over a stream: the same step on a state that is kept between micro-batches."""
 
-    def __init__(self, order: list[str], columns: list[str], start: Callable, step: Callable, ttl_ms: int | None = None):
-        self.order, self.columns, self.start, self.step, self.ttl_ms = order, columns, start, step, ttl_ms
+    def __init__(self, order: list[str], columns: list[str], start: Callable, step: Callable):
+        self.order, self.columns, self.start, self.step = order, columns, start, step
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("fold", "data binary", self.ttl_ms) if self.ttl_ms else handle.getValueState("fold", "data binary")
+        self.state = handle.getValueState("fold", "data binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         state = pickle.loads(self.state.get()[0]) if self.state.exists() else self.start()
@@ -166,8 +166,8 @@ def resequenced(events: DataFrame, wait_ms: int | None = 3000, cap: int = 32, in
     return events.filter("k IS NOT NULL").groupBy("user_id").transformWithStateInPandas(Resequencer(wait_ms, cap), "user_id long, k long, event_id long, status string", "Append", mode, begin)
 
 
-def folded(lines: DataFrame, fold: tuple, ttl_ms: int | None = None) -> DataFrame:
+def folded(lines: DataFrame, fold: tuple) -> DataFrame:
     """A stream of (key, ...) through one of the folds of operators/folds.py: (order, schema, start, step)."""
     order, schema, start, step = fold
     columns = [c.split()[0] for c in schema.split(", ")]
-    return lines.groupBy("key").transformWithStateInPandas(OrderedFold(order, columns, start, step, ttl_ms), schema, "Append", "ProcessingTime" if ttl_ms else "None")
+    return lines.groupBy("key").transformWithStateInPandas(OrderedFold(order, columns, start, step), schema, "Append", "None")
