@@ -42,28 +42,69 @@ def rewrite(aliases: dict[str, str], passes: int = 8):
     return run
 
 
-#: Characters that may not begin or end a line.
-NOT_FIRST = "、。，．・？！ゝゞー」』）】ぁぃぅぇぉっゃゅょゎゕゖァィゥェォッャュョヮヵヶ〃々〻ヽヾｧｨｩｪｫｬｭｮｯｰ" + "".join(map(chr, range(0x31F0, 0x3200))) + ")]}.,!?"
-NOT_LAST = "「『（【〈《〔〖〘〚([{"
+#: Characters that may not begin or end a line; particles after which a line ends well, verb endings and number units that stay whole, and how much narrower a line that ends well may be.
+NOT_FIRST = "、。，．・？！ゝゞー」』）】ぁぃぅぇぉっゃゅょゎゕゖァィゥェォッャュョヮヵヶ〃々〻ヽヾｧｨｩｪｫｬｭｮｯｰ" + "".join(map(chr, range(0x31F0, 0x3200)))
+NOT_LAST = "「『（【〈《〔〖〘〚"
+PAUSE_MARKS, PARTICLES, NO_PARTICLE = "、。", ("から", "まで", "は", "が", "を", "に", "で", "と", "も", "へ"), ("で", "す")
+ENDINGS = ("ませんでした", "でしょう", "ました", "ません", "です", "ます")
+UNITS = (
+    "キログラム", "キロメートル", "センチメートル", "ミリメートル", "グラム", "リットル", "分間", "秒間", "週間", "ヶ月", "か月", "時間", "キロ", "メートル", "センチ", "ミリ", "ドル",
+    "kg", "mg", "km", "cm", "mm", "ml", "L", "％", "%", "℃", "°C", "°", "年", "月", "日", "時", "分", "秒", "個", "本", "枚", "人", "円", "回", "歳", "階", "台",
+)
+NARROWER = 2.0
+
+
+def break_lines(width: float, lines: int = 2):
+    """A function that breaks a text into lines of a display width (wide 1, narrow 1/2; readings in {base|reading} take none) and keeps the newest.
+
+    Words of katakana, Latin letters, numbers with their units, verb endings and readings stay whole. A line doesn't begin or end with a forbidden
+    character; of the ends that fit, the last one after a pause or particle is taken if it isn't much narrower than the widest, else the widest;
+    where none fits, the first that is allowed.
+    """
+    import bisect
+    import unicodedata
 
+    import regex
 
-def break_lines(width: int, lines: int = 2):
-    """A function that breaks a text into lines of a display width (wide 1, narrow 1/2) and keeps the newest; a line doesn't begin or end with a forbidden character."""
-    import unicodedata
+    longest = lambda words: "|".join(regex.escape(w) for w in sorted(words, key=len, reverse=True))
+    number = rf"\d+(?:[.,:：．，/／\-−]\d+)*(?:{longest(UNITS)})?"
+
+    def span(text: str) -> float:
+        shown = regex.sub(r"\{([^{}|]+)\|[^{}|]+\}", r"\1", text)
+        return sum(1.0 if unicodedata.east_asian_width(c) in "WF" else 0.5 for c in shown)
+
+    whole = [e for e in ENDINGS if span(e) <= width]
+    token = regex.compile(rf"(?s)\{{[^{{}}|]+\|[^{{}}|]+\}}|{longest(whole) or '(?!)'}|{number}|[\u30a0-\u30ff\u31f0-\u31ff\uff66-\uff9f]+|\p{{Latin}}+|.")
+    well = regex.compile(f"(?:[{PAUSE_MARKS}]|{longest(PARTICLES)})$")
 
     def one(text: str) -> list[str]:
-        out, line, size = [], "", 0.0
-        for c in text:
-            w = 1.0 if unicodedata.east_asian_width(c) in "WF" else 0.5
-            if size + w > width and c not in NOT_FIRST and line:
-                cut = len(line)
-                while cut > 1 and line[cut - 1] in NOT_LAST:
-                    cut -= 1
-                out.append(line[:cut])
-                line = line[cut:]
-                size = sum(1.0 if unicodedata.east_asian_width(x) in "WF" else 0.5 for x in line)
-            line, size = line + c, size + w
-        return [*out, line][-lines:] if line or out else []
+        ends = [m.end() for m in token.finditer(text)]
+        widths, total = [], 0.0
+        for a, b in zip([0, *ends], ends, strict=False):
+            total += span(text[a:b])
+            widths.append(total)
+        follow = [text[e : e + 1] for e in ends]
+        # ends at which a line may stop, and those of them at which it stops well
+        legal = [i for i, e in enumerate(ends) if text[e - 1] not in NOT_LAST and (not follow[i] or follow[i] not in NOT_FIRST)]
+        if ends and (not legal or legal[-1] != len(ends) - 1):
+            legal.append(len(ends) - 1)
+        out, start, used, k = [], 0, 0.0, 0
+        while start < len(text):
+            fit = bisect.bisect_right(legal, used + width, lo=k, key=lambda i: widths[i])
+            chosen = max(fit - 1, k)
+            widest = widths[legal[chosen]] - used
+            for j in range(chosen, k - 1, -1) if fit > k else ():
+                i = legal[j]
+                if widths[i] - used < widest - NARROWER:
+                    break
+                line = text[start : ends[i]]
+                if well.search(line) and not (line.endswith(NO_PARTICLE[0]) and follow[i] == NO_PARTICLE[1]):
+                    chosen = j
+                    break
+            i = legal[chosen]
+            out.append(text[start : ends[i]])
+            start, used, k = ends[i], widths[i], chosen + 1
+        return out[-lines:]
 
     @F.pandas_udf("array<string>")
     def run(texts: pd.Series) -> pd.Series:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.joins import any_of, as_of, containment, interval_overlap, keyed_diff
+from ..operators.terms import matched, missing_locked, prompt_terms
 from ..registry import query
 from ..sources.tables import events, table
 
@@ -25,7 +26,7 @@ def containment_term_hits(spark, sf_dir) -> DataFrame:
     return containment(texts, terms(spark, sf_dir), "text", "term").groupBy("term").agg(F.count("*").alias("docs"))
 
 
-@query("A10 F23", f"""WITH t AS ({TERMS_SQL}), p AS (SELECT a.conv_id, a.turn, lower(a.text) AS src, lower(b.text) AS tgt FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'user' AND b.role = 'assistant'),
+@query("A10", f"""WITH t AS ({TERMS_SQL}), p AS (SELECT a.conv_id, a.turn, lower(a.text) AS src, lower(b.text) AS tgt FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'user' AND b.role = 'assistant'),
 h AS (SELECT term, contains(tgt, term) AS hit FROM p JOIN t ON contains(src, term))
 SELECT term, count(*) AS segments, count(*) FILTER (hit) AS hits, count(*) FILTER (NOT hit) AS omissions, CAST(count(*) FILTER (hit) AS DOUBLE) / count(*) AS rate FROM h GROUP BY 1""")
 def term_hit_rate(spark, sf_dir) -> DataFrame:
@@ -171,3 +172,23 @@ def glossary_violations(spark, sf_dir) -> DataFrame:
     twice = g.groupBy("canon").agg(F.count("*").alias("n")).filter("n > 1").select("canon")
     name = lambda df, rule: df.select("id", F.lit(rule).alias("rule"))
     return name(g.join(owners, "alias", "left_semi"), "alias_owners").union(name(g.join(twice, "canon", "left_semi"), "duplicate")).union(name(g.filter("alias = canon"), "alias_is_canon"))
+
+
+GLOSSARY = "SELECT DISTINCT w AS term FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS w FROM benchmark UNION ALL SELECT unnest(regexp_extract_all(lower(text), '[a-z]{4,}'))[:4] FROM benchmark)"
+
+
+@query("F23", f"""WITH t AS ({GLOSSARY}), p AS (SELECT string_agg(term, '|' ORDER BY length(term) DESC, term) AS p FROM t),
+f AS (SELECT conv_id, turn, lead(lower(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS next, regexp_extract_all(lower(text), p) AS found FROM conversations, p),
+c AS (SELECT *, list_concat(found, flatten(coalesce(list(found) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), []))) AS l FROM f)
+SELECT conv_id, turn, array_to_string(found, ' ') AS found, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i)[:40], ' ') AS prompt,
+  array_to_string(list_sort(list_filter(list_distinct(found), lambda x: length(x) % 2 = 0 AND NOT coalesce(regexp_matches(next, '\\b' || x || '\\b'), false))), ' ') AS missing FROM c""")
+def glossary_matches(spark, sf_dir) -> DataFrame:
+    """Terms of each turn, leftmost and longest, its prompt's terms from four turns back, and locked terms (of an even length) that the next turn lacks as a word."""
+    words = F.expr("regexp_extract_all(lower(text), '[a-z]{4,}', 0)")
+    long = table(spark, sf_dir, "benchmark").select(F.explode(words).alias("term"))
+    g = long.unionByName(long.select(F.left("term", F.lit(4)).alias("term"))).distinct().select("term", F.col("term").alias("target"), (F.length("term") % 2 == 0).alias("locked"))
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    lines = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.lower("text").alias("t"), F.lead(F.lower("text")).over(w).alias("next"))
+    found = prompt_terms(matched(lines, g, ["conv_id", "turn"], "t", "term"), ["conv_id"], "turn")
+    lost = missing_locked(found, g, ["conv_id", "turn"], "next").groupBy("conv_id", "turn").agg(F.array_join(F.array_sort(F.collect_set("term")), " ").alias("missing"))
+    return found.join(lost, ["conv_id", "turn"], "left").select("conv_id", "turn", F.array_join("found", " ").alias("found"), F.array_join("prompt", " ").alias("prompt"), F.coalesce("missing", F.lit("")).alias("missing"))
