@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators.joins import keyed_diff
 from ..operators.windows import latest_per_key, missing_numbers
 from ..operators import folds
+from ..operators.staging import stage
 from ..registry import query
 from . import recursions
 from ..sources.tables import events, table
@@ -92,7 +93,7 @@ def tm_reinforce(spark, sf_dir) -> DataFrame:
     return folds.ordered_fold(rows, ["user_id", "unit"], ["at", "event_id"], "user_id long, unit long, quality int, uses int", lambda: {"quality": 3, "uses": 0}, step, lambda s, key: [(*key, s["quality"], s["uses"])])
 
 
-@query("M07", """WITH p AS (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_shipdate DESC, l_orderkey DESC, l_linenumber DESC) AS r FROM lineitem WHERE l_returnflag = 'N'),
+@query("W01", """WITH p AS (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_shipdate DESC, l_orderkey DESC, l_linenumber DESC) AS r FROM lineitem WHERE l_returnflag = 'N'),
 b AS (SELECT l_partkey, max(l_shipdate) AS base FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1)
 SELECT p.l_partkey, p.l_orderkey, p.l_linenumber, CASE WHEN r > 1 THEN 'superseded' WHEN base > l_shipdate THEN 'conflict' ELSE 'approved' END AS state FROM p LEFT JOIN b USING (l_partkey)""")
 def staging_conflicts(spark, sf_dir) -> DataFrame:
@@ -247,3 +248,13 @@ def idle_room_sweep(spark, sf_dir) -> DataFrame:
     now = e.agg(F.max("ts").alias("now"))  # one row
     idle = e.groupBy("user_id").agg(F.max("ts").alias("t")).join(F.broadcast(now)).filter("t < now - INTERVAL 6 HOURS")
     return idle.join(busy, "user_id", "left_anti").select("user_id")
+
+
+@query("M07", recursions.STAGED)
+def staging_audit(spark, sf_dir) -> DataFrame:
+    """Proposals of each user's target under both locks, with their audit rows and states."""
+    k, kind = F.col("k"), F.col("event_type")
+    kinds = F.when(kind == "view", "propose").when(kind == "click", "amend").when(kind == "purchase", "approve").when(kind == "signup", "edit").when(k % 2 == 0, "reject").otherwise("withdraw")
+    actor = F.when(kind == "error", F.floor(k / 2) % 2).otherwise(k % 2)
+    steps = events(spark, sf_dir).select(F.col("user_id").alias("key"), F.unix_micros("ts").alias("at"), F.col("event_id").alias("id"), kinds.alias("kind"), (k % 3).alias("text"), actor.alias("actor"), (1 + k % 2).alias("seen"), (k % 5 == 0).alias("override"))
+    return stage(steps)

@@ -47,3 +47,27 @@ REINFORCED = """WITH RECURSIVE e AS (SELECT user_id, k % 10 AS unit, event_type,
 s AS (SELECT user_id, unit, n, CASE WHEN event_type = 'error' THEN 1 ELSE 4 END AS quality FROM e WHERE n = 1
   UNION ALL SELECT e.user_id, e.unit, e.n, CASE WHEN s.quality <= 1 THEN s.quality WHEN e.event_type = 'error' THEN 1 WHEN s.quality >= 3 THEN least(s.quality + 1, 5) ELSE s.quality END FROM s JOIN e ON e.user_id = s.user_id AND e.unit = s.unit AND e.n = s.n + 1)
 SELECT user_id, unit, CAST(arg_max(quality, n) AS INTEGER) AS quality, CAST(max(n) AS INTEGER) AS uses FROM s GROUP BY 1, 2"""
+
+#: Events as steps of proposals: kind, text, actor, seen and override follow from an event's type and number.
+STEPS = """SELECT user_id AS key, event_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, k % 3 AS text, seen, k % 5 = 0 AS override,
+  CASE WHEN event_type = 'error' THEN k // 2 % 2 ELSE k % 2 END AS actor,
+  CASE event_type WHEN 'view' THEN 'propose' WHEN 'click' THEN 'amend' WHEN 'purchase' THEN 'approve' WHEN 'signup' THEN 'edit' ELSE CASE WHEN k % 2 = 0 THEN 'reject' ELSE 'withdraw' END END AS kind
+FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, 1 + CAST(json_extract_string(props, '$.k') AS BIGINT) % 2 AS seen FROM events)"""
+_PROPOSED = "(e.kind = 'propose' AND (s.item IS NULL OR e.text <> s.txt))"
+_SEEN = "(s.item IS NOT NULL AND e.seen = s.rev)"
+_APPROVED = f"(e.kind = 'approve' AND {_SEEN} AND (s.base = s.sig OR e.override))"
+_ENDED = "(s.item IS NOT NULL AND (e.kind = 'reject' OR (e.kind = 'withdraw' AND e.actor = s.author)))"
+STAGED = f"""WITH RECURSIVE e AS ({STEPS}),
+s AS (SELECT DISTINCT key, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS id, CAST(0 AS BIGINT) AS sig, CAST(NULL AS BIGINT) AS item, CAST(NULL AS BIGINT) AS txt, CAST(NULL AS BIGINT) AS author, CAST(NULL AS BIGINT) AS base, CAST(0 AS BIGINT) AS rev,
+    CAST(NULL AS VARCHAR) AS act, CAST(NULL AS BIGINT) AS who, CAST(NULL AS BIGINT) AS old FROM e
+  UNION ALL SELECT e.key, e.n, e.id, s.sig + CASE WHEN e.kind = 'edit' OR {_APPROVED} THEN 1 ELSE 0 END,
+    CASE WHEN {_PROPOSED} THEN e.id WHEN {_APPROVED} OR {_ENDED} THEN NULL ELSE s.item END,
+    CASE WHEN {_PROPOSED} THEN e.text ELSE s.txt END, CASE WHEN {_PROPOSED} THEN e.actor ELSE s.author END, CASE WHEN {_PROPOSED} THEN s.sig ELSE s.base END,
+    CASE WHEN {_PROPOSED} THEN 1 WHEN e.kind = 'amend' AND {_SEEN} THEN s.rev + 1 ELSE s.rev END,
+    CASE WHEN {_PROPOSED} THEN 'create' WHEN e.kind = 'amend' AND {_SEEN} THEN 'amend' WHEN {_APPROVED} THEN CASE WHEN s.base <> s.sig THEN 'override' ELSE 'approve' END WHEN {_ENDED} THEN e.kind END,
+    CASE WHEN {_PROPOSED} THEN e.id ELSE s.item END, CASE WHEN {_PROPOSED} THEN s.item END
+  FROM s JOIN e ON e.key = s.key AND e.n = s.n + 1)
+SELECT key, who AS item, id AS event, act AS what, 'audit' AS "row" FROM s WHERE act IS NOT NULL
+UNION ALL SELECT key, old, id, 'supersede', 'audit' FROM s WHERE old IS NOT NULL UNION ALL SELECT key, old, id, 'superseded', 'state' FROM s WHERE old IS NOT NULL
+UNION ALL SELECT key, who, id, CASE act WHEN 'reject' THEN 'rejected' WHEN 'withdraw' THEN 'withdrawn' ELSE 'approved' END, 'state' FROM s WHERE act IN ('approve', 'override', 'reject', 'withdraw')
+UNION ALL SELECT key, item, NULL, 'pending', 'state' FROM (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY key ORDER BY n DESC) = 1) WHERE item IS NOT NULL"""
