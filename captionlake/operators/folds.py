@@ -231,3 +231,84 @@ def leases(df: DataFrame, lease: int, attempts: int) -> DataFrame:
         return [(key[0], s["state"], s["attempt"], s["recovered"], s["refused"])]
 
     return ordered_fold(df, ["key"], ["at", "id"], "key long, state string, attempt long, recovered long, refused long", start, step, end)
+
+
+#: How a noise floor falls and rises, and its least value.
+NOISE_FALL, NOISE_RISE, LEAST_NOISE = (0.7, 0.3), (0.995, 0.005), 1e-4
+#: The limits of utterances, in frames: speech of a whole utterance and of a lone word at least, silence that ends them, length from which a shorter silence
+#: ends one, greatest length, how far back a cut is looked for, and frames that are added before and behind.
+ENDPOINTS = {"least": 8, "lone": 3, "silence": 6, "lone_silence": 12, "soft": 60, "soft_silence": 2, "hard": 120, "back": 20, "before": 3, "behind": 2}
+
+
+def endpointing(limits: dict[str, int] = ENDPOINTS, floor: float = 0.008, ratio: float = 3.0) -> Fold:
+    """Utterances of frames (key, at, id, level): key, first, last (frame numbers of the key from 0, last not included), reason.
+
+    A frame is speech if its level reaches ``floor`` and ``ratio`` times a noise floor that follows the quieter frames. An utterance ends after a
+    pause; after soft frames a short silence does; after hard ones it is cut at its quietest late frame. What is behind a cut is carried to the next
+    utterance, which may then be short. A short sound without more is forgotten. The end of the frames flushes (as ``end`` of the fold). State is
+    the frames since the last cut, at most hard ones and those before.
+    """
+    g = limits
+
+    def start() -> dict:
+        return {"noise": floor, "base": 0, "levels": [], "begin": None, "heard": None, "carried": False}
+
+    def loud(s: dict, level: float) -> bool:
+        return level >= max(floor, s["noise"] * ratio)
+
+    def ending(s: dict, i: int) -> tuple[int, str] | None:
+        """Where and why an utterance ends at frame i; a sound that was too short is forgotten."""
+        begin, heard = s["begin"], s["heard"]
+        spoken, quiet, whole = heard + 1 - begin, i - heard, i + 1 - begin
+        if quiet >= g["silence"] and spoken >= (g["lone"] if s["carried"] else g["least"]):
+            return heard + 1, "pause"
+        if quiet >= g["lone_silence"]:
+            if spoken >= g["lone"]:
+                return heard + 1, "pause"
+            s.update(begin=None, heard=None, carried=False)
+        elif whole >= g["soft"] and quiet >= g["soft_silence"]:
+            return heard + 1, "soft"
+        elif whole >= g["hard"]:
+            late = range(max(begin + g["least"], i + 1 - g["back"]), i + 1)
+            return min(late, key=lambda j: (s["levels"][j - s["base"]], -j), default=i) + 1, "hard"
+        return None
+
+    def cut(s: dict, key, end: int, reason: str) -> tuple:
+        last = min(s["base"] + len(s["levels"]), end + (0 if reason == "hard" else g["behind"]))
+        out = (key, max(s["base"], s["begin"] - g["before"]), last, reason)
+        s["levels"], s["base"] = s["levels"][end - s["base"] :], end
+        rest = [end + j for j, level in enumerate(s["levels"]) if loud(s, level)]
+        s.update(begin=rest[0] if rest else None, heard=rest[-1] if rest else None, carried=reason in ("soft", "hard"))
+        return out
+
+    def step(s: dict, r) -> list:
+        s["levels"].append(r.level)
+        i, noise = s["base"] + len(s["levels"]) - 1, s["noise"]
+        if loud(s, r.level):
+            s["begin"], s["heard"] = i if s["begin"] is None else s["begin"], i
+        if r.level < noise:
+            s["noise"] = max(NOISE_FALL[0] * noise + NOISE_FALL[1] * r.level, LEAST_NOISE)
+        elif not loud(s, r.level):
+            s["noise"] = max(NOISE_RISE[0] * noise + NOISE_RISE[1] * r.level, LEAST_NOISE)
+        found = ending(s, i) if s["begin"] is not None else None
+        if found:
+            return [cut(s, r.key, *found)]
+        if s["begin"] is None and len(s["levels"]) > g["before"]:
+            s["base"] += len(s["levels"]) - g["before"]
+            s["levels"] = s["levels"][len(s["levels"]) - g["before"] :]
+        return []
+
+    return ["at", "id"], "key long, first long, last long, reason string", start, step
+
+
+def utterances(df: DataFrame, limits: dict[str, int] = ENDPOINTS, floor: float = 0.008, ratio: float = 3.0) -> DataFrame:
+    """endpointing() over a table, with the flush at the end of each key's frames."""
+    order, schema, start, step = endpointing(limits, floor, ratio)
+
+    def end(s: dict, key: tuple) -> list:
+        if s["begin"] is None:
+            return []
+        last = s["heard"] + 1
+        return [(key[0], max(s["base"], s["begin"] - limits["before"]), min(s["base"] + len(s["levels"]), last + limits["behind"]), "flush")]
+
+    return ordered_fold(df, ["key"], order, schema, start, step, end)

@@ -151,3 +151,10 @@ def state_recovery(spark, sf_dir) -> DataFrame:
     g = s.groupBy("l_orderkey").agg(F.max("version").alias("version_floor"), (F.max("seq") + 1).alias("next"))
     holes = missing_numbers(s, ["l_orderkey"], "seq").groupBy("l_orderkey").agg(F.array_sort(F.collect_list("seq")).alias("holes"))
     return g.join(holes, "l_orderkey", "left").select("l_orderkey", "version_floor", "next", F.coalesce("holes", F.array().cast("array<bigint>")).alias("holes"))
+
+
+@query("T16")
+def endpoint_cuts(spark, sf_dir) -> DataFrame:
+    """A user's events as frames whose levels are their values: utterances by pauses, soft and hard cuts, and the flush."""
+    frames = events(spark, sf_dir).select(F.col("user_id").alias("key"), F.unix_micros("ts").alias("at"), F.col("event_id").alias("id"), (F.col("value") / 2000).alias("level"))
+    return folds.utterances(frames, folds.ENDPOINTS | {"soft": 20, "hard": 30, "back": 8})

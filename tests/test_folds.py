@@ -146,3 +146,60 @@ def test_nearest_vectors_in_waves(spark):
     cos = lambda a, b: round(sum(x * y for x, y in zip(a, b)) / (norm(a) * norm(b)), 9) if norm(a) * norm(b) else 0.0
     want = [(q, i, n) for q, a in valid if q % 20 == 0 for n, (_, i) in enumerate(sorted((-cos(a, b), i) for i, b in valid if i != q)[:3], 1)]
     assert rows_of(cosine_top_k(df, lambda i: i % 20 == 0, 3, block=2, wave_bytes=1), "query_id", "vec_id", "rank") == sorted(want, key=repr)
+
+
+def brute_utterances(levels, g, floor=0.008, ratio=3.0):
+    """Over the whole list of frames, with the noise floor of each moment."""
+    noise, floors = floor, []
+    for x in levels:
+        floors.append(max(floor, noise * ratio))  # by which this frame is judged
+        if x < noise:
+            noise = max(0.7 * noise + 0.3 * x, 1e-4)
+        elif x < floors[-1]:
+            noise = max(0.995 * noise + 0.005 * x, 1e-4)
+    after = [*floors[1:], max(floor, noise * ratio)]  # what holds once a frame has been heard
+    out, base, spoken, carried = [], 0, [], False
+
+    def emit(end, reason, i):
+        nonlocal base, spoken, carried
+        out.append((max(base, spoken[0] - g["before"]), min(i + 1, end + (0 if reason == "hard" else g["behind"])), reason))
+        base, carried = end, reason in ("soft", "hard")
+        spoken = [j for j in range(end, i + 1) if levels[j] >= after[i]]
+
+    for i, x in enumerate(levels):
+        if x >= floors[i]:
+            spoken.append(i)
+        if not spoken:
+            base = max(base, i + 1 - g["before"])
+            continue
+        voiced, quiet, n = spoken[-1] + 1 - spoken[0], i - spoken[-1], i + 1 - spoken[0]
+        if (quiet >= g["silence"] and voiced >= (g["lone"] if carried else g["least"])) or (quiet >= g["lone_silence"] and voiced >= g["lone"]):
+            emit(spoken[-1] + 1, "pause", i)
+        elif quiet >= g["lone_silence"]:
+            spoken, carried = [], False
+            base = max(base, i + 1 - g["before"])
+        elif n >= g["soft"] and quiet >= g["soft_silence"]:
+            emit(spoken[-1] + 1, "soft", i)
+        elif n >= g["hard"]:
+            late = list(range(max(spoken[0] + g["least"], i + 1 - g["back"]), i + 1))
+            emit(min(late, key=lambda j: (levels[j], -j)) + 1, "hard", i)
+    if spoken:
+        emit(spoken[-1] + 1, "flush", len(levels) - 1)
+    return out
+
+
+def test_utterances_end_by_pauses_and_cuts(spark):
+    rng, rows, want, reasons = random.Random(12), [], set(), set()
+    limits = folds.ENDPOINTS | {"soft": 25, "hard": 40, "back": 10}
+    for key in range(12):
+        levels, speaking = [], False
+        while len(levels) < 700:
+            speaking = not speaking
+            n = rng.choice([2, 5, 20, 90] if speaking else [1, 3, 7, 15, 40])
+            levels += [rng.uniform(0.03, 0.5) if speaking and rng.random() > 0.05 * (key % 4) else rng.choice([0.0, 0.001, 0.002, 0.007]) for _ in range(n)]
+        rows += [(key, i, i, x) for i, x in enumerate(levels)]
+        found = brute_utterances(levels, limits)
+        want |= {(key, *x) for x in found}
+        reasons |= {x[-1] for x in found}
+    got = folds.utterances(spark.createDataFrame(rows, "key long, at long, id long, level double"), limits).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want) and reasons >= {"pause", "soft", "hard"}
