@@ -27,7 +27,7 @@ def plain(v):
 @pytest.mark.parametrize("name", list(ORACLES))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "labels", "conversations"):
+    for t in ("documents", "embeddings", "labels", "conversations", "benchmark"):
         path = f"{SF}/{t}.parquet"
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{path if os.path.isfile(path) else path + '/*.parquet'}'")
     df, want = QUERIES[name](spark, SF), con.sql(ORACLES[name])
