@@ -312,3 +312,73 @@ def utterances(df: DataFrame, limits: dict[str, int] = ENDPOINTS, floor: float =
         return [(key[0], max(s["base"], s["begin"] - limits["before"]), min(s["base"] + len(s["levels"]), last + limits["behind"]), "flush")]
 
     return ordered_fold(df, ["key"], order, schema, start, step, end)
+
+
+#: Captions that a client shows at most.
+SHOWN = 80
+
+
+def client_view(df: DataFrame, most: int = SHOWN) -> DataFrame:
+    """What a client shows after its events (key, at, id, kind, caption, seq, version, epoch, ord, text): key, place (from 1), caption, seq, version, draft, text.
+
+    kind: caption, draft, deleted, expired, cleared. A clear drops all captions for good and raises the floor of epochs, below which later
+    events are ignored; a deleted caption stays away, an expired one may come back. A caption replaces an older version in its place, and any
+    draft; a draft never replaces a caption, and takes the greatest ord among captions where it has none. Beyond ``most`` the one that came first goes.
+    Places follow ord, seq and the event. A null caption, or a caption without seq, does nothing. State is ``most`` captions and the deleted ids.
+    """
+
+    def start() -> dict:
+        return {"shown": {}, "gone": set(), "floor": 0}
+
+    def put(s: dict, caption, row: tuple) -> None:
+        s["shown"][caption] = row
+        while len(s["shown"]) > most:
+            del s["shown"][next(iter(s["shown"]))]
+
+    def step(s: dict, r) -> list:
+        shown = s["shown"]
+        if r.kind == "cleared":
+            s["gone"].update(shown)
+            shown.clear()
+            s["floor"] = max(s["floor"], r.epoch)
+        elif r.kind == "expired":
+            shown.pop(r.caption, None)
+        elif pd.isna(r.caption) or (s["floor"] and r.epoch < s["floor"]):
+            pass
+        elif r.kind == "deleted":
+            s["gone"].add(r.caption)
+            shown.pop(r.caption, None)
+        elif r.caption not in s["gone"] and not pd.isna(r.seq):
+            old = shown.get(r.caption)  # (ord, seq, event, version, draft, text)
+            if r.kind == "draft":
+                if old is None or old[4]:
+                    put(s, r.caption, (r.ord or max((x[0] for x in shown.values() if not x[4]), default=0), r.seq, r.id, 0, True, r.text))
+            elif old is None or old[4] or old[3] < r.version:
+                put(s, r.caption, (r.ord, r.seq, r.id, r.version, False, r.text))
+        return []
+
+    def end(s: dict, key: tuple) -> list:
+        rows = sorted(s["shown"].items(), key=lambda x: x[1][:3])
+        return [(key[0], i, caption, x[1], x[3], x[4], x[5]) for i, (caption, x) in enumerate(rows, 1)]
+
+    return ordered_fold(df, ["key"], ["at", "id"], "key long, place int, caption long, seq long, version long, draft boolean, text string", start, step, end)
+
+
+def bounded_queue(df: DataFrame, most: int) -> DataFrame:
+    """A queue of ``most`` that drops its oldest: puts and takes (key, at, id, put) in order. Returns key, waiting (ids, oldest first), dropped, taken; a take of an empty queue takes nothing."""
+
+    def step(s: dict, r) -> list:
+        if r.put:
+            s["queue"].append(r.id)
+            if len(s["queue"]) > most:
+                s["queue"].pop(0)
+                s["dropped"] += 1
+        elif s["queue"]:
+            s["queue"].pop(0)
+            s["taken"] += 1
+        return []
+
+    def end(s: dict, key: tuple) -> list:
+        return [(key[0], s["queue"], s["dropped"], s["taken"])]
+
+    return ordered_fold(df, ["key"], ["at", "id"], "key long, waiting array<long>, dropped long, taken long", lambda: {"queue": [], "dropped": 0, "taken": 0}, step, end)

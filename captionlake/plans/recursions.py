@@ -71,3 +71,14 @@ SELECT key, who AS item, id AS event, act AS what, 'audit' AS "row" FROM s WHERE
 UNION ALL SELECT key, old, id, 'supersede', 'audit' FROM s WHERE old IS NOT NULL UNION ALL SELECT key, old, id, 'superseded', 'state' FROM s WHERE old IS NOT NULL
 UNION ALL SELECT key, who, id, CASE act WHEN 'reject' THEN 'rejected' WHEN 'withdraw' THEN 'withdrawn' ELSE 'approved' END, 'state' FROM s WHERE act IN ('approve', 'override', 'reject', 'withdraw')
 UNION ALL SELECT key, item, NULL, 'pending', 'state' FROM (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY key ORDER BY n DESC) = 1) WHERE item IS NOT NULL"""
+
+
+def queued(most: int) -> str:
+    """Views are put, clicks take, and the oldest goes beyond ``most``."""
+    rows = LINES.format(key="user_id", at=SECONDS, seq=0) + " WHERE text IN ('view', 'click')"
+    added = "list_append(s.queue, e.id)"
+    return recursion(
+        rows, "CASE WHEN text = 'view' THEN [id] ELSE []::BIGINT[] END AS queue, CAST(0 AS BIGINT) AS dropped, CAST(0 AS BIGINT) AS taken",
+        f"CASE WHEN e.text = 'view' THEN CASE WHEN len(s.queue) = {most} THEN {added}[2:] ELSE {added} END ELSE s.queue[2:] END, s.dropped + CASE WHEN e.text = 'view' AND len(s.queue) = {most} THEN 1 ELSE 0 END, s.taken + CASE WHEN e.text = 'click' AND len(s.queue) > 0 THEN 1 ELSE 0 END",
+        "SELECT key, queue AS waiting, dropped, taken FROM s QUALIFY row_number() OVER (PARTITION BY key ORDER BY n DESC) = 1",
+    )

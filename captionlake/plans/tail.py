@@ -48,11 +48,21 @@ def index_hit_join(spark, sf_dir) -> DataFrame:
     return d.filter("lang = 'de'").select("doc_id", "source").join(hits, "doc_id", "left_semi")
 
 
-@query("T11 T37", "SELECT user_id, least(count(*), 32) AS waiting, greatest(count(*) - 32, 0) AS dropped, max(event_id) AS newest FROM events WHERE event_type = 'view' GROUP BY 1")
+@query("T11 T37", recursions.queued(8))
 def bounded_queue(spark, sf_dir) -> DataFrame:
-    """A queue that drops its oldest: what waits and what was dropped."""
-    n = F.count("*")
-    return events(spark, sf_dir).filter("event_type = 'view'").groupBy("user_id").agg(F.least(n, F.lit(32)).alias("waiting"), F.greatest(n - 32, F.lit(0)).alias("dropped"), F.max("event_id").alias("newest"))
+    """A subscriber's queue of eight: views are put, clicks take, and the oldest goes when it is full."""
+    rows = lines(spark, sf_dir).filter("text IN ('view', 'click')")
+    return folds.bounded_queue(rows.select("key", "at", "id", (F.col("text") == "view").alias("put")), 8)
+
+
+@query("T34")
+def client_view(spark, sf_dir) -> DataFrame:
+    """What each user's client shows: views are captions, clicks drafts, errors delete, signups clear, and the rest expire."""
+    k, kind = F.col("k"), F.col("event_type")
+    kinds = F.when(kind == "view", "caption").when(kind == "click", "draft").when(kind == "error", "deleted").when(kind == "signup", "cleared").otherwise("expired")
+    epoch = F.count_if(kind == "signup").over(ordered().rowsBetween(Window.unboundedPreceding, 0))
+    e = events(spark, sf_dir).select(F.col("user_id").alias("key"), F.unix_micros("ts").alias("at"), F.col("event_id").alias("id"), kinds.alias("kind"), k.alias("caption"), (k * 7 % 50).alias("seq"), F.col("cents").alias("version"), epoch.alias("epoch"), (k % 3).alias("ord"), kind.alias("text"))
+    return folds.client_view(e, 20)
 
 
 @query("T13", recursions.carrying("row_number() OVER (PARTITION BY user_id ORDER BY CAST(floor(epoch(ts)) AS BIGINT), event_id)", "value > 60"))

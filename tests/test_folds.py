@@ -203,3 +203,20 @@ def test_utterances_end_by_pauses_and_cuts(spark):
         reasons |= {x[-1] for x in found}
     got = folds.utterances(spark.createDataFrame(rows, "key long, at long, id long, level double"), limits).collect()
     assert {tuple(r) for r in got} == want and len(got) == len(want) and reasons >= {"pause", "soft", "hard"}
+
+
+def test_a_client_shows_what_its_events_leave(spark):
+    rows = [
+        ("caption", 1, 5, 1, 0, 1, "one"), ("draft", 1, 5, 0, 0, 0, "no: a caption stands"), ("caption", 1, 5, 1, 0, 1, "no: the same version"), ("caption", 1, 5, 2, 0, 1, "one, corrected"),
+        ("draft", 2, 1, 0, 0, 0, "draft after finals, by their ord"), ("caption", None, 1, 1, 0, 0, "no id"), ("caption", 3, None, 1, 0, 0, "no seq"), ("deleted", 4, None, 0, 0, 0, None), ("caption", 4, 9, 9, 0, 0, "no: deleted"),
+        ("caption", 5, 4, 1, 0, 1, "five"), ("expired", 5, None, 0, 0, 0, None), ("caption", 5, 6, 1, 0, 1, "five again"),
+    ]
+    schema = "key long, at long, id long, kind string, caption long, seq long, version long, epoch long, ord long, text string"
+    frame = lambda rows: spark.createDataFrame([(7, i, i, *r) for i, r in enumerate(rows)], schema)
+    shown = lambda rows, most=80: [(r.caption, r.text, r.draft) for r in folds.client_view(frame(rows), most).orderBy("place").collect()]
+    assert shown(rows) == [(2, "draft after finals, by their ord", True), (1, "one, corrected", False), (5, "five again", False)]
+    assert shown([*rows, ("caption", 2, 8, 1, 0, 1, "two")]) == [(1, "one, corrected", False), (5, "five again", False), (2, "two", False)]
+    late = [*rows, ("cleared", None, None, 0, 3, 0, None), ("caption", 8, 1, 1, 2, 0, "no: an old epoch"), ("caption", 1, 1, 9, 3, 0, "no: cleared"), ("caption", 9, 1, 1, 3, 0, "nine")]
+    assert shown(late) == [(9, "nine", False)]
+    many = [("caption", i, i, 1, 0, 0, str(i)) for i in range(10)] + [("caption", 7, 70, 2, 0, 0, "7 stays in its place of arrival"), ("caption", 20, 0, 1, 0, 0, "20")]
+    assert [x[0] for x in shown(many, 4)] == [20, 8, 9, 7]
