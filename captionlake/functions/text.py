@@ -31,6 +31,20 @@ def memory_key(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else form(t))
 
 
+#: Simplified characters and their traditional forms, and what a translation memory leaves out of its keys.
+SIMPLIFIED, TRADITIONAL = "学会观经数开静禅语头话调务师处关习觉围产缘净无为进说佛门众戒乐现见实们这个时间问题应该还没发对来过", "學會觀經數開靜禪語頭話調務師處關習覺圍產緣淨無為進說佛門眾戒樂現見實們這個時間問題應該還沒發對來過"
+LEFT_OUT = "[\\s\u3000-\u303f\uff00-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65\u2000-\u206f!-/:-@\\[-`{-~]"
+
+
+@F.pandas_udf(StringType())
+def translation_key(texts: pd.Series) -> pd.Series:
+    """The key of a translation memory: NFKC, without punctuation and spaces, case folded, simplified characters as traditional ones."""
+    import re
+
+    out, fold = re.compile(LEFT_OUT), str.maketrans(SIMPLIFIED, TRADITIONAL)
+    return texts.map(lambda t: None if t is None else out.sub("", unicodedata.normalize("NFKC", t)).casefold().translate(fold))
+
+
 @F.pandas_udf(DoubleType())
 def display_width(texts: pd.Series) -> pd.Series:
     """Wide and full-width characters count 1, others one half."""

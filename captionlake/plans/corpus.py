@@ -141,7 +141,7 @@ def loose_keys(spark, sf_dir) -> DataFrame:
 def unicode_keys(spark, sf_dir) -> DataFrame:
     """The Unicode-exact forms, whose folding SQL lacks."""
     t = F.col("text")
-    return docs(spark, sf_dir).select("doc_id", F.md5(X.nfkc_fold(t).cast("binary")).alias("fold"), F.md5(X.memory_key(t).cast("binary")).alias("memory"), X.display_width(t).alias("width"))
+    return docs(spark, sf_dir).select("doc_id", F.md5(X.nfkc_fold(t).cast("binary")).alias("fold"), F.md5(X.translation_key(t).cast("binary")).alias("memory"), X.display_width(t).alias("width"))
 
 
 HAN_ROWS = "(VALUES (1, '因緣生'), (2, 'GPU 訓練開始了'), (3, 'plain words'), (4, ''), (5, 'あいう,因')) AS t(id, text)"
@@ -161,29 +161,32 @@ def regression_rules(spark, sf_dir) -> DataFrame:
     return b.join(docs(spark, sf_dir).select("doc_id", "text"), "doc_id", "left").select("item_id", F.array_compact(rules).alias("rules"))
 
 
-NUMBERS = "regexp_extract_all({}, '(?:^|[^0-9A-Za-z.])([+-]?[0-9]+(?:[.,][0-9]+)*[%％]?)', 1)"
+WIDE, NARROW = "０１２３４５６７８９．，＋－％", "0123456789.,+-%"
+NUMBERS = f"regexp_extract_all(translate({{}}, '{WIDE}', '{NARROW}'), '(?:^|[^0-9A-Za-z.])([+-]?[0-9]+(?:[.,][0-9]+)*%?)', 1)"
 LOCKED = "document"
+#: Units of time in a source, before "after" and "within".
+UNITS = "分鐘|秒|小時|天|日|週|月|年"
+ODD_PAIRS = "(1, '5 分鐘後 3.5% -7', 'within 5 minutes 3.5%'), (2, 'the document', ''), (3, 'a document', 'a file <b>x</b>'), (4, '12天後，2小時內', 'Within 12 days'), (5, '１２ 年後', 'in 12 years'), (6, '3月後', 'WITHIN 3 months')"
 
 
-@query("F45", f"""WITH p AS (SELECT a.conv_id, a.turn, a.text AS src, b.text AS tgt FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'user'
-  UNION ALL SELECT -1, i, s, t FROM (VALUES (1, '5 minutes after, 3.5% of -7', 'within 5 minutes 3.5%'), (2, 'the document', ''), (3, 'a document', 'a file <b>x</b>'), (4, '12 days after and 2 hours within', 'within 12 days')) AS v(i, s, t))
+@query("F45", f"""WITH p AS (SELECT a.conv_id, a.turn, a.text AS src, b.text AS tgt FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'user' UNION ALL SELECT -1, i, s, t FROM (VALUES {ODD_PAIRS}) AS v(i, s, t))
 SELECT conv_id, turn, list_filter([CASE WHEN trim(tgt) = '' THEN 'empty' END, CASE WHEN trim(tgt) <> '' AND regexp_matches(tgt, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]|<[^<>]+>') THEN 'format' END,
   CASE WHEN trim(tgt) <> '' AND len(list_filter({NUMBERS.format('src')}, lambda x: NOT list_contains({NUMBERS.format('tgt')}, x))) > 0 THEN 'numbers' END,
-  CASE WHEN trim(tgt) <> '' AND regexp_matches(src, '[0-9] *(minutes|seconds|hours|days) after') AND NOT regexp_matches(src, '[0-9] *(minutes|seconds|hours|days) within') AND regexp_matches(lower(tgt), '\\bwithin\\b') THEN 'relation' END,
+  CASE WHEN trim(tgt) <> '' AND regexp_matches(src, '[0-9０-９]\\s*({UNITS})後') AND NOT regexp_matches(src, '[0-9０-９]\\s*({UNITS})內') AND regexp_matches(lower(tgt), '\\bwithin\\b') THEN 'relation' END,
   CASE WHEN trim(tgt) <> '' AND contains(src, '{LOCKED}') AND NOT contains(lower(tgt), '{LOCKED}') THEN 'locked_term' END], lambda x: x IS NOT NULL) AS flags FROM p""")
 def translation_flags(spark, sf_dir) -> DataFrame:
-    """What is suspicious of a translation: nothing there, markup or control characters, numbers of the source missing, "after" told as "within", a locked term missing."""
+    """What is suspicious of a translation: nothing there, markup or control characters, numbers of the source missing, "after" a time told as "within" it, a locked term missing."""
     c = table(spark, sf_dir, "conversations")
     a = c.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("src"))
     b = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("tgt"))
-    odd = spark.sql("SELECT -1L AS conv_id, CAST(i AS BIGINT) AS turn, s AS src, t AS tgt FROM VALUES (1, '5 minutes after, 3.5% of -7', 'within 5 minutes 3.5%'), (2, 'the document', ''), (3, 'a document', 'a file <b>x</b>'), (4, '12 days after and 2 hours within', 'within 12 days') AS v(i, s, t)")
+    odd = spark.sql(f"SELECT -1L AS conv_id, CAST(i AS BIGINT) AS turn, s AS src, t AS tgt FROM VALUES {ODD_PAIRS} AS v(i, s, t)")
     src, tgt = F.col("src"), F.col("tgt")
-    numbers = lambda x: F.regexp_extract_all(x, F.lit(r"(?<![0-9A-Za-z.])[+-]?[0-9]+(?:[.,][0-9]+)*[%％]?"), F.lit(0))
-    span = lambda word: src.rlike(f"[0-9] *(minutes|seconds|hours|days) {word}")
+    numbers = lambda x: F.regexp_extract_all(F.translate(x, WIDE, NARROW), F.lit(r"(?<![0-9A-Za-z.])[+-]?[0-9]+(?:[.,][0-9]+)*%?"), F.lit(0))
+    span = lambda word: src.rlike(rf"[0-9０-９]\s*({UNITS}){word}")
     there = F.trim(tgt) != ""
     rules = {
         "empty": ~there, "format": there & tgt.rlike(r"[\x00-\x08\x0b\x0c\x0e-\x1f]|<[^<>]+>"), "numbers": there & (F.size(F.array_except(numbers(src), numbers(tgt))) > 0),
-        "relation": there & span("after") & ~span("within") & F.lower(tgt).rlike(r"\bwithin\b"), "locked_term": there & src.contains(LOCKED) & ~F.lower(tgt).contains(LOCKED),
+        "relation": there & span("後") & ~span("內") & F.lower(tgt).rlike(r"\bwithin\b"), "locked_term": there & src.contains(LOCKED) & ~F.lower(tgt).contains(LOCKED),
     }
     pairs = a.join(b, ["conv_id", "turn"]).unionByName(odd)
     return pairs.select("conv_id", "turn", F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in rules.items()])).alias("flags"))

@@ -98,6 +98,7 @@ def test_snapshots_and_exports(spark, tmp_path):
 def test_text_functions(spark):
     assert one(spark, "ＡＢＣ Straße ", X.nfkc_fold) == "abc strasse"
     assert one(spark, "你好, World!", X.memory_key) == "你好world"
+    assert one(spark, "因缘，净 学ＡＢ! ﬁ", X.translation_key) == "因緣淨學abfi" and len(X.SIMPLIFIED) == len(X.TRADITIONAL)
     assert one(spark, "你a", X.display_width) == 1.5 and one(spark, "你a", X.half_width) == 1.5
     assert one(spark, "我爱AI", X.space_han) == "我 爱 AI"
     assert one(spark, "3723004", lambda c: X.timecode(c.cast("long"))) == "01:02:03,004"
