@@ -191,11 +191,11 @@ def queue(df: DataFrame, workers: int) -> DataFrame:
     return ordered_fold(df, ["key"], ["due", "id"], "key long, jobs long, done long, lag long, max_lag long, max_backlog long", dict, step, end)
 
 
-def leases(df: DataFrame, lease: int, attempts: int) -> DataFrame:
+def leases(df: DataFrame, lease: int, attempts: int, delay: int = 0) -> DataFrame:
     """Jobs (key, at, id, kind, owner) under leases: claim (by an owner, of a queued job), beat and finish (by the lease's holder), retry, defer and cancel.
 
     Before each event an expired lease is taken back: the job is queued again while it has attempts left, else it failed, or is cancelled where that was
-    asked for. retry spends an attempt, defer gives it back; a beat extends the lease. Events that don't fit the state change nothing, and
+    asked for. retry spends an attempt, defer gives it back, and either way the job can't be claimed for ``delay``; a job that was asked to cancel is cancelled by defer; a beat extends the lease. Events that don't fit the state change nothing, and
     ended jobs stay. Returns key, state, attempt, recovered, refused.
     """
 
@@ -206,21 +206,23 @@ def leases(df: DataFrame, lease: int, attempts: int) -> DataFrame:
             s["recovered"] += 1
 
     def start() -> dict:
-        return {"state": "queued", "attempt": 0, "until": 0, "owner": None, "recovered": 0, "refused": 0}
+        return {"state": "queued", "attempt": 0, "until": 0, "after": -(1 << 62), "owner": None, "recovered": 0, "refused": 0}
 
     def step(s: dict, r) -> list:
         recover(s, r.at)
         before, mine = s["state"], r.owner == s["owner"]
-        if r.kind == "claim" and before == "queued":
+        if r.kind == "claim" and before == "queued" and r.at >= s["after"]:
             s.update(state="running", attempt=s["attempt"] + 1, owner=r.owner, until=r.at + lease)
         elif r.kind == "beat" and before in ("running", "cancel_requested") and mine:
             s["until"] = r.at + lease
         elif r.kind == "finish" and before in ("running", "cancel_requested") and mine:
             s["state"] = "done" if before == "running" else "cancelled"
         elif r.kind == "retry" and before == "running":
-            s["state"] = "queued" if s["attempt"] < attempts else "failed"
+            s.update(state="queued" if s["attempt"] < attempts else "failed", after=r.at + delay)
         elif r.kind == "defer" and before == "running":
-            s.update(state="queued", attempt=s["attempt"] - 1)
+            s.update(state="queued", attempt=s["attempt"] - 1, after=r.at + delay)
+        elif r.kind == "defer" and before == "cancel_requested":
+            s["state"] = "cancelled"
         elif r.kind == "cancel" and before in ("queued", "running"):
             s["state"] = "cancelled" if before == "queued" else "cancel_requested"
         else:

@@ -170,7 +170,7 @@ def audio_ctx_caps(spark, sf_dir) -> DataFrame:
     return events(spark, sf_dir).select("event_id", ctx.alias("ctx"), F.greatest(F.lit(16), F.least(F.lit(224), F.ceil(10 * v) + 8)).cast("long").alias("cap"))
 
 
-@query("F36 T17", "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x)) / len(embedding)), 6) AS rms, CAST(list_max(embedding) AS FLOAT) AS peak FROM embeddings")
+@query("F36", "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x)) / len(embedding)), 6) AS rms, CAST(list_max(embedding) AS FLOAT) AS peak FROM embeddings")
 def frame_rms(spark, sf_dir) -> DataFrame:
     squares = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(F.sqrt(squares / F.size("embedding")), 6).alias("rms"), F.array_max("embedding").cast("float").alias("peak"))
@@ -188,19 +188,19 @@ def question_marks(spark, sf_dir) -> DataFrame:
     return lines.select("id", F.when(t.endswith("嗎") | t.endswith("呢"), F.concat(t, F.lit("？"))).otherwise(t).alias("marked"))
 
 
-@query("F27", "SELECT item_id, len(regexp_extract_all(text, '[^.,;!?]{1,24}[.,;!?]?')) AS phrases FROM benchmark")
+@query("", "SELECT item_id, len(regexp_extract_all(text, '[^.,;!?]{1,24}[.,;!?]?')) AS phrases FROM benchmark")
 def phrase_segmentation(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", F.size(F.regexp_extract_all("text", F.lit("[^.,;!?]{1,24}[.,;!?]?"), F.lit(0))).cast("long").alias("phrases"))
 
 
-@query("F29", "SELECT item_id, regexp_matches(text, '[,.!?]') AS ascii_marks, length(replace(text, '(', '')) <> length(replace(text, ')', '')) AS unbalanced, length(text) > 160 AS wide FROM benchmark")
+@query("", "SELECT item_id, regexp_matches(text, '[,.!?]') AS ascii_marks, length(replace(text, '(', '')) <> length(replace(text, ')', '')) AS unbalanced, length(text) > 160 AS wide FROM benchmark")
 def typography_rules(spark, sf_dir) -> DataFrame:
     t = F.col("text")
     gone = lambda c: F.length(F.replace(t, F.lit(c), F.lit("")))
     return table(spark, sf_dir, "benchmark").select("item_id", t.rlike("[,.!?]").alias("ascii_marks"), (gone("(") != gone(")")).alias("unbalanced"), (F.length(t) > 160).alias("wide"))
 
 
-@query("F26", "SELECT conv_id, turn, NOT regexp_matches(text, '[\\x00-\\x08]') AND NOT regexp_matches(text, '<[a-z]+>') AND NOT regexp_matches(lower(text), '^(sure|here is|okay)') AS valid FROM conversations WHERE role = 'assistant'")
+@query("", "SELECT conv_id, turn, NOT regexp_matches(text, '[\\x00-\\x08]') AND NOT regexp_matches(text, '<[a-z]+>') AND NOT regexp_matches(lower(text), '^(sure|here is|okay)') AS valid FROM conversations WHERE role = 'assistant'")
 def caption_validators(spark, sf_dir) -> DataFrame:
     t = F.col("text")
     valid = ~t.rlike("[\\x00-\\x08]") & ~t.rlike("<[a-z]+>") & ~F.lower(t).rlike("^(sure|here is|okay)")

@@ -164,7 +164,7 @@ def rule_violations(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.explode(F.array_compact(rules)).alias("rule")).groupBy("rule").agg(F.count("*").alias("n"))
 
 
-@query("F21", """WITH g AS (SELECT p_partkey AS id, lower(p_name) AS canon, lower(p_brand) AS alias FROM part)
+@query("", """WITH g AS (SELECT p_partkey AS id, lower(p_name) AS canon, lower(p_brand) AS alias FROM part)
 SELECT id, 'alias_owners' AS rule FROM g WHERE alias IN (SELECT alias FROM g GROUP BY 1 HAVING count(DISTINCT canon) > 1) UNION ALL SELECT id, 'duplicate' FROM g WHERE canon IN (SELECT canon FROM g GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT id, 'alias_is_canon' FROM g WHERE alias = canon""")
 def glossary_violations(spark, sf_dir) -> DataFrame:
     g = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.lower("p_name").alias("canon"), F.lower("p_brand").alias("alias"))

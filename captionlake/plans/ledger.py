@@ -124,7 +124,7 @@ def erasure_antijoin(spark, sf_dir) -> DataFrame:
     return d.select("doc_id", F.when(F.col("gone").isNull(), F.col("h")).alias("text_md5"), F.col("gone").isNotNull().alias("tombstone"))
 
 
-@query("M11", """WITH j AS (SELECT user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS params, max(event_id) AS last, count(*) FILTER (event_type = 'error') AS failed, count(*) AS attempts, arg_max(event_type, event_id) AS state FROM events GROUP BY 1, 2)
+@query("", """WITH j AS (SELECT user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS params, max(event_id) AS last, count(*) FILTER (event_type = 'error') AS failed, count(*) AS attempts, arg_max(event_type, event_id) AS state FROM events GROUP BY 1, 2)
 SELECT user_id, params, attempts, CASE WHEN state = 'purchase' THEN 'done' WHEN state = 'error' AND failed >= 3 THEN 'failed' WHEN state = 'error' THEN 'retry' WHEN state = 'click' THEN 'running' ELSE 'queued' END AS state FROM j""")
 def job_queue_state(spark, sf_dir) -> DataFrame:
     """Jobs of equal parameters are one; its state follows from its last event and its failures."""
@@ -223,7 +223,7 @@ def resubmission(spark, sf_dir) -> DataFrame:
     return events(spark, sf_dir).groupBy("user_id", "k").agg(F.count("*").alias("n"), digests.alias("conflict"), F.min("event_id").alias("first"))
 
 
-@query("T12", "SELECT event_id, CASE WHEN value > 300 THEN 'timeout' WHEN value > 60 AND lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NOT NULL THEN 'stale' ELSE 'shown' END AS outcome FROM events")
+@query("", "SELECT event_id, CASE WHEN value > 300 THEN 'timeout' WHEN value > 60 AND lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NOT NULL THEN 'stale' ELSE 'shown' END AS outcome FROM events")
 def late_data_policy(spark, sf_dir) -> DataFrame:
     newer = F.lead("event_id").over(ordered()).isNotNull()
     return events(spark, sf_dir).select("event_id", F.when(F.col("value") > 300, "timeout").when((F.col("value") > 60) & newer, "stale").otherwise("shown").alias("outcome"))
@@ -235,7 +235,7 @@ def attempt_epochs(spark, sf_dir) -> DataFrame:
     return per.groupBy("user_id", "event_type").agg(F.max("k").alias("attempt"), (F.sum("n") - F.max_by("n", "k")).alias("discarded"))
 
 
-@query("T28", "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS demand FROM events")
+@query("", "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS demand FROM events")
 def rate_demand(spark, sf_dir) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy(F.unix_micros("ts")).rangeBetween(-3_600_000_000, 0)
     return events(spark, sf_dir).select("event_id", F.count("*").over(w).alias("demand"))

@@ -82,3 +82,22 @@ def queued(most: int) -> str:
         f"CASE WHEN e.text = 'view' THEN CASE WHEN len(s.queue) = {most} THEN {added}[2:] ELSE {added} END ELSE s.queue[2:] END, s.dropped + CASE WHEN e.text = 'view' AND len(s.queue) = {most} THEN 1 ELSE 0 END, s.taken + CASE WHEN e.text = 'click' AND len(s.queue) > 0 THEN 1 ELSE 0 END",
         "SELECT key, queue AS waiting, dropped, taken FROM s QUALIFY row_number() OVER (PARTITION BY key ORDER BY n DESC) = 1",
     )
+
+
+def leased(lease: int, attempts: int, delay: int) -> str:
+    """Jobs of users: views claim, clicks beat, purchases finish, errors ask for another try (for k divisible by 3: later), signups cancel; two owners."""
+    live, mine, fails = "st IN ('running', 'cancel_requested')", "coalesce(own = owner, false)", f"attempt >= {attempts}"
+    return f"""WITH RECURSIVE e AS (SELECT user_id AS key, CAST(floor(epoch(ts)) AS BIGINT) AS sec, k % 2 AS own, row_number() OVER (PARTITION BY user_id ORDER BY CAST(floor(epoch(ts)) AS BIGINT), event_id) AS n,
+  CASE event_type WHEN 'view' THEN 'claim' WHEN 'purchase' THEN 'finish' WHEN 'error' THEN CASE WHEN k % 3 = 0 THEN 'defer' ELSE 'retry' END WHEN 'signup' THEN 'cancel' ELSE 'beat' END AS kind
+  FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)),
+s AS (SELECT DISTINCT key, CAST(0 AS BIGINT) AS n, 'queued' AS st, CAST(0 AS BIGINT) AS attempt, CAST(0 AS BIGINT) AS until, CAST(-1 AS BIGINT) AS hold, CAST(NULL AS BIGINT) AS owner, CAST(0 AS BIGINT) AS recovered, CAST(0 AS BIGINT) AS refused FROM e
+  UNION ALL SELECT key, n, to_state, CASE WHEN kind = 'claim' AND fits THEN attempt + 1 WHEN kind = 'defer' AND fits AND st = 'running' THEN attempt - 1 ELSE attempt END,
+    CASE WHEN kind IN ('claim', 'beat') AND fits THEN sec + {lease} ELSE until END, CASE WHEN kind IN ('retry', 'defer') AND fits THEN sec + {delay} ELSE hold END,
+    CASE WHEN kind = 'claim' AND fits THEN own ELSE owner END, recovered + CAST(rec AS BIGINT), refused + CAST(NOT fits AS BIGINT)
+  FROM (SELECT *, CASE WHEN NOT fits OR kind = 'beat' THEN st WHEN kind = 'claim' THEN 'running' WHEN kind = 'finish' THEN CASE st WHEN 'running' THEN 'done' ELSE 'cancelled' END WHEN kind = 'retry' THEN CASE WHEN {fails} THEN 'failed' ELSE 'queued' END
+      WHEN kind = 'defer' THEN CASE st WHEN 'running' THEN 'queued' ELSE 'cancelled' END ELSE CASE st WHEN 'queued' THEN 'cancelled' ELSE 'cancel_requested' END END AS to_state
+    FROM (SELECT *, CASE kind WHEN 'claim' THEN st = 'queued' AND sec >= hold WHEN 'retry' THEN st = 'running' WHEN 'cancel' THEN st IN ('queued', 'running') WHEN 'defer' THEN {live} ELSE {live} AND {mine} END AS fits
+      FROM (SELECT e.key, e.n, e.sec, e.own, e.kind, s.attempt, s.until, s.hold, s.owner, s.recovered, s.refused, s.st IN ('running', 'cancel_requested') AND s.until < e.sec AS rec,
+          CASE WHEN s.st IN ('running', 'cancel_requested') AND s.until < e.sec THEN CASE WHEN s.st = 'cancel_requested' THEN 'cancelled' WHEN s.attempt >= {attempts} THEN 'failed' ELSE 'queued' END ELSE s.st END AS st
+        FROM s JOIN e ON e.key = s.key AND e.n = s.n + 1))))
+SELECT key, st AS state, attempt, recovered, refused FROM s QUALIFY row_number() OVER (PARTITION BY key ORDER BY n DESC) = 1"""

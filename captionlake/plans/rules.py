@@ -9,6 +9,7 @@ from ..functions import captions as C
 from ..operators import folds
 from ..operators import glossary as G
 from ..registry import query
+from . import recursions
 from ..sources.tables import events, table
 
 #: Replies that the tables lack: id, reply, source.
@@ -131,9 +132,10 @@ def late_results(spark, sf_dir) -> DataFrame:
     return e.select("event_id", outcome.alias("outcome"))
 
 
-@query("M11")
+@query("M11", recursions.leased(20 * 3600, 3, 1800))
 def job_leases(spark, sf_dir) -> DataFrame:
-    """Jobs under leases of 20 hours: views claim, clicks beat, purchases finish, errors ask for another try, signups cancel."""
-    kinds = F.create_map(*[F.lit(x) for pair in (("view", "claim"), ("click", "beat"), ("purchase", "finish"), ("error", "retry"), ("signup", "cancel")) for x in pair])
-    e = events(spark, sf_dir).select(F.col("user_id").alias("key"), F.unix_seconds("ts").alias("at"), F.col("event_id").alias("id"), F.coalesce(F.element_at(kinds, F.col("event_type")), F.lit("beat")).alias("kind"), (F.col("k") % 2).alias("owner"))
-    return folds.leases(e, 20 * 3600, 3)
+    """Jobs under leases of 20 hours: views claim, clicks beat, purchases finish, errors ask for another try (some for a later one), signups cancel."""
+    kinds = F.create_map(*[F.lit(x) for pair in (("view", "claim"), ("click", "beat"), ("purchase", "finish"), ("signup", "cancel")) for x in pair])
+    kind = F.when(F.col("event_type") == "error", F.when(F.col("k") % 3 == 0, "defer").otherwise("retry")).otherwise(F.coalesce(F.element_at(kinds, F.col("event_type")), F.lit("beat")))
+    e = events(spark, sf_dir).select(F.col("user_id").alias("key"), F.unix_seconds("ts").alias("at"), F.col("event_id").alias("id"), kind.alias("kind"), (F.col("k") % 2).alias("owner"))
+    return folds.leases(e, 20 * 3600, 3, 1800)

@@ -170,7 +170,7 @@ def dictionary_references(spark, sf_dir) -> DataFrame:
     return first.withColumn("used", used).filter("used < 2400").select("conv_id", "turn", "item_id", "rank", F.least(F.lit(240), F.col("len"), 2400 - F.col("used")).alias("chars"))
 
 
-@query("F20", """SELECT item_id, CAST(i AS BIGINT) AS line, trim(split_part(l, ' ', 1)) AS term, trim(l[length(split_part(l, ' ', 1)) + 1:]) AS target FROM (SELECT item_id, unnest(string_split(text, '. ')) AS l, unnest(range(1, len(string_split(text, '. ')) + 1)) AS i FROM benchmark) WHERE trim(l) <> '' AND i <= 40""")
+@query("", """SELECT item_id, CAST(i AS BIGINT) AS line, trim(split_part(l, ' ', 1)) AS term, trim(l[length(split_part(l, ' ', 1)) + 1:]) AS target FROM (SELECT item_id, unnest(string_split(text, '. ')) AS l, unnest(range(1, len(string_split(text, '. ')) + 1)) AS i FROM benchmark) WHERE trim(l) <> '' AND i <= 40""")
 def glossary_parse(spark, sf_dir) -> DataFrame:
     lines = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.split("text", r"\. ")).alias("i", "l")).filter((F.trim("l") != "") & (F.col("i") < 40))
     term = F.split_part("l", F.lit(" "), F.lit(1))
