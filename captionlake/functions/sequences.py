@@ -16,24 +16,43 @@ def match_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-def rewrite(aliases: dict[str, str], passes: int = 8):
-    """A function that replaces aliases by canonical forms, longest first, until nothing changes; a cycle leaves the text as it was. Canonical forms in the text are protected."""
-    import re
+#: Common words within which no alias is replaced.
+GUARDS = ("開始", "法式", "師傅", "社科", "只觀", "工案", "開事", "一座", "產修", "建設", "建設課程", "開設", "開設課程", "天空", "學會")
 
-    words = sorted({*aliases, *aliases.values()}, key=lambda w: (-len(w), w))
-    pattern = re.compile("|".join(map(re.escape, words))) if words else None
+
+def rewrite(aliases: dict[str, str], passes: int = 8, guards: tuple[str, ...] = GUARDS):
+    """A function that replaces aliases by canonical forms, from left to right and the longest first, until nothing changes; a cycle leaves the text as it was.
+
+    Canonical forms in the text are protected, and an alias that overlaps a guard word stays (a shorter one at its place may do).
+    """
+    import regex
+
+    by_first: dict[str, list[str]] = {}
+    for word in sorted({*aliases, *aliases.values()} - {""}, key=lambda w: (-len(w), w)):
+        by_first.setdefault(word[0], []).append(word)
+    guard = regex.compile("|".join(regex.escape(g) for g in sorted(guards, key=len, reverse=True)) or "(?!)")
+
+    def once(text: str) -> str:
+        held = {i for m in guard.finditer(text, overlapped=True) for i in range(*m.span())}
+        out, i = [], 0
+        while i < len(text):
+            fits = (w for w in by_first.get(text[i], ()) if text.startswith(w, i) and (w not in aliases or held.isdisjoint(range(i, i + len(w)))))
+            word = next(fits, text[i])
+            out.append(word if i in held and len(word) == 1 else aliases.get(word, word))
+            i += len(word)
+        return "".join(out)
 
     def one(text: str) -> str:
         seen, now = {text}, text
-        for _ in range(passes if pattern else 0):
-            new = pattern.sub(lambda m: aliases.get(m.group(), m.group()), now)
+        for _ in range(passes if by_first else 0):
+            new = once(now)
             if new == now:
                 return now
             if new in seen:
                 return text
             seen.add(new)
             now = new
-        return now
+        return now if not by_first or once(now) == now else text
 
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:

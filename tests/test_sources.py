@@ -111,6 +111,8 @@ def test_sequence_functions(spark):
     assert one(spark, "abcd", lambda c: Q.match_ratio(c, F.lit("bcde"))) == 0.75
     assert one(spark, "colour of colourful", Q.rewrite({"colour": "color", "colourful": "vivid"})) == "color of vivid"
     assert one(spark, "ab", Q.rewrite({"a": "b", "b": "a"})) == "ab"
+    guarded = Q.rewrite({"設課": "Q", "課程": "R", "空中": "S"})
+    assert one(spark, "建設課程，設課，課程，天空中", guarded) == "建設課程，Q，R，天空中"
     assert one(spark, "the then with", lambda c: Q.longest_first(c, ["the", "then", "with"])) == ["then", "with", "the"]
     assert one(spark, "x" + "ha" * 6, Q.has_loop) and not one(spark, "no loop here", Q.has_loop)
 
