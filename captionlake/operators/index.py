@@ -48,7 +48,7 @@ class TextIndex:
     def add(self, docs: DataFrame, text: str, files: int = 1) -> None:
         """Append documents. The lengths are written last: a document counts as indexed once they are there, so an append that fails half-way is done again whole."""
         t = docs.select(F.col(self.key).alias("key"), F.lower(F.col(text)).alias("t")).filter("key IS NOT NULL")
-        gram = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("t") - 2), lambda i: F.substr("t", i, F.lit(3))))
+        gram = F.array_distinct(F.regexp_extract_all("t", F.lit("(?s)(?=(.{3}))"), F.lit(1)))  # overlapping, in time linear in the text
         token = t.select("key", F.posexplode(tokens(F.col("t"))).alias("i", "term")).groupBy("key", "term").agg(F.array_sort(F.collect_list(F.col("i") + 1)).alias("places"))
         grams = t.filter(F.length("t") >= 3).select("key", F.explode(gram).alias("term"), F.lit(None).cast("array<int>").alias("places"))
         for kind, each in (("token", token), ("gram", grams)):

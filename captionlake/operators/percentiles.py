@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..streaming.run import kept
 
 #: Ranges of values, in steps of STEP; how exact the fences between them are.
-RANGES, STEP, ACCURACY = 256, 16, 20_000
+RANGES, STEP, ACCURACY = 256, 16, 4_000
 
 
 def range_of(df: DataFrame, value: str) -> Column:
