@@ -20,11 +20,8 @@ def match_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 GUARDS = ("開始", "法式", "師傅", "社科", "只觀", "工案", "開事", "一座", "產修", "建設", "建設課程", "開設", "開設課程", "天空", "學會")
 
 
-def rewrite(aliases: dict[str, str], passes: int = 8, guards: tuple[str, ...] = GUARDS):
-    """A function that replaces aliases by canonical forms, from left to right and the longest first, until nothing changes; a cycle leaves the text as it was.
-
-    Canonical forms in the text are protected, and an alias that overlaps a guard word stays (a shorter one at its place may do).
-    """
+def _scanner(aliases: dict[str, str], guards: tuple[str, ...]):
+    """A function of a text to the text after one pass, and the canonical forms of aliases that stay because they overlap a guard word, each once."""
     import regex
 
     by_first: dict[str, list[str]] = {}
@@ -32,27 +29,39 @@ def rewrite(aliases: dict[str, str], passes: int = 8, guards: tuple[str, ...] =
         by_first.setdefault(word[0], []).append(word)
     guard = regex.compile("|".join(regex.escape(g) for g in sorted(guards, key=len, reverse=True)) or "(?!)")
 
-    def once(text: str) -> str:
-        held = {i for m in guard.finditer(text, overlapped=True) for i in range(*m.span())}
-        out, i = [], 0
+    def once(text: str) -> tuple[str, list[str]]:
+        held = {i for m in guard.finditer(text, overlapped=True) for i in range(*m.span())} if by_first else set()
+        out, kept, i = [], {}, 0
         while i < len(text):
-            fits = (w for w in by_first.get(text[i], ()) if text.startswith(w, i) and (w not in aliases or held.isdisjoint(range(i, i + len(w)))))
-            word = next(fits, text[i])
-            out.append(word if i in held and len(word) == 1 else aliases.get(word, word))
-            i += len(word)
-        return "".join(out)
+            here = [w for w in by_first.get(text[i], ()) if text.startswith(w, i)]
+            free = next((w for w in here if w not in aliases or held.isdisjoint(range(i, i + len(w)))), None)
+            if here and free is None:
+                kept[aliases[here[0]]] = None
+            out.append(aliases.get(free, free or text[i]))
+            i += len(free or text[i])
+        return "".join(out), list(kept)
+
+    return once
+
+
+def rewrite(aliases: dict[str, str], passes: int = 8, guards: tuple[str, ...] = GUARDS):
+    """A function that replaces aliases by canonical forms, from left to right and the longest first, until nothing changes; a cycle leaves the text as it was.
+
+    Canonical forms in the text are protected, and an alias that overlaps a guard word stays (a shorter one at its place may do).
+    """
+    once = _scanner(aliases, guards)
 
     def one(text: str) -> str:
         seen, now = {text}, text
-        for _ in range(passes if by_first else 0):
-            new = once(now)
+        for _ in range(passes):
+            new = once(now)[0]
             if new == now:
                 return now
             if new in seen:
                 return text
             seen.add(new)
             now = new
-        return now if not by_first or once(now) == now else text
+        return now if once(now)[0] == now else text
 
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
@@ -61,6 +70,17 @@ def rewrite(aliases: dict[str, str], passes: int = 8, guards: tuple[str, ...] =
     return run
 
 
+def guarded(aliases: dict[str, str], guards: tuple[str, ...] = GUARDS):
+    """A function to the canonical forms whose aliases a text holds, but which rewrite() leaves since they overlap a guard word: in order, each once; of several at a place the longest alias's."""
+    once = _scanner(aliases, guards)
+
+    @F.pandas_udf("array<string>")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else once(t)[1])
+
+    return run
+
+
 #: Characters that may not begin or end a line; particles after which a line ends well, verb endings and number units that stay whole, and how much narrower a line that ends well may be.
 NOT_FIRST = "、。，．・？！ゝゞー」』）】ぁぃぅぇぉっゃゅょゎゕゖァィゥェォッャュョヮヵヶ〃々〻ヽヾｧｨｩｪｫｬｭｮｯｰ" + "".join(map(chr, range(0x31F0, 0x3200)))
 NOT_LAST = "「『（【〈《〔〖〘〚"

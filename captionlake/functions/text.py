@@ -45,6 +45,30 @@ def translation_key(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else out.sub("", unicodedata.normalize("NFKC", t)).casefold().translate(fold))
 
 
+#: Fixed value: how many of the characters above a glossary folds.
+GLOSSARY_FOLDS = 20
+
+
+class _Folds(dict):
+    """Character -> folded character, filled as characters come: NFKC and case folded where that is one character, simplified as traditional."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        wide = unicodedata.normalize("NFKC", c)
+        small = wide.casefold() if len(wide) == 1 else ""
+        low = small if len(small) == 1 else c
+        at = SIMPLIFIED.find(low, 0, GLOSSARY_FOLDS)
+        self[code] = low if at < 0 else TRADITIONAL[at]
+        return self[code]
+
+
+@F.pandas_udf(StringType())
+def match_fold(texts: pd.Series) -> pd.Series:
+    """How a glossary compares texts: each character becomes one character, so places stay."""
+    folds = _Folds()
+    return texts.map(lambda t: None if t is None else t.translate(folds))
+
+
 @F.pandas_udf(DoubleType())
 def display_width(texts: pd.Series) -> pd.Series:
     """Wide and full-width characters count 1, others one half."""

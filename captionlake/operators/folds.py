@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -384,3 +385,51 @@ def bounded_queue(df: DataFrame, most: int) -> DataFrame:
         return [(key[0], s["queue"], s["dropped"], s["taken"])]
 
     return ordered_fold(df, ["key"], ["at", "id"], "key long, waiting array<long>, dropped long, taken long", lambda: {"queue": [], "dropped": 0, "taken": 0}, step, end)
+
+
+#: Rooms that a host meters at a time, samples of a session that it keeps.
+METERED, SAMPLES = 32, 4096
+
+
+def metering(most: int = METERED, last: int = SAMPLES) -> Fold:
+    """Metrics of live sessions: rows (key, at, id, room, session, kind, amount) of a host, the key; kind is timeout, silent, empty, error or sample.
+
+    A room has one session at a time: another replaces it. A host keeps the ``most`` rooms touched last, and of a session its counts
+    and its ``last`` samples. A session that is replaced or evicted gives a row (key, room, session, ended, n, total, high, timeouts,
+    silent, empty, errors; n, total and high are those of the samples kept); one that comes back begins anew. Any kind of row touches its room.
+    """
+    counted = ("timeout", "silent", "empty", "error")
+
+    def step(s: dict, r) -> list:
+        out, rooms = [], s["rooms"]
+        live = rooms.pop(r.room, None)
+        if live and live["session"] != r.session:
+            out.append(metered_row(r.key, r.room, live, "replaced"))
+            live = None
+        live = live or {"session": r.session, "samples": deque(maxlen=last), "counts": dict.fromkeys(counted, 0)}
+        rooms[r.room] = live
+        if r.kind in counted:
+            live["counts"][r.kind] += 1
+        else:
+            live["samples"].append(r.amount)
+        if len(rooms) > most:
+            oldest = next(iter(rooms))
+            out.append(metered_row(r.key, oldest, rooms.pop(oldest), "evicted"))
+        return out
+
+    return ["at", "id"], "key long, room long, session long, ended string, n long, total long, high long, timeouts long, silent long, empty long, errors long", lambda: {"rooms": {}}, step
+
+
+def metered_row(key, room, live: dict, ended: str) -> tuple:
+    kept = live["samples"]
+    return (key, room, live["session"], ended, len(kept), sum(kept), max(kept, default=None), *live["counts"].values())
+
+
+def metered(df: DataFrame, most: int = METERED, last: int = SAMPLES) -> DataFrame:
+    """metering() over a table; sessions that are live at its end give a row too (ended: live). Rows without a room or session, and samples without an amount, don't count."""
+
+    def end(s: dict, key: tuple) -> list:
+        return [metered_row(key[0], room, live, "live") for room, live in s["rooms"].items()]
+
+    rows = df.filter("room IS NOT NULL AND session IS NOT NULL AND (kind <> 'sample' OR amount IS NOT NULL)")
+    return ordered_fold(rows.withColumn("amount", F.coalesce("amount", F.lit(0).cast("long"))), ["key"], *metering(most, last), end)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.captions import strip
+from ..functions.text import match_fold
 from .joins import containment
 
 #: Common words that are no aliases.
@@ -52,20 +53,36 @@ def strict_terms(df: DataFrame, key: str, text: str) -> DataFrame:
     return kept.join(hidden, key, "left_anti").unionByName(row0(hidden, "hidden_break")).unionByName(row0(none, "no_terms"))
 
 
-def set_violations(terms: DataFrame) -> DataFrame:
-    """Rules over a glossary's rows (id, term, aliases), as id, rule, alias: a term given twice (all rows but the least id), and aliases that are short, common words, a term themselves, inside another term, or of several terms. Comparison is in lower case."""
-    fold = lambda c: F.lower(F.trim(c))
-    t = terms.select("id", fold(F.col("term")).alias("term"), "aliases")
-    first = t.groupBy("term").agg(F.min("id").alias("first"))
-    twice = t.join(first, "term").filter("id <> first").select("id", F.lit("duplicate").alias("rule"), F.lit(None).cast("string").alias("alias"))
+def set_violations(terms: DataFrame, key: str | None = None, most: int | None = None) -> DataFrame:
+    """Rules over glossaries' rows (id, term, aliases), as id, rule, alias: a term given twice (all rows but the least id), and aliases that are short, common words, a term themselves, inside another term, or of several terms.
+
+    Texts are compared as match_fold() gives them. ``key``: the column that tells the glossary of a row, which the result has too (rows
+    where it is null are left out); without it all rows are one glossary. Of a glossary of more than ``most`` rows only
+    the first row beyond is given, as too_many.
+    """
+    of = F.col(key) if key else F.lit(0)
+    rows = terms.select(of.alias("_set"), "id", "term", "aliases").filter("_set IS NOT NULL")
+    none = F.lit(None).cast("string").alias("alias")
+    if most is not None:
+        ranked = rows.select("_set", "id", F.row_number().over(Window.partitionBy("_set").orderBy("id")).alias("_n")).filter(F.col("_n") <= most + 1)
+        over = ranked.filter(F.col("_n") == most + 1).select("_set", "id")
+        rows = rows.join(over.select("_set"), "_set", "left_anti")
+    fold = lambda c: match_fold(F.trim(c))
+    t = rows.select("_set", "id", fold(F.col("term")).alias("term"), "aliases")
+    first = t.groupBy("_set", "term").agg(F.min("id").alias("first"))
+    twice = t.join(first, ["_set", "term"]).filter("id <> first").select("_set", "id", F.lit("duplicate").alias("rule"), none)
     # a repeated term's aliases aren't judged
-    a = t.join(first.withColumnRenamed("first", "id"), ["id", "term"]).select("id", "term", F.explode("aliases").alias("a")).select("id", "term", fold(F.col("a")).alias("alias")).distinct()
-    named = lambda d, rule: d.select("id", F.lit(rule).alias("rule"), "alias")
-    distinct = t.select("term").distinct()
-    owners = a.groupBy("alias").agg(F.min("term").alias("x"), F.max("term").alias("y")).filter("x <> y").select("alias")
-    inside = containment(distinct, a.filter(F.length("alias") >= LEAST_ALIAS).select(F.col("alias").alias("_alias")).distinct(), "term", "_alias").filter("term <> _alias").select(F.col("term").alias("other"), F.col("_alias").alias("alias"))
-    inside = a.join(inside, "alias").filter("other <> term").select("id", "alias").distinct()
-    return (
+    a = t.join(first.withColumnRenamed("first", "id"), ["_set", "id", "term"]).select("_set", "id", "term", F.explode("aliases").alias("a")).select("_set", "id", "term", fold(F.col("a")).alias("alias")).distinct()
+    named = lambda d, rule: d.select("_set", "id", F.lit(rule).alias("rule"), "alias")
+    distinct = t.select("_set", "term").distinct()
+    owners = a.groupBy("_set", "alias").agg(F.min("term").alias("x"), F.max("term").alias("y")).filter("x <> y").select("_set", "alias")
+    long = a.filter(F.length("alias") >= LEAST_ALIAS).select(F.col("alias").alias("_alias")).distinct()
+    inside = containment(distinct, long, "term", "_alias").filter("term <> _alias").select("_set", F.col("term").alias("other"), F.col("_alias").alias("alias"))
+    inside = a.join(inside, ["_set", "alias"]).filter("other <> term").select("_set", "id", "alias").distinct()
+    found = (
         twice.unionByName(named(a.filter(F.length("alias") < LEAST_ALIAS), "short_alias")).unionByName(named(a.filter(F.col("alias").isin(*STOP_ALIASES)), "stop_alias"))
-        .unionByName(named(a.join(distinct.select(F.col("term").alias("alias")), "alias", "left_semi"), "alias_is_term")).unionByName(named(inside, "alias_in_term")).unionByName(named(a.join(owners, "alias", "left_semi"), "alias_owners"))
+        .unionByName(named(a.join(distinct.select("_set", F.col("term").alias("alias")), ["_set", "alias"], "left_semi"), "alias_is_term")).unionByName(named(inside, "alias_in_term")).unionByName(named(a.join(owners, ["_set", "alias"], "left_semi"), "alias_owners"))
     )
+    if most is not None:
+        found = found.unionByName(over.select("_set", "id", F.lit("too_many").alias("rule"), none))
+    return found.withColumnRenamed("_set", key) if key else found.drop("_set")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import numbers
 from ..functions import sequences as Q
 from ..functions import text as X
 from ..operators import folds
@@ -136,18 +137,9 @@ def ab_outcomes(spark, sf_dir) -> DataFrame:
 @query("A19", """WITH e AS (SELECT user_id, count(*) FILTER (event_type = 'click') AS w, count(*) FILTER (event_type = 'error') AS l FROM events GROUP BY 1)
 SELECT user_id, w, l, round(least(1.0, 2 * list_sum(list_transform(range(0, least(w, l) + 1), lambda i: exp(lgamma(w + l + 1) - lgamma(i + 1) - lgamma(w + l - i + 1) - (w + l) * ln(2.0))))), 9) AS p FROM e""")
 def sign_test(spark, sf_dir) -> DataFrame:
-    """The two-sided sign test of wins and losses: the binomial tail in one pass, each term's logarithm from the one before."""
+    """The two-sided sign test of wins and losses."""
     e = events(spark, sf_dir).groupBy("user_id").agg(F.count_if(F.col("event_type") == "click").alias("w"), F.count_if(F.col("event_type") == "error").alias("l"))
-    n = F.col("w") + F.col("l")
-    first = -n * F.log(F.lit(2.0))
-    zero = F.struct(first.alias("log"), F.exp(first).alias("sum"))
-
-    def step(s, i):
-        log = s["log"] + F.log((n - i + 1) / i)
-        return F.struct(log.alias("log"), (s["sum"] + F.exp(log)).alias("sum"))
-
-    upto = F.filter(F.sequence(F.lit(0).cast("long"), F.least("w", "l")), lambda i: i > 0)
-    return e.select("user_id", "w", "l", F.round(F.least(F.lit(1.0), 2 * F.aggregate(upto, zero, step)["sum"]), 9).alias("p"))
+    return e.select("user_id", "w", "l", F.round(numbers.sign_test(F.col("w"), F.col("l")), 9).alias("p"))
 
 
 @query("F18", f"""WITH c AS ({CUES}), b AS (SELECT conv_id, turn, text, t0 - lag(coalesce(t1, t0 + 4800)) OVER w AS gap, lag(text) OVER w AS before FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators import folds
 from ..operators.percentiles import mean_of_cents, rounded_rank, summary
 from ..operators.windows import latest_per_key
 from ..registry import query
@@ -45,7 +46,7 @@ def distribution_summary(spark, sf_dir) -> DataFrame:
     return summary(events(spark, sf_dir), ["user_id"], "value", {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99})
 
 
-@query("W06 T22", "SELECT user_id, count(*) AS n, round(quantile_cont(value, 0.5), 4) AS p50, round(quantile_cont(value, 0.95), 4) AS p95, max(value) AS max FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 200) GROUP BY 1")
+@query("W06", "SELECT user_id, count(*) AS n, round(quantile_cont(value, 0.5), 4) AS p50, round(quantile_cont(value, 0.95), 4) AS p95, max(value) AS max FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 200) GROUP BY 1")
 def rolling_last_n_percentile(spark, sf_dir) -> DataFrame:
     last = latest_per_key(events(spark, sf_dir), ["user_id"], [F.col("ts").desc(), F.col("event_id").desc()], 200)
     return summary(last, ["user_id"], "value", {"p50": 0.5, "p95": 0.95})
@@ -193,6 +194,21 @@ def metrics_export(spark, sf_dir) -> DataFrame:
     return e.orderBy("ts", "event_id").limit(100_000).select("event_id", F.col("ts").alias("at"), "value")
 
 
+@query("T22", """WITH e AS (SELECT user_id // 60 AS key, user_id AS room, CAST(day(ts) // 7 AS BIGINT) AS session, event_type AS kind, CAST(round(value * 100) AS BIGINT) AS amount, row_number() OVER (PARTITION BY user_id // 60 ORDER BY ts, event_id) AS i FROM events),
+p AS (SELECT *, lag(session) OVER w AS before, lead(i) OVER w AS after FROM e WINDOW w AS (PARTITION BY room ORDER BY i)),
+d AS (SELECT p.room, p.i, count(DISTINCT o.room) AS others FROM p LEFT JOIN e o ON o.key = p.key AND o.i > p.i AND (p.after IS NULL OR o.i < p.after) GROUP BY 1, 2),
+b AS (SELECT p.*, others >= 8 AS evicted, lag(others >= 8) OVER (PARTITION BY p.room ORDER BY p.i) AS anew FROM p JOIN d USING (room, i)),
+l AS (SELECT *, count(*) FILTER (before IS NULL OR before <> session OR anew) OVER (PARTITION BY room ORDER BY i) AS life FROM b),
+s AS (SELECT *, kind IN ('click', 'purchase') AS sample, row_number() OVER (PARTITION BY room, life, kind IN ('click', 'purchase') ORDER BY i DESC) <= 3 AS late FROM l)
+SELECT key, room, session, CASE WHEN arg_max(evicted, i) THEN 'evicted' WHEN arg_max(after IS NULL, i) THEN 'live' ELSE 'replaced' END AS ended, count(*) FILTER (sample AND late) AS n, CAST(coalesce(sum(amount) FILTER (sample AND late), 0) AS BIGINT) AS total,
+ max(amount) FILTER (sample AND late) AS high, count(*) FILTER (kind = 'signup') AS timeouts, count(*) FILTER (kind = 'view') AS silent, CAST(0 AS BIGINT) AS empty, count(*) FILTER (kind = 'error') AS errors FROM s GROUP BY key, room, session, life""")
+def live_sessions(spark, sf_dir) -> DataFrame:
+    """Sixty rooms of a host, of which it meters eight at a time; a session is a week, of which three samples are kept."""
+    kind = F.when(F.col("event_type") == "signup", "timeout").when(F.col("event_type") == "view", "silent").when(F.col("event_type") == "error", "error").otherwise("sample")
+    e = events(spark, sf_dir).select(F.floor(F.col("user_id") / 60).alias("key"), F.col("ts").alias("at"), F.col("event_id").alias("id"), F.col("user_id").alias("room"), F.floor(F.dayofmonth("ts") / 7).alias("session"), kind.alias("kind"), F.col("cents").alias("amount"))
+    return folds.metered(e, 8, 3)
+
+
 def nested_metrics(spark, sf_dir) -> DataFrame:
     """The event log as a nested Parquet table in the shared folder: latency (A2 (p50, hidden), n), and a payload that no metric reads."""
     e = events(spark, sf_dir)

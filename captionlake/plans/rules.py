@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import captions as C
+from ..functions import sequences as Q
 from ..operators import folds
 from ..operators import glossary as G
 from ..registry import query
@@ -79,6 +80,25 @@ def glossary_set_check(spark, sf_dir) -> DataFrame:
     return G.set_violations(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("term"), F.array(alias).alias("aliases")))
 
 
+@query("F21", """WITH g AS (SELECT p_brand AS brand, p_partkey AS id, lower(trim(p_name)) AS term, lower(split_part(p_name, ' ', 1)) AS alias FROM part),
+o AS (SELECT brand, id FROM g QUALIFY row_number() OVER (PARTITION BY brand ORDER BY id) = 9), k AS (SELECT * FROM g WHERE brand NOT IN (SELECT brand FROM o)),
+f AS (SELECT brand, term, min(id) AS id FROM k GROUP BY 1, 2), a AS (SELECT k.* FROM k JOIN f USING (brand, term, id))
+SELECT brand, id, 'too_many' AS rule, NULL AS alias FROM o UNION ALL SELECT k.brand, k.id, 'duplicate', NULL FROM k JOIN f USING (brand, term) WHERE k.id <> f.id
+UNION ALL SELECT brand, id, 'alias_is_term', alias FROM a WHERE (brand, alias) IN (SELECT (brand, term) FROM f) UNION ALL SELECT brand, id, 'alias_in_term', alias FROM a WHERE EXISTS (SELECT 1 FROM f WHERE f.brand = a.brand AND f.term <> a.term AND f.term <> a.alias AND contains(f.term, a.alias))
+UNION ALL SELECT brand, id, 'alias_owners', alias FROM a WHERE (brand, alias) IN (SELECT (brand, alias) FROM a GROUP BY brand, alias HAVING count(DISTINCT term) > 1)""")
+def glossary_sets(spark, sf_dir) -> DataFrame:
+    """A glossary for each brand, whose aliases are in full-width capitals; one of more than eight terms is refused."""
+    wide = F.translate(F.upper(F.split_part("p_name", F.lit(" "), F.lit(1))), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "".join(chr(0xFF21 + i) for i in range(26)))
+    return G.set_violations(table(spark, sf_dir, "part").select(F.col("p_brand").alias("brand"), F.col("p_partkey").alias("id"), F.col("p_name").alias("term"), F.array(wide).alias("aliases")), "brand", 8)
+
+
+@query("F22", """SELECT doc_id, md5(replace(replace(replace(text, 'the', chr(1)), 'he', 'HE'), chr(1), 'the')) AS rewritten, CASE WHEN contains(text, 'the') THEN ['HE'] WHEN text IS NOT NULL THEN [] END AS guarded FROM documents""")
+def guarded_rewriting(spark, sf_dir) -> DataFrame:
+    """An alias stays within a guard word, and is told."""
+    aliases, guards = {"he": "HE"}, ("the",)
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(Q.rewrite(aliases, guards=guards)(F.col("text")).cast("binary")).alias("rewritten"), Q.guarded(aliases, guards)(F.col("text")).alias("guarded"))
+
+
 #: Milliseconds of a frame, share of speech frames under which audio is silent, padding, and the least saving for which it is trimmed.
 FRAME_MS, SPEECH_SHARE, PAD_MS, LEAST_SAVED_MS = 32, 0.05, 200, 500
 

@@ -28,7 +28,7 @@ def query(ids: str, sql: str | None = None) -> Callable:
 LIBRARY = {
     **dict.fromkeys("S05 S06 S07 S08 S09 S10 S13 S14 S15 S26".split(), "sources/readers.py"),
     **dict.fromkeys("S11 S12 S18 S19".split(), "sources/sinks.py"),
-    "S16": "streaming/run.py", "T22": "streaming/state.py",
+    "S16": "streaming/run.py",
 }
 #: Operator ids that are Spark's own or outside of data processing.
 NOT_BUILT = {

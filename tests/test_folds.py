@@ -220,3 +220,45 @@ def test_a_client_shows_what_its_events_leave(spark):
     assert shown(late) == [(9, "nine", False)]
     many = [("caption", i, i, 1, 0, 0, str(i)) for i in range(10)] + [("caption", 7, 70, 2, 0, 0, "7 stays in its place of arrival"), ("caption", 20, 0, 1, 0, 0, "20")]
     assert [x[0] for x in shown(many, 4)] == [20, 8, 9, 7]
+
+
+def metric_rows():
+    rng = random.Random(8)
+    out, at = [], 0
+    for i in range(600):
+        at += rng.randrange(3)
+        room = min(int(rng.expovariate(0.4)), 9)
+        out.append((rng.randrange(2), at, i, room, at // (40 + room), rng.choice(["sample", "sample", "timeout", "silent", "empty", "error"]), rng.randrange(100)))
+    return out
+
+
+METRICS = "key long, at long, id long, room long, session long, kind string, amount long"
+
+
+def brute_sessions(rows, most, last):
+    """Lives of sessions, told by who was touched between two touches of a room."""
+    out = []
+    for key in {r[0] for r in rows}:
+        mine = [r for r in rows if r[0] == key]
+        for room in {r[3] for r in mine}:
+            at = [i for i, r in enumerate(mine) if r[3] == room]
+            life = []
+            for i, after in zip(at, [*at[1:], None], strict=True):
+                life.append(mine[i])
+                others = {r[3] for r in mine[i + 1 : after]} - {room}
+                ended = "evicted" if len(others) >= most else "live" if after is None else "replaced" if mine[after][4] != mine[i][4] else None
+                if ended:
+                    kept = [r[6] for r in life if r[5] == "sample"][-last:]
+                    out.append((key, room, mine[i][4], ended, len(kept), sum(kept), max(kept, default=None), *[sum(r[5] == k for r in life) for k in ("timeout", "silent", "empty", "error")]))
+                    life = []
+    return sorted(out, key=repr)
+
+
+def test_sessions_are_metered_within_bounds(spark):
+    rows = metric_rows()
+    df = spark.createDataFrame([*rows, (0, 5, 9000, None, 1, "sample", 1), (0, 5, 9001, 1, None, "error", 1), (0, 5, 9002, 77, 1, "sample", None)], METRICS)
+    for most, last in ((3, 2), (6, 4096), (32, 1)):
+        got = sorted((tuple(r) for r in folds.metered(df, most, last).collect()), key=repr)
+        assert got == brute_sessions(rows, most, last)
+    assert {r[3] for r in brute_sessions(rows, 6, 9)} == {"evicted", "live", "replaced"}
+    assert folds.metered(df.limit(0)).count() == 0

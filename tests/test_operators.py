@@ -157,3 +157,19 @@ def test_percentiles_of_odd_groups(spark):
         assert got[k].n == len(values) and abs(got[k].q - quantiles(values, n=4, method="inclusive")[0]) <= 1e-4
     assert (got["only nulls"].n, got["only nulls"].q, got["one"].q, got["ties"].q) == (0, None, 7.0, 1.0)
     assert summary(spark.createDataFrame([], "k string, v double"), ["k"], "v", {"q": 0.25}).count() == 0
+
+
+def test_sign_test_is_exact_for_any_counts(spark):
+    import math
+    from fractions import Fraction
+
+    from captionlake.functions.numbers import sign_test
+
+    rows = [(0, 0), (0, 1), (1, 1), (0, 70), (3, 9), (14, 17), (15, 16), (500, 560), (1000, 1000), (2, 900), (4000, 4300), (5 * 10**9, 5 * 10**9 + 200_000), (None, 3)]
+    got = {(r.w, r.l): r.p for r in spark.createDataFrame(rows, "w long, l long").select("w", "l", sign_test(F.col("w"), F.col("l")).alias("p")).collect()}
+    for w, l in rows[:-2]:
+        want = min(1.0, float(Fraction(2 * sum(math.comb(w + l, i) for i in range(min(w, l) + 1)), 2 ** (w + l))))
+        assert math.isclose(got[w, l], want, rel_tol=1e-12)
+    w, l = rows[-2]  # the normal law with its correction
+    assert math.isclose(got[w, l], math.erfc((l - w - 1) / math.sqrt(w + l) / math.sqrt(2)), rel_tol=1e-6)
+    assert got[None, 3] is None

@@ -95,6 +95,19 @@ def test_glossary_sets(spark):
     assert got == {(2, "duplicate", None), (1, "short_alias", "x"), (3, "stop_alias", "開始"), (3, "alias_is_term", "learning"), (3, "alias_in_term", "earn"), (1, "alias_owners", "ml"), (3, "alias_owners", "ml")}
 
 
+def test_glossaries_are_judged_apart_and_by_folded_characters(spark):
+    rows = [
+        ("a", 1, "學社", ["学社会"]), ("a", 2, "学社", None), ("a", 3, "ＡＩ core", ["ai", "ＡＩ"]), ("b", 4, "ai", ["學社"]), ("b", 5, "x1", ["AI"]), ("b", 6, "ﬁx", ["fix"]),
+        *[("c", 10 + i, f"t{i}", ["t"]) for i in range(4)], (None, 99, "n", ["n"]),
+    ]
+    got = {tuple(r) for r in G.set_violations(spark.createDataFrame(rows, "room string, id long, term string, aliases array<string>"), "room", 3).select("room", "id", "rule", "alias").collect()}
+    # the ligature would become two characters, so it stays
+    assert got == {("a", 2, "duplicate", None), ("b", 5, "alias_is_term", "ai"), ("c", 13, "too_many", None)}
+    inside = spark.createDataFrame([(1, "ＡＩ core", ["x2"]), (2, "net", ["CORE"])], "id long, term string, aliases array<string>")
+    assert {tuple(r) for r in G.set_violations(inside).collect()} == {(2, "alias_in_term", "core")}
+    assert G.set_violations(inside.limit(0), None, 3).count() == 0
+
+
 def test_job_leases(spark):
     rows = [
         (1, 0, 1, "claim", 1), (1, 5, 2, "claim", 2), (1, 9, 3, "beat", 1), (1, 15, 4, "finish", 2), (1, 18, 5, "finish", 1), (1, 99, 6, "claim", 1),  # done by its holder

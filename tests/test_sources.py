@@ -121,3 +121,11 @@ def test_dictionary_keys(spark):
     row = spark.sql("SELECT 'Run' AS w, 'runs' AS a, array('to run fast', 'a race') AS g")
     assert row.select(entry_keys(F.col("w"), F.col("a"), F.col("g")).alias("k")).first()["k"] == ["run", "runs", "to run fast", "fast", "a race", "race"]
     assert one(spark, "go 你好吗", query_keys) == ["go", "你好吗", "你好", "好吗", "你", "好", "吗"]
+
+
+def test_guarded_aliases_are_told(spark):
+    aliases, guards = {"設課": "Q", "設課程": "R", "天空": "T", "海": "U"}, ("建設課程", "天空")
+    rows = [(0, "建設課程與海"), (1, "開設課程"), (2, "天空天空建設課"), (3, ""), (4, None)]
+    df = spark.createDataFrame(rows, "i int, t string")
+    got = {r.i: (r.g, r.r) for r in df.select("i", Q.guarded(aliases, guards)("t").alias("g"), Q.rewrite(aliases, guards=guards)("t").alias("r")).collect()}
+    assert got == {0: (["R"], "建設課程與U"), 1: ([], "開R"), 2: (["T"], "天空天空建Q"), 3: ([], ""), 4: (None, None)}
