@@ -22,10 +22,13 @@ def in_order(rows: Iterator[pd.DataFrame], order: list[str]) -> list:
 
 
 class VersionGate(StatefulProcessor):
-    """Per caption id: rows of a version above all before pass, with a cursor; a delete (event_type 'error') lets nothing pass after it."""
+    """Per caption id: rows of a version above all before pass, with a cursor; a delete (event_type 'error') lets nothing pass after it. A state that nothing touches for ``ttl_ms`` is forgotten, if that is set."""
+
+    def __init__(self, ttl_ms: int | None = None):
+        self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("gate", "version long, cursor long, dead boolean")
+        self.state = handle.getValueState("gate", "version long, cursor long, dead boolean", self.ttl_ms)
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
         r = initialState.iloc[0]
@@ -126,13 +129,13 @@ class Resequencer(StatefulProcessor):
 
 
 class OrderedFold(StatefulProcessor):
-    """A fold of operators/folds.py over a stream: the same step on a state that is kept between micro-batches."""
+    """A fold of operators/folds.py over a stream: the same step on a state that is kept between micro-batches, for ``ttl_ms`` after its last row if that is set."""
 
-    def __init__(self, order: list[str], columns: list[str], start: Callable, step: Callable):
-        self.order, self.columns, self.start, self.step = order, columns, start, step
+    def __init__(self, order: list[str], columns: list[str], start: Callable, step: Callable, ttl_ms: int | None = None):
+        self.order, self.columns, self.start, self.step, self.ttl_ms = order, columns, start, step, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("fold", "data binary")
+        self.state = handle.getValueState("fold", "data binary", self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         state = pickle.loads(self.state.get()[0]) if self.state.exists() else self.start()
@@ -147,10 +150,16 @@ class OrderedFold(StatefulProcessor):
         pass
 
 
-def gated(events: DataFrame, initial: DataFrame | None = None) -> DataFrame:
-    """The gate over a stream. ``initial`` (user_id, version, cursor, dead): states to begin from."""
+def clock(ttl_ms: int | None) -> str:
+    """Times to live are told by the wall clock, so results then hang on when rows come. Such a query runs batches without rows too, to forget states: with the
+    trigger availableNow it ends only where spark.sql.streaming.noDataMicroBatches.enabled is false."""
+    return "None" if ttl_ms is None else "ProcessingTime"
+
+
+def gated(events: DataFrame, initial: DataFrame | None = None, ttl_ms: int | None = None) -> DataFrame:
+    """The gate over a stream. ``initial`` (user_id, version, cursor, dead): states to begin from. ``ttl_ms``: how long a state lives after its last row (None: for good)."""
     begin = None if initial is None else initial.groupBy("user_id")
-    return events.groupBy("user_id").transformWithStateInPandas(VersionGate(), "user_id long, event_id long, version long, cursor long", "Append", "None", begin)
+    return events.groupBy("user_id").transformWithStateInPandas(VersionGate(ttl_ms), "user_id long, event_id long, version long, cursor long", "Append", clock(ttl_ms), begin)
 
 
 def gate_states(events: DataFrame) -> DataFrame:
@@ -166,8 +175,8 @@ def resequenced(events: DataFrame, wait_ms: int | None = 3000, cap: int = 32, in
     return events.filter("k IS NOT NULL").groupBy("user_id").transformWithStateInPandas(Resequencer(wait_ms, cap), "user_id long, k long, event_id long, status string", "Append", mode, begin)
 
 
-def folded(lines: DataFrame, fold: tuple) -> DataFrame:
-    """A stream of (key, ...) through one of the folds of operators/folds.py: (order, schema, start, step)."""
+def folded(lines: DataFrame, fold: tuple, ttl_ms: int | None = None) -> DataFrame:
+    """A stream of (key, ...) through one of the folds of operators/folds.py: (order, schema, start, step). ``ttl_ms``: how long a key's state lives after its last row (None: for good)."""
     order, schema, start, step = fold
     columns = [c.split()[0] for c in schema.split(", ")]
-    return lines.groupBy("key").transformWithStateInPandas(OrderedFold(order, columns, start, step), schema, "Append", "None")
+    return lines.groupBy("key").transformWithStateInPandas(OrderedFold(order, columns, start, step, ttl_ms), schema, "Append", clock(ttl_ms))

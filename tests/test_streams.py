@@ -136,3 +136,33 @@ def test_held_numbers_go_on_too(spark, tmp_path):
     more = [*rows, (9, datetime(2024, 1, 2), 1, "x", 0), (10, datetime(2024, 1, 2), 2, "x", 5), (11, datetime(2024, 1, 2), 2, "x", 2)]
     got = run_now(resequenced(stream_of(spark, more, EVENTS, str(tmp_path / "s"), 1), None, 100, initial)).collect()
     assert {(r.user_id, r.k, r.event_id, r.status) for r in got} == {(1, 0, 9, "released"), (1, 1, 0, "released"), (1, 2, 1, "released"), (1, 3, 76, "released"), (1, 4, 77, "released"), (2, 5, 10, "released"), (2, 2, 11, "retry")}
+
+
+def test_metered_sessions_as_a_stream(spark, tmp_path):
+    from .test_folds import METRICS, brute_sessions, metric_rows
+
+    rows = metric_rows()
+    want = Counter(r for r in brute_sessions(rows, 4, 3) if r[3] != "live")
+    stream = stream_of(spark, rows, METRICS, str(tmp_path / "s"), 3)
+    assert Counter(tuple(r) for r in run_now(folded(stream, folds.metering(4, 3))).drop("batch").collect()) == want and len(want) > 20
+
+
+@pytest.fixture
+def plain_batches(spark):
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
+
+
+@pytest.mark.parametrize("ttl", [None, 1500])
+def test_states_live_as_long_as_they_are_told(spark, tmp_path, ttl, plain_batches):
+    import time
+    from datetime import datetime
+
+    out, checkpoint, path = (str(tmp_path / x) for x in ("out", "checkpoint", "in"))
+    for i, version in enumerate([5, 3]):
+        stream = stream_of(spark, [(i, datetime(2024, 1, 1), 1, "view", version)], EVENTS, path, 1)
+        gated(stream, ttl_ms=ttl).writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+        time.sleep(2.5)
+    got = {(r.event_id, r.version, r.cursor) for r in spark.read.parquet(out).collect()}
+    assert got == ({(0, 5, 1)} if ttl is None else {(0, 5, 1), (1, 3, 1)})
