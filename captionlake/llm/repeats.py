@@ -34,6 +34,8 @@ from .common import drop_written, tidy, written
 WINDOW, GRAM = 200, 32
 #: Bytes that are hashed at a time (longer texts in overlapping parts), segments that a task sorts at a time, and rows that a task reads at a time where rows hold texts.
 CHUNK, SORTED, ROWS_AT_ONCE = 1_000_000, 40_000, 512
+#: Segments that are put into columns at a time: each of their bytes takes some 25 bytes of indices meanwhile.
+PLACED = 1_000
 #: Distinct segments of a group that are sorted together; larger groups are subdivided.
 LARGEST = 256
 #: Bits of a gram's hash that order minimizers; the others hold its place. Grams that agree in them tie in any text, and the leftmost wins.
@@ -101,9 +103,11 @@ def repeated_windows(parts: list[bytes], offsets: np.ndarray) -> np.ndarray:
     n = len(parts)
     columns = np.zeros((COLUMNS, n), "int16")
     sizes = np.array([len(p) for p in parts])
-    flat = np.frombuffer(b"".join(parts), "uint8")
-    who = np.repeat(np.arange(n), sizes)
-    columns[np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes) - offsets[who] + BEFORE, who] = flat.astype("int16") + 1
+    for at in range(0, n, PLACED):
+        own = sizes[at : at + PLACED]
+        flat = np.frombuffer(b"".join(parts[at : at + PLACED]), "uint8")
+        who = np.repeat(np.arange(at, at + len(own)), own)
+        columns[np.arange(len(flat)) - np.repeat(np.cumsum(own) - own, own) - offsets[who] + BEFORE, who] = flat.astype("int16") + 1
     last = BEFORE + sizes - offsets - 1
     entry = np.argsort(last, kind="stable")
     upto = np.searchsorted(last[entry], np.arange(COLUMNS + 1))

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import struct
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from captionlake.llm import fm, packing, pii, unigram
 from captionlake.llm.hyperminhash import keep_one, near_duplicates
 from captionlake.llm.quality_rules import quality_rules
-from captionlake.llm.repeats import remove_repeats
+from captionlake.llm.repeats import BEFORE, COLUMNS, GRAM, PLACED, WINDOW, remove_repeats, repeated_windows
 from captionlake.llm.sharding import shard_records
 
 from .helpers import documents, odd_documents
@@ -65,6 +66,36 @@ def test_repeats_of_hot_groups(spark):
     assert got == Counter((r[0], *x) for r, x in zip(rows, brute_repeats([r[1] for r in rows])))
 
 
+def aligned_segments(n):
+    """Segments of one group: n random ones of all sizes and offsets, with copies of windows among them."""
+    rng = np.random.default_rng(14)
+    line = rng.integers(97, 100, (7, COLUMNS), "uint8")  # few contents, so windows repeat
+    offsets = rng.integers(0, BEFORE + 1, n)
+    sizes = np.minimum(np.maximum(WINDOW, offsets + GRAM) + rng.integers(0, 100, n), offsets + WINDOW)
+    return [line[i % 7, BEFORE - o : BEFORE - o + s].tobytes() for i, (o, s) in enumerate(zip(offsets.tolist(), sizes.tolist(), strict=True))], offsets
+
+
+def test_repeated_windows_across_the_segments_placed_at_a_time():
+    parts, offsets = aligned_segments(2 * PLACED + 3)
+    parts[PLACED] = bytes(reversed(parts[PLACED]))
+    at = lambda i: {(c, parts[i][c - BEFORE + offsets[i] :][:WINDOW]) for c in range(BEFORE - offsets[i], BEFORE - offsets[i] + len(parts[i]) - WINDOW + 1)}
+    count = Counter(x for i in range(len(parts)) for x in at(i))
+    want = [sorted(c for c, w in at(i) if count[c, w] > 1) for i in range(len(parts))]
+    assert [np.flatnonzero(f).tolist() for f in repeated_windows(parts, offsets)] == want
+
+
+def test_memory_of_repeated_windows():
+    parts, offsets = aligned_segments(20_000)
+    tracemalloc.start()
+    try:
+        repeated_windows(parts, offsets)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    # two bytes a column for the symbols and one for the result; the rest is a part of that
+    assert peak < 6 * COLUMNS * len(parts)
+
+
 def test_repeats_in_long_texts(spark):
     rng = random.Random(13)
     word = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
