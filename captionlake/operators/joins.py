@@ -33,6 +33,31 @@ def interval_overlap(a: DataFrame, b: DataFrame, keys: list[str], a_span: tuple[
     return x.join(y, [*keys, "_bin"]).filter((F.col(a0) < F.col(b1)) & (F.col(b0) < F.col(a1)) & once).drop("_bin")
 
 
+#: Rows of a stripe of a group, about: a pair of stripes is what one task compares at least.
+STRIPE = 8192
+
+
+def edit_pairs(rows: DataFrame, keys: list[str], key: str, text: str, most: int, stripe: int = STRIPE) -> DataFrame:
+    """a, b, d: pairs of rows of equal ``keys``, a's ``key`` being less than b's, whose texts are ``most`` edits apart or fewer.
+
+    Equal texts are compared once, as one row with their keys. A group is cut into stripes by a hash, and pairs of stripes are dealt out
+    to as many tasks as a shuffle has, however few bytes they are, since the work grows with the square of a group.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    r = rows.select(*keys, F.col(key).alias("_i"), F.col(text).alias("_t")).filter("_i IS NOT NULL AND _t IS NOT NULL")
+    sizes = r.groupBy(*keys).agg(F.ceil(F.count("*") / stripe).cast("int").alias("_n"))
+    striped = r.join(sizes, keys).withColumn("_s", F.pmod(F.xxhash64("_i"), "_n").cast("int"))
+    texts = striped.groupBy(*keys, "_n", "_s", "_t").agg(F.collect_list("_i").alias("_is"))
+    x = texts.select(*keys, F.col("_s").alias("_low"), F.explode(F.sequence(F.col("_s"), F.col("_n") - 1)).alias("_high"), F.col("_t").alias("_x"), F.col("_is").alias("_xs"))
+    y = texts.select(*keys, F.explode(F.sequence(F.lit(0), F.col("_s"))).alias("_low"), F.col("_s").alias("_high"), F.col("_t").alias("_y"), F.col("_is").alias("_ys"))
+    cell = [*keys, "_low", "_high"]
+    met = x.repartition(parts, *cell).join(y, cell).filter("_low < _high OR _x <= _y")
+    d = F.explode_outer(F.array(F.levenshtein("_x", "_y", most).cast("long")))  # a column of its own, so it is computed once
+    near = met.select(((F.col("_low") == F.col("_high")) & (F.col("_x") == F.col("_y"))).alias("_same"), "_xs", "_ys", d.alias("d")).filter("d >= 0")
+    each = near.select("_same", "_ys", "d", F.explode("_xs").alias("_i")).select("_same", "d", "_i", F.explode("_ys").alias("_j")).filter("_i < _j OR (_i > _j AND NOT _same)")
+    return each.select(F.least("_i", "_j").alias("a"), F.greatest("_i", "_j").alias("b"), "d")
+
+
 def any_of(a: DataFrame, b: DataFrame, conditions: list[Column], a_id: list[str], b_id: list[str]) -> DataFrame:
     """Pairs that meet at least one of several equi-conditions: one join for each, and each pair once."""
     out = None
