@@ -1,6 +1,7 @@
 """A stored inverted index: trigrams and tokens of texts as partitioned tables, built once and appended to.
 
-Postings lie in folders by kind and by a hash of the term, sorted by term within files. A search names the folders and
+Postings lie in folders by kind and by a hash of the term, sorted by term within files, a row holding those of one term in a
+block of neighbouring documents. Blocks are built where their texts are read, so single postings are never shuffled. A search names the folders and
 terms it needs, so Spark prunes the others, and intersects the postings from the rarest term on; what is left is checked
 on the texts. Texts are never read for terms that no document holds.
 """
@@ -8,8 +9,12 @@ on the texts. Texts are never read for terms that no document holds.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,13 +22,18 @@ from .search import B, K1
 
 #: Folders of a kind.
 BUCKETS = 64
+#: Characters of a block of documents, about: a task holds some 40 bytes for each. Files of an append in a folder, at most, or two for each core.
+BLOCK_CHARS, FILES = 1 << 21, 64
 #: Characters that are tokens of their own, in Spark's and in Python's way, and tokens of a snippet.
 HAN_RANGE, HAN_CHARS, SNIPPET = r"\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}\x{20000}-\x{3134f}", "㐀-䶿一-鿿豈-﫿\U00020000-\U0003134f", 16
 
 
+TOKEN = rf"[{HAN_RANGE}]|[\p{{L}}\p{{N}}&&[^{HAN_RANGE}]]+"
+
+
 def tokens(text: Column) -> Column:
     """Tokens in lower case: each Han character, and each run of letters and digits of other scripts."""
-    return F.regexp_extract_all(F.lower(text), F.lit(rf"[{HAN_RANGE}]|[\p{{L}}\p{{N}}&&[^{HAN_RANGE}]]+"), F.lit(0))
+    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
 def query_tokens(q: str) -> list[str]:
@@ -34,41 +44,103 @@ def bucket(term: Column) -> Column:
     return F.pmod(F.crc32(term.cast("binary")), F.lit(BUCKETS)).cast("int")
 
 
+def distinct_grams(text: str, piece: int = BLOCK_CHARS) -> np.ndarray:
+    """The distinct trigrams of a text in order, three code points of 21 bits each; a very long text is cut into pieces that overlap."""
+    out = np.zeros(0, "int64")
+    for at in range(0, len(text) - 2, piece):
+        c = np.frombuffer(text[at : at + piece + 2].encode("utf-32-le"), "<u4").astype("int64")
+        new = np.unique(c[:-2] << 42 | c[1:-1] << 21 | c[2:])
+        out = np.unique(np.concatenate([out, new])) if len(out) else new
+    return out
+
+
+def _starts(*sorted_columns: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before, and the number of rows."""
+    change = reduce(np.logical_or, [x[1:] != x[:-1] for x in sorted_columns])
+    return np.concatenate([[0], np.flatnonzero(change) + 1, [len(sorted_columns[0])]]).astype("int32")
+
+
+def _gram_postings(keys: pa.Array, texts: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array] | None:
+    """term, keys, places (null) of a block's trigrams."""
+    each = [distinct_grams(t) for t in texts.to_pylist()]
+    grams = np.concatenate(each)
+    if not len(grams):
+        return None
+    order = np.argsort(grams, kind="stable")
+    grams, docs = grams[order], np.repeat(np.arange(len(each)), [len(x) for x in each])[order]
+    starts = _starts(grams)
+    first = grams[starts[:-1]]
+    chars = np.stack([first >> 42, first >> 21 & 0x1FFFFF, first & 0x1FFFFF], 1).astype("<u4").tobytes().decode("utf-32-le")
+    terms = pa.array([chars[i : i + 3] for i in range(0, len(chars), 3)], "string")
+    return terms, pa.ListArray.from_arrays(starts, keys.take(pa.array(docs))), pa.nulls(len(terms), pa.list_(pa.list_(pa.int32())))
+
+
+def _token_postings(keys: pa.Array, words: pa.ListArray) -> tuple[pa.Array, pa.Array, pa.Array] | None:
+    """term, keys and for each key the places of a block's tokens."""
+    sizes = pc.list_value_length(words).to_numpy(zero_copy_only=False)
+    coded = pc.dictionary_encode(words.flatten())
+    if not len(coded):
+        return None
+    codes = coded.indices.to_numpy()
+    order = np.argsort(codes, kind="stable")
+    codes, docs = codes[order], np.repeat(np.arange(len(sizes)), sizes)[order]
+    places = (np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1)[order].astype("int32")
+    each = _starts(codes, docs)  # of a term in a document
+    of = _starts(codes[each[:-1]])  # of a term
+    return (
+        coded.dictionary.cast("string").take(pa.array(codes[each[:-1]][of[:-1]])), pa.ListArray.from_arrays(of, keys.take(pa.array(docs[each[:-1]]))),
+        pa.ListArray.from_arrays(of, pa.ListArray.from_arrays(each, pa.array(places))),
+    )
+
+
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """kind, term, keys, places of the blocks of key, t, words."""
+    for batch in batches:
+        at = np.cumsum(pc.utf8_length(batch.column(1)).to_numpy(zero_copy_only=False)) // BLOCK_CHARS
+        cuts = _starts(at) if len(at) else []
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            keys, texts, words = (batch.column(i).slice(a, b - a) for i in range(3))
+            for kind, rows in (("gram", _gram_postings(keys, texts)), ("token", _token_postings(keys, words))):
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array([kind] * len(rows[0]), "string"), *rows], ["kind", "term", "keys", "places"])
+
+
 class TextIndex:
-    """The index of a text column under ``path``: postings (kind, bucket, term, key, places), lengths (key, len).
+    """The index of a text column under ``path``: postings (kind, bucket, term, keys, places), lengths (key, len).
 
     ``add`` appends documents whose keys the index doesn't hold; a document's places are the
     numbers of a token in it, from 1 (trigrams have none). Null and empty texts have no postings. Very long texts and
-    frequent terms are rows like others: a term's postings are spread over files, never gathered.
+    frequent terms are rows like others: a term's postings are spread over blocks and files, never gathered.
     """
 
     def __init__(self, spark: SparkSession, path: str, key: str = "doc_id", kind: str = "long"):
         self.spark, self.path, self.key, self.kind = spark, path.rstrip("/"), key, kind
 
-    def add(self, docs: DataFrame, text: str, files: int = 1) -> None:
-        """Append documents. The lengths are written last: a document counts as indexed once they are there, so an append that fails half-way is done again whole."""
-        t = docs.select(F.col(self.key).alias("key"), F.lower(F.col(text)).alias("t")).filter("key IS NOT NULL")
-        gram = F.array_distinct(F.regexp_extract_all("t", F.lit("(?s)(?=(.{3}))"), F.lit(1)))  # overlapping, in time linear in the text
-        token = t.select("key", F.posexplode(tokens(F.col("t"))).alias("i", "term")).groupBy("key", "term").agg(F.array_sort(F.collect_list(F.col("i") + 1)).alias("places"))
-        grams = t.filter(F.length("t") >= 3).select("key", F.explode(gram).alias("term"), F.lit(None).cast("array<int>").alias("places"))
-        for kind, each in (("token", token), ("gram", grams)):
-            rows = each.withColumns({"kind": F.lit(kind), "bucket": bucket(F.col("term"))})
-            rows.repartition(BUCKETS * files, "bucket", F.pmod(F.xxhash64("key"), F.lit(files))).sortWithinPartitions("bucket", "term", "key").write.mode("append").partitionBy("kind", "bucket").parquet(f"{self.path}/postings")
-        t.select("key", F.coalesce(F.size(tokens(F.col("t"))), F.lit(0)).cast("long").alias("len")).write.mode("append").parquet(f"{self.path}/lengths")
+    def add(self, docs: DataFrame, text: str, files: int | None = None) -> None:
+        """Append documents, in ``files`` files of a folder at most. The lengths are written last: a document counts as indexed once they are there, so an append that fails half-way is done again whole."""
+        t = docs.select(F.col(self.key).cast(self.kind).alias("key"), F.make_valid_utf8(F.lower(F.col(text))).alias("t")).filter("key IS NOT NULL")
+        whole = t.filter(F.length("t") > 0).coalesce(files or max(FILES, 2 * self.spark.sparkContext.defaultParallelism))
+        rows = whole.select("key", "t", tokens(F.col("t")).alias("words")).mapInArrow(_postings, f"kind string, term string, keys array<{self.kind}>, places array<array<int>>")
+        rows.withColumn("bucket", bucket(F.col("term"))).sortWithinPartitions("kind", "bucket", "term").write.mode("append").option("compression", "zstd").partitionBy("kind", "bucket").parquet(f"{self.path}/postings")
+        t.select("key", F.coalesce(F.regexp_count("t", F.lit(TOKEN)), F.lit(0)).cast("long").alias("len")).write.mode("append").parquet(f"{self.path}/lengths")
 
     def lengths(self) -> DataFrame:
         return self.spark.read.schema(f"key {self.kind}, len long").parquet(f"{self.path}/lengths").groupBy("key").agg(F.max("len").alias("len"))
 
+    def _each(self, condition: Column) -> DataFrame:
+        """term, key, places of rows of the index, each term and key once: an append that was done again has the same places again."""
+        rows = self.spark.read.schema(f"term string, keys array<{self.kind}>, places array<array<int>>, kind string, bucket int").parquet(f"{self.path}/postings").filter(condition)
+        each = rows.select("term", "places", F.posexplode("keys").alias("i", "key")).select("term", "key", F.get("places", F.col("i")).alias("places"))
+        return each.groupBy("term", "key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("places")))).alias("places"))
+
     def postings(self, kind: str, terms: list[str]) -> DataFrame:
         """term, key, places of some terms: only their folders are read."""
-        rows = self.spark.read.schema(f"key {self.kind}, term string, places array<int>, kind string, bucket int").parquet(f"{self.path}/postings")
         numbers = [r[0] for r in self.spark.createDataFrame([(t,) for t in terms], "term string").select(bucket(F.col("term"))).distinct().collect()]  # the query's terms, not the table's
-        return rows.filter((F.col("kind") == kind) & F.col("bucket").isin(*numbers) & F.col("term").isin(*terms)).select("term", "key", "places").dropDuplicates(["term", "key"])
+        return self._each((F.col("kind") == kind) & F.col("bucket").isin(*numbers) & F.col("term").isin(*terms))
 
     def prefixed(self, prefix: str) -> DataFrame:
         """term, key, places of tokens that begin with ``prefix``."""
-        rows = self.spark.read.schema(f"key {self.kind}, term string, places array<int>, kind string, bucket int").parquet(f"{self.path}/postings")
-        return rows.filter((F.col("kind") == "token") & F.col("term").startswith(prefix)).select("term", "key", "places").dropDuplicates(["term", "key"])
+        return self._each((F.col("kind") == "token") & F.col("term").startswith(prefix))
 
     def holding(self, kind: str, terms: list[str]) -> DataFrame:
         """Keys of documents that hold all terms: from the rarest on, each further term's postings are only looked up for what is left."""
