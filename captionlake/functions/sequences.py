@@ -21,27 +21,39 @@ GUARDS = ("開始", "法式", "師傅", "社科", "只觀", "工案", "開事",
 
 
 def _scanner(aliases: dict[str, str], guards: tuple[str, ...]):
-    """A function of a text to the text after one pass, and the canonical forms of aliases that stay because they overlap a guard word, each once."""
-    import regex
+    """Two functions of a text: to the text after one pass, and to the canonical forms of aliases that stay because they overlap a guard word, each once.
+
+    Both are one pattern, so no code runs for a character that begins no word: at a place the longest word that is free, and where none is, one character with the longest word looked ahead at.
+    """
+    import re
+
+    def rest(word: str) -> str | None:
+        """The pattern of a word after its first character; none where a guard is always over it."""
+        unless = set()
+        for g in set(guards) if word in aliases else ():
+            for o in range(1 - len(g), len(word) if g else 0):  # where the guard begins, counted from the word
+                if word[max(o, 0) : o + len(g)] == g[max(-o, 0) : len(word) - o]:
+                    before, after = re.escape(g[: max(-o, 0)] + word) if o < 0 else "", re.escape(g[len(word) - o :])
+                    if not before and not after:
+                        return None
+                    unless.add(f"(?!(?<={before}){after})" if before and after else f"(?<!{before})" if before else f"(?!{after})")
+        return re.escape(word[1:]) + "".join(sorted(unless))
 
     by_first: dict[str, list[str]] = {}
     for word in sorted({*aliases, *aliases.values()} - {""}, key=lambda w: (-len(w), w)):
         by_first.setdefault(word[0], []).append(word)
-    guard = regex.compile("|".join(regex.escape(g) for g in sorted(guards, key=len, reverse=True)) or "(?!)")
+    free = {c: [r for r in map(rest, words) if r is not None] for c, words in by_first.items()}
+    stays = {c: f"(?=({'|'.join(re.escape(w[1:]) for w in words)}))" for c, words in by_first.items()}
+    one_of = lambda of: re.compile("|".join(f"{re.escape(c)}(?:{'|'.join(x)})" for c, x in of.items() if x) or "(?!)")
+    changes, all_places = one_of(free), one_of({c: [*x, stays[c]] for c, x in free.items()})
+
+    def once(text: str) -> str:
+        return changes.sub(lambda m: aliases.get(m[0], m[0]), text)
 
-    def once(text: str) -> tuple[str, list[str]]:
-        held = {i for m in guard.finditer(text, overlapped=True) for i in range(*m.span())} if by_first else set()
-        out, kept, i = [], {}, 0
-        while i < len(text):
-            here = [w for w in by_first.get(text[i], ()) if text.startswith(w, i)]
-            free = next((w for w in here if w not in aliases or held.isdisjoint(range(i, i + len(w)))), None)
-            if here and free is None:
-                kept[aliases[here[0]]] = None
-            out.append(aliases.get(free, free or text[i]))
-            i += len(free or text[i])
-        return "".join(out), list(kept)
+    def told(text: str) -> list[str]:
+        return list(dict.fromkeys(aliases[m[0] + m[m.lastindex]] for m in all_places.finditer(text) if m.lastindex))
 
-    return once
+    return once, told
 
 
 def rewrite(aliases: dict[str, str], passes: int = 8, guards: tuple[str, ...] = GUARDS):
@@ -49,19 +61,19 @@ def rewrite(aliases: dict[str, str], passes: int = 8, guards: tuple[str, ...] =
 
     Canonical forms in the text are protected, and an alias that overlaps a guard word stays (a shorter one at its place may do).
     """
-    once = _scanner(aliases, guards)
+    once, _ = _scanner(aliases, guards)
 
     def one(text: str) -> str:
         seen, now = {text}, text
         for _ in range(passes):
-            new = once(now)[0]
+            new = once(now)
             if new == now:
                 return now
             if new in seen:
                 return text
             seen.add(new)
             now = new
-        return now if once(now)[0] == now else text
+        return now if once(now) == now else text
 
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
@@ -72,11 +84,11 @@ def rewrite(aliases: dict[str, str], passes: int = 8, guards: tuple[str, ...] =
 
 def guarded(aliases: dict[str, str], guards: tuple[str, ...] = GUARDS):
     """A function to the canonical forms whose aliases a text holds, but which rewrite() leaves since they overlap a guard word: in order, each once; of several at a place the longest alias's."""
-    once = _scanner(aliases, guards)
+    _, told = _scanner(aliases, guards)
 
     @F.pandas_udf("array<string>")
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else once(t)[1])
+        return texts.map(lambda t: None if t is None else told(t))
 
     return run
 
